@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidespan.llm import jaccard, quality
+from tidespan.llm import decontaminate, jaccard, mixing, quality, secret_scan
 from tidespan.llm.scratch import table
 
 
@@ -18,8 +18,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(words=3, num=9, den=10))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op3_mix_sources, op5_quality_rules, op6_decontaminate, op9_secret_scan, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
