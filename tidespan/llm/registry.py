@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidespan.llm import decontaminate, jaccard, mixing, quality, secret_scan
+from tidespan.llm import decontaminate, extract, jaccard, licences, mixing, preferences, quality, secret_scan, url_rules, warc
 from tidespan.llm.scratch import table
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,6 +22,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), jaccard.JaccardConfig(words=3, num=9, den=10))
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.preferences(table(spark, sf_dir, "conversations"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -26,12 +38,20 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op5_quality_rules, op6_decontaminate, op9_secret_scan, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_licence_scan, op2_preferences, op3_mix_sources, op4_url_rules, op5_quality_rules, op6_decontaminate, op7_main_text, op8_warc, op9_secret_scan, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
