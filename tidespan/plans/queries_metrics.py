@@ -1,3 +1,189 @@
-from tidespan.plans.define import Queries
+"""Queries over shape, resolvability, spectra, stability and metrics."""
 
-QUERIES = Queries()
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidespan.operators import carve, iterative, metrics, resolve, shape, simulate
+from tidespan.plans.context import Context
+from tidespan.plans.define import Queries, r
+from tidespan.plans.oracle import sql
+
+QUERIES = query = Queries()
+
+_PAIRS = "pairs AS (SELECT record, seq, value AS y, t_us::DOUBLE AS x FROM reads)"
+
+
+def pairs(c: Context) -> DataFrame:
+    return c.reads.select("record", "seq", F.col("t_us").cast("double").alias("x"), F.col("value").alias("y"))
+
+
+@query(sql("""SELECT record, any_value(n) AS n, round(CASE WHEN any_value(n) >= 3 AND sum(l * (n - l)) > 0 THEN 1 - any_value(n) * sum(step)::DOUBLE / (2 * sum(l * (n - l))) END, 8) AS xi FROM (
+  SELECT *, abs(lead(rk) OVER (PARTITION BY record ORDER BY x, seq) - rk) AS step FROM (SELECT *, count(*) OVER (PARTITION BY record ORDER BY y RANGE UNBOUNDED PRECEDING) AS rk, count(*) OVER (PARTITION BY record ORDER BY y DESC RANGE UNBOUNDED PRECEDING) AS l, count(*) OVER (PARTITION BY record) AS n FROM pairs)) GROUP BY record""", _PAIRS))
+def xi(c: Context) -> DataFrame:
+    return shape.chatterjee(pairs(c), ["record"]).select("record", "n", r("xi", 8))
+
+
+_SPEAR = _PAIRS + ", ranks AS (SELECT *, rank() OVER (PARTITION BY record ORDER BY x) + (count(*) OVER (PARTITION BY record, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY record ORDER BY y) + (count(*) OVER (PARTITION BY record, y) - 1) / 2 AS ry FROM pairs)"
+
+
+@query(sql("SELECT record, count(*) AS n, round(CASE WHEN count(*) >= 3 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) END, 8) AS rho FROM ranks GROUP BY record", _SPEAR))
+def spearman(c: Context) -> DataFrame:
+    return shape.spearman(pairs(c), ["record"]).select("record", "n", r("rho", 8))
+
+
+@query(sql("""SELECT record, n, round(CASE WHEN n <= 400 AND va > 1e-18 AND vb > 1e-18 THEN sqrt(greatest(v, 0) / sqrt(va * vb)) END, 6) AS dcor FROM (SELECT d.record, any_value(n) AS n, avg((dx - r1.mx - r2.mx + gx) * (dy - r1.my - r2.my + gy)) AS v, avg((dx - r1.mx - r2.mx + gx) * (dx - r1.mx - r2.mx + gx)) AS va, avg((dy - r1.my - r2.my + gy) * (dy - r1.my - r2.my + gy)) AS vb
+  FROM dist d JOIN rowm r1 ON r1.record = d.record AND r1.i = d.i JOIN rowm r2 ON r2.record = d.record AND r2.i = d.j JOIN totm t ON t.record = d.record GROUP BY d.record)""",
+  _PAIRS, """dist AS (SELECT a.record, a.seq AS i, b.seq AS j, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, count(*) OVER (PARTITION BY a.record, a.seq) AS n FROM pairs a JOIN pairs b USING (record)),
+rowm AS (SELECT record, i, avg(dx) AS mx, avg(dy) AS my FROM dist GROUP BY ALL), totm AS (SELECT record, avg(dx) AS gx, avg(dy) AS gy FROM dist GROUP BY ALL)"""))
+def dcor(c: Context) -> DataFrame:
+    return shape.distance_correlation(pairs(c), ["record"]).select("record", "n", r("dcor", 6))
+
+
+@query(sql("SELECT record, round(avg((k > 1)::INT), 9) AS tied FROM (SELECT *, count(*) OVER (PARTITION BY record, value) AS k FROM reads) GROUP BY record"))
+def tie_fraction(c: Context) -> DataFrame:
+    return shape.tie_fraction(c.reads, ["record"], "value").select("record", r("tied", 9))
+
+
+@query(sql("""SELECT record, label, island, any_value(n) AS n, round(max(margin), 6) AS peak_margin, round(avg(margin), 6) AS mean_margin, round((arg_min(t_us, (-margin, t_us)) - min(birth_us)) / 1e6 / nullif((max(death_us) - min(birth_us)) / 1e6, 0), 6) AS peak_fraction FROM (
+  SELECT rr.record, rr.label, rr.island, margin, t_us, birth_us, death_us, count(*) OVER (PARTITION BY rr.record, rr.label, rr.island) AS n FROM rows_ rr JOIN wins w ON w.record = rr.record AND w.label = rr.label AND w.island = rr.island WHERE in_spec) WHERE n >= 5 GROUP BY ALL"""))
+def window_shape(c: Context) -> DataFrame:
+    return shape.window_shape(carve.read_table(c.rows, c.wins)).select("record", "label", "island", "n", r("peak_margin"), r("mean_margin"), r("peak_fraction"))
+
+
+@query()
+def shape_curve(c: Context) -> DataFrame:
+    return shape.shape_curve(carve.read_table(c.rows, c.wins)).select("label", "k", "n_windows", r("mean"), r("se"))
+
+
+@query(sql("SELECT record, count(*) AS n, sum((sigma IS NULL)::INT)::BIGINT AS n_sigma_unknown, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(median(value), 6) AS median, round(avg(sigma), 6) AS mean_sigma, round(median(sigma / nullif(abs(value), 0)), 6) AS median_relative, round(stddev_pop(value) / nullif(abs(avg(value)), 0), 6) AS cv FROM reads GROUP BY record"))
+def signal_summary(c: Context) -> DataFrame:
+    return shape.signal_band(c.reads).select("record", "n", "n_sigma_unknown", *[r(x) for x in ("mean", "sd", "median", "mean_sigma", "median_relative", "cv")])
+
+
+@query(sql("""SELECT s.record, s.label, s.in_spec, s.in_spec_uncertain, s.out_of_spec, s.out_of_spec_uncertain, coalesce(p.n_windows, 0) AS n_windows, round(p.purity, 8) AS mean_purity FROM (SELECT record, label, count(*) FILTER (in_spec AND confident) AS in_spec, count(*) FILTER (in_spec AND NOT confident) AS in_spec_uncertain, count(*) FILTER (NOT in_spec AND confident) AS out_of_spec,
+  count(*) FILTER (NOT in_spec AND NOT confident) AS out_of_spec_uncertain FROM rows_ GROUP BY ALL) s LEFT JOIN (SELECT record, label, count(*) AS n_windows, avg(q) AS purity FROM (SELECT record, label, island, avg(confident::INT) AS q FROM rows_ WHERE in_spec GROUP BY ALL) GROUP BY ALL) p USING (record, label)"""))
+def distinguish_band(c: Context) -> DataFrame:
+    return shape.distinguish_band(c.rows, c.wins).select("record", "label", "in_spec", "in_spec_uncertain", "out_of_spec", "out_of_spec_uncertain", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), r("mean_purity", 8))
+
+
+@query(sql("SELECT record, label, side, count(*) FILTER (death_kind = 'crossing') AS n_crossing, count(*) FILTER (death_kind = 'gap_start') AS n_gap_start, count(*) FILTER (death_kind = 'scan_end') AS n_scan_end, round(sum(duration_s), 5) AS total_s FROM wins GROUP BY ALL"))
+def reliability_band(c: Context) -> DataFrame:
+    return shape.reliability_band(c.wins).select("record", "label", "side", "n_crossing", "n_gap_start", "n_scan_end", r("total_s", 5))
+
+
+@query(sql("SELECT record, t_us, round(avg(value), 8) AS value, round(CASE WHEN count(sigma) = count(*) THEN sqrt(sum(sigma * sigma)) / count(*) END, 8) AS sigma FROM reads GROUP BY record, t_us"))
+def collapsed_reads(c: Context) -> DataFrame:
+    return resolve.collapse_repeated(c.reads).select("record", "t_us", r("value", 8), r("sigma", 8))
+
+
+@query(sql("""SELECT record, round(scale, 6) AS scale, round(scale / sd, 6) AS ratio, round(ms / scale, 6) AS sigma_ratio FROM (SELECT record, sqrt(avg(pow(a * q0 + (1 - a) * q2 - value, 2) / (a * a + (1 - a) * (1 - a) + 1))) AS scale FROM (SELECT *, (t2 - t_us)::DOUBLE / (t2 - t0) AS a FROM (SELECT *, lag(t_us) OVER w AS t0, lead(t_us) OVER w AS t2, lag(value) OVER w AS q0, lead(value) OVER w AS q2
+  FROM obs WINDOW w AS (PARTITION BY record, segment ORDER BY t_us, seq)) WHERE t0 IS NOT NULL AND t2 > t0) GROUP BY record) JOIN (SELECT record, stddev_samp(value) AS sd, avg(sigma) AS ms FROM obs GROUP BY record) USING (record)"""))
+def gsjs(c: Context) -> DataFrame:
+    return resolve.second_difference(c.obs).select("record", r("scale"), r("ratio"), r("sigma_ratio"))
+
+
+@query(sql("SELECT record, round((var_samp(value) - avg(sigma * sigma)) / nullif(var_samp(value), 0), 8) AS share FROM reads GROUP BY record"))
+def self_consistency(c: Context) -> DataFrame:
+    return resolve.self_consistency(c.reads).select("record", r("share", 8))
+
+
+@query(sql("""SELECT record, label, count(*) AS n_lags, round(1 - covar_pop(ln(n / p), ln(m)) / nullif(var_pop(ln(m)), 0), 6) AS exponent FROM (SELECT x.record, x.label, l.m, count(*) FILTER (x.in_spec AND NOT y.in_spec) / l.m AS n, count(*) / l.m AS p FROM ci x, (VALUES (1.0::DOUBLE), (2.0), (3.0), (5.0), (8.0), (13.0), (20.0)) l(m), ci y
+  WHERE y.record = x.record AND y.label = x.label AND y.segment = x.segment AND y.k = x.k + m GROUP BY x.record, x.label, l.m) WHERE n > 0 AND p > 0 GROUP BY record, label HAVING count(*) >= 2""", "ci AS (SELECT record, label, segment, in_spec, row_number() OVER (PARTITION BY record, label, segment ORDER BY t_us, seq) AS k FROM rows_)"))
+def count_exponent(c: Context) -> DataFrame:
+    return resolve.count_exponent(c.rows).select("record", "label", "n_lags", r("exponent"))
+
+
+@query(sql("""SELECT record, label, count(*) FILTER (good AND n = 1) AS clean, count(*) FILTER (good AND n <> 1) AS merged, count(*) FILTER (NOT good) AS unbracketed FROM (SELECT d.record, d.label, coalesce(b.in_spec AND NOT a.in_spec, false) AS good, a.ch - b.ch AS n FROM bracket d LEFT JOIN chg b ON b.record = d.record AND b.label = d.label AND b.rn = d.br LEFT JOIN chg a ON a.record = d.record AND a.label = d.label AND a.rn = d.ar) GROUP BY ALL""",
+  """chg AS (SELECT *, sum(c0) OVER (PARTITION BY record, label, segment ORDER BY t_us, seq ROWS UNBOUNDED PRECEDING) AS ch FROM (SELECT *, coalesce((lag(in_spec) OVER (PARTITION BY record, label, segment ORDER BY t_us, seq) <> in_spec)::INT, 0) AS c0 FROM rows_)),
+bracket AS (SELECT * FROM (SELECT *, max(CASE WHEN confident THEN rn END) OVER (PARTITION BY record, label, segment ORDER BY rn ROWS UNBOUNDED PRECEDING) AS br, min(CASE WHEN confident THEN rn END) OVER (PARTITION BY record, label, segment ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ar, lead(in_spec) OVER (PARTITION BY record, label, segment ORDER BY rn) AS nx FROM chg) WHERE in_spec AND NOT nx)"""))
+def crossing_placement(c: Context) -> DataFrame:
+    return resolve.crossing_placement(c.rows).select("record", "label", "clean", "merged", "unbracketed")
+
+
+_GRID = """spans AS (SELECT record, (max(t_us) - min(t_us)) / 1e6 AS span_s, count(*) AS n, min(t_us) AS t0 FROM obs GROUP BY record HAVING max(t_us) > min(t_us) AND count(*) >= 4),
+trig AS (SELECT o.record, k, spans.n AS n, span_s, k / span_s AS f, value AS y, cos(2 * pi() * k / span_s * (t_us - t0) / 1e6) AS c, sin(2 * pi() * k / span_s * (t_us - t0) / 1e6) AS s FROM obs o JOIN spans USING (record), (SELECT unnest(range(1, 17)) AS k)),
+moments AS (SELECT record, k, any_value(n) AS n, any_value(span_s) AS span_s, any_value(f) AS f, sum(c) AS sc, sum(s) AS ss_, avg(y * c) - avg(y) * avg(c) AS yc, avg(y * s) - avg(y) * avg(s) AS ys, avg(c * c) - avg(c) * avg(c) AS cc, avg(s * s) - avg(s) * avg(s) AS ss, avg(c * s) - avg(c) * avg(s) AS cs FROM trig GROUP BY record, k),
+dens AS (SELECT record, k, f, 2 * span_s / (n - 1) * (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (cc * ss - cs * cs) * n / 2 AS density FROM moments WHERE cc * ss - cs * cs > 1e-12)"""
+
+
+@query(sql("SELECT record, k, round((sc * sc + ss_ * ss_) / (n * n), 8) AS window_power FROM moments", _GRID))
+def spectral_window(c: Context) -> DataFrame:
+    return resolve.spectral_window(c.obs).select("record", "k", r("window", 8, "window_power"))
+
+
+@query(sql("SELECT record, k, round(density / 1e6, 5) AS density FROM dens", _GRID))
+def lomb_scargle(c: Context) -> DataFrame:
+    return resolve.lomb_scargle(c.obs).filter("density is not null").select("record", "k", r(F.col("density") / 1e6, 5, "density"))
+
+
+@query(sql("""SELECT record, k, round(v / max(v) OVER (PARTITION BY record), 6) AS share FROM (SELECT *, sum(area) OVER (PARTITION BY record ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT *, coalesce((f - lag(f) OVER w) * (4 * pi() * pi() * f * f * density + 4 * pi() * pi() * pow(lag(f) OVER w, 2) * lag(density) OVER w) / 2, 4 * pi() * pi() * density * f * f * f / 3) AS area FROM dens WINDOW w AS (PARTITION BY record ORDER BY k)))""", _GRID))
+def g10(c: Context) -> DataFrame:
+    return resolve.derivative_variance(resolve.lomb_scargle(c.obs)).select("record", "k", r("share"))
+
+
+@query(sql("""SELECT record, m, count(*) AS n_terms, round(sqrt(sum(pow(x - 2 * a + b, 2)) / (2.0 * m * m * count(*))), 6) AS adev FROM (SELECT p.record, m, p.x, coalesce(q.x, 0) AS a, coalesce(z.x, 0) AS b FROM ph p, (VALUES (1), (2), (4), (8), (16)) f(m) LEFT JOIN ph q ON q.record = p.record AND q.segment = p.segment AND q.i = p.i - m LEFT JOIN ph z ON z.record = p.record AND z.segment = p.segment AND z.i = p.i - 2 * m WHERE p.i >= 2 * m) GROUP BY record, m HAVING count(*) >= 8""",
+  "ph AS (SELECT record, segment, i, sum(y) OVER (PARTITION BY record, segment ORDER BY i ROWS UNBOUNDED PRECEDING) AS x FROM (SELECT record, segment, row_number() OVER w AS i, value - avg(value) OVER (PARTITION BY record, segment) AS y FROM obs WINDOW w AS (PARTITION BY record, segment ORDER BY t_us, seq)))"))
+def allan(c: Context) -> DataFrame:
+    return resolve.allan_deviation(c.obs).select("record", F.col("m").cast("long").alias("m"), "n_terms", r("adev"))
+
+
+@query(sql("SELECT record, label, side, round(sum(duration_s), 5) AS exposure_s, count(*) FILTER (NOT censored) AS exits, count(*) FILTER (birth_seen AND NOT censored) AS n_complete, round(sum(duration_s) / nullif(count(*) FILTER (NOT censored), 0), 5) AS mean_dwell_s FROM wins GROUP BY ALL"))
+def dwells(c: Context) -> DataFrame:
+    return resolve.dwells(c.wins).select("record", "label", "side", r("exposure_s", 5), "exits", "n_complete", r("mean_dwell_s", 5))
+
+
+@query(sql("SELECT record, round((max(m) - min(m)) / any_value(sd), 8) AS spread FROM (SELECT record, part, avg(value) AS m FROM (SELECT *, ntile(10) OVER (PARTITION BY record ORDER BY t_us, seq) AS part FROM reads) GROUP BY ALL) JOIN (SELECT record, stddev_samp(value) AS sd FROM reads GROUP BY record HAVING count(*) >= 10) USING (record) GROUP BY record"))
+def decile_spread(c: Context) -> DataFrame:
+    return resolve.decile_spread(c.reads).select("record", r("spread", 8))
+
+
+_FID = "fx AS (SELECT record, seq, (value - first_value(value) OVER (PARTITION BY record ORDER BY t_us, seq)) / 100.0 AS x FROM reads), fl AS (SELECT *, sqrt(1 + x * x) AS lam FROM fx)"
+
+
+@query(sql("SELECT record, seq, round(x, 8) AS x, round((1 + 1 / (lam * lam) + x * x / (lam * lam) * pow(cos(lam * pi() / 4), 2) + sin(lam * pi() / 2) / lam) / 3, 8) AS fidelity FROM fl", _FID))
+def fidelity(c: Context) -> DataFrame:
+    return metrics.detuning(c.reads, F.lit(100.0)).select("record", "seq", r("x", 8), r(metrics.fidelity(F.col("x")), 8, "fidelity"))
+
+
+@query(sql("SELECT p_partkey, p_brand, l_suppkey, round(price, 2) AS price, CASE WHEN n IS NULL THEN 'not declared' WHEN n > 1 THEN 'declared more than once' ELSE '' END AS reason FROM (SELECT DISTINCT l_suppkey, p_partkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45) LEFT JOIN (SELECT p_brand, p_partkey, count(*) AS n, CASE WHEN count(*) = 1 THEN min(p_retailprice) END AS price FROM part GROUP BY ALL) USING (p_brand, p_partkey)"))
+def declared_lookup(c: Context) -> DataFrame:
+    rows = c.table("lineitem").filter("l_quantity > 45").join(c.table("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_partkey", "p_brand").distinct()
+    out = metrics.declared_lookup(rows, c.table("part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("price")), ["p_brand", "p_partkey"], "price")
+    return out.select("p_partkey", "p_brand", "l_suppkey", r("price", 2), "reason")
+
+
+@query(sql("SELECT record, count(*) AS n, count(*) FILTER (NOT coalesce(value < 450, false)) AS n_bad, CASE WHEN count(*) FILTER (NOT coalesce(value < 450, false)) > 0 THEN 'a read is at or above the cut or unknown' ELSE '' END AS reason FROM reads GROUP BY record"))
+def guard(c: Context) -> DataFrame:
+    return metrics.guard(c.reads, "value", 450.0)
+
+
+@query(sql("SELECT user_id AS record, count(*) AS n_raw, count(*) FILTER (ts IS NULL) AS n_no_time, count(*) FILTER (ts IS NOT NULL AND (value IS NULL OR NOT isfinite(value))) AS n_not_finite FROM events GROUP BY user_id"))
+def stage_counts(c: Context) -> DataFrame:
+    return metrics.stage_counts(c.events_raw)
+
+
+@query(sql("SELECT record, round(avg((value <= 5)::INT), 9) AS clipped FROM reads GROUP BY record"))
+def clipped_fraction(c: Context) -> DataFrame:
+    return metrics.clipped_fraction(c.reads, 5.0).select("record", r("clipped", 9))
+
+
+@query(sql("SELECT record, seq, round((t_us - min(t_us) OVER (PARTITION BY record)) / 1e6, 6) AS t_rel_s, round(value - avg(value) OVER (PARTITION BY record), 5) AS delta FROM reads"))
+def normalised_reads(c: Context) -> DataFrame:
+    return metrics.normalised(c.reads).select("record", "seq", r("t_rel_s"), r("delta", 5))
+
+
+@query(sql("SELECT record, label, island, round(min(abs(margin)), 6) AS nearest FROM rows_ GROUP BY ALL"))
+def nearest_margins(c: Context) -> DataFrame:
+    return c.rows.groupBy("record", "label", "island").agg(r(F.min(F.abs("margin")), 6, "nearest"))
+
+
+@query()
+def two_lobe_fit(c: Context) -> DataFrame:
+    return iterative.two_lobe_fit(c.reads).select("record", "n", "reason", r("bic_delta", 4), "bimodal", r("separation", 4), r("spread", 4))
+
+
+@query()
+def sim_arms(c: Context) -> DataFrame:
+    return simulate.rejection_rates(c.spark, simulate.design(sizes=(20, 50), replicates=20), n_draws=39)
