@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidespan.plans import queries_metrics, queries_renewal, queries_survival, queries_windows
+from tidespan.plans import queries_metrics, queries_panels, queries_renewal, queries_survival, queries_windows
 from tidespan.plans.context import Context
 from tidespan.plans.define import Query
 
-MODULES = (queries_windows, queries_survival, queries_renewal, queries_metrics)
+MODULES = (queries_windows, queries_survival, queries_renewal, queries_metrics, queries_panels)
 
 
 def _all() -> dict[str, Query]:
