@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidespan.llm import decontaminate, extract, jaccard, licences, mixing, preferences, quality, secret_scan, url_rules, warc
+from tidespan.llm import decontaminate, extract, jaccard, licences, mixing, oracles, preferences, quality, secret_scan, url_rules, warc
 from tidespan.llm.scratch import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": oracles.OP6, "op8_warc": oracles.OP8, "op10_jaccard_join": oracles.OP10}
