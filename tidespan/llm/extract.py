@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidespan.llm.scratch import slices
+
 #: Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CUT = frozenset("script style noscript template nav aside footer form button select option textarea iframe object svg math canvas audio video dialog menu head title label fieldset".split())
@@ -243,7 +245,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text and n_chars (code points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -21,6 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidespan.llm.scratch import slices
+
 #: Phrases of the contract and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Notice phrases and their labels.
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, cfg: LicenceConfig = LicenceConfig()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(cfg)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [scanner(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in _KINDS)], names=["doc_id", *(k for k, _ in _KINDS)])
 

@@ -58,5 +58,14 @@ class Scratch:
         self._delete(self.root)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into short ones, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.llm.scratch import Scratch
+from tidespan.llm.scratch import Scratch, slices
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -41,7 +41,7 @@ def _payload(x: str | None) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         data = [_payload(x) for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) for x in data], pa.string()), pa.array([len(x) for x in data], pa.int64())], names=[*batch.schema.names, "payload_digest", "payload_bytes"])
 
@@ -61,7 +61,7 @@ def _clean(x: str | None) -> str:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for r in batch.to_pylist():
             uri, sha, body = _clean(r["url"]), r["payload_digest"], r["html"] or ""
