@@ -9,10 +9,10 @@ more differ in at most (1 - s) / (1 + s) * (|a| + |b|) elements. The join narrow
    README has figures). The pivots here are parts of the shingle space: a ring with at most t differing elements a pair cuts the
    hash space into k = t + 1 + m cells. A linked pair differs in at most t cells, so it agrees wholly in m + 1 or more. Documents
    whose contents agree in a cell share a region.
-3. Pivots within regions. In each region one document is the pivot, exact distances to it are computed, and what is linked to it is
-   connected already. Only pairs from different components are left, and of those only pairs whose distances to the pivot differ by
-   no more than 1 - s (triangle inequality). Small regions are finished by these pairs. Large ones are divided again: by further
-   pivots, and by a second cell in which both documents agree (linked pairs agree in two cells at least), until they are small.
+3. Pivots within regions. Regions with the same first document form a group. Small groups are finished by pairs. A large one gets a
+   pivot, the shingles most of its documents share; the triangle inequality through the pivot proves links and rules out pairs, and
+   what is left is divided by the rarest of the shingles in which documents differ from the pivot, again and again, each time into
+   groups of at most half the size.
 
 Documents with equal shingle sets are one node, so copies never meet as pairs. Shingles and sets are 64-bit hashes.
 
@@ -29,17 +29,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidespan.llm.scratch import Scratch
+from tidespan.llm.scratch import Scratch, slices
 
-#: Regions up to this many documents are finished by pairs, larger ones are divided.
-SMALL_REGION = 48
+#: Groups up to this many documents are finished by pairs, larger ones are divided.
+SMALL_GROUP = 24
 #: Words whose hashes a worker remembers.
 WORD_CACHE = 1 << 20
-#: Node ids up to which the list of candidates is broadcast (8 bytes each); a shuffled semi-join serves beyond.
-BROADCAST_NODES = 1_000_000
+#: Rows up to which a list of ids is broadcast (8 bytes each); a shuffled join serves beyond.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def _node(hashes: np.ndarray) -> int | None:
 def _signed(cfg: JaccardConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(cfg.words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler(x) for x in batch.column("text").to_pylist()]
             keys = [cell_keys(x, cfg) if len(x) else x.view(np.int64) for x in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int64)
@@ -143,134 +143,134 @@ def _signed(cfg: JaccardConfig):
 def _sets(cfg: JaccardConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(cfg.words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
 
     return run
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """ids: one stored column of long."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 class _Join:
     def __init__(self, docs: DataFrame, cfg: JaccardConfig, scratch: Scratch):
         self.cfg, self.scratch, self.spark = cfg, scratch, docs.sparkSession
         self.docs = docs.select("doc_id", "text")
-        signed = self.docs.mapInArrow(_signed(cfg), "doc_id long, n_shingles long, node long, keys array<long>")
+        signed = self.docs.mapInArrow(_signed(cfg), "doc_id long, n_shingles long, node long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
         self.signed = scratch.keep(signed, "signed")
         self.rows = self.signed.select("doc_id", "n_shingles", "node")
-        nodes = self.signed.filter("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("rep"))
+        nodes = self.signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n"))
         self.nodes = scratch.keep(nodes, "nodes")
-
-    # regions
+        self.links: DataFrame | None = None
 
     def regions(self) -> DataFrame:
-        """(region, node) for the regions of two nodes or more."""
-        keyed = self.nodes.select(F.explode("keys").alias("region"), "node")
-        shared = keyed.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("region")
-        return self.scratch.keep(keyed.join(self.scratch.keep(shared, "shared"), "region"), "regions")
-
-    # exact distances
+        """(region, node) of the regions of two nodes or more. Of copies one row enters; lists of rows and regions are broadcast up to a counted bound, so that the keys cross the network once, as bare counts."""
+        copies = self.scratch.keep(self.signed.select("node", "row").join(self.nodes.filter("n > 1").select("node", F.col("row").alias("first")), "node").filter("row <> first").select("row"), "copies")
+        once = self.signed.filter("node is not null").join(_listed(copies), "row", "left_anti")
+        keyed = once.select(F.explode("keys").alias("region"), "node")
+        shared = self.scratch.keep(keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1").select("region"), "shared")
+        return self.scratch.keep(keyed.join(_listed(shared), "region"), "regions")
+
+    def sets(self, regions: DataFrame) -> DataFrame:
+        """(node, hashes) of the nodes of the regions: one more pass over the texts, those of other documents left out at the scan."""
+        none = -(1 << 62)
+        wanted = self.scratch.keep(regions.select("node").distinct().join(self.nodes.select("node", F.coalesce("rep", F.lit(none)).alias("doc_id")), "node"), "wanted")
+        ids = self.scratch.keep(wanted.select("doc_id").distinct(), "ids")
+        texts = self.docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(none))).join(_listed(ids), "doc_id", "left_semi")
+        found = texts.mapInArrow(_sets(self.cfg), "node long, hashes array<long>").filter("node is not null").join(wanted, "node", "left_semi")
+        return self.scratch.keep(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b (nodes) -> a, b, both (shingles in common), total (sizes added up)."""
-        pairs = self.scratch.keep(pairs.distinct(), "pairs")
-        wanted = self.scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-        ids = wanted.join(self.nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
-        ids = F.broadcast(ids) if wanted.count() <= BROADCAST_NODES else ids
-        texts = self.docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(ids.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.cfg), "node long, hashes array<long>").filter("node is not null").join(wanted, "node", "left_semi")
-        sets = self.scratch.keep(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-        out = self.scratch.keep(both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("both"), (F.size("ha") + F.size("hb")).cast("long").alias("total")), "distances")
-        self.scratch.drop(sets)
-        return out
-
-    def linked(self) -> F.Column:
-        return self.cfg.den * F.col("both") >= self.cfg.num * (F.col("total") - F.col("both"))
-
-    # components
-
-    def components(self, links: DataFrame) -> DataFrame:
-        """links: a, b -> node, label (the least node of its component), for nodes with links."""
-        return connected(links, self.scratch)
-
-    def solve(self) -> tuple[DataFrame, DataFrame]:
-        """(links: a, b), (labels: node, label)."""
-        rows, links, labels, depth, turn = self.regions(), None, None, 1, 0
-        while True:
-            # pivots of each region; what is linked to one is connected
-            picks = F.array_distinct(F.array(F.min("node"), F.max("node")) if turn else F.array(F.min("node")))
-            heads = self.scratch.keep(rows.groupBy("region").agg(picks.alias("pivots")), "heads")
-            star = rows.join(heads, "region").select("region", "node", F.explode("pivots").alias("pivot")).filter("node <> pivot")
-            star = self.scratch.keep(star, "star")
-            near = self.verify(star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-            links, labels = self._merge(links, near)
-            # regions that still hold several components
-            rows = self._open(rows, labels)
-            if turn:  # they have met every other node of the region
-                rows = rows.join(heads, "region").filter(~F.array_contains("pivots", F.col("node"))).drop("pivots")
-            first = heads.select("region", F.col("pivots")[0].alias("pivot"))
-            gap = star.join(first, ["region", "pivot"]).select("region", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).join(near, ["a", "b"]).select("region", "node", (1 - F.col("both") / (F.col("total") - F.col("both"))).alias("d"))
-            rows = self.scratch.keep(rows.select("region", "node", "label").join(gap, ["region", "node"], "left"), "open")
-            sizes = rows.groupBy("region").agg(F.count("*").alias("n"))
-            small = rows.join(sizes.filter(f"n <= {SMALL_REGION}").select("region"), "region")
-            one, two = small.select("region", F.col("node").alias("a"), F.col("label").alias("la"), F.col("d").alias("da")), small.select("region", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"))
-            window = 1 - self.cfg.num / self.cfg.den + 1e-9  # a pivot has no distance of its own: it is tested already
-            pairs = one.join(two, "region").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.coalesce("da", F.lit(0.0)) - F.coalesce("db", F.lit(0.0))) <= window)).select("a", "b")
-            pairs = self.scratch.keep(pairs.distinct(), "cross")
-            if not pairs.isEmpty():
-                links, labels = self._merge(links, self.verify(pairs))
-            large = self._open(rows.join(sizes.filter(f"n > {SMALL_REGION}").select("region"), "region").select("region", "node"), labels)
-            large = self.scratch.keep(large, "large")
-            if large.isEmpty():
-                return links, labels
-            rows, turn = large.select("region", "node"), turn + 1
-            if depth == 1 and turn == 2:  # a second cell in which both agree
-                keyed = self.nodes.select("node", F.explode("keys").alias("second"))
-                rows = rows.join(keyed, "node").filter("second > region").select(F.xxhash64("region", "second").alias("region"), "node")
-                shared = rows.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("region")
-                rows, depth, turn = self.scratch.keep(rows.join(shared, "region"), "second"), 2, 0
-
-    def _open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """region, node, label of the regions that hold more than one component."""
-        named = rows.select("region", "node").join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-        named = self.scratch.keep(named, "named")
-        mixed = named.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("region")
-        return named.join(mixed, "region")
-
-    def _merge(self, links: DataFrame | None, near: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = near.filter(self.linked()).select("a", "b")
-        links = self.scratch.keep(new if links is None else links.union(new).distinct(), "links")
-        return links, self.components(links)
+        """pairs: a, b (nodes) -> those that are linked, by their whole sets."""
+        left = pairs.select("a", "b").distinct().join(self.hashes.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+        met = left.join(self.hashes.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+        both = F.size(F.array_intersect("ha", "hb"))
+        return met.filter(self.cfg.den * both >= self.cfg.num * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+
+    def solve(self) -> DataFrame:
+        """node, label: the least node of the component, for every node with links. ``links`` then holds links that span all components."""
+        regions = self.regions()
+        self.hashes = self.sets(regions)
+        # regions with the same least node are one group: whoever shares a region shares a group
+        least = regions.groupBy("region").agg(F.min("node").alias("g"))
+        groups = self.scratch.keep(regions.join(least, "region").select("g", "node").distinct(), "groups")
+        sizes = self.scratch.keep(groups.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+        small = groups.join(sizes.filter(f"n <= {SMALL_GROUP}").select("g"), "g")
+        pairs = small.select("g", F.col("node").alias("a")).join(small.select("g", F.col("node").alias("b")), "g").filter("a < b")
+        links = self.scratch.keep(self.verify(pairs), "links")
+        rows = groups.join(sizes.filter(f"n > {SMALL_GROUP}").select("g"), "g")
+        while not rows.isEmpty():
+            rows, found = self.divide(self.scratch.keep(rows, "large"))
+            links = links.union(found)
+        self.links = self.scratch.keep(links.distinct(), "all-links")
+        return connected(self.links, self.scratch)
+
+    def divide(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One level of recursion over large groups (g, node): the groups of the next level, and links found.
+
+        The pivot of a group is its consensus, the shingles that more than half of its sets have. A set is known by its residual, its
+        symmetric difference with the pivot: |a ^ b| = |res(a) ^ res(b)|. Where the residuals of a pair together are no larger than a link
+        allows, the triangle inequality proves the link; all such pairs are linked to the set that lies nearest by that measure, the
+        hub, so the hub's links connect them. Any other linked pair must share many residual elements, so one of them is among the
+        rarest of both residuals. Documents that share such an element form a group of the next level, at most half as large
+        (who has an element outside the consensus, or lacks one inside it, is a minority), finished by pairs once small.
+        """
+        num, den = self.cfg.num, self.cfg.den
+        sets = rows.join(self.hashes, "node")
+        n = rows.groupBy("g").agg(F.count("*").alias("n"))
+        often = sets.select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k"))
+        pivot = often.join(n, "g").filter("2 * k > n").groupBy("g").agg(F.collect_list("e").alias("pivot"))  # twice the mean size of a set at most
+        pivot = self.scratch.keep(n.join(pivot, "g", "left").select("g", F.coalesce("pivot", F.array().cast("array<bigint>")).alias("pivot")), "pivots")
+        res = sets.join(pivot, "g").select("g", "node", F.size("hashes").cast("long").alias("size"), F.concat(F.array_except("hashes", "pivot"), F.array_except("pivot", "hashes")).alias("res"))
+        res = self.scratch.keep(res.withColumn("r", F.size("res").cast("long")), "residuals")
+        slack = (den + num) * F.col("r") - (den - num) * F.col("size")
+        near = res.select("g", "node", slack.alias("slack"))
+        hub = near.groupBy("g").agg(F.min(F.struct("slack", "node")).alias("hub"))
+        links = near.join(hub, "g").filter("slack + hub.slack <= 0 and node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        # the rarest elements of each residual: as many as a partner with a larger (probe) or smaller (index) residual must meet
+        most = F.expr(f"((size + size * {den} div {num}) * {den - num}) div {den + num}")
+        each = res.select("g", "node", "size", "r", most.alias("t"), F.explode("res").alias("e"))
+        rare = self.scratch.keep(each.groupBy("g", "e").agg(F.count("*").alias("k")), "counts")
+        placed = each.join(rare, ["g", "e"]).filter("k > 1").select("g", "node", "size", "r", "t", "e", "k")
+        alone = each.join(rare.filter("k = 1"), ["g", "e"]).groupBy("g", "node").agg(F.count("*").alias("alone"))
+        placed = placed.join(alone, ["g", "node"], "left").withColumn("rank", F.coalesce("alone", F.lit(0)) + F.row_number().over(Window.partitionBy("g", "node").orderBy("k", "e")))
+        probe = self.scratch.keep(placed.filter("rank <= t + 1").select(F.xxhash64("g", "e").alias("h"), "node", "size", "r", (F.col("rank") <= F.floor(F.col("t") / 2) + 1).alias("index")), "probe")
+        sizes = self.scratch.keep(probe.groupBy("h").agg(F.count("*").alias("n"), F.max("index").alias("index")).filter("n > 1 and index").select("h", "n"), "sizes")
+        small = probe.join(sizes.filter(f"n <= {SMALL_GROUP}").select("h"), "h")
+        one = small.select("h", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("r").alias("ra"))
+        two = small.filter("index").select("h", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("r").alias("rb"))
+        fit = (F.col("a") != F.col("b")) & (F.struct("rb", "b") < F.struct("ra", "a")) & ((den + num) * (F.col("ra") - F.col("rb")) <= (den - num) * (F.col("sa") + F.col("sb")))
+        pairs = one.join(two, "h").filter(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = self.scratch.keep(self.verify(pairs).union(links), "found")
+        return probe.join(sizes.filter(f"n > {SMALL_GROUP}").select("h"), "h").select(F.col("h").alias("g"), "node"), found
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of links a, b (long) by alternating large-star and small-star steps: node, label.
 
-    Rows a round are at most twice the links; both steps aggregate before they join, and the number of rounds is logarithmic
-    in practice. Nothing is collected but two sums that tell whether a round changed anything.
+    Rows a round are at most twice the links; both steps aggregate before they join. Rounds end when every edge leads to a root.
     """
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    told = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges2 = scratch.keep(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
-        least = edges2.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges2.join(least, "u")
-        edges3 = scratch.keep(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small-star")
-        sums = edges3.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(edges), scratch.drop(edges2)
-        edges = edges3
-        if tuple(sums) == told:
-            break
-        told = tuple(sums)
-    return scratch.keep(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "labels")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        edges = scratch.keep(small, "stars")
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        parents = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        if edges.join(roots, "u", "left_semi").union(edges.join(parents, "u", "left_semi")).isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
 def _labelled(join: _Join) -> DataFrame:
     """doc_id, n_shingles, node, component_id of every row."""
-    labels = join.solve()[1]
+    labels = join.solve()
     ids = join.nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = ids.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = join.scratch.keep(ids.join(least, "label").select("node", "component_id"), "known")
@@ -285,7 +285,8 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
 def jaccard_links(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     """Spanning links between documents with different sets (a, b: the smallest doc_id of each set): enough to connect every component."""
     join = _Join(docs, cfg, Scratch(docs.sparkSession, "jaccard"))
-    links, reps = join.solve()[0], join.nodes.select("node", "rep")
+    join.solve()
+    links, reps = join.links, join.nodes.select("node", "rep")
     return links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("doc_a")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("doc_b")), "b").select("doc_a", "doc_b")
 
 
@@ -315,6 +316,4 @@ def jaccard_representatives(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(
 
 
 def _by_text(cols: list[str]):
-    from pyspark.sql import Window
-
     return Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c) for c in cols if c != "text"][:1])
