@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidespan.llm.scratch import Scratch
+from tidespan.llm.scratch import Scratch, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
 STRUCT = "_quality_counts"
 #: Strata up to which the table of cutoffs is broadcast (some 100 bytes a row); a shuffled join serves beyond.
 BROADCAST_STRATA = 50_000
+#: Labelled ids up to which their list is broadcast (8 bytes each), so that texts stay where they are; a shuffled semi-join serves beyond.
+BROADCAST_LABELS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([(c, pa.int64()) for c in COUNTS])
-    for batch in batches:
+    for batch in slices(batches):
         rows = [text_counts(x) for x in batch.column("text").to_pylist()]
         made = pa.StructArray.from_arrays([pa.array((r[i] for r in rows), pa.int64()) for i in range(len(COUNTS))], fields=list(kind)) if rows else pa.array([], kind)
         yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, STRUCT])
@@ -177,7 +179,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Qu
 def quality_filter(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """The documents that are kept, with the columns they came with. Cutoffs are fitted on the labelled documents alone, so texts pass once."""
     scratch = Scratch(docs.sparkSession, "quality")
-    held = docs.select("doc_id", "text", _stratum(docs, cfg).alias("_stratum")).join(labels.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
+    known = scratch.keep(labels.select("doc_id").filter("doc_id is not null").distinct(), "labelled")
+    held = docs.select("doc_id", "text", _stratum(docs, cfg).alias("_stratum")).join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, "doc_id", "left_semi")
     cut, n = _fit(scratch.keep(with_counts(held).drop("text"), "counts"), labels, cfg, scratch)
     judged = _judge(with_counts(docs).withColumn("_stratum", _stratum(docs, cfg)), cut, n)
     return judged.filter(~base_failed(cfg) & ~F.coalesce(risk_score() >= F.col("_cutoff"), F.lit(False))).select(*docs.columns)
