@@ -112,11 +112,17 @@ def dependence_statistics(acf: DataFrame) -> DataFrame:
     return z.groupBy(*CELL, "b").agg(F.when(F.count("z") == F.count("*"), F.max(F.abs("z"))).alias("c5"), F.when(F.count("z") == F.count("*"), F.sum(F.col("z") * F.col("z"))).alias("c6"))
 
 
-def p_values(statistics: DataFrame, name: str, two_sided: bool = False, digits: int = 9) -> DataFrame:
-    """(1 + draws at least as large as observed) / (1 + draws), per cell. Statistics are rounded, so equal ones tie in every engine."""
-    s = F.round(F.abs(F.col(name)) if two_sided else F.col(name), digits)
-    rows = statistics.select(*CELL, "b", s.alias("s")).withColumn("seen", F.max(F.when(F.col("b") == 0, F.col("s"))).over(Window.partitionBy(*CELL)))
-    return rows.filter("seen is not null").groupBy(*CELL).agg(F.lit(name).alias("check"), F.first("seen").alias("statistic"), (F.count_if((F.col("b") > 0) & (F.col("s") >= F.col("seen"))) + 1).alias("k"), F.count("*").alias("n")).select(*CELL, "check", "statistic", (F.col("k") / F.col("n")).alias("p"))
+def long_statistics(statistics: DataFrame, names: tuple[str, ...], digits: int = 9) -> DataFrame:
+    """cell, b, check, s: one row per statistic, C1 by its size. Values are rounded, so equal ones tie in every engine."""
+    pairs = ", ".join(f"'{m}', round({'abs(c1)' if m == 'c1' else m}, {digits})" for m in names)
+    return statistics.selectExpr(*CELL, "b", f"stack({len(names)}, {pairs}) as (check, s)")
+
+
+def p_values(long: DataFrame) -> DataFrame:
+    """(1 + draws at least as large as observed) / (1 + draws), per cell and check, where the observed value is defined."""
+    rows = long.withColumn("seen", F.max(F.when(F.col("b") == 0, F.col("s"))).over(Window.partitionBy(*CELL, "check"))).filter("seen is not null")
+    got = rows.groupBy(*CELL, "check").agg(F.first("seen").alias("statistic"), (F.count_if((F.col("b") > 0) & (F.col("s") >= F.col("seen"))) + 1).alias("k"), F.count("*").alias("n"))
+    return got.select(*CELL, "check", "statistic", (F.col("k") / F.col("n")).alias("p"))
 
 
 def battery(gaps: DataFrame, n_draws: int, seed: int) -> dict[str, DataFrame]:
@@ -126,22 +132,13 @@ def battery(gaps: DataFrame, n_draws: int, seed: int) -> dict[str, DataFrame]:
 
 
 def battery_p_values(stats: dict[str, DataFrame]) -> DataFrame:
-    parts = [p_values(stats["trend"], x, two_sided=x == "c1") for x in TREND] + [p_values(stats["dependence"], x) for x in DEPENDENCE]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return p_values(long_statistics(stats["trend"], TREND).union(long_statistics(stats["dependence"], DEPENDENCE)))
 
 
-def min_p(statistics: DataFrame, members: tuple[str, ...], group: str, digits: int = 9) -> DataFrame:
+def min_p(statistics: DataFrame, members: tuple[str, ...], group: str) -> DataFrame:
     """Single-step min-P of a group: every draw's least p over its members, and the share of draws at or below the observed one."""
-    long = None
-    for m in members:
-        s = F.round(F.abs(F.col(m)) if m == "c1" else F.col(m), digits)
-        part = statistics.select(*CELL, "b", F.lit(m).alias("m"), s.alias("s"))
-        long = part if long is None else long.union(part)
-    w = Window.partitionBy(*CELL, "m")
-    rows = long.withColumn("defined", F.count("s").over(w) == F.count("*").over(w)).filter("defined")
+    w = Window.partitionBy(*CELL, "check")
+    rows = long_statistics(statistics, members).withColumn("defined", F.count("s").over(w) == F.count("*").over(w)).filter("defined")
     # draws at or above s: those whose rank in descending order, ties at the end of their run, is that many
     p = F.count("*").over(w.orderBy(F.col("s").desc()).rangeBetween(Window.unboundedPreceding, 0)) / F.count("*").over(w)
     least = rows.withColumn("p", p).groupBy(*CELL, "b").agg(F.min("p").alias("least"), F.count("*").alias("n_members"))
