@@ -236,7 +236,7 @@ class Mix:
 
     def spans(self) -> DataFrame:
         """The mix as spans of documents: shard, slot, source_ix, block, doc_id, tie, off, from_word and words."""
-        met = self.pieces(self.placed()).join(self.slots(), ["source_ix", "block"])
+        met = self.pieces(self.placed()).join(self.scratch.keep(self.slots(), "slots"), ["source_ix", "block"])
         return met.withColumn("words", F.least("high", "take") - F.col("low")).filter("words > 0").select("shard", "slot", "source_ix", "block", "doc_id", "tie", "off", "low", "from_word", "words")
 
     def texts(self) -> DataFrame:
@@ -250,7 +250,7 @@ class Mix:
     def digest(self) -> DataFrame:
         """One row per document: doc_id, size, source_size, target and taken (words the mix takes, repeats counted)."""
         placed = self.scratch.keep(self.placed(), "placed")
-        slots = self.slots().groupBy("source_ix", "block").agg(F.collect_list("take").alias("takes"))  # max_epochs + 1 at most
+        slots = self.scratch.keep(self.slots(), "slots").groupBy("source_ix", "block").agg(F.collect_list("take").alias("takes"))  # max_epochs + 1 at most
         met = self.pieces(placed).join(slots, ["source_ix", "block"])
         words = F.expr("aggregate(takes, 0L, (a, t) -> a + greatest(0L, least(high, t) - low))")
         taken = met.groupBy("source_ix", "off").agg(F.sum(words).alias("taken"))
