@@ -41,12 +41,14 @@ class SecretConfig:
 
 
 def samples(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
-    """token, label (1 random, 0 ordinary). Reads at most ``sample_docs`` documents, those whose ids hash lowest."""
+    """token, label (1 random, 0 ordinary). Reads at most ``sample_docs`` documents, those whose ids and texts hash lowest."""
     spark = docs.sparkSession
     seed = spark.range(cfg.sample_strings).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
     made = seed.select(F.explode(F.array("h", b64, F.upper(F.substring("h", 1, 40)), F.substring(F.regexp_replace(b64, "[+/=]", ""), 1, 32))).alias("token")).withColumn("label", F.lit(1))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_docs)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    least = keyed.select("key").distinct().orderBy("key").limit(cfg.sample_docs)  # keys alone are gathered, texts stay where they are
+    some = keyed.join(F.broadcast(least), "key", "left_semi")
     words = some.select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,}+(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
     joins = "explode(flatten(transform(sequence(1, greatest(size(w) - 2, 1)), i -> array(array_join(slice(w, i, 3), '_'), array_join(transform(slice(w, i, 2), x -> initcap(x)), ''), concat(get(w, i - 1), '-', cast(i % 100 as string))))))"
     return made.union(words.filter("size(w) > 0").select(F.expr(joins).alias("token")).withColumn("label", F.lit(0)))
