@@ -8,8 +8,8 @@ more differ in at most (1 - s) / (1 + s) * (|a| + |b|) elements. The join narrow
 2. Regions. Distances between unrelated documents are all 1 or close to it, so document pivots divide nothing at this level (the
    README has figures). The pivots here are parts of the shingle space: a ring with at most t differing elements a pair cuts the
    hash space into k = t + 1 + m cells. A linked pair differs in at most t cells, so it agrees wholly in m + 1 or more. Documents
-   whose contents agree in a cell share a region.
-3. Pivots within regions. Regions with the same first document form a group. Small groups are finished by pairs. A large one gets a
+   whose contents agree in a cell share a region. How many cells must agree follows from the sizes of a pair, and rules most pairs out.
+3. Pivots within regions. Small regions are finished by pairs. Large ones with the same first document form a group, which gets a
    pivot, the shingles most of its documents share; the triangle inequality through the pivot proves links and rules out pairs, and
    what is left is divided by the rarest of the shingles in which documents differ from the pivot, again and again, each time into
    groups of at most half the size.
@@ -106,6 +106,12 @@ def ring_plan(ring: int, cfg: JaccardConfig) -> tuple[int, int]:
     return t + 1 + (m := int(np.ceil(1.5 * (t + 1) * np.exp(-low * cfg.num / cfg.den / (t + 1)))) + 3), m
 
 
+def ring_difference(n: int, cfg: JaccardConfig) -> int:
+    """The largest difference that the ring of a set of n allows for."""
+    k, m = ring_plan(int(np.searchsorted(_bounds(cfg.ring), max(n, 1), "right")) - 1, cfg)
+    return k - 1 - m
+
+
 def cell_keys(hashes: np.ndarray, cfg: JaccardConfig) -> np.ndarray:
     """A key for each ring and cell of a set. Empty cells have none while so few are empty that linked pairs still share two keys."""
     n, out = len(hashes), []
@@ -133,8 +139,8 @@ def _signed(cfg: JaccardConfig):
             keys = [cell_keys(x, cfg) if len(x) else x.view(np.int64) for x in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) for x in sets], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))).cast(pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([ring_difference(len(x), cfg) for x in sets], pa.int64()), pa.array([_node(x) for x in sets], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))).cast(pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "t", "node", "keys"],
             )
 
     return run
@@ -159,25 +165,27 @@ class _Join:
     def __init__(self, docs: DataFrame, cfg: JaccardConfig, scratch: Scratch):
         self.cfg, self.scratch, self.spark = cfg, scratch, docs.sparkSession
         self.docs = docs.select("doc_id", "text")
-        signed = self.docs.mapInArrow(_signed(cfg), "doc_id long, n_shingles long, node long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+        signed = self.docs.mapInArrow(_signed(cfg), "doc_id long, n_shingles long, t long, node long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
         self.signed = scratch.keep(signed, "signed")
-        self.rows = self.signed.select("doc_id", "n_shingles", "node")
-        nodes = self.signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n"))
+        self.rows = scratch.keep(self.signed.select("doc_id", "n_shingles", "node"), "rows")
+        nodes = self.signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("t").alias("t"))
         self.nodes = scratch.keep(nodes, "nodes")
         self.links: DataFrame | None = None
 
     def regions(self) -> DataFrame:
-        """(region, node) of the regions of two nodes or more. Of copies one row enters; lists of rows and regions are broadcast up to a counted bound, so that the keys cross the network once, as bare counts."""
+        """(region, node, n) of the regions of n nodes, two or more. Of copies one row enters; lists of rows and regions are broadcast up to a counted bound, so that the keys cross the network once, as bare counts."""
         copies = self.scratch.keep(self.signed.select("node", "row").join(self.nodes.filter("n > 1").select("node", F.col("row").alias("first")), "node").filter("row <> first").select("row"), "copies")
         once = self.signed.filter("node is not null").join(_listed(copies), "row", "left_anti")
         keyed = once.select(F.explode("keys").alias("region"), "node")
-        shared = self.scratch.keep(keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1").select("region"), "shared")
-        return self.scratch.keep(keyed.join(_listed(shared), "region"), "regions")
+        shared = self.scratch.keep(keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        regions = self.scratch.keep(keyed.join(_listed(shared), "region"), "regions")
+        self.scratch.drop(self.signed)  # the keys, the largest table, are not needed again
+        return regions
 
-    def sets(self, regions: DataFrame) -> DataFrame:
-        """(node, hashes) of the nodes of the regions: one more pass over the texts, those of other documents left out at the scan."""
+    def sets(self, some: DataFrame) -> DataFrame:
+        """(node, hashes) of some nodes: one more pass over the texts, those of other documents left out at the scan."""
         none = -(1 << 62)
-        wanted = self.scratch.keep(regions.select("node").distinct().join(self.nodes.select("node", F.coalesce("rep", F.lit(none)).alias("doc_id")), "node"), "wanted")
+        wanted = self.scratch.keep(some.select("node").distinct().join(self.nodes.select("node", F.coalesce("rep", F.lit(none)).alias("doc_id")), "node"), "wanted")
         ids = self.scratch.keep(wanted.select("doc_id").distinct(), "ids")
         texts = self.docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(none))).join(_listed(ids), "doc_id", "left_semi")
         found = texts.mapInArrow(_sets(self.cfg), "node long, hashes array<long>").filter("node is not null").join(wanted, "node", "left_semi")
@@ -190,18 +198,38 @@ class _Join:
         both = F.size(F.array_intersect("ha", "hb"))
         return met.filter(self.cfg.den * both >= self.cfg.num * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
+    def small_pairs(self, rows: DataFrame) -> DataFrame:
+        """rows: (region, node) of small regions -> g (one of the pair's regions), a, b: pairs that agree in as many cells as a link between sets of their sizes needs.
+
+        A linked pair differs in at most d(|a| + |b|) elements, so of the k = t + 1 + m cells in the ring of the larger set it agrees in
+        k - d or more, at most m - 1 of which are empty and have no key: t - d + 2 keys at least.
+        """
+        num, den = self.cfg.num, self.cfg.den
+        sized = rows.join(self.nodes.select("node", "size", "t"), "node")
+        one, two = sized.select("region", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("t").alias("ta")), sized.select("region", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("t").alias("tb"))
+        met = one.join(two, "region").filter(f"a < b and {den} * least(sa, sb) >= {num} * greatest(sa, sb)")
+        need = F.greatest(F.col("ta"), F.col("tb")) - F.expr(f"((sa + sb) * {den - num}) div {den + num}") + 2
+        return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(need).alias("need"), F.min("region").alias("g")).filter("n >= need").select("g", "a", "b")
+
+    def verify_groups(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones among pairs (g, a, b) of small regions g. Each region's sets meet once, in one row of bounded size."""
+        ends = pairs.select("g", F.col("a").alias("node")).union(pairs.select("g", "b")).distinct()
+        sets = ends.join(self.hashes, "node").groupBy("g").agg(F.collect_list("node").alias("ids"), F.collect_list("hashes").alias("sets"))
+        asked = pairs.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+        of = lambda x: f"get(sets, cast(array_position(ids, p.{x}) as int) - 1)"
+        tested = sets.join(asked, "g").select(F.expr(f"inline(transform(asked, p -> struct(p.a as a, p.b as b, size({of('a')}) + size({of('b')}) as total, size(array_intersect({of('a')}, {of('b')})) as both)))"))
+        return tested.filter(self.cfg.den * F.col("both") >= self.cfg.num * (F.col("total") - F.col("both"))).select("a", "b")
+
     def solve(self) -> DataFrame:
         """node, label: the least node of the component, for every node with links. ``links`` then holds links that span all components."""
         regions = self.regions()
-        self.hashes = self.sets(regions)
-        # regions with the same least node are one group: whoever shares a region shares a group
-        least = regions.groupBy("region").agg(F.min("node").alias("g"))
-        groups = self.scratch.keep(regions.join(least, "region").select("g", "node").distinct(), "groups")
-        sizes = self.scratch.keep(groups.groupBy("g").agg(F.count("*").alias("n")), "sizes")
-        small = groups.join(sizes.filter(f"n <= {SMALL_GROUP}").select("g"), "g")
-        pairs = small.select("g", F.col("node").alias("a")).join(small.select("g", F.col("node").alias("b")), "g").filter("a < b")
-        links = self.scratch.keep(self.verify(pairs), "links")
-        rows = groups.join(sizes.filter(f"n > {SMALL_GROUP}").select("g"), "g")
+        # a linked pair agrees in several cells: either all of them are small regions, which count it, or one of them is large
+        pairs = self.scratch.keep(self.small_pairs(regions.filter(f"n <= {SMALL_GROUP}")), "pairs")
+        large = regions.filter(f"n > {SMALL_GROUP}").select("region", "node")
+        least = large.groupBy("region").agg(F.min("node").alias("g"))  # large regions with the same least node are one group
+        rows = self.scratch.keep(large.join(least, "region").select("g", "node").distinct(), "groups")
+        self.hashes = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")))
+        links = self.scratch.keep(self.verify_groups(pairs), "links")
         while not rows.isEmpty():
             rows, found = self.divide(self.scratch.keep(rows, "large"))
             links = links.union(found)
