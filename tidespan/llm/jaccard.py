@@ -173,13 +173,14 @@ class _Join:
         self.links: DataFrame | None = None
 
     def regions(self) -> DataFrame:
-        """(region, node, n) of the regions of n nodes, two or more. Of copies one row enters; lists of rows and regions are broadcast up to a counted bound, so that the keys cross the network once, as bare counts."""
+        """(region, node, size, t, n) of the regions of n nodes, two or more. Of copies one row enters; lists of rows and regions are broadcast up to a counted bound, so that the keys cross the network once, as bare counts."""
         copies = self.scratch.keep(self.signed.select("node", "row").join(self.nodes.filter("n > 1").select("node", F.col("row").alias("first")), "node").filter("row <> first").select("row"), "copies")
         once = self.signed.filter("node is not null").join(_listed(copies), "row", "left_anti")
-        keyed = once.select(F.explode("keys").alias("region"), "node")
+        keyed = once.select(F.explode("keys").alias("region"), "node", F.col("n_shingles").alias("size"), "t")
         shared = self.scratch.keep(keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        self.scratch.drop()
         regions = self.scratch.keep(keyed.join(_listed(shared), "region"), "regions")
-        self.scratch.drop(self.signed)  # the keys, the largest table, are not needed again
+        self.scratch.drop(self.signed, copies, shared)  # the keys, the largest table, are not needed again
         return regions
 
     def sets(self, some: DataFrame) -> DataFrame:
@@ -189,7 +190,9 @@ class _Join:
         ids = self.scratch.keep(wanted.select("doc_id").distinct(), "ids")
         texts = self.docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(none))).join(_listed(ids), "doc_id", "left_semi")
         found = texts.mapInArrow(_sets(self.cfg), "node long, hashes array<long>").filter("node is not null").join(wanted, "node", "left_semi")
-        return self.scratch.keep(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+        sets = self.scratch.keep(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+        self.scratch.drop(wanted, ids)
+        return sets
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, b (nodes) -> those that are linked, by their whole sets."""
@@ -199,14 +202,13 @@ class _Join:
         return met.filter(self.cfg.den * both >= self.cfg.num * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
     def small_pairs(self, rows: DataFrame) -> DataFrame:
-        """rows: (region, node) of small regions -> g (one of the pair's regions), a, b: pairs that agree in as many cells as a link between sets of their sizes needs.
+        """rows: (region, node, size, t) of small regions -> g (one of the pair's regions), a, b: pairs that agree in as many cells as a link between sets of their sizes needs.
 
         A linked pair differs in at most d(|a| + |b|) elements, so of the k = t + 1 + m cells in the ring of the larger set it agrees in
         k - d or more, at most m - 1 of which are empty and have no key: t - d + 2 keys at least.
         """
         num, den = self.cfg.num, self.cfg.den
-        sized = rows.join(self.nodes.select("node", "size", "t"), "node")
-        one, two = sized.select("region", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("t").alias("ta")), sized.select("region", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("t").alias("tb"))
+        one, two = rows.select("region", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("t").alias("ta")), rows.select("region", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("t").alias("tb"))
         met = one.join(two, "region").filter(f"a < b and {den} * least(sa, sb) >= {num} * greatest(sa, sb)")
         need = F.greatest(F.col("ta"), F.col("tb")) - F.expr(f"((sa + sb) * {den - num}) div {den + num}") + 2
         return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(need).alias("need"), F.min("region").alias("g")).filter("n >= need").select("g", "a", "b")
@@ -228,16 +230,19 @@ class _Join:
         large = regions.filter(f"n > {SMALL_GROUP}").select("region", "node")
         least = large.groupBy("region").agg(F.min("node").alias("g"))  # large regions with the same least node are one group
         rows = self.scratch.keep(large.join(least, "region").select("g", "node").distinct(), "groups")
+        self.scratch.drop(regions)
         self.hashes = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")))
         links = self.scratch.keep(self.verify_groups(pairs), "links")
+        self.scratch.drop(pairs)
         while not rows.isEmpty():
-            rows, found = self.divide(self.scratch.keep(rows, "large"))
+            rows, found = self.divide(rows)
             links = links.union(found)
         self.links = self.scratch.keep(links.distinct(), "all-links")
+        self.scratch.drop(self.hashes)
         return connected(self.links, self.scratch)
 
     def divide(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """One level of recursion over large groups (g, node): the groups of the next level, and links found.
+        """One level of recursion over large groups (g, node), a stored table: the groups of the next level, stored, and links found.
 
         The pivot of a group is its consensus, the shingles that more than half of its sets have. A set is known by its residual, its
         symmetric difference with the pivot: |a ^ b| = |res(a) ^ res(b)|. Where the residuals of a pair together are no larger than a link
@@ -273,7 +278,9 @@ class _Join:
         fit = (F.col("a") != F.col("b")) & (F.struct("rb", "b") < F.struct("ra", "a")) & ((den + num) * (F.col("ra") - F.col("rb")) <= (den - num) * (F.col("sa") + F.col("sb")))
         pairs = one.join(two, "h").filter(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = self.scratch.keep(self.verify(pairs).union(links), "found")
-        return probe.join(sizes.filter(f"n > {SMALL_GROUP}").select("h"), "h").select(F.col("h").alias("g"), "node"), found
+        deeper = self.scratch.keep(probe.join(sizes.filter(f"n > {SMALL_GROUP}").select("h"), "h").select(F.col("h").alias("g"), "node"), "groups")
+        self.scratch.drop(rows, pivot, res, rare, probe, sizes)
+        return deeper, found
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -6,6 +6,7 @@ Tables are ordinary Parquet, so a lost executor costs a re-read and no recomputa
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator call. ``drop`` removes one of them, ``clear`` all."""
+    """Tables of one operator call. ``drop`` removes some of them, ``clear`` all."""
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
@@ -50,9 +51,17 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    def drop(self, df: DataFrame) -> None:
-        if path := getattr(df, "_tidespan_path", None):
-            self._delete(path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that are not needed again, and let executors delete the shuffle files that made them.
+
+        Spark deletes shuffle files once the driver has collected the plans that read them. A driver with little to do may not collect
+        for half an hour, while every finished step's files stay on the executors' disks.
+        """
+        for df in tables:
+            if path := getattr(df, "_tidespan_path", None):
+                self._delete(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def clear(self) -> None:
         self._delete(self.root)
