@@ -37,6 +37,19 @@ def test_a_shared_opening_is_dealt_over_blocks(spark):
     assert sorted(ids) == list(range(50)) and all(r.n_common == 1 for r in out if r.rejected_id is not None)
 
 
+def test_conversations_without_a_shared_opening_are_paired(spark):
+    rows = [(i, 0, "user", f"question {i // 3 if i < 6 else i}") for i in range(41)] + [(i, 1, "assistant", f"answer {i}") for i in range(41)]
+    out = preferences.preferences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), preferences.ChatConfig(block=4)).collect()
+    ids = [x for r in out for x in (r.chosen_id, r.rejected_id) if x is not None]
+    assert sorted(ids) == list(range(41)) and sum(r.rejected_id is None for r in out) == 1
+    for r in out:
+        if r.rejected_id is not None:
+            same = r.chosen_id < 6 and r.rejected_id < 6 and r.chosen_id // 3 == r.rejected_id // 3
+            assert r.n_common == int(same) and (r.prompt == "") == (not same)
+            assert [r.chosen[m.start : m.end] for m in r.chosen_mask] == [f"answer {r.chosen_id}"] and [r.rejected[m.start : m.end] for m in r.rejected_mask] == [f"answer {r.rejected_id}"]
+    assert sum(r.n_common == 1 for r in out if r.rejected_id is not None) == 2
+
+
 # mixing
 
 

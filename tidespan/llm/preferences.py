@@ -6,8 +6,9 @@ trained on (those of the trained role).
 
 ``pair_by_opening`` makes pairs from a table of turns: conversations with the same first turn are paired in the order of their ids, in
 blocks, so that an opening which a third of all conversations share is dealt over many tasks. A block of odd size leaves one
-conversation without a partner; it is kept, with nulls on the rejected side. The chosen one is that with more text of the trained role,
-the one with the smaller id on ties.
+conversation without a partner; those left over are dealt again, first within their opening, then, one an opening at most, among all
+openings, where nothing is shared and the prompt is empty. So one conversation of a table at most has no partner; it is kept, with nulls
+on the rejected side. The chosen one is that with more text of the trained role, the one with the smaller id on ties.
 
 Null roles and texts are rendered as empty and equal each other. Turns are ordered by number, role and text; repeated turns stay.
 Turns without a conversation id are left out. An empty table gives an empty result.
@@ -41,14 +42,32 @@ def conversations(turns: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
+def _deal(rows: DataFrame, step: str, cfg: ChatConfig, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """rows: conv_id, score, opening -> pairs within openings, and the one conversation at most that each opening leaves over."""
+    done: list[DataFrame] = []
+    while True:
+        blocks = scratch.keep(rows.groupBy("opening").agg(F.ceil(F.count("*") / max(2, cfg.block)).alias("blocks")), "blocks")
+        placed = rows.join(blocks, "opening").withColumn("b", F.pmod(F.xxhash64("conv_id"), "blocks"))
+        w = Window.partitionBy("opening", "b")
+        placed = scratch.keep(placed.withColumn("r", F.row_number().over(w.orderBy("conv_id"))).withColumn("n", F.count("*").over(w)), "placed")
+        odd = "r = n and n % 2 = 1"
+        pair = F.concat_ws(":", F.lit(f"{step}{len(done)}"), "opening", "b", F.floor((F.col("r") + 1) / 2))
+        done.append(placed.filter(f"not ({odd})").select("conv_id", "score", pair.alias("pair")))
+        rows = placed.filter(odd).select("conv_id", "score", "opening")
+        if blocks.filter("blocks > 1").isEmpty():
+            return done, rows
+
+
 def pair_by_opening(convs: DataFrame, cfg: ChatConfig, scratch: Scratch) -> DataFrame:
-    """conv_id, score, pair (a key that two conversations at most share)."""
+    """conv_id, score, pair (a key that two conversations share; one conversation at most has a key of its own)."""
     score = F.expr(f"aggregate(turns, 0L, (n, t) -> n + if(t.role = {_quoted(cfg.trained)}, length(t.text), 0))")
     rows = scratch.keep(convs.select("conv_id", F.sha2(F.concat_ws("\x00", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256).alias("opening"), score.alias("score")), "openings")
-    blocks = scratch.keep(rows.groupBy("opening").agg(F.ceil(F.count("*") / cfg.block).alias("blocks")), "blocks")
-    placed = rows.join(blocks, "opening").withColumn("b", F.pmod(F.xxhash64("conv_id"), "blocks"))
-    rank = F.row_number().over(Window.partitionBy("opening", "b").orderBy("conv_id"))
-    return placed.withColumn("r", rank).select("conv_id", "score", F.concat_ws(":", "opening", "b", F.floor((F.col("r") + 1) / 2)).alias("pair"))
+    same, left = _deal(rows, "same", cfg, scratch)
+    other, left = _deal(left.withColumn("opening", F.lit("")), "other", cfg, scratch)
+    out = left.select("conv_id", "score", F.lit("alone").alias("pair"))
+    for pairs in (*same, *other):
+        out = out.union(pairs)
+    return out
 
 
 def format_pairs(pairs: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
@@ -71,7 +90,7 @@ def format_pairs(pairs: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
 
 
 def preferences(turns: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
-    """Every conversation of ``turns`` in one formatted pair (or alone, its last turn the completion)."""
+    """Every conversation of ``turns`` in one formatted pair (one of them alone if their number is odd, its last turn the completion)."""
     scratch = Scratch(turns.sparkSession, "preferences")
     convs = scratch.keep(conversations(turns), "conversations")
     paired = convs.join(pair_by_opening(convs, cfg, scratch), "conv_id").groupBy("pair").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "conv_id", "turns"))).alias("p"))
