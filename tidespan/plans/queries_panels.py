@@ -86,9 +86,19 @@ def comparison_long(c: Context) -> DataFrame:
   LEFT JOIN att va ON va.record = a.record AND va.label = a.label AND va.side = a.side LEFT JOIN att vb ON vb.record = b.record AND vb.label = b.label AND vb.side = b.side""",
   _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER, "att AS (SELECT record, label, side, array_to_string(list_sort(list(check_name || '=' || verdict)), ',') AS v FROM led GROUP BY ALL)"))
 def pair_checks(c: Context) -> DataFrame:
-    """Neighbouring records compared, each with the verdicts of its own checks."""
+    """Every tenth record and its neighbour compared, each with the verdicts of its own checks; ``pair_checks_all`` has all neighbours."""
+    return _neighbours(c, "record % 10 = 0")
+
+
+@query()
+def pair_checks_all(c: Context) -> DataFrame:
+    """All neighbouring records compared, each with the verdicts of its own checks."""
+    return _neighbours(c, "true")
+
+
+def _neighbours(c: Context, first: str) -> DataFrame:
     cells = c.wins.select("record", "label", "side").distinct()
-    pairs = cells.filter("record % 10 = 0").withColumn("second", F.col("record") + 1).join(cells.withColumnRenamed("record", "second"), ["label", "side", "second"], "left_semi").withColumnRenamed("record", "first")
+    pairs = cells.filter(first).withColumn("second", F.col("record") + 1).join(cells.withColumnRenamed("record", "second"), ["label", "side", "second"], "left_semi").withColumnRenamed("record", "first")
     att = renewal.attachments(queries_renewal.ledger(c)).select(*renewal.CELL, F.array_join("verdicts", ",").alias("verdicts"))
     return panels.with_checks(pairs.select("label", "side", "first", "second"), att)
 
