@@ -148,6 +148,43 @@ def test_mined_rules_block_what_labels_say(spark):
     assert all((got[i].verdict == "block") == (i % 5 == 0) for i in range(400)) and got[395].mined_rule and got[395].confidence >= 0.6
 
 
+def test_tokens_that_are_bad_only_together(spark):
+    # host x and path offers are each no worse than the rest, together always bad
+    kinds = [("x", "news", 0), ("x", "offers", 1), ("y", "offers", 0), ("y", "news", 1), ("z", "news", 0), ("z", "offers", 0), ("z", "other", 1)]
+    rows = [(i, f"http://{h}.org/{d}/{i}", 1 - bad) for i, (h, d, bad) in enumerate(kinds * 40) if not (h, d) == ("z", "other") or i % 2]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"), url_rules.UrlConfig(lift=1.5)).collect()}
+    assert all((got[i] == "block") == (not good) for i, _, good in rows)
+
+
+@pytest.mark.parametrize("bad_of_ten", [6, 9, 10])
+def test_rules_at_high_base_rates(spark, bad_of_ten):
+    rows = [(i, f"http://{'bets' if i % 10 < bad_of_ten else 'news'}.org/p/{i}", int(i % 10 >= bad_of_ten)) for i in range(200)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")).collect()}
+    assert all((got[i] == "block") == (not good) for i, _, good in rows)
+
+
+def test_rules_match_brute_force(spark):
+    from itertools import combinations
+
+    from tidespan.llm.scratch import Scratch
+
+    rng = random.Random(3)
+    rows = [(tokens := sorted(rng.sample("abcdefg", rng.randint(1, 6))), int(rng.random() < (0.9 if {"a", "b"} <= set(tokens) else 0.2))) for _ in range(300)]
+    rows = [([*t, *(x.upper() for x in t if x == "a")], b) for t, b in rows]
+    cfg, base, share = url_rules.UrlConfig(support=0.02, confidence=0.5, lift=1.2), sum(b for _, b in rows) / 300, {}
+    for k in range(1, 8):
+        for c in combinations("abcdefg", k):
+            met = [b for t, b in rows if set(c) <= set(t)]
+            if sum(met) >= 6 and sum(met) / len(met) >= url_rules.least_confidence(base, cfg):
+                share[c] = sum(met) / len(met)
+    want = {c for c, x in share.items() if not any(share.get(c[:i] + c[i + 1 :], 0) >= x for i in range(len(c)))}
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad int"), cfg, Scratch(spark, "t")).collect()
+    assert {tuple(sorted(i[-1].lower() for i in r["items"])) for r in got} == want and any(len(c) > 1 for c in want)
+    assert all(["A", "a"] in r["items"] for r in got if "a" in {x for i in r["items"] for x in i})
+
+
 # extraction
 
 

@@ -1,11 +1,13 @@
 """URL filters: fixed host and path rules, then association rules mined from labels, in DataFrame functions only.
 
 A URL becomes a set of tokens (scheme, host parts, parts of host names, path, query and fragment). The tokens of labelled pages with
-the outcome as one more token are the transactions; Spark's FP-growth mines frequent token combinations, and rules whose
-consequent is the bad outcome are kept if their support, confidence and lift suffice and no shorter rule inside them is as confident
-(pruning). Rules are matched by an inverted index: each rule is entered under its rarest token, a URL looks its tokens up and the
-rest of a rule's tokens is checked on the URL's own set. A page takes the verdict of its longest fixed rule, else ``block`` if a
-mined rule matches, else ``allow``.
+the outcome as one more token are the transactions; Spark's FP-growth mines the token combinations that are frequent together with the
+bad outcome, from the bad pages (no token is left out but for its own support there, which bounds that of all its combinations), and they
+are counted among all labelled pages. Rules whose consequent is the bad outcome are kept if their support, confidence and lift suffice
+and no shorter rule inside them is as confident (pruning). Tokens of the same labelled pages are one item, which a URL has if it has any
+of them: a rule with two of them would be pruned. Rules are matched by an inverted index: each rule is entered under its rarest item, a
+URL looks its tokens up and the rest of a rule's items is checked on the URL's own set. A page takes the verdict of its longest fixed
+rule, else ``block`` if a mined rule matches, else ``allow``.
 
 URLs are judged once each, however often they occur. Null URLs and URLs without ``://`` have an empty host and path, fit no fixed rule
 and are judged by what tokens they have. Without labels nothing is mined and all such pages are allowed. Repeated rows stay.
@@ -24,7 +26,6 @@ from tidespan.llm.scratch import Scratch
 
 #: Host, path and verdict of the rules of the contract.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-BAD = "=bad"
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class UrlConfig:
     support: float = 0.002
     confidence: float = 0.6
     lift: float = 2.0
-    longest: int = 4  # tokens in a rule
+    longest: int | None = None  # items in a rule; no bound if None
 
 
 def parts(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -64,30 +65,47 @@ def url_tokens() -> F.Column:
     ))
 
 
+def least_confidence(base: float, cfg: UrlConfig) -> float:
+    """The confidence a rule needs: the share of bad pages times the lift, or the share of good pages divided by it, whichever is met first; never above 1."""
+    return max(cfg.confidence, min(cfg.lift * base, 1 - (1 - base) / cfg.lift))
+
+
+def _under_rarest(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """sets with ``anchor``, the rarest of their ``tokens``."""
+    rarest = sets.select("tokens", F.explode("tokens").alias("item")).join(items.select("item", "n"), "item").groupBy("tokens").agg(F.min(F.struct("n", "item")).alias("m"))
+    return sets.join(rarest, "tokens").withColumn("anchor", F.col("m.item")).drop("m")
+
+
 def mine(labelled: DataFrame, cfg: UrlConfig, scratch: Scratch) -> DataFrame:
-    """labelled: tokens, bad -> rule_id, tokens, anchor, confidence, support: at most 1/support frequent tokens take part."""
-    total = labelled.count()
-    if not total:
-        return scratch.keep(labelled.select(F.lit(0).alias("rule_id"), "tokens", F.lit("").alias("anchor"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0), "rules")
-    # only tokens that go with the outcome more often than its share can be in a rule that lifts it
+    """labelled: tokens, bad -> items (arrays of interchangeable tokens), anchor (one of the rarest item's tokens), confidence, support: at most 1/support frequent tokens a place take part."""
+    rows = scratch.keep(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    total = rows.count()
+    base = rows.agg(F.avg("bad")).first()[0] or 0.0
     least = max(2, int(cfg.support * total))
-    base = labelled.agg(F.avg("bad")).first()[0] or 0.0
-    each = labelled.select(F.explode("tokens").alias("t"), "bad").groupBy("t").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    useful = scratch.keep(each.filter((F.col("bad") >= least) & (F.col("bad") > base * F.col("n"))), "tokens")
-    rows = labelled.withColumn("row", F.monotonically_increasing_id())
-    rows = scratch.keep(rows, "labelled")
-    kept = rows.select("row", "bad", F.explode("tokens").alias("t")).join(useful.select("t"), "t").groupBy("row", "bad").agg(F.collect_set("t").alias("tokens"))
-    items = scratch.keep(kept.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")), "transactions")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, items.count())), minConfidence=cfg.confidence).fit(items)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= cfg.longest)).select(F.array_sort("antecedent").alias("tokens"), "confidence")
-    counts = model.freqItemsets.filter(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", F.lit(BAD))).alias("tokens"), (F.col("freq") / total).alias("support"))
-    rules = scratch.keep(rules.join(counts, "tokens").filter(F.col("confidence") >= cfg.lift * base), "mined")
+    each = rows.select("row", F.explode("tokens").alias("t"), "bad").groupBy("t").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), *[F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
+    # what all labelled pages have lifts nothing, and a rule is as confident without it
+    useful = each.filter((F.col("bad") >= least) & ((F.col("n") < total) | F.lit(base == 1.0)))
+    items = scratch.keep(useful.groupBy("n", "bad", "x1", "x2").agg(F.array_sort(F.collect_list("t")).alias("any")).select(F.col("any")[0].alias("item"), "any", "n"), "items")
+    if items.isEmpty():
+        return scratch.keep(labelled.select(F.array("tokens").alias("items"), F.lit("").alias("anchor"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0), "rules")
+    have = rows.select("row", "bad", F.explode("tokens").alias("item")).join(items.select("item"), "item").groupBy("row", "bad").agg(F.array_sort(F.collect_set("item")).alias("have"))
+    have = scratch.keep(have.groupBy("have", "bad").agg(F.count("*").alias("n")), "transactions")
+    bad = have.filter("bad = 1").select(F.explode(F.array_repeat("have", F.col("n").cast("int"))).alias("items"))
+    # minSupport is a share that is multiplied and rounded up again: half a page less is exact
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / bad.count())).fit(bad)
+    frequent = model.freqItemsets.filter(F.lit(True) if cfg.longest is None else F.size("items") <= cfg.longest).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
+    frequent = scratch.keep(_under_rarest(frequent, items), "frequent")
+    met = have.select("have", "n", F.explode("have").alias("anchor")).join(frequent.select("tokens", "anchor"), "anchor").filter(F.forall("tokens", lambda t: F.array_contains(F.col("have"), t)))
+    counts = met.groupBy("tokens").agg(F.sum("n").alias("n"))
+    rules = frequent.join(counts, "tokens").select("tokens", "anchor", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / total).alias("support"))
+    rules = scratch.keep(rules.filter(F.col("confidence") >= least_confidence(base, cfg)), "mined")
     # a rule is pruned if one of its one-token-shorter rules is as confident
     shorter = rules.filter("size(tokens) > 1").select("tokens", F.explode("tokens").alias("t")).select("tokens", F.array_remove("tokens", F.col("t")).alias("inner"))
     beaten = shorter.join(rules.select(F.col("tokens").alias("inner"), F.col("confidence").alias("c")), "inner").groupBy("tokens").agg(F.max("c").alias("c"))
-    pruned = rules.join(beaten, "tokens", "left").filter("c is null or confidence > c").select("tokens", "confidence", "support")
-    rarest = pruned.select("tokens", F.explode("tokens").alias("t")).join(useful, "t").groupBy("tokens").agg(F.min(F.struct("n", "t")).alias("m"))
-    return scratch.keep(pruned.join(rarest, "tokens").select(F.xxhash64("tokens").alias("rule_id"), "tokens", F.col("m.t").alias("anchor"), "confidence", "support"), "rules")
+    pruned = rules.join(beaten, "tokens", "left").filter("c is null or confidence > c").select("tokens", "anchor", "confidence", "support")
+    named = pruned.select("tokens", F.explode("tokens").alias("item")).join(items, "item").groupBy("tokens").agg(F.array_sort(F.collect_list("any")).alias("items"))
+    out = pruned.join(named, "tokens").join(items.select(F.col("item").alias("anchor"), "any"), "anchor")
+    return scratch.keep(out.select("items", F.explode("any").alias("anchor"), "confidence", "support"), "rules")
 
 
 def judge(pages: DataFrame, labels: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame:
@@ -101,7 +119,7 @@ def judge(pages: DataFrame, labels: DataFrame, cfg: UrlConfig = UrlConfig()) ->
     open_ = rows.withColumn("rule", rule).withColumn("fixed", verdict)
     # inverted index: the URLs that no fixed rule decides look up the rules entered under their tokens
     urls = open_.filter("fixed is null and url is not null").select("url", "host", "path").distinct().select("url", url_tokens().alias("have"))
-    met = urls.select("url", "have", F.explode("have").alias("anchor")).join(rules, "anchor").filter(F.forall("tokens", lambda t: F.array_contains(F.col("have"), t)))
-    best = met.groupBy("url").agg(F.max(F.struct("confidence", "support", F.array_join("tokens", " ").alias("mined"))).alias("b"))
+    met = urls.select("url", "have", F.explode("have").alias("anchor")).join(rules, "anchor").filter(F.forall("items", lambda i: F.arrays_overlap(F.col("have"), i)))
+    best = met.groupBy("url").agg(F.max(F.struct("confidence", "support", F.array_join(F.transform("items", lambda i: F.array_min(F.array_intersect(i, F.col("have")))), " ").alias("mined"))).alias("b"))
     out = open_.join(scratch.keep(best, "matched"), "url", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.col("b").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.when(F.col("fixed").isNull(), F.col("b.confidence")).alias("confidence"), F.when(F.col("fixed").isNull(), F.col("b.mined")).alias("mined_rule"))
