@@ -46,6 +46,15 @@ def test_expressions(text, licences_, ok):
     assert e.licences == licences_ and e.permissive(licences.PERMISSIVE) is ok
 
 
+def test_long_expressions_are_read_whole(docs_of):
+    names = [f"LicenseRef-{i}-{'x' * (i % 9)}1" for i in range(200)]
+    rows = [(1, f"SPDX-License-Identifier: {' AND '.join(names)}\nMIT"), (2, "SPDX-License-Identifier: (" + " OR ".join(["MIT"] * 150) + ") AND GPL-3.0-only; BSD-3-Clause"), (3, f"license expression = MIT{' ' * 500}OR ISC, zlib")]
+    got = {r.doc_id: r for r in licences.scan(docs_of(rows)).collect()}
+    assert got[1].labels.split(",") == sorted(x.lower() for x in names) and got[1].n_expressions == 1
+    assert got[2].labels == "gpl-3.0-only,mit" and got[2].permissive is False
+    assert got[3].labels == "isc,mit" and got[3].permissive is True
+
+
 # quality
 
 

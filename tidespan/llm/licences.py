@@ -50,8 +50,8 @@ PERMISSIVE = ("mit", "apache", "bsd", "isc", "zlib", "unlicense", "cc0", "cc-by"
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
-_EXPRESSION = re.compile(r"[\s:=\"'*/#-]*([^\n\r\"'<>*;,]{1,400})")
-_PART = re.compile(r"[()]|[A-Za-z0-9.+-]+(?::[A-Za-z0-9.+-]+)?")
+_LEAD = re.compile(r"[\s:=\"'*/#-]*(?=[^\n\r\"'<>*;,])")
+_PART = re.compile(r"[^\n\r\"'<>*;,()A-Za-z0-9.+-]*([()]|[A-Za-z0-9.+-]+(?::[A-Za-z0-9.+-]+)?)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -92,13 +92,20 @@ class Expression:
         return bool(stack) and all(stack)
 
 
-def parse(text: str) -> Expression:
-    """Shunting-yard over the longest well-formed start of ``text``: names and operators must alternate."""
+def _tokens(text: str, at: int) -> Iterator[str]:
+    """Names, operators and brackets from ``at`` on, up to the end of the line or a character that ends an expression."""
+    while m := _PART.match(text, at):
+        yield m[1]
+        at = m.end()
+
+
+def parse(text: str, at: int = 0) -> Expression:
+    """Shunting-yard over the longest well-formed stretch of ``text`` from ``at``: names and operators must alternate. Nothing is read beyond it."""
     out: list[str] = []
     hold: list[str] = []
     name_next, done = True, (0, 0)
-    for m in _PART.finditer(text):
-        x = m[0].lower().rstrip(".") or m[0]
+    for part in _tokens(text, at):
+        x = part.lower().rstrip(".") or part
         if x == "(":
             if not name_next:
                 break
@@ -165,8 +172,8 @@ class Scanner:
         if tags:
             spots = [m.end() for m in WORD.finditer(low)]
             for end in tags:
-                after = _EXPRESSION.match(text, spots[line.count(" ", 0, end) - 1])
-                if after and (e := parse(after[1])).postfix:
+                after = _LEAD.match(text, spots[line.count(" ", 0, end) - 1])
+                if after and (e := parse(text, after.end())).postfix:
                     expressions.append(e)
                     labels.update(e.licences)
         labels |= base
