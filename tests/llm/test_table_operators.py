@@ -295,6 +295,22 @@ def test_representatives(docs_of):
     assert jaccard.jaccard_representatives(docs.limit(0)).isEmpty()
 
 
+def test_representatives_with_null_and_repeated_ids(docs_of):
+    rng = random.Random(7)
+    texts = [*near_copies(5, 40, 60, [0, 1, 2]), *near_copies(6, 30, 30, [0, 0, 1, 9]), *(f"alone {i} a b c d e" for i in range(12)), "", None, "", None]
+    rows = [(rng.choice([None, None, rng.randrange(8), 100 + i]), t) for i, t in enumerate(texts)]
+    rows += [(None, "only nulls here in this text one two three four five six seven eight nine ten"), (None, "Only nulls here in this text one two three four five six seven eight nine ten"), (None, "zero only nulls here in this text one two three four five six seven eight nine ten")]
+    of, least = {}, {}
+    for i, n, comp in brute_components([(i, t) for i, (_, t) in enumerate(rows)], 5, 4, 5):
+        if n:
+            of[rows[i][1]] = comp
+            least.setdefault(comp, []).append(rows[i][0])
+    kept = jaccard.jaccard_representatives(docs_of(rows)).collect()
+    got = sorted((of[r.text], str(r.doc_id)) for r in kept if r.text)
+    assert got == sorted((comp, str(min((x for x in ids if x is not None), default=None))) for comp, ids in least.items())
+    assert sum(not r.text for r in kept) == 4
+
+
 def test_cells_of_linked_sets_agree_twice():
     rng = np.random.default_rng(1)
     for num, den in ((9, 10), (4, 5)):

@@ -36,6 +36,8 @@ from tidespan.llm.scratch import Scratch, slices
 
 #: Groups up to this many documents are finished by pairs, larger ones are divided.
 SMALL_GROUP = 24
+#: Columns of signed texts.
+SIGNED = "doc_id long, n_shingles long, t long, node long, keys array<long>"
 #: Words whose hashes a worker remembers.
 WORD_CACHE = 1 << 20
 #: Rows up to which a list of ids is broadcast (8 bytes each); a shuffled join serves beyond.
@@ -165,7 +167,7 @@ class _Join:
     def __init__(self, docs: DataFrame, cfg: JaccardConfig, scratch: Scratch):
         self.cfg, self.scratch, self.spark = cfg, scratch, docs.sparkSession
         self.docs = docs.select("doc_id", "text")
-        signed = self.docs.mapInArrow(_signed(cfg), "doc_id long, n_shingles long, t long, node long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+        signed = self.docs.mapInArrow(_signed(cfg), SIGNED).withColumn("row", F.monotonically_increasing_id())
         self.signed = scratch.keep(signed, "signed")
         self.rows = scratch.keep(self.signed.select("doc_id", "n_shingles", "node"), "rows")
         nodes = self.signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("t").alias("t"))
@@ -326,29 +328,28 @@ def jaccard_links(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Data
 
 
 def jaccard_representatives(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with the columns it came with. Documents without words all stay.
+    """One row of each component, one with the smallest doc_id (nulls last), with the columns it came with. Documents without words all stay.
 
     Where rows repeat the smallest id, one of them stays; where a component has no id at all, one of its rows stays.
     """
     spark, cols = docs.sparkSession, docs.columns
-    found = _labelled(_Join(docs, cfg, Scratch(spark, "jaccard")))
+    join = _Join(docs, cfg, Scratch(spark, "jaccard"))
+    labels = join.solve()
     scratch = Scratch(spark, "representatives")
-    found = scratch.keep(found, "found")
-    keep = found.filter("node is null or doc_id = component_id").select("doc_id").distinct()
-    odd = docs.filter("doc_id is null")
+    ids = join.nodes.select("node", "rep", "row").join(labels, "node", "left").select("node", "rep", "row", F.coalesce("label", "node").alias("label"))
+    least = ids.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "row", "node")).alias("m"))
+    chosen = scratch.keep(least.select("m.node", "m.rep"), "chosen")
+    many = scratch.keep(join.rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    keep = join.rows.filter("node is null").select("doc_id").union(chosen.select("rep")).filter("doc_id is not null").distinct().join(many, "doc_id", "left_anti")
     stay = docs.join(keep, "doc_id", "left_semi").select(cols)
-    again = keep.join(found.groupBy("doc_id").count().filter("count > 1").drop("count"), "doc_id")
-    if again.isEmpty() and odd.isEmpty():
+    odd = docs.filter("doc_id is null")
+    if many.isEmpty() and odd.isEmpty():
         return stay
-    # repeated or missing ids: rows are told apart by their texts
-    many = scratch.keep(again, "again")
-    plain = stay.join(many, "doc_id", "left_anti").select(cols)
-    rest = stay.join(many, "doc_id", "left_semi").select(cols).union(odd.select(cols))
-    first = F.row_number().over(_by_text(cols))
-    worded = rest.withColumn("_worded", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    kept = worded.withColumn("_row", first).filter("_row = 1 or not _worded").select(cols)
-    return plain.union(kept)
-
-
-def _by_text(cols: list[str]):
-    return Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c) for c in cols if c != "text"][:1])
+    # ids that are repeated or missing do not name a row: such rows are told apart by the sets of their texts
+    odd = odd.select(cols).union(docs.join(many, "doc_id", "left_semi").select(cols))
+    odd = odd.select("doc_id", "text", F.xxhash64("text").alias("h"), F.struct(*cols).alias("doc"), F.xxhash64(*cols).alias("order"))
+    texts = odd.groupBy("h").agg(F.first("text").alias("text")).select(F.col("h").alias("doc_id"), "text")
+    nodes = scratch.keep(texts.mapInArrow(_signed(cfg), SIGNED).select(F.col("doc_id").alias("h"), "node"), "odd")
+    odd = odd.join(nodes, "h")
+    one = odd.join(chosen, "node").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("node").agg(F.min_by("doc", F.struct("text", "order")).alias("doc"))
+    return stay.union(odd.filter("node is null").select("doc.*")).union(one.select("doc.*"))
