@@ -17,12 +17,14 @@ def status(value: Column, reason: str) -> Column:
     return F.when(value.isNull(), reason).otherwise("ok")
 
 
-def band_maximum(obs: DataFrame, points: int = 32) -> DataFrame:
-    """Largest spectral-window power on [fs/2, 3 fs/2], fs the inverse of the median spacing, on an even grid."""
-    span = obs.groupBy("record").agg((1e6 / F.median(F.when(F.col("dt_us") > 0, F.col("dt_us")))).alias("fs"), F.count("*").alias("n"), F.min("t_us").alias("t0")).filter("fs is not null")
-    g = span.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long")))).withColumn("f", F.col("fs") * (0.5 + F.col("k") / (points - 1)))
-    ph = TWO_PI * F.col("f") * (F.col("t_us") - F.col("t0")) / 1e6
-    power = obs.select("record", "t_us").join(g, "record").groupBy("record", "k").agg(((F.pow(F.sum(F.cos(ph)), 2) + F.pow(F.sum(F.sin(ph)), 2)) / F.first(F.col("n") * F.col("n"))).alias("w"))
+def band_maximum(obs: DataFrame, points: int | None = None) -> DataFrame:
+    """Largest spectral-window power on [fs/2, 3 fs/2], fs the inverse of the median spacing, on an even grid: of steps of 1 / (4 T) at most, T the span, or of a fixed number of points."""
+    span = obs.groupBy("record").agg((1e6 / F.median(F.when(F.col("dt_us") > 0, F.col("dt_us")))).alias("fs"), F.count("*").alias("n"), F.min("t_us").alias("t0"), ((F.max("t_us") - F.min("t_us")) / 1e6).alias("span_s")).filter("fs is not null")
+    steps = 2 * F.ceil(2 * F.col("span_s") * F.col("fs")) if points is None else F.lit(points - 1)
+    spans = span.withColumn("steps", steps.cast("long")).withColumn("low", F.lit(0).cast("long")).withColumn("top", F.col("steps"))
+    met = resolve.by_frequency(obs.select("record", "t_us"), spans)
+    ph = TWO_PI * F.col("fs") * (0.5 + F.col("k") / F.col("steps")) * (F.col("t_us") - F.col("t0")) / 1e6
+    power = met.groupBy("record", "k").agg(((F.pow(F.sum(F.cos(ph)), 2) + F.pow(F.sum(F.sin(ph)), 2)) / F.first(F.col("n") * F.col("n"))).alias("w"))
     return power.groupBy("record").agg(F.max("w").alias("maximum"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidespan.operators.carve import in_time
 
 TWO_PI = 2 * math.pi
+#: Frequencies (or Allan factors) of a record in a task.
+BLOCK = 256
 
 
 def collapse_repeated(reads: DataFrame) -> DataFrame:
@@ -59,25 +61,32 @@ def crossing_placement(rows: DataFrame) -> DataFrame:
     return down.groupBy("record", "label").agg(F.count_if(good & one).alias("clean"), F.count_if(good & ~one).alias("merged"), F.count_if(~good).alias("unbracketed"))
 
 
-def grid(obs: DataFrame, n_frequencies: int) -> DataFrame:
-    """k / T for k = 1..n, T the record's span: a fixed number of frequencies a record."""
-    span = obs.groupBy("record").agg(((F.max("t_us") - F.min("t_us")) / 1e6).alias("span_s"), F.count("*").alias("n"), F.min("t_us").alias("t0")).filter("span_s > 0 and n >= 4")
-    return span.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_frequencies).cast("long")))).withColumn("f", F.col("k") / F.col("span_s"))
+def by_frequency(reads: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each read with each k from ``low`` to ``top`` of its record. A record's frequencies are dealt in blocks, so that long records fill many tasks."""
+    blocks = reads.join(spans, "record").withColumn("block", F.expr(f"explode(sequence(low div {BLOCK}, top div {BLOCK}))")).repartition("record", "block")
+    return blocks.withColumn("k", F.expr(f"explode(sequence(greatest(low, block * {BLOCK}), least(top, block * {BLOCK} + {BLOCK - 1})))")).drop("block", "low", "top")
 
 
-def spectral_window(obs: DataFrame, n_frequencies: int = 16) -> DataFrame:
-    """|sum exp(-2 pi i f t)|^2 / n^2 on the grid. Reads meet the grid of their own record: n times the fixed number of frequencies."""
-    g = grid(obs, n_frequencies)
-    ph = TWO_PI * F.col("f") * (F.col("t_us") - F.col("t0")) / 1e6
-    met = obs.select("record", "t_us").join(g, "record")
+def grid(obs: DataFrame, n_frequencies: int | None = None) -> DataFrame:
+    """Ends of the grid k / T, T the record's span: up to the band edge, half the inverse of the median positive spacing, or to a fixed number."""
+    step = F.median(F.when(F.col("dt_us") > 0, F.col("dt_us")))
+    top = F.floor((F.max("t_us") - F.min("t_us")) / (2 * step)) if n_frequencies is None else F.lit(n_frequencies)
+    span = obs.groupBy("record").agg(((F.max("t_us") - F.min("t_us")) / 1e6).alias("span_s"), F.count("*").alias("n"), F.min("t_us").alias("t0"), top.cast("long").alias("top"))
+    return span.filter("span_s > 0 and n >= 4 and top >= 1").withColumn("low", F.lit(1).cast("long"))
+
+
+def spectral_window(obs: DataFrame, n_frequencies: int | None = None) -> DataFrame:
+    """|sum exp(-2 pi i f t)|^2 / n^2 on the grid. Reads meet the grid of their own record."""
+    met = by_frequency(obs.select("record", "t_us"), grid(obs, n_frequencies))
+    ph = TWO_PI * (F.col("k") / F.col("span_s")) * (F.col("t_us") - F.col("t0")) / 1e6
     return met.groupBy("record", "k").agg((F.pow(F.sum(F.cos(ph)), 2) + F.pow(F.sum(F.sin(ph)), 2)).alias("p"), F.first("n").alias("n")).select("record", "k", (F.col("p") / (F.col("n") * F.col("n"))).alias("window"))
 
 
-def lomb_scargle(obs: DataFrame, n_frequencies: int = 16) -> DataFrame:
+def lomb_scargle(obs: DataFrame, n_frequencies: int | None = None) -> DataFrame:
     """Floating-mean periodogram on the grid (Zechmeister and Kuerster 2009), as a density: 2 x spacing x power."""
-    g = grid(obs, n_frequencies)
+    met = by_frequency(obs.select("record", "t_us", "value"), grid(obs, n_frequencies)).withColumn("f", F.col("k") / F.col("span_s"))
     ph = TWO_PI * F.col("f") * (F.col("t_us") - F.col("t0")) / 1e6
-    met = obs.select("record", "t_us", "value").join(g, "record").withColumn("c", F.cos(ph)).withColumn("s", F.sin(ph))
+    met = met.withColumn("c", F.cos(ph)).withColumn("s", F.sin(ph))
     m = met.groupBy("record", "k").agg(
         F.first("n").alias("n"), F.first("span_s").alias("span_s"), F.first("f").alias("f"), F.avg("c").alias("C"), F.avg("s").alias("S"), F.avg("value").alias("Y"), F.avg(F.col("value") * F.col("c")).alias("yc"), F.avg(F.col("value") * F.col("s")).alias("ys"),
         F.avg(F.col("c") * F.col("c")).alias("cc"), F.avg(F.col("s") * F.col("s")).alias("ss"), F.avg(F.col("c") * F.col("s")).alias("cs"),
@@ -100,18 +109,26 @@ def derivative_variance(spectrum: DataFrame) -> DataFrame:
     return rows.withColumn("share", F.try_divide("variance", F.max("variance").over(Window.partitionBy("record"))))
 
 
-def allan_deviation(obs: DataFrame, factors: tuple[int, ...] = (1, 2, 4, 8, 16), least: int = 8) -> DataFrame:
-    """Overlapping Allan deviation at octave factors, pooled over segments by term count. Phase is the running sum of values less the segment mean."""
+def allan_deviation(obs: DataFrame, factors: tuple[int, ...] | None = None, least: int = 8) -> DataFrame:
+    """Overlapping Allan deviation at the given factors, or at all up to half a segment, pooled over segments by term count. Phase is the running sum of values less the segment mean."""
     whole = Window.partitionBy("record", "segment")
     w = in_time("segment")
     y = obs.withColumn("y", F.col("value") - F.avg("value").over(whole)).withColumn("i", F.row_number().over(w)).withColumn("m0", F.count("*").over(whole))
     phase = y.withColumn("x", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # the phase starts at 0: terms are x[j+2m] - 2 x[j+m] + x[j] for j = 0 .. n - 2m, x[0] = 0
-    cols = phase.select("record", "segment", "i", "x", *[e for m in factors for e in (F.lag("x", m, 0.0).over(w).alias(f"a{m}"), F.lag("x", 2 * m, 0.0).over(w).alias(f"b{m}"))])
-    stack = ", ".join(f"{m}L, a{m}, b{m}" for m in factors)
-    terms = cols.selectExpr("record", "i", "x", f"stack({len(factors)}, {stack}) as (m, a, b)").filter("i >= 2 * m")
-    d = F.col("x") - 2 * F.col("a") + F.col("b")
-    out = terms.groupBy("record", "m").agg(F.sum(d * d).alias("s"), F.count("*").alias("n_terms")).filter(F.col("n_terms") >= least)
+    if factors is None:
+        path = phase.groupBy("record", "segment").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"), F.count("*").alias("size")).filter("size >= 2")
+        path = path.select("record", "segment", "size", F.expr("concat(array(0D), transform(p, a -> a.x))").alias("p"), F.expr(f"explode(sequence(1 div {BLOCK}, (size div 2) div {BLOCK}))").alias("block")).repartition("record", "segment", "block")
+        each = path.withColumn("m", F.expr(f"explode(sequence(greatest(1, block * {BLOCK}), least(size div 2, block * {BLOCK} + {BLOCK - 1})))"))
+        square = F.expr("aggregate(sequence(2 * m, size), 0D, (a, j) -> a + pow(p[int(j)] - 2 * p[int(j - m)] + p[int(j - 2 * m)], 2))")
+        sums = each.select("record", "m", square.alias("s"), (F.col("size") - 2 * F.col("m") + 1).alias("n_terms"))
+        out = sums.groupBy("record", "m").agg(F.sum("s").alias("s"), F.sum("n_terms").alias("n_terms")).filter(F.col("n_terms") >= least)
+    else:
+        cols = phase.select("record", "segment", "i", "x", *[e for m in factors for e in (F.lag("x", m, 0.0).over(w).alias(f"a{m}"), F.lag("x", 2 * m, 0.0).over(w).alias(f"b{m}"))])
+        stack = ", ".join(f"{m}L, a{m}, b{m}" for m in factors)
+        terms = cols.selectExpr("record", "i", "x", f"stack({len(factors)}, {stack}) as (m, a, b)").filter("i >= 2 * m")
+        d = F.col("x") - 2 * F.col("a") + F.col("b")
+        out = terms.groupBy("record", "m").agg(F.sum(d * d).alias("s"), F.count("*").alias("n_terms")).filter(F.col("n_terms") >= least)
     return out.withColumn("adev", F.sqrt(F.col("s") / (2.0 * F.col("m") * F.col("m") * F.col("n_terms")))).withColumn("adev_err", F.col("adev") / F.sqrt(F.col("n_terms").cast("double"))).drop("s")
 
 

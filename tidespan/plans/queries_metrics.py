@@ -110,22 +110,46 @@ dens AS (SELECT record, k, f, 2 * span_s / (n - 1) * (ss * yc * yc + cc * ys * y
 
 @query(sql("SELECT record, k, round((sc * sc + ss_ * ss_) / (n * n), 8) AS window_power FROM moments", _GRID))
 def spectral_window(c: Context) -> DataFrame:
+    return resolve.spectral_window(c.obs, 16).select("record", "k", r("window", 8, "window_power"))
+
+
+@query()
+def spectral_window_all(c: Context) -> DataFrame:
+    """On the grid up to the band edge."""
     return resolve.spectral_window(c.obs).select("record", "k", r("window", 8, "window_power"))
 
 
 @query(sql("SELECT record, k, round(density / 1e6, 5) AS density FROM dens", _GRID))
 def lomb_scargle(c: Context) -> DataFrame:
+    return resolve.lomb_scargle(c.obs, 16).filter("density is not null").select("record", "k", r(F.col("density") / 1e6, 5, "density"))
+
+
+@query()
+def lomb_scargle_all(c: Context) -> DataFrame:
+    """On the grid up to the band edge."""
     return resolve.lomb_scargle(c.obs).filter("density is not null").select("record", "k", r(F.col("density") / 1e6, 5, "density"))
 
 
 @query(sql("""SELECT record, k, round(v / max(v) OVER (PARTITION BY record), 6) AS share FROM (SELECT *, sum(area) OVER (PARTITION BY record ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT *, coalesce((f - lag(f) OVER w) * (4 * pi() * pi() * f * f * density + 4 * pi() * pi() * pow(lag(f) OVER w, 2) * lag(density) OVER w) / 2, 4 * pi() * pi() * density * f * f * f / 3) AS area FROM dens WINDOW w AS (PARTITION BY record ORDER BY k)))""", _GRID))
 def g10(c: Context) -> DataFrame:
+    return resolve.derivative_variance(resolve.lomb_scargle(c.obs, 16)).select("record", "k", r("share"))
+
+
+@query()
+def g10_all(c: Context) -> DataFrame:
+    """On the grid up to the band edge."""
     return resolve.derivative_variance(resolve.lomb_scargle(c.obs)).select("record", "k", r("share"))
 
 
 @query(sql("""SELECT record, m, count(*) AS n_terms, round(sqrt(sum(pow(x - 2 * a + b, 2)) / (2.0 * m * m * count(*))), 6) AS adev FROM (SELECT p.record, m, p.x, coalesce(q.x, 0) AS a, coalesce(z.x, 0) AS b FROM ph p, (VALUES (1), (2), (4), (8), (16)) f(m) LEFT JOIN ph q ON q.record = p.record AND q.segment = p.segment AND q.i = p.i - m LEFT JOIN ph z ON z.record = p.record AND z.segment = p.segment AND z.i = p.i - 2 * m WHERE p.i >= 2 * m) GROUP BY record, m HAVING count(*) >= 8""",
   "ph AS (SELECT record, segment, i, sum(y) OVER (PARTITION BY record, segment ORDER BY i ROWS UNBOUNDED PRECEDING) AS x FROM (SELECT record, segment, row_number() OVER w AS i, value - avg(value) OVER (PARTITION BY record, segment) AS y FROM obs WINDOW w AS (PARTITION BY record, segment ORDER BY t_us, seq)))"))
 def allan(c: Context) -> DataFrame:
+    return resolve.allan_deviation(c.obs, (1, 2, 4, 8, 16)).select("record", F.col("m").cast("long").alias("m"), "n_terms", r("adev"))
+
+
+@query()
+def allan_all(c: Context) -> DataFrame:
+    """At all factors with eight terms or more."""
     return resolve.allan_deviation(c.obs).select("record", F.col("m").cast("long").alias("m"), "n_terms", r("adev"))
 
 
