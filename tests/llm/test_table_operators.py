@@ -278,9 +278,11 @@ def near_copies(seed, n, base_words, edits):
     return out
 
 
-@pytest.mark.parametrize("small,num,den,width", [(24, 9, 10, 3), (3, 9, 10, 3), (3, 4, 5, 5)])
-def test_components_match_brute_force(docs_of, monkeypatch, small, num, den, width):
+@pytest.mark.parametrize("small,leaf,num,den,width", [(24, 1000, 9, 10, 3), (3, 1000, 4, 5, 5), (3, 4, 9, 10, 3), (2, 4, 4, 5, 5)])
+def test_components_match_brute_force(docs_of, monkeypatch, small, leaf, num, den, width):
     monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
+    monkeypatch.setattr(jaccard, "LEAF_GROUP", leaf)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
     texts = [*near_copies(1, 70, 150, [0, 1, 1, 2, 2, 3, 4, 5]), *near_copies(2, 25, 12, [0, 1]), *near_copies(3, 20, 60, [1, 2, 3]), "A b", "a B", "a", "a b c", "one two three four"]
     chained = [" ".join(f"c{j}" for j in range(i, 200 + i)) for i in range(0, 30, 3)]
     rows = [(1000 - i, t) for i, t in enumerate([*texts, *chained])] + [(1, None), (2, ""), (3, " \n"), (4, texts[0]), (4, texts[0]), (None, texts[1]), (None, "nobody else")]
@@ -322,7 +324,32 @@ def test_cells_of_linked_sets_agree_twice():
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
             if den * both >= num * (len(a) + len(b) - both):
-                assert len(np.intersect1d(jaccard.cell_keys(a, cfg), jaccard.cell_keys(b, cfg))) >= 2
+                assert len(np.intersect1d(jaccard.cell_keys(a, cfg), jaccard.cell_keys(b, cfg))) >= max(jaccard.ring_need(len(a), cfg), jaccard.ring_need(len(b), cfg)) >= 2
+
+
+def test_regions_of_pivots(spark, docs_of):
+    """Two tight clusters and texts between them: every linked pair meets in a region, or is linked to the same pivot; groups of tied documents go."""
+    from tidespan.llm.scratch import Scratch
+
+    cfg = jaccard.JaccardConfig(3, 4, 5)
+    texts = [*near_copies(11, 60, 100, [0, 2, 4, 9]), *(t.replace("b", "c") for t in near_copies(12, 60, 100, [0, 2, 4, 9]))]
+    join = jaccard._Join(docs_of(list(enumerate(texts))), cfg, Scratch(spark, "t"))
+    join.hashes = join.sets(join.nodes)
+    rows = join.scratch.keep(join.nodes.selectExpr("1L as g", "node", "cast(null as long) as known"), "rows")
+    inner, undivided, links = join.voronoi(rows)
+    got, sets = defaultdict(set), {r.node: set(r.hashes) for r in join.hashes.collect()}
+    for r in inner.collect():
+        got[r.node].add((r.g, r.known))
+    tied = defaultdict(set)
+    for r in links.collect():
+        tied[r.b].add(r.a)
+        tied[r.a].add(r.a)
+        assert len(sets[r.a] & sets[r.b]) * 5 >= 4 * len(sets[r.a] | sets[r.b])
+    assert undivided.isEmpty() and 0 < len(got) <= len(sets)
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                assert tied[a] & tied[b] or {g for g, _ in got[a]} & {g for g, _ in got[b]}
 
 
 def test_components_of_chains(spark):

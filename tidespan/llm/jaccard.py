@@ -5,14 +5,18 @@ more differ in at most (1 - s) / (1 + s) * (|a| + |b|) elements. The join narrow
 
 1. Rings. With the empty set as pivot, the distance of a set is its size. Sizes fall into rings; the triangle inequality bounds
    how far a partner can lie, so a document goes to its own ring and, as a boundary copy, to each ring a larger partner may be in.
-2. Regions. Distances between unrelated documents are all 1 or close to it, so document pivots divide nothing at this level (the
+2. Cells. Distances between unrelated documents are all 1 or close to it, so document pivots divide nothing at this level (the
    README has figures). The pivots here are parts of the shingle space: a ring with at most t differing elements a pair cuts the
    hash space into k = t + 1 + m cells. A linked pair differs in at most t cells, so it agrees wholly in m + 1 or more. Documents
-   whose contents agree in a cell share a region. How many cells must agree follows from the sizes of a pair, and rules most pairs out.
-3. Pivots within regions. Small regions are finished by pairs. Large ones with the same first document form a group, which gets a
-   pivot, the shingles most of its documents share; the triangle inequality through the pivot proves links and rules out pairs, and
-   what is left is divided by the rarest of the shingles in which documents differ from the pivot, again and again, each time into
-   groups of at most half the size.
+   whose contents agree in a cell share a region. How many cells must agree follows from the sizes of a pair, and rules most pairs
+   out. Pairs that meet in a small region are tested there; a document enters large regions only if it has as many of them as a
+   pair needs that meets in no small one.
+3. Voronoi regions. Large regions with the same first document form a group. Groups over a bound get documents as pivots; every
+   document belongs to its nearest pivot, and enters the region of another as a boundary copy where the triangle inequality lets a
+   partner lie there: it is at most twice the link distance farther from that pivot than from its own, and no farther than the
+   region's radius and the link distance. Documents linked to one pivot are connected by it and need not meet again, so regions
+   without others go. Regions are divided again until they are small enough for one task, which counts overlaps exactly. A
+   group in which distances to pivots tell nothing apart (unrelated documents that share a passage) is divided by residuals.
 
 Documents with equal shingle sets are one node, so copies never meet as pairs. Shingles and sets are 64-bit hashes.
 
@@ -36,12 +40,16 @@ from tidespan.llm.scratch import Scratch, slices
 
 #: Groups up to this many documents are finished by pairs, larger ones are divided.
 SMALL_GROUP = 24
+#: Groups up to this many documents and shingles in all are finished in one task, larger ones are divided.
+LEAF_GROUP, LEAF_SHINGLES = 1000, 4_000_000
+#: Pivots of a group that is divided.
+PIVOTS = 8
 #: Columns of signed texts.
-SIGNED = "doc_id long, n_shingles long, t long, node long, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, t long, need long, node long, keys array<long>"
 #: Words whose hashes a worker remembers.
 WORD_CACHE = 1 << 20
 #: Rows up to which a list of ids is broadcast (8 bytes each); a shuffled join serves beyond.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -114,8 +122,14 @@ def ring_difference(n: int, cfg: JaccardConfig) -> int:
     return k - 1 - m
 
 
+def ring_need(n: int, cfg: JaccardConfig) -> int:
+    """The least number of keys that a set of n shares with a linked set. One less covers the rounding of larger partners' rings."""
+    high = int(_bounds(cfg.ring)[int(np.searchsorted(_bounds(cfg.ring), max(n, 1), "right"))]) - 1
+    return max(2, ring_difference(n, cfg) - max_difference(n + high, cfg) + 1)
+
+
 def cell_keys(hashes: np.ndarray, cfg: JaccardConfig) -> np.ndarray:
-    """A key for each ring and cell of a set. Empty cells have none while so few are empty that linked pairs still share two keys."""
+    """A key of 48 bits for each ring and cell of a set. Empty cells have none while so few are empty that linked pairs still share two keys."""
     n, out = len(hashes), []
     first, last = (int(np.searchsorted(_bounds(cfg.ring), x, "right")) - 1 for x in (n, max(n, n * cfg.den // cfg.num)))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(hashes ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
@@ -126,7 +140,7 @@ def cell_keys(hashes: np.ndarray, cfg: JaccardConfig) -> np.ndarray:
         keys = _mix((sums[ends[1:]] - sums[ends[:-1]]) ^ _mix(np.arange(k, dtype=np.uint64) + np.uint64(ring << 40 | 1 << 39)))
         full = ends[1:] > ends[:-1]
         out.append(keys[full] if k - int(full.sum()) < m else keys)
-    return np.concatenate(out).view(np.int64)
+    return (np.concatenate(out) >> np.uint64(16)).view(np.int64)
 
 
 def _node(hashes: np.ndarray) -> int | None:
@@ -141,8 +155,8 @@ def _signed(cfg: JaccardConfig):
             keys = [cell_keys(x, cfg) if len(x) else x.view(np.int64) for x in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([ring_difference(len(x), cfg) for x in sets], pa.int64()), pa.array([_node(x) for x in sets], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))).cast(pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "t", "node", "keys"],
+                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([ring_difference(len(x), cfg) for x in sets], pa.int64()), pa.array([ring_need(len(x), cfg) for x in sets], pa.int64()), pa.array([_node(x) for x in sets], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))).cast(pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "t", "need", "node", "keys"],
             )
 
     return run
@@ -170,7 +184,7 @@ class _Join:
         signed = self.docs.mapInArrow(_signed(cfg), SIGNED).withColumn("row", F.monotonically_increasing_id())
         self.signed = scratch.keep(signed, "signed")
         self.rows = scratch.keep(self.signed.select("doc_id", "n_shingles", "node"), "rows")
-        nodes = self.signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("t").alias("t"))
+        nodes = self.signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("t").alias("t"), F.first("need").alias("need"))
         self.nodes = scratch.keep(nodes, "nodes")
         self.links: DataFrame | None = None
 
@@ -178,11 +192,13 @@ class _Join:
         """(region, node, size, t, n) of the regions of n nodes, two or more. Of copies one row enters; lists of rows and regions are broadcast up to a counted bound, so that the keys cross the network once, as bare counts."""
         copies = self.scratch.keep(self.signed.select("node", "row").join(self.nodes.filter("n > 1").select("node", F.col("row").alias("first")), "node").filter("row <> first").select("row"), "copies")
         once = self.signed.filter("node is not null").join(_listed(copies), "row", "left_anti")
-        keyed = once.select(F.explode("keys").alias("region"), "node", F.col("n_shingles").alias("size"), "t")
+        keyed = once.select(F.explode("keys").alias("region"), "row")
         shared = self.scratch.keep(keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
         self.scratch.drop()
-        regions = self.scratch.keep(keyed.join(_listed(shared), "region"), "regions")
+        held = self.scratch.keep(keyed.join(_listed(shared), "region"), "held")
         self.scratch.drop(self.signed, copies, shared)  # the keys, the largest table, are not needed again
+        regions = self.scratch.keep(held.join(self.nodes.select("row", "node", "size", "t"), "row").drop("row"), "regions")
+        self.scratch.drop(held)
         return regions
 
     def sets(self, some: DataFrame) -> DataFrame:
@@ -192,27 +208,22 @@ class _Join:
         ids = self.scratch.keep(wanted.select("doc_id").distinct(), "ids")
         texts = self.docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(none))).join(_listed(ids), "doc_id", "left_semi")
         found = texts.mapInArrow(_sets(self.cfg), "node long, hashes array<long>").filter("node is not null").join(wanted, "node", "left_semi")
-        sets = self.scratch.keep(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+        sets = self.scratch.keep(found.groupBy("node").agg(F.first("hashes").alias("hashes")).withColumn("size", F.size("hashes").cast("long")), "sets")
         self.scratch.drop(wanted, ids)
         return sets
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b (nodes) -> those that are linked, by their whole sets."""
-        left = pairs.select("a", "b").distinct().join(self.hashes.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-        met = left.join(self.hashes.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-        both = F.size(F.array_intersect("ha", "hb"))
-        return met.filter(self.cfg.den * both >= self.cfg.num * (F.size("ha") + F.size("hb") - both)).select("a", "b")
-
-    def small_pairs(self, rows: DataFrame) -> DataFrame:
-        """rows: (region, node, size, t) of small regions -> g (one of the pair's regions), a, b: pairs that agree in as many cells as a link between sets of their sizes needs.
+    def small_pairs(self, rows: DataFrame, many: DataFrame) -> DataFrame:
+        """rows: (region, node, size, t) of small regions; many: (node, large), in how many large regions nodes are -> g (one of the pair's regions), a, b: pairs that may agree in as many cells as a link between sets of their sizes needs.
 
         A linked pair differs in at most d(|a| + |b|) elements, so of the k = t + 1 + m cells in the ring of the larger set it agrees in
-        k - d or more, at most m - 1 of which are empty and have no key: t - d + 2 keys at least.
+        k - d or more, at most m - 1 of which are empty and have no key: t - d + 2 keys at least. Those that it shares in large regions
+        are not counted but bounded.
         """
         num, den = self.cfg.num, self.cfg.den
-        one, two = rows.select("region", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("t").alias("ta")), rows.select("region", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("t").alias("tb"))
-        met = one.join(two, "region").filter(f"a < b and {den} * least(sa, sb) >= {num} * greatest(sa, sb)")
-        need = F.greatest(F.col("ta"), F.col("tb")) - F.expr(f"((sa + sb) * {den - num}) div {den + num}") + 2
+        rows = rows.join(_listed(many.select("node", "large")), "node", "left").withColumn("large", F.coalesce("large", F.lit(0)))
+        one, two = (rows.select("region", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "t", "large"))) for x in "ab")
+        met = one.join(two, "region").filter(f"a < b and {den} * least(size_a, size_b) >= {num} * greatest(size_a, size_b)")
+        need = F.greatest("t_a", "t_b") - F.expr(f"((size_a + size_b) * {den - num}) div {den + num}") + 2 - F.least("large_a", "large_b")
         return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(need).alias("need"), F.min("region").alias("g")).filter("n >= need").select("g", "a", "b")
 
     def verify_groups(self, pairs: DataFrame) -> DataFrame:
@@ -227,64 +238,170 @@ class _Join:
     def solve(self) -> DataFrame:
         """node, label: the least node of the component, for every node with links. ``links`` then holds links that span all components."""
         regions = self.regions()
-        # a linked pair agrees in several cells: either all of them are small regions, which count it, or one of them is large
-        pairs = self.scratch.keep(self.small_pairs(regions.filter(f"n <= {SMALL_GROUP}")), "pairs")
         large = regions.filter(f"n > {SMALL_GROUP}").select("region", "node")
-        least = large.groupBy("region").agg(F.min("node").alias("g"))  # large regions with the same least node are one group
-        rows = self.scratch.keep(large.join(least, "region").select("g", "node").distinct(), "groups")
-        self.scratch.drop(regions)
+        many = self.scratch.keep(large.groupBy("node").agg(F.count("*").alias("large")).join(self.nodes.select("node", "need"), "node"), "many")
+        pairs = self.scratch.keep(self.small_pairs(regions.filter(f"n <= {SMALL_GROUP}"), many), "pairs")
+        # pairs that meet in no small region are left: all the cells in which such a pair agrees are large regions of both
+        large = large.join(_listed(many.filter("large >= need").select("node")), "node", "left_semi")
+        least = large.groupBy("region").agg(F.min("node").alias("g"), F.count("*").alias("n")).filter("n > 1").select("region", "g")
+        rows = self.scratch.keep(large.join(_listed(least), "region").select("g", "node", F.lit(None).cast("long").alias("known")).distinct(), "groups")
+        self.scratch.drop(regions, many)
         self.hashes = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")))
         links = self.scratch.keep(self.verify_groups(pairs), "links")
         self.scratch.drop(pairs)
         while not rows.isEmpty():
-            rows, found = self.divide(rows)
+            rows, found = self.level(rows)
             links = links.union(found)
         self.links = self.scratch.keep(links.distinct(), "all-links")
         self.scratch.drop(self.hashes)
         return connected(self.links, self.scratch)
 
-    def divide(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """One level of recursion over large groups (g, node), a stored table: the groups of the next level, stored, and links found.
+    def level(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One level of recursion over groups, a stored table (g, node, known): the groups of the next level, stored, and links found.
+
+        known is the pivot that a document is linked to, if any. Documents with the same one are connected, so groups of such alone go.
+        """
+        open_ = "n > 1 and (n_known < n or low <> high)"
+        groups = rows.join(self.hashes.select("node", "size"), "node").groupBy("g").agg(F.count("*").alias("n"), F.count("known").alias("n_known"), F.min("known").alias("low"), F.max("known").alias("high"), F.sum("size").alias("shingles"))
+        groups = self.scratch.keep(groups.filter(open_).select("g", "n", (F.col("n") <= LEAF_GROUP).__and__(F.col("shingles") <= LEAF_SHINGLES).alias("leaf")), "sizes")
+        leaves = rows.join(_listed(groups.filter("leaf").select("g")), "g", "left_semi")
+        links = self.scratch.keep(leaves.join(self.hashes, "node").select("g", "node", "hashes").groupBy("g").applyInArrow(_leaf(self.cfg), "a long, b long"), "leaf-links")
+        big = self.scratch.keep(rows.join(_listed(groups.filter("not leaf").select("g")), "g", "left_semi"), "big")
+        self.scratch.drop(rows)
+        if big.isEmpty():
+            return big, links
+        inner, undivided, found = self.voronoi(big)
+        links = links.union(found)
+        if not undivided.isEmpty():
+            deeper, found = self.residual(undivided)
+            inner, links = self.scratch.keep(inner.union(deeper), "inner"), links.union(found)
+        self.scratch.drop(big, groups)
+        return inner, links
+
+    def voronoi(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Groups (g, node, known) -> their Voronoi regions (g, node, known), the groups that pivots do not divide, and links to pivots.
+
+        A linked pair x, y at a distance of at most h, y nearest to q: d(x, q) <= h + d(y, q) <= h + d(y, p) <= 2h + d(x, p) for any pivot p,
+        so x is in the region of q if all are let in that lie at most 2h farther from q than from their own pivot. Of the two regions of
+        a pair the one with the larger pivot does. And d(x, q) <= h + d(y, q), at most h and the radius of q's region.
+        """
+        num, den, h = self.cfg.num, self.cfg.den, 1 - self.cfg.num / self.cfg.den + 1e-9
+        picks = rows.groupBy("g").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(PIVOTS)))).alias("p"))
+        pivots = picks.select("g", F.explode("p").alias("p")).join(self.hashes.select(F.col("node").alias("p"), F.col("hashes").alias("hp")), "p")
+        pivots = self.scratch.keep(pivots.groupBy("g").agg(F.collect_list(F.struct("p", "hp")).alias("pivots")), "pivots")
+        to = "transform(pivots, q -> struct(q.p as p, size(q.hp) as s, size(array_intersect(hashes, q.hp)) as o))"
+        met = rows.join(self.hashes, "node").join(pivots, "g").select("g", "node", "known", "size", F.expr(to).alias("to"))
+        met = met.select("g", "node", "known", F.expr(f"transform(to, q -> struct(1 - q.o / (size + q.s - q.o) as d, q.p as p, {den} * q.o >= {num} * (size + q.s - q.o) as linked))").alias("to"))
+        met = self.scratch.keep(met.withColumn("own", F.array_min("to")), "distances")
+        each = met.select("g", "node", "known", F.col("own.d").alias("own_d"), F.col("own.p").alias("own_p"), F.explode("to").alias("q")).select("g", "node", "known", "own_d", "own_p", "q.*")
+        links = self.scratch.keep(each.filter("linked and node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")), "pivot-links")
+        radius = met.groupBy("g", F.col("own.p").alias("p")).agg(F.max("own.d").alias("radius"))
+        there = each.filter(F.col("d") <= F.col("own_d") + 2 * h).filter("p >= own_p").join(radius, ["g", "p"]).filter((F.col("p") == F.col("own_p")) | (F.col("d") <= F.col("radius") + h))
+        there = there.select("g", "p", "node", F.when(F.col("linked"), F.col("p")).otherwise(F.col("known")).alias("known"))
+        there = self.scratch.keep(there, "regions")
+        n = rows.groupBy("g").agg(F.count("*").alias("n"))
+        kept = there.groupBy("g", "p").agg(F.count("*").alias("k"), (F.count("known") < F.count("*")).alias("any"), (F.min("known") < F.max("known")).alias("two")).filter("any or two")
+        stuck = self.scratch.keep(kept.groupBy("g").agg(F.max("k").alias("k"), F.sum("k").alias("total")).join(n, "g").filter("4 * k > 3 * n or total > 3 * n").select("g"), "stuck")
+        inner = there.join(kept.select("g", "p"), ["g", "p"], "left_semi").join(_listed(stuck), "g", "left_anti")
+        inner = self.scratch.keep(inner.select(F.xxhash64("g", "p").alias("g"), "node", "known"), "inner")
+        undivided = self.scratch.keep(rows.join(_listed(stuck), "g", "left_semi"), "undivided")
+        self.scratch.drop(pivots, met, there)
+        return inner, undivided, links
+
+    def residual(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Groups (g, node, known) that documents as pivots do not divide -> smaller groups of the next level and links found.
 
         The pivot of a group is its consensus, the shingles that more than half of its sets have. A set is known by its residual, its
         symmetric difference with the pivot: |a ^ b| = |res(a) ^ res(b)|. Where the residuals of a pair together are no larger than a link
         allows, the triangle inequality proves the link; all such pairs are linked to the set that lies nearest by that measure, the
-        hub, so the hub's links connect them. Any other linked pair must share many residual elements, so one of them is among the
-        rarest of both residuals. Documents that share such an element form a group of the next level, at most half as large
-        (who has an element outside the consensus, or lacks one inside it, is a minority), finished by pairs once small.
+        hub, so the hub's links connect them. Documents linked to the hub need not meet again, only others and these. Any other linked
+        pair must share many residual elements, so one of them is among the rarest of both residuals. Documents that share such an
+        element form a group of the next level, at most half as large (who has an element outside the consensus, or lacks one inside
+        it, is a minority), finished by pairs once small. Only elements of documents not linked to the hub count for this: leaving out
+        others moves those that stay to the front.
         """
         num, den = self.cfg.num, self.cfg.den
         sets = rows.join(self.hashes, "node")
         n = rows.groupBy("g").agg(F.count("*").alias("n"))
         often = sets.select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k"))
-        pivot = often.join(n, "g").filter("2 * k > n").groupBy("g").agg(F.collect_list("e").alias("pivot"))  # twice the mean size of a set at most
+        pivot = often.join(_listed(n), "g").filter("2 * k > n").groupBy("g").agg(F.collect_list("e").alias("pivot"))  # twice the mean size of a set at most
         pivot = self.scratch.keep(n.join(pivot, "g", "left").select("g", F.coalesce("pivot", F.array().cast("array<bigint>")).alias("pivot")), "pivots")
-        res = sets.join(pivot, "g").select("g", "node", F.size("hashes").cast("long").alias("size"), F.concat(F.array_except("hashes", "pivot"), F.array_except("pivot", "hashes")).alias("res"))
-        res = self.scratch.keep(res.withColumn("r", F.size("res").cast("long")), "residuals")
-        slack = (den + num) * F.col("r") - (den - num) * F.col("size")
-        near = res.select("g", "node", slack.alias("slack"))
-        hub = near.groupBy("g").agg(F.min(F.struct("slack", "node")).alias("hub"))
-        links = near.join(hub, "g").filter("slack + hub.slack <= 0 and node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        # the rarest elements of each residual: as many as a partner with a larger (probe) or smaller (index) residual must meet
+        res = sets.join(pivot, "g").select("g", "node", "known", "size", F.concat(F.array_except("hashes", "pivot"), F.array_except("pivot", "hashes")).alias("res"))
+        res = self.scratch.keep(res.withColumn("r", F.size("res").cast("long")).withColumn("slack", (den + num) * F.col("r") - (den - num) * F.col("size")), "residuals")
+        hub = res.groupBy("g").agg(F.min(F.struct("slack", "node", "size", "r", "res")).alias("hub"))
+        apart = F.col("r") + F.col("hub.r") - 2 * F.size(F.array_intersect("res", "hub.res"))
+        seen = res.join(hub, "g").withColumn("linked", (den + num) * apart <= (den - num) * (F.col("size") + F.col("hub.size")))
+        # how many of the rarest elements of a residual a partner with a larger (probe) or smaller (index) one must meet
         most = F.expr(f"((size + size * {den} div {num}) * {den - num}) div {den + num}")
-        each = res.select("g", "node", "size", "r", most.alias("t"), F.explode("res").alias("e"))
-        rare = self.scratch.keep(each.groupBy("g", "e").agg(F.count("*").alias("k")), "counts")
-        placed = each.join(rare, ["g", "e"]).filter("k > 1").select("g", "node", "size", "r", "t", "e", "k")
-        alone = each.join(rare.filter("k = 1"), ["g", "e"]).groupBy("g", "node").agg(F.count("*").alias("alone"))
+        seen = seen.select("g", "node", "size", "r", "res", most.alias("t"), "linked", F.col("hub.node").alias("hub"), F.when(F.col("linked"), F.col("hub.node")).otherwise(F.col("known")).alias("known"))
+        seen = self.scratch.keep(seen, "seen")
+        links = seen.filter("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        each = seen.select("g", "node", "known", "linked", "size", "r", "t", F.explode("res").alias("e"))
+        other = self.scratch.keep(each.filter("not linked").groupBy("g", "e").agg(F.count("*").alias("k")), "other")
+        tied = each.filter("linked").join(other.select("g", "e"), ["g", "e"], "left_semi").groupBy("g", "e").agg(F.count("*").alias("k"))
+        rare = self.scratch.keep(other.union(tied).groupBy("g", "e").agg(F.sum("k").alias("k")), "counts")
+        placed = each.join(rare.filter("k > 1"), ["g", "e"]).select("g", "node", "known", "linked", "size", "r", "t", "e", "k")
+        alone = each.filter("not linked").join(rare.filter("k = 1").select("g", "e"), ["g", "e"], "left_semi").groupBy("g", "node").agg(F.count("*").alias("alone"))
         placed = placed.join(alone, ["g", "node"], "left").withColumn("rank", F.coalesce("alone", F.lit(0)) + F.row_number().over(Window.partitionBy("g", "node").orderBy("k", "e")))
-        probe = self.scratch.keep(placed.filter("rank <= t + 1").select(F.xxhash64("g", "e").alias("h"), "node", "size", "r", (F.col("rank") <= F.floor(F.col("t") / 2) + 1).alias("index")), "probe")
-        sizes = self.scratch.keep(probe.groupBy("h").agg(F.count("*").alias("n"), F.max("index").alias("index")).filter("n > 1 and index").select("h", "n"), "sizes")
+        probe = self.scratch.keep(placed.filter("rank <= t + 1").select("g", F.xxhash64("g", "e").alias("h"), "node", "known", "linked", "size", "r", (F.col("rank") <= F.floor(F.col("t") / 2) + 1).alias("index")), "probe")
+        sizes = self.scratch.keep(probe.groupBy("h").agg(F.count("*").alias("n"), F.max("index").alias("index"), F.min("linked").alias("linked")).filter("n > 1 and index and not linked").select("h", "n"), "sizes")
         small = probe.join(sizes.filter(f"n <= {SMALL_GROUP}").select("h"), "h")
-        one = small.select("h", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("r").alias("ra"))
-        two = small.filter("index").select("h", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("r").alias("rb"))
-        fit = (F.col("a") != F.col("b")) & (F.struct("rb", "b") < F.struct("ra", "a")) & ((den + num) * (F.col("ra") - F.col("rb")) <= (den - num) * (F.col("sa") + F.col("sb")))
-        pairs = one.join(two, "h").filter(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = self.scratch.keep(self.verify(pairs).union(links), "found")
-        deeper = self.scratch.keep(probe.join(sizes.filter(f"n > {SMALL_GROUP}").select("h"), "h").select(F.col("h").alias("g"), "node"), "groups")
-        self.scratch.drop(rows, pivot, res, rare, probe, sizes)
+        one, two = (small.filter(only).select("h", F.col("g").alias(f"g_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("linked", "size", "r"))) for x, only in (("a", "true"), ("b", "index")))
+        fit = (F.col("a") != F.col("b")) & ~(F.col("linked_a") & F.col("linked_b")) & (F.struct("r_b", "b") < F.struct("r_a", "a")) & ((den + num) * (F.col("r_a") - F.col("r_b")) <= (den - num) * (F.col("size_a") + F.col("size_b")))
+        pairs = one.join(two, "h").filter(fit).select(F.col("g_a").alias("g"), "a", "b").distinct()
+        ends = [seen.select("g", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("res").alias(f"res_{x}")) for x in "ab"]
+        apart = F.size("res_a") + F.size("res_b") - 2 * F.size(F.array_intersect("res_a", "res_b"))
+        tested = pairs.join(ends[0], ["g", "a"]).join(ends[1], ["g", "b"]).filter((den + num) * apart <= (den - num) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+        found = self.scratch.keep(tested.union(links), "found")
+        deeper = self.scratch.keep(probe.join(sizes.filter(f"n > {SMALL_GROUP}").select("h"), "h").select(F.col("h").alias("g"), "node", "known"), "groups")
+        self.scratch.drop(pivot, res, seen, other, rare, probe, sizes)
         return deeper, found
 
 
+def _spanning(nodes: np.ndarray, adjacent: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of a boolean adjacency matrix."""
+    left, out = np.ones(len(nodes), bool), []
+    for start in range(len(nodes)):
+        if not left[start]:
+            continue
+        left[start] = False
+        reached = [start]
+        for x in reached:
+            new = np.flatnonzero(adjacent[x] & left)
+            left[new] = False
+            reached.extend(new.tolist())
+            out += [(int(nodes[x]), int(nodes[y])) for y in new]
+    return out
+
+
+def _leaf(cfg: JaccardConfig):
+    """One group of bounded size (node, hashes) -> links a, b that span its components. Overlaps of all its sets are counted through shared elements."""
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, lists = group.column("node").to_numpy(), group.column("hashes").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(nodes)), size)
+        _, element, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        common = times[element] > 1
+        owner, element = owner[common], element[common]
+        order = np.argsort(element, kind="stable")
+        having = owner[order]  # the sets that have an element, element by element
+        start = np.concatenate([[0], np.cumsum(np.bincount(element, minlength=len(times)))])
+        first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(nodes)))])
+        adjacent = np.zeros((len(nodes), len(nodes)), bool)
+        for x in range(len(nodes)):
+            mine = element[first[x] : first[x + 1]]
+            length = start[mine + 1] - start[mine]
+            at = np.arange(length.sum()) + np.repeat(start[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(mine) else np.empty(0, np.int64)
+            both = np.bincount(having[at], minlength=len(nodes))
+            adjacent[x] = (both > 0) & (cfg.den * both >= cfg.num * (size[x] + size - both))
+        adjacent[np.arange(len(nodes)), np.arange(len(nodes))] = False
+        links = _spanning(nodes, adjacent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of links a, b (long) by alternating large-star and small-star steps: node, label.
 
