@@ -50,9 +50,119 @@ def test_conversations_without_a_shared_opening_are_paired(spark):
     assert sum(r.n_common == 1 for r in out if r.rejected_id is not None) == 2
 
 
+def brute_pair(a, b, cfg):
+    """(n_common, prompt, chosen, chosen_mask, rejected, rejected_mask) by a loop over turns, texts appended turn by turn."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+
+    def render(turns):
+        text, mask = "", []
+        for role, said in turns:
+            text += cfg.begin + role + "\n"
+            if role == cfg.trained:
+                mask.append((len(text), len(text) + len(said)))
+            text += said + cfg.end
+        return text, mask
+
+    return n, render(a[:n])[0], *render(a[n:]), *render(b[n:])
+
+
+def test_pairs_match_brute_force(spark):
+    """Random turns with ties, nulls, equal conversations, one a prefix of the other, astral characters and a very long text."""
+    rng, convs = random.Random(8), {}
+    for i in range(60):
+        convs[i] = [(rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None, "", "q\U0001f600"])) for _ in range(rng.randint(1, 5))]
+    convs[60], convs[61] = convs[0], convs[0][:1]
+    convs[62] = [*convs[0], ("assistant", "y" * 300_000)]
+    rows = [(i, k, r, t) for i, c in convs.items() for k, (r, t) in enumerate(c)]
+    cfg, clean = preferences.ChatConfig(block=4), {i: [(r or "", t or "") for r, t in c] for i, c in convs.items()}
+    got = preferences.preferences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), cfg).collect()
+    ids = [x for r in got for x in (r.chosen_id, r.rejected_id) if x is not None]
+    assert sorted(ids) == sorted(convs) and sum(r.rejected_id is None for r in got) == 1
+    weight = lambda i: sum(len(t) for r, t in clean[i] if r == "assistant")
+    for r in (x for x in got if x.rejected_id is not None):
+        mask = lambda m: [(x.start, x.end) for x in m]
+        assert (r.n_common, r.prompt, r.chosen, mask(r.chosen_mask), r.rejected, mask(r.rejected_mask)) == brute_pair(clean[r.chosen_id], clean[r.rejected_id], cfg)
+        assert (-weight(r.chosen_id), r.chosen_id) < (-weight(r.rejected_id), r.rejected_id)
+
+
+def test_blocks_of_one_opening_go_to_many_tasks(spark, monkeypatch):
+    from tidespan.llm.scratch import Scratch
+
+    df = spark.range(4000).selectExpr("id as conv_id", "0L as turn", "'user' as role", "'same' as text")
+    for bound in (100_000, 0):
+        monkeypatch.setattr(preferences, "BROADCAST_OPENINGS", bound)
+        placed = {}
+        keep = Scratch.keep
+        monkeypatch.setattr(Scratch, "keep", lambda self, x, name, placed=placed, keep=keep: placed.setdefault(name, x) is None or keep(self, x, name))
+        preferences.preferences(df, preferences.ChatConfig(block=100))
+        monkeypatch.setattr(Scratch, "keep", keep)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put small partitions together
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        parts = [r["count"] for r in placed["placed"].groupBy(F.spark_partition_id()).count().collect()]
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sum(parts) == 4000 and max(parts) < 2000
+
+
 # mixing
 
 
+@pytest.mark.parametrize("good,bad,draws", [(3, 4, 5), (30, 50, 20), (1, 900, 450), (0, 5, 2), (7, 0, 3)])
+def test_hypergeometric_draws(good, bad, draws):
+    from math import comb
+
+    u = (np.arange(4000) + 0.5) / 4000
+    got = np.bincount([mixing.hypergeometric(good, bad, draws, x) for x in u], minlength=good + 1) / 4000
+    want = [comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) if draws >= k else 0 for k in range(good + 1)]
+    assert np.abs(got - want).max() < 1e-3
+
+
+def test_draws_of_any_size():
+    slots, cfg = np.array([4 * 10**10, 0, 10**9, 7]), mixing.MixConfig()
+    shards = -(-int(slots.sum()) // cfg.shard_slots)
+    a, b = (mixing.shard_counts(s, slots, shards, cfg) for s in (5_000_000, 5_000_001))
+    assert a[0].sum() == cfg.shard_slots and (a[1] + a[0] == b[1]).all() and abs(a[1][0] / a[1].sum() - slots[0] / slots.sum()) < 1e-4
+
+
+def brute_mix(rows, sources, cfg):
+    """Words taken of each (doc_id, text), by a loop over all slots and blocks as lists."""
+    names = sorted({s for s in sources if s is not None}) + [None] * (None in sources)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = [sum(size(t) for (_, t), s in zip(rows, sources) if s == n) for n in names]
+    goals = mixing.targets(sizes, cfg)
+    plans = [mixing.source_plan(i, s, g, cfg) for i, (s, g) in enumerate(zip(sizes, goals))]
+    counts = np.array([p.slots for p in plans])
+    shards = max(1, -(-int(counts.sum()) // cfg.shard_slots))
+    return names, sizes, goals, plans, [mixing.shard_counts(k, counts, shards, cfg) for k in range(shards)]
+
+
+def test_mix_matches_a_loop(docs_of):
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 5, 70])))) for i in range(60)] + [(99, "z " * 5000), (98, None)]
+    sources = [rng.choice(["a", "b", None]) for _ in rows]
+    cfg = mixing.MixConfig(block=8, shard_slots=16)
+    mix = mixing.Mix(docs_of(rows, sources), cfg)
+    names, sizes, goals, plans, shards = brute_mix(rows, sources, cfg)
+    stream = {n: [] for n in names}  # the document of every word, in the order that the operator gave the documents
+    for r in sorted(mix.placed().collect(), key=lambda r: (r.source_ix, r.off)):
+        assert r.off == len(stream[names[r.source_ix]])
+        stream[names[r.source_ix]] += [r.doc_id] * r["size"]
+    taken = defaultdict(int)
+    for here, before in shards:
+        for s in range(len(names)):
+            for rank in range(before[s], before[s] + here[s]):
+                epoch, i = divmod(int(rank), plans[s].blocks)
+                block = int(mixing.Permutation(plans[s].blocks, mixing._key(cfg, s, epoch))(np.array([i]))[0])
+                words = stream[names[s]][block * 8 : block * 8 + 8]
+                for d in words[: plans[s].last] if rank == plans[s].slots - 1 else words:
+                    taken[d] += 1
+    got = mix.digest().collect()
+    assert {r.doc_id: r.taken for r in got} == {d: taken[d] for d, _ in rows}
+    assert {(r.source_size, round(r.target, 6)) for r in got} == {(s, round(g, 6)) for s, g in zip(sizes, goals)}
+
+
 @settings(max_examples=60, deadline=None, derandomize=True, database=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=12))
 def test_targets_fill_the_share(sizes):
@@ -202,6 +312,47 @@ def test_main_text(page, want):
     assert extract.main_text(page) == want
 
 
+def test_generated_articles_come_back_whole():
+    """Known articles of every kind of block amid known boilerplate, the article in a container of its own or beside others."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["river", "stone", "a,", "of", "caf\u00e9", "light,"]) for _ in range(n))
+    for _ in range(150):
+        made, out = [], []
+        for kind in [*rng.choices(["p", "h4", "ul", "table", "dl", "figure", "bare", "pre"], k=rng.randint(2, 9)), "p"]:
+            t, u = words(rng.randint(3, 30)), words(4)
+            if kind == "bare":
+                made.append(f"<hr>{t}<hr>")
+                out.append(t)
+            elif kind == "figure":
+                made.append(f"<figure><img src=x><figcaption>{t}</figcaption></figure>")
+                out.append(t)
+            elif kind in ("ul", "table", "dl"):
+                inner = {"ul": f"<li>{t}<li>{u}", "table": f"<tr><td>{t}</td><td>{u}</td></tr>", "dl": f"<dt>{t}<dd>{u}"}[kind]
+                made.append(f"<{kind}>{inner}</{kind}>")
+                out += [t, u]
+            else:
+                made.append(f"<{kind}>{t}</{kind}>")
+                out.append(t)
+        body = f"<p>{words(60)}, yes</p>" + "".join(made)
+        out.insert(0, re.search("<p>(.*?)</p>", body)[1])
+        around = rng.choice(["<article>{}</article>", "<div id=content>{}</div>", "<div><div>{}</div></div>"]).format(body)
+        junk = "<nav><ul><li><a href=/>Home, sweet, home</a></ul></nav><div class='sidebar'><p>buy, this, now</p></div>"
+        page = f"<html><body><header><h1>Site</h1></header>{junk}{around}<div class='comments'><p>first, post</p></div><form><p>mail, me</p></form><footer><p>(c), us</p></footer></body></html>"
+        assert extract.main_text(page).split("\n") == out, page
+
+
+def test_time_is_linear_in_depth():
+    from time import perf_counter
+
+    def spent(n):
+        at = perf_counter()
+        extract.main_text("<div>" * n + "<p>a, b" + "</b></i>" * n + "<ul><li><a>" * (n // 4))
+        return perf_counter() - at
+
+    spent(500)
+    assert spent(24_000) < 40 * spent(3_000)
+
+
 def test_deep_and_broken_pages(spark):
     deep = "<div>" * 3000 + "<p>deep, text</p>"
     pages = spark.createDataFrame([(1, "u", deep, 0), (1, "u", deep, 0), (2, None, "</p></div><b>x, y", 0), (3, "u", None, 0)], "page_id long, url string, html string, text int")
@@ -234,6 +385,32 @@ def test_captures_nest_their_records(spark, tmp_path):
     assert bytes(rows[2].response.payload) == b"a" and rows[1].response.type == "revisit" and rows[1].response.refers_to == rows[2].response.record_id
 
 
+def test_archives_of_many_members():
+    import gzip
+
+    plain = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nX: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body) for i, body in enumerate([b"one", b"", b"\r\n\r\nWARC/1.1\r\n", b"x" * 700_000]))
+    cuts = [0, 60, 61, 500, len(plain)]
+    members = b"".join(gzip.compress(plain[a:b]) for a, b in zip(cuts, cuts[1:]))
+    for data in (plain, gzip.compress(plain), members, members + b"\0" * 9):
+        for step in (7, 1 << 18):
+            got = [(h["x"], block) for h, block in warc.parse(warc.inflate(data, step))] if len(data) < 99_999 or step > 7 else None
+            assert got is None or got == [("0", b"one"), ("1", b""), ("2", b"\r\n\r\nWARC/1.1\r\n"), ("3", b"x" * 700_000)]
+    assert list(warc.parse(iter([]))) == []
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_record_ids_differ(spark, tmp_path, monkeypatch, bound):
+    from tidespan.llm.scratch import Scratch
+
+    monkeypatch.setattr(warc, "BROADCAST_HEADS", bound)
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (None, "u", "a"), (None, "u", ""), (None, "u", None), (0, None, "a")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), Scratch(spark, "t"))
+    got = warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect()
+    ids = [r.response.record_id for r in got]
+    assert len(got) == len(rows) == len(set(ids)) and all(r.response.refers_to in ids for r in got if r.response.type == "revisit")
+    assert sorted((str(r.metadata.page_id), r.response.type) for r in got) == sorted([("1", "response"), ("1", "response"), ("1", "response"), ("None", "revisit"), ("None", "response"), ("None", "response"), ("0", "revisit")])
+
+
 # Jaccard join
 
 

@@ -55,6 +55,11 @@ def test_long_expressions_are_read_whole(docs_of):
     assert got[3].labels == "isc,mit" and got[3].permissive is True
 
 
+def test_expressions_go_on_behind_operators_and_in_brackets():
+    assert licences.parse("(MIT OR\n * Apache-2.0\n * OR ISC) AND\n// Zlib\nand then prose").licences == ["apache-2.0", "isc", "mit", "zlib"]
+    assert licences.parse("MIT\nor something else").licences == ["mit"]
+
+
 # quality
 
 
@@ -128,18 +133,29 @@ def test_contamination_matches_brute_force(spark, docs_of):
     assert decontaminate.contamination(docs_of(docs), frame.limit(0)).filter("n_hit > 0").isEmpty() and decontaminate.contamination(docs_of([]), frame).isEmpty()
 
 
-def test_terms_go_in_blocks(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(decontaminate, "TERM_BLOCK", 1)
-    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "delta x")], "item_id long, text string")
-    got = decontaminate.contamination(docs_of([(1, "alpha beta gamma"), (2, "delta y"), (3, "gamma delta X")]), items)
-    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got.collect()) == [(1, 3, 2), (2, 0, 0), (3, 3, 2)]
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_lists_meet_as_brute_force_says(spark, docs_of, monkeypatch, broadcast):
+    """Common and rare terms, windows of one to six words, repeated terms; broadcast and shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(9)
+    vocab = [*"the of".split() * 8, *(f"w{i}" for i in range(14))]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 3, 40])))) for i in range(30)] + [(None, "the of the"), (3, "THE the of")]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 6)))) for i in range(25)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    windows = {(str(i), tuple(w[k : k + 3])) for i, t in items for w in [t.split()] for k in range(max(1, len(w) - 2))}
+    got = sorted(((r.doc_id, r.start, r.n, r.item_id) for r in decontaminate.exact_matches(docs_of(docs), decontaminate.windows_of(frame, 3)).collect()), key=str)
+    assert got == sorted(((d, k, len(p), i) for d, t in docs for w in [low_words(t)] for i, p in windows for k in range(len(w) - len(p) + 1) if tuple(w[k : k + len(p)]) == p), key=str) and got
+    for span in (3, 7):
+        got = sorted(((r.doc_id, r.item_id) for r in decontaminate.proximity_matches(docs_of(docs), decontaminate.windows_of(frame, 3), span).collect()), key=str)
+        near = sorted({(k, d, i) for k, (d, t) in enumerate(docs) for w in [low_words(t)] for i, p in windows for s in range(max(1, len(w) - span + 1)) if set(p) <= set(w[s : s + span])}, key=str)
+        assert got == sorted(((d, i) for _, d, i in near), key=str) and got
 
 
 def test_proximity(spark, docs_of):
     docs = docs_of([(1, "red x x blue"), (2, "blue red"), (3, "red x x x x x x blue")])
     phrases = decontaminate.windows_of(spark.createDataFrame([(9, "red blue")], "item_id long, text string"))
     assert sorted(r.doc_id for r in decontaminate.proximity_matches(docs, phrases, 4).collect()) == [1, 2]
-    assert decontaminate.exact_matches(docs, phrases, 13).isEmpty()
+    assert decontaminate.exact_matches(docs, phrases).isEmpty()
 
 
 # secrets

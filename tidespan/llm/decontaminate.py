@@ -1,15 +1,18 @@
-"""Benchmark decontamination with a positional inverted index, in DataFrame functions only.
+"""Benchmark decontamination with a distributed positional inverted index, in DataFrame functions only.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. Every item is cut into windows of 13 consecutive
 words (an item of fewer words is one window).
 
-1. Every training token is counted against the terms of the windows, so each window knows its rarest term.
-2. The postings of those rarest terms are stored, document by document: position, term, and the words around it, so that the lists
-   of a window's other terms can be intersected at their offsets without another pass over the texts.
-3. Postings meet the windows on the rarest term; the offset-adjusted words around must equal the window.
+1. The words of every document are stored once, so that rows keep their numbers, and every token is counted against the terms of the
+   windows. Each window orders its terms from the rarest to the most frequent.
+2. The lists of the terms that stand among the rarest of any window are stored: a posting is (row, pos, term). An index shard is a
+   slice of documents; a frequent term is dealt over all of them.
+3. A window starts from the list of its rarest term; the next lists, each moved by its offset, are intersected with what is left, one
+   after the other, by joins on (row, pos, term), which no frequent term can skew.
+4. The few places left are compared with the stored words, exactly.
 
-A term list is sent to the executors in blocks of bounded size, one pass over the texts a block. Windows are broadcast only up to
-a counted bound; beyond it the join shuffles postings, which are few.
+Proximity searches meet the same lists within a distance. Lists, windows and candidates are broadcast only up to a counted bound; beyond
+it joins shuffle them.
 
 Nulls and empty texts have no words. Items without an id mark words as hit but are not counted. Repeated rows are judged row by
 row, equal windows of several items count for each of them. Empty tables give empty results or documents without hits.
@@ -17,8 +20,6 @@ row, equal windows of several items count for each of them. Empty tables give em
 
 from __future__ import annotations
 
-from itertools import batched
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from tidespan.llm.scratch import Scratch
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
-#: Terms in one pass over the texts.
-TERM_BLOCK = 20_000
+#: Lists of a window that are intersected before what is left is compared with the words.
+LISTS = 4
 #: Rows up to which windows (some 200 bytes each) or terms are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -47,90 +48,109 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
 
 
 def windows_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """phrase (words joined by a space), terms (array), n and item_ids (strings) of the distinct windows."""
+    """item_id (string) and terms, the words of each of its windows."""
     words = items.select(F.col("item_id").cast("string").alias("item_id"), tokens(ascii_lower(F.col("text"))).alias("w")).filter("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
-    cut = words.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.expr(f"slice(w, s, least({width}, size(w)))").alias("terms"))
-    return cut.groupBy("terms").agg(F.collect_set("item_id").alias("item_ids")).select(F.array_join("terms", " ").alias("phrase"), "terms", F.size("terms").alias("n"), "item_ids")
+    return words.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.expr(f"slice(w, s, least({width}, size(w)))").alias("terms")).distinct()
 
 
 class Index:
-    """Counts of the query terms over all documents, and stored postings of the rarest term of each query phrase.
+    """Words of all documents, and stored positional lists of the terms that are among the ``lists`` rarest of a query phrase.
 
-    Terms are compared by ``lower``, a coarser key than the lower-casing of A-Z; phrases are compared exactly afterwards.
+    Terms are compared by ``lower``, a coarser key than the lower-casing of A-Z; what is left is compared exactly afterwards.
     """
 
-    def __init__(self, docs: DataFrame, phrases: DataFrame, scratch: Scratch, margin: int = WINDOW):
-        self.scratch, self.margin = scratch, margin
-        self.docs = docs.select("doc_id", "text")
-        self.phrases = scratch.keep(phrases, "phrases")
+    def __init__(self, docs: DataFrame, phrases: DataFrame, scratch: Scratch, lists: int = LISTS):
+        """phrases: item_id (string), terms (array)."""
+        self.scratch, self.lists = scratch, lists
+        self.words = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("w")), "words")
+        phrases = scratch.keep(phrases.select("item_id", "terms"), "phrases")
+        self.phrases = scratch.keep(phrases.select("terms").distinct().select(F.monotonically_increasing_id().alias("phrase"), "terms", F.size("terms").alias("n")), "distinct")
         self.n_phrases = self.phrases.count()
-        self.anchors = self._anchors()
-        self.n_anchors = self.anchors.count()
+        self.items = scratch.keep(phrases.join(self.phrases.select("phrase", "terms"), "terms").select("phrase", "item_id"), "items")
+        self.steps = self._steps()
         self.postings = scratch.keep(self._postings(), "postings")
 
     def term_counts(self) -> DataFrame:
         """term, times: over every token of every document."""
         terms = self.scratch.keep(self.phrases.select(F.explode("terms").alias("t")).select(F.lower("t").alias("term")).distinct(), "terms")
-        seen = self.docs.select(F.explode(tokens(F.col("text"))).alias("w")).select(F.lower("w").alias("term"))
+        seen = self.words.select(F.explode("w").alias("t")).select(F.lower("t").alias("term"))
         return seen.join(_sized(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("times"))
 
-    def _anchors(self) -> DataFrame:
-        """term, offset and phrase of each phrase whose terms all occur: its rarest term, the first on ties."""
+    def _steps(self) -> DataFrame:
+        """phrase and steps: (times, offset, term) of its rarest terms, the rarest first. Phrases with a term that never occurs are left out."""
         counts = self.scratch.keep(self.term_counts(), "counts")
         each = self.phrases.select("phrase", F.posexplode("terms").alias("offset", "t")).select("phrase", "offset", F.lower("t").alias("term"))
-        rarest = each.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "term")).alias("r"))
-        found = rarest.filter("r.times > 0").select("phrase", "r.offset", "r.term")
-        return self.scratch.keep(found.join(self.phrases.select("phrase", "n", "item_ids"), "phrase"), "anchors")
+        steps = each.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.coalesce("times", F.lit(0))).alias("least"), F.slice(F.array_sort(F.collect_list(F.struct("times", "offset", "term"))), 1, self.lists).alias("steps"))
+        return self.scratch.keep(steps.filter("least > 0").select("phrase", "steps"), "steps")
+
+    def _terms(self, of: str) -> DataFrame:
+        terms = self.scratch.keep(self.steps.select(F.expr(f"explode({of})").alias("s")).select("s.term").distinct(), "listed")
+        return _sized(terms, terms.count())
 
     def _postings(self) -> DataFrame:
-        """A row per posting of an anchor term (row, doc_id, n_words, pos, term, around, at: the position of around's first word); documents without one have a row without a position."""
-        words = self.docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("w"))
-        rows = self.anchors.select("term").distinct().orderBy("term").toLocalIterator()
-        out = None
-        for block in batched((r.term for r in rows), TERM_BLOCK):
-            some = self._block(words, block)
-            out = some if out is None else out.union(some.filter("pos is not null"))
-        return self._block(words, ()) if out is None else out
-
-    def _block(self, words: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-        listed = ", ".join(f"'{t}'" for t in terms) or "null"  # words hold neither quotes nor backslashes
-        found = words.select("row", "doc_id", F.size("w").alias("n_words"), "w", F.expr(f"filter(sequence(0, greatest(size(w), 1) - 1), i -> lower(get(w, i)) in ({listed}))").alias("at"))
-        near = F.expr(f"transform(at, p -> struct(p as pos, lower(get(w, p)) as term, slice(w, greatest(p - {self.margin - 1}, 0) + 1, {2 * self.margin}) as around, greatest(p - {self.margin - 1}, 0) as at))")
-        return found.select("row", "doc_id", "n_words", F.inline_outer(near))
+        """(row, pos, term) of every place of a listed term."""
+        return self.words.select("row", F.posexplode("w").alias("pos", "t")).select("row", "pos", F.lower("t").alias("term")).join(self._terms("steps"), "term").select("row", "pos", "term")
+
+    def places(self, reach: int = 0) -> DataFrame:
+        """(row, pos, phrase): where the lists of a phrase meet. pos is the place of its first word, or, within ``reach`` words in any order, of its rarest."""
+        first = self.steps.select("phrase", F.col("steps")[0]["term"].alias("term"), (F.lit(0) if reach else F.col("steps")[0]["offset"]).alias("offset"))
+        left = self.postings.join(_sized(first, self.n_phrases), "term").select("row", (F.col("pos") - F.col("offset")).alias("pos"), "phrase").filter("pos >= 0")
+        left = self.scratch.keep(left, "places")
+        for i in range(1, self.lists):
+            step = self.steps.select("phrase", F.expr(f"get(steps, {i}) as step"))
+            wanted = left.join(_sized(step, self.n_phrases), "phrase").select("row", "pos", "phrase", "step.offset", "step.term")
+            lists = self.postings.join(self._terms(f"slice(steps, {i + 1}, 1)"), "term", "left_semi")
+            if reach:  # postings within reach lie in the same stretch of that many words or in one beside it
+                wanted = wanted.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("pos") / reach) + k for k in (-1, 0, 1)))))
+                lists = lists.select("row", "term", F.col("pos").alias("other"), F.floor(F.col("pos") / reach).alias("stretch"))
+                met = lists.join(_sized(wanted.filter("term is not null"), 3 * left.count()), ["row", "term", "stretch"]).filter(F.abs(F.col("other") - F.col("pos")) < reach)
+            else:
+                wanted = wanted.withColumn("start", F.col("pos")).withColumn("pos", F.col("start") + F.col("offset"))
+                met = lists.join(_sized(wanted.filter("term is not null"), left.count()), ["row", "pos", "term"]).drop("pos").withColumnRenamed("start", "pos")
+                wanted = wanted.drop("pos").withColumnRenamed("start", "pos")
+            met = met.select("row", "pos", "phrase").distinct()
+            short = wanted.filter("term is null").select("row", "pos", "phrase").distinct()  # phrases without further terms
+            left, before = self.scratch.keep(met.union(short), "places"), left
+            self.scratch.drop(before)
+        return left
+
+    def beside(self, places: DataFrame) -> DataFrame:
+        """places with the words of their documents (w) and of their phrases (terms, n)."""
+        return self.words.select("row", "doc_id", "w").join(_sized(places, places.count()), "row").join(_sized(self.phrases, self.n_phrases), "phrase")
 
     def matches(self) -> DataFrame:
-        """Exact phrase matches: row, start, n, item_ids."""
-        met = self.postings.filter("pos is not null").join(_sized(self.anchors, self.n_anchors), "term")
-        met = met.withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0 and start + n <= n_words")
-        return met.filter(ascii_lower(F.expr("array_join(slice(around, start - at + 1, n), ' ')")) == F.col("phrase")).select("row", "start", "n", "item_ids")
+        """Exact phrase matches: row, doc_id, start, n, phrase."""
+        at = F.expr("slice(w, cast(pos + 1 as int), n)")
+        same = F.transform(at, lambda x: ascii_lower(x)) == F.col("terms")
+        return self.beside(self.places()).filter(same).select("row", "doc_id", F.col("pos").alias("start"), "n", "phrase")
 
 
-def exact_matches(docs: DataFrame, phrases: DataFrame, margin: int) -> DataFrame:
-    """doc_id, start (words from 0), n and phrase ids of every place where a phrase of at most ``margin`` words stands."""
-    index = Index(docs, phrases, Scratch(docs.sparkSession, "phrases"), margin)
-    return index.matches().join(index.postings.select("row", "doc_id").distinct(), "row").select("doc_id", "start", "n", "item_ids")
+def exact_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrases: item_id, terms (lower-cased words) -> doc_id, start (words from 0), n and item_id of every place where a phrase stands."""
+    index = Index(docs, phrases, Scratch(docs.sparkSession, "phrases"))
+    return index.matches().join(index.items, "phrase").select("doc_id", "start", "n", "item_id")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
-    """doc_id and item_ids where all terms of a phrase stand, in any order, within ``span`` consecutive words."""
-    index = Index(docs, phrases, Scratch(docs.sparkSession, "proximity"), span)
-    met = index.postings.filter("pos is not null").join(_sized(index.anchors.join(index.phrases.select("phrase", "terms"), "phrase"), index.n_anchors), "term")
-    low = f"transform(around, x -> translate(x, '{UPPER}', '{LOWER}'))"
-    inside = F.expr(f"exists(sequence(greatest(pos - {span - 1}, 0), pos), s -> forall(terms, t -> array_contains(slice({low}, s - at + 1, {span}), t)))")
-    return met.filter(inside).select("doc_id", F.explode("item_ids").alias("item_id")).distinct()
+    """doc_id and item_id where all terms of a phrase stand, in any order, within ``span`` consecutive words."""
+    index = Index(docs, phrases, Scratch(docs.sparkSession, "proximity"))
+    around = F.expr(f"transform(slice(w, cast(greatest(pos - {span - 1}, 0) + 1 as int), cast(least(pos, {span - 1}) as int) + {span}), x -> translate(x, '{UPPER}', '{LOWER}'))")
+    inside = F.expr(f"exists(sequence(0, cast(least(pos, {span - 1}) as int)), s -> forall(terms, t -> array_contains(slice(around, s + 1, {span}), t)))")
+    return index.beside(index.places(span)).withColumn("around", around).filter(inside).join(index.items, "phrase").select("row", "doc_id", "item_id").distinct().select("doc_id", "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, percent: int = 5) -> DataFrame:
     """One row per document: row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated (hit words are ``percent`` of all or more)."""
     index = Index(docs, windows_of(items), Scratch(docs.sparkSession, "decontaminate"))
-    hits = index.matches().groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.collect_set("item_ids").alias("items"))
-    hits = hits.select(
-        F.col("row"),
-        F.expr("aggregate(array_sort(spans), named_struct('end', 0, 'hit', 0L), (a, x) -> named_struct('end', greatest(a.end, x.start + x.n), 'hit', a.hit + greatest(0, x.start + x.n - greatest(a.end, x.start))), a -> a.hit)").alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten("items"))).alias("ids"),
+    found = index.scratch.keep(index.matches().select("row", "start", "n", "phrase"), "matches")
+    named = found.select("row", "phrase").distinct().join(_sized(index.items, index.items.count()), "phrase").filter("item_id is not null").select("row", "item_id").distinct()
+    named = named.groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    hits = found.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spans")).join(named, "row", "left").select(
+        "row", "ids",
+        F.expr("aggregate(array_sort(spans), named_struct('end', 0L, 'hit', 0L), (a, x) -> named_struct('end', greatest(a.end, x.start + x.n), 'hit', a.hit + greatest(0L, x.start + x.n - greatest(a.end, x.start))), a -> a.hit)").alias("hit"),
     )
-    rows = index.postings.select("row", "doc_id", "n_words").distinct()
+    rows = index.words.select("row", "doc_id", F.size("w").alias("n_words"))
     n_hit, ids = F.coalesce("hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return rows.join(hits, "row", "left").select(
         "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),

@@ -1,8 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 A page is parsed into a tree of elements. Every paragraph passes points, one and more for its length and its commas, to its parent
-and half of them to its grandparent; a container's points are discounted by the share of its text that lies in links. The best container is the article; siblings
-that score a fraction of it, or are prose paragraphs themselves, belong to it. Elements that never hold an article (menus, headers and
+and half of them to its grandparent; a container's points are discounted by the share of its text that lies in links. The best container
+is the article; what stands beside it in the same parent, bare text among it, belongs to it unless most of it lies in links. Elements that never hold an article (menus, headers and
 footers of the page, sidebars, forms, scripts, styles, and what classes, ids or roles name as notices, adverts or reader
 comments) are cut out first.
 
@@ -10,14 +10,15 @@ Within the article text is gathered block by block: character references are dec
 breaks of br among it) becomes one space, and blocks are joined in page order by a line break. A page without any container that scores gives all the text that was not cut.
 
 Null or empty HTML gives an empty text. Broken markup, stray or missing end tags and very deep nesting are read as browsers mostly do;
-nothing is dropped for length. Rows are judged one by one, so repeated rows stay; an empty table gives an empty result.
+nothing is dropped for length, and the time is in proportion to it at any depth. Rows are judged one by one, so repeated rows stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "htm
 PARAGRAPHS = frozenset("p pre td blockquote dd li".split())
 #: An open element of these names ends when one of its partners begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+TABLES = ("table", "td", "th")
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 #: Words of classes, ids and roles that name what is no article.
 UNLIKELY = re.compile(
@@ -46,16 +48,18 @@ LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articles?-?body|entry|entry-?conten
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|$)|!\[CDATA\[(?:.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$))", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.S)
 _SPACE = re.compile(r"\s+")
-SPREAD = 0.2
+#: The share of an element's text in links from which it is no part of an article.
+LINKED = 0.5
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parent", "children", "score", "chars", "linked", "cut")
+    __slots__ = ("name", "attrs", "parent", "children", "score", "chars", "linked", "cut", "inside")
 
     def __init__(self, name: str, attrs: str, parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
         self.children: list = []
         self.score, self.chars, self.linked, self.cut = 0.0, 0, 0, False
+        self.inside = parent is not None and (parent.inside or parent.name in ("article", "main", "section"))
 
     def named(self) -> str:
         """Class, id and role."""
@@ -69,12 +73,32 @@ class Node:
         return " ".join(found[k] for k in ("class", "id", "role") if k in found)
 
 
+class _Open:
+    """The open elements, and the places of those of each name among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.name].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost of these, 0 if none is open."""
+        return max((p[-1] for x in names if (p := self.places.get(x))), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at this place and all inside it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().name].pop()
+
+
 def parse(text: str) -> Node:
     root = Node("html", "", None)
-    here, at, n = root, 0, len(text)
+    stack, at, n = _Open(root), 0, len(text)
     while at < n:
         m = _TAG.search(text, at)
-        start = m.start() if m else n
+        here, start = stack.nodes[-1], m.start() if m else n
         if start > at:
             here.children.append(text[at:start])
         if not m:
@@ -89,28 +113,21 @@ def parse(text: str) -> Node:
             if name == "br":
                 here.children.append(Node("br", "", here))
                 continue
-            up = here
-            while up is not root and up.name != name and not (up.name in ("table", "td", "th") and name not in BLOCK):
-                up = up.parent
-            if up.name == name and up is not root:
-                here = up.parent
+            place = stack.last((name,))
+            if place and (name in BLOCK or place > stack.last(TABLES)):
+                stack.close(place)
             continue
         if name in ("html", "body"):
             continue
         if name in CLOSES_P:
-            up = here
-            while up is not root and up.name not in ("table", "td", "th", "button", "object"):
-                if up.name == "p":
-                    here = up.parent
-                    break
-                up = up.parent
+            place = stack.last(("p",))
+            if place > stack.last((*TABLES, "button", "object")):
+                stack.close(place)
         if name in SIBLINGS:
-            up, fence = here, FENCE[name]
-            while up is not root and up.name not in fence:
-                if up.name in SIBLINGS[name]:
-                    here = up.parent
-                    break
-                up = up.parent
+            place = stack.last(SIBLINGS[name])
+            if place > stack.last(FENCE[name]):
+                stack.close(place)
+        here = stack.nodes[-1]
         node = Node(name, m[3], here)
         here.children.append(node)
         if name in RAW:
@@ -118,7 +135,7 @@ def parse(text: str) -> Node:
             node.children.append(text[at : end.start() if end else n])
             at = end.end() if end else n
         elif name not in VOID and not m[3].endswith("/"):
-            here = node
+            stack.push(node)
     return root
 
 
@@ -128,11 +145,8 @@ def _walk(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         if node is not root:
-            inside = node.parent
-            while inside is not root and inside.name not in ("article", "main", "section"):
-                inside = inside.parent
             named = node.named()
-            page_header = node.name == "header" and inside is root
+            page_header = node.name == "header" and not node.inside
             node.cut = node.name in CUT or page_header or bool(named and node.name not in ("article", "main", "body") and UNLIKELY.search(named) and not (LIKELY.search(named) and not re.search("comment|sidebar|widget|footer", named, re.I)))
             if node.cut:
                 continue
@@ -150,12 +164,13 @@ def _measure(nodes: list[Node]) -> None:
 
 
 def _plain(node: Node) -> str:
+    """Text of an inline element; what blocks hold inside it is counted where they stand."""
     out, todo = [], [node]
     while todo:
         x = todo.pop()
         if type(x) is str:
             out.append(x)
-        elif not x.cut:
+        elif x is node or not (x.cut or x.name in BLOCK):
             todo.extend(reversed(x.children))
     return "".join(out)
 
@@ -182,7 +197,7 @@ def _weight(node: Node) -> float:
     return base * 1.5 if node.name in ("article", "main") or LIKELY.search(node.named()) else base
 
 
-def blocks(roots: list[Node]) -> list[str]:
+def blocks(roots: list) -> list[str]:
     """Texts of the blocks below, in page order."""
     out: list[str] = []
     held: list[str] = []
@@ -222,7 +237,7 @@ def main_text(page: str | None) -> str:
     best = max((x for x in nodes if x.score > 0), key=_weight, default=None)
     if best is None:
         return "\n".join(blocks([root]))
-    chosen: list[Node] = [best]
+    chosen: list = [best]
     # an article element around the best container is the article
     up = best.parent
     while up is not None and up is not root:
@@ -230,14 +245,7 @@ def main_text(page: str | None) -> str:
             chosen = [best := up]
         up = up.parent
     if best.parent is not None and best.name not in ("article", "main"):
-        least = max(10.0, _weight(best) * SPREAD)
-        chosen = []
-        for x in best.parent.children:
-            if type(x) is not Node or x.cut:
-                continue
-            prose = x.name in ("p", "h1", "h2", "h3", "blockquote", "pre") and _density(x) < 0.25 and x.chars > 0
-            if x is best or _weight(x) >= least or prose:
-                chosen.append(x)
+        chosen = [x for x in best.parent.children if type(x) is str or x is best or not (x.cut or _density(x) > LINKED)]
     return "\n".join(blocks(chosen))
 
 

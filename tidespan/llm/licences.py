@@ -14,6 +14,7 @@ judged one by one, so repeated rows and ids are kept; an empty table gives an em
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,6 +53,7 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 _LEAD = re.compile(r"[\s:=\"'*/#-]*(?=[^\n\r\"'<>*;,])")
 _PART = re.compile(r"[^\n\r\"'<>*;,()A-Za-z0-9.+-]*([()]|[A-Za-z0-9.+-]+(?::[A-Za-z0-9.+-]+)?)")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t*/#;!-]*(?=[(A-Za-z0-9])")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -92,27 +94,31 @@ class Expression:
         return bool(stack) and all(stack)
 
 
-def _tokens(text: str, at: int) -> Iterator[str]:
-    """Names, operators and brackets from ``at`` on, up to the end of the line or a character that ends an expression."""
-    while m := _PART.match(text, at):
-        yield m[1]
-        at = m.end()
-
-
 def parse(text: str, at: int = 0) -> Expression:
-    """Shunting-yard over the longest well-formed stretch of ``text`` from ``at``: names and operators must alternate. Nothing is read beyond it."""
+    """Shunting-yard over the longest well-formed stretch of ``text`` from ``at``: names and operators must alternate. Nothing is read beyond it.
+
+    A line's end, or a character that cannot stand in an expression, ends it; but after an operator and inside brackets it goes on in
+    the next line, behind the marks of a comment.
+    """
     out: list[str] = []
     hold: list[str] = []
-    name_next, done = True, (0, 0)
-    for part in _tokens(text, at):
+    name_next, depth = True, 0
+    while True:
+        if (depth or name_next and hold) and (m := _NEXT_LINE.match(text, at)):
+            at = m.end()
+        if not (m := _PART.match(text, at)):
+            break
+        part, at = m[1], m.end()
         x = part.lower().rstrip(".") or part
         if x == "(":
             if not name_next:
                 break
             hold.append(x)
+            depth += 1
         elif x == ")":
-            if name_next or "(" not in hold:
+            if name_next or not depth:
                 break
+            depth -= 1
             while (y := hold.pop()) != "(":
                 out.append(y)
         elif x in _BINDS:
@@ -164,15 +170,13 @@ class Scanner:
                     labels.add(label)
                 else:
                     tags.append(end)
-        if places or tags:
-            ends = [line.count(" ", 0, p) for p in places]
-            first, last = (min(ends), max(ends)) if places else (None, None)
-        else:
-            first = last = None
+        # the start of a match in the line is the space before its first word
+        first, last = (line.count(" ", 0, p) for p in (min(places), max(places))) if places else (None, None)
         if tags:
             spots = [m.end() for m in WORD.finditer(low)]
+            spaces = [i for i, c in enumerate(line) if c == " "]
             for end in tags:
-                after = _LEAD.match(text, spots[line.count(" ", 0, end) - 1])
+                after = _LEAD.match(text, spots[bisect_left(spaces, end) - 1])
                 if after and (e := parse(text, after.end())).postfix:
                     expressions.append(e)
                     labels.update(e.licences)

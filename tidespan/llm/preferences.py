@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from tidespan.llm.scratch import Scratch
 
 
+#: Openings of more than one block up to which their table is broadcast (some 90 bytes a row); a shuffled join serves beyond.
+BROADCAST_OPENINGS = 100_000
+
+
 @dataclass(frozen=True)
 class ChatConfig:
     begin: str = "<|im_start|>"
@@ -46,15 +50,17 @@ def _deal(rows: DataFrame, step: str, cfg: ChatConfig, scratch: Scratch) -> tupl
     """rows: conv_id, score, opening -> pairs within openings, and the one conversation at most that each opening leaves over."""
     done: list[DataFrame] = []
     while True:
-        blocks = scratch.keep(rows.groupBy("opening").agg(F.ceil(F.count("*") / max(2, cfg.block)).alias("blocks")), "blocks")
-        placed = rows.join(blocks, "opening").withColumn("b", F.pmod(F.xxhash64("conv_id"), "blocks"))
+        blocks = scratch.keep(rows.groupBy("opening").agg(F.ceil(F.count("*") / max(2, cfg.block)).alias("blocks")).filter("blocks > 1"), "blocks")
+        many = F.broadcast(blocks) if blocks.count() <= BROADCAST_OPENINGS else blocks
+        placed = rows.join(many, "opening", "left").withColumn("b", F.coalesce(F.pmod(F.xxhash64("conv_id"), "blocks"), F.lit(0)))
+        placed = placed.repartition("opening", "b")  # a join on the opening must not deal the blocks of one opening to one task
         w = Window.partitionBy("opening", "b")
         placed = scratch.keep(placed.withColumn("r", F.row_number().over(w.orderBy("conv_id"))).withColumn("n", F.count("*").over(w)), "placed")
         odd = "r = n and n % 2 = 1"
         pair = F.concat_ws(":", F.lit(f"{step}{len(done)}"), "opening", "b", F.floor((F.col("r") + 1) / 2))
         done.append(placed.filter(f"not ({odd})").select("conv_id", "score", pair.alias("pair")))
         rows = placed.filter(odd).select("conv_id", "score", "opening")
-        if blocks.filter("blocks > 1").isEmpty():
+        if blocks.isEmpty():
             return done, rows
 
 

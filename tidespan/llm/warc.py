@@ -2,8 +2,9 @@
 
 Each page becomes three records: a request, a response (or a revisit, where an equal payload is a response elsewhere) and a metadata
 record; the last two name the request in WARC-Concurrent-To. Spark's text writer puts the records, each followed by two line ends,
-into gzip files on any file system it knows; reading goes by Content-Length, so payloads may hold anything. Assembly joins the three
-records of a capture through the identifiers into one nested row.
+into gzip files on any file system it knows (one member a file, as that writer makes them). Reading takes archives of any number of
+members, a member a record among them, inflates them piece by piece and goes by Content-Length, so payloads may hold anything.
+Assembly joins the three records of a capture through the identifiers into one nested row.
 
 Payloads are the bytes of ``html`` in UTF-8, null and empty alike empty. Equal payloads elect the largest page_id; smaller ones than
 ``least_bytes`` are all responses. Rows that repeat the elected id are responses too, rows without an id are revisits of it; where no row of
@@ -25,7 +26,7 @@ from tidespan.llm.scratch import Scratch, slices
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Bytes of records in one file, about; a reader holds one file at a time.
+#: Bytes of records in one file, about; a reader holds one compressed file and one record at a time.
 FILE_BYTES = 32 << 20
 #: Payloads with copies up to which the elected ids are broadcast (some 60 bytes each); a shuffled join serves beyond.
 BROADCAST_HEADS = 200_000
@@ -65,7 +66,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for r in batch.to_pylist():
             uri, sha, body = _clean(r["url"]), r["payload_digest"], r["html"] or ""
-            request, own = _id("request", r["row"]), _id("page", r["page_id"] if r["page_id"] is not None else f"row {r['row']}")
+            request, own = _id("request", r["row"]), _id("page", sha, r["page_id"]) if r["row"] == r["head_row"] else _id("row", r["row"])
             path = "/" + uri.partition("://")[2].partition("/")[2].partition("#")[0]
             ask = f"GET {path} HTTP/1.1\r\nHost: {uri.partition('://')[2].partition('/')[0]}{END}"
             out.append(_head("request", request, uri, "application/http; msgtype=request", len(ask.encode()), []) + ask)
@@ -74,7 +75,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["refers_to"] is None:
                 out.append(_head("response", own, uri, "application/http; msgtype=response", len(http) + r["payload_bytes"], more) + http + body)
             else:
-                more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _id("page", r["refers_to"]))]
+                more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _id("page", sha, r["refers_to"]))]
                 out.append(_head("revisit", _id("revisit", r["row"]), uri, "application/http; msgtype=response", len(http), more) + http)
             told = f"pageId: {'' if r['page_id'] is None else r['page_id']}\r\npayloadBytes: {r['payload_bytes']}\r\n"
             told += "" if r["refers_to"] is None else f"refersToPageId: {r['refers_to']}\r\n"
@@ -85,9 +86,10 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(pages: DataFrame, path: str, scratch: Scratch, least_bytes: int = 0) -> None:
     """pages: page_id, url, html. Files of gzip-compressed records under ``path``."""
     rows = pages.select("page_id", "url", "html")
-    narrow = scratch.keep(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, html string, payload_digest string, payload_bytes long").drop("html"), "digests")
+    narrow = rows.select("page_id", "html").mapInArrow(_digests, "page_id long, html string, payload_digest string, payload_bytes long").drop("html")
+    narrow = scratch.keep(narrow.withColumn("row", F.monotonically_increasing_id()), "digests")
     total = narrow.agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("b")).first()
-    heads = narrow.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("page_id").alias("head")).filter("n > 1 and head is not null").select("payload_digest", "head")
+    heads = narrow.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("m")).filter("n > 1 and m is not null").select("payload_digest", F.col("m.page_id").alias("head"), F.col("m.row").alias("head_row"))
     heads = scratch.keep(heads, "heads")
     keyed = rows.mapInArrow(_digests, "page_id long, url string, html string, payload_digest string, payload_bytes long").withColumn("row", F.monotonically_increasing_id())
     keyed = keyed.join(F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads, "payload_digest", "left")
@@ -96,21 +98,51 @@ def write(pages: DataFrame, path: str, scratch: Scratch, least_bytes: int = 0) -
     keyed.mapInArrow(_records, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(3 * FILE_BYTES / size))).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with names in lower case, block) of every record of an uncompressed archive."""
-    at, n = 0, len(data)
-    while at < n:
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
+def inflate(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of all gzip members of a file, piece by piece; an archive that is not compressed as it is."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            part = view[at : at + step]
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
+        while at < len(view) and view[at] == 0:  # padding between members
+            at += 1
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with names in lower case, block) of every record of an archive; a record cut off at the end gives what there is of its block."""
+    held, at = bytearray(), 0
+
+    def until(enough) -> bool:
+        """Reads on until enough() holds or nothing is left."""
+        nonlocal held, at
+        while not enough():
+            if (piece := next(pieces, None)) is None:
+                return False
+            del held[:at]
+            at = 0
+            held += piece
+        return True
+
+    while True:
+        while until(lambda: len(held) > at) and held[at] in b"\r\n":
+            at += 1
+        if not until(lambda: held.find(b"\r\n\r\n", at) >= 0):
             return
+        start = held.index(b"\r\n\r\n", at) + 4
         head: dict[str, str] = {}
-        for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[at : start - 4].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             head.setdefault(k.strip().lower(), v.strip())
-        start = head_end + 4
-        end = start + int(head.get("content-length", 0))
-        yield head, data[start:end]
-        at = end + 4
+        at, size = start, int(head.get("content-length", 0))
+        until(lambda: len(held) - at >= size)
+        yield head, bytes(held[at : at + size])
+        at = min(at + size, len(held))
 
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, payload_bytes long, payload_digest string, page_id long, told_bytes long, refers_to_page long, payload binary"
@@ -124,7 +156,7 @@ def read(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for head, block in parse(zlib.decompressobj(31).decompress(content.as_py())):
+                for head, block in parse(inflate(content.as_py())):
                     kind, r = head.get("warc-type"), dict.fromkeys(k for k, _ in _KINDS)
                     r |= {"record_id": head.get("warc-record-id"), "type": kind, "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"), "uri": head.get("warc-target-uri"), "date": head.get("warc-date")}
                     if kind == "response":
