@@ -244,7 +244,7 @@ URLS = [None, "", "no scheme", "http://Example.COM/en/x", "https://www.example.c
 
 def test_fixed_rules_match_brute_force(spark):
     pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate([*URLS, *URLS])], "page_id long, url string, host string, rule string")
-    got = url_rules.judge(pages, spark.createDataFrame([], "doc_id long, quality int"))
+    got = url_rules.judge(pages, spark.createDataFrame([], "page_id long, bad int"))
     for r in got.collect():
         host, path, rule, verdict = brute_rule([*URLS, *URLS][r.page_id])
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or "allow")
@@ -253,7 +253,7 @@ def test_fixed_rules_match_brute_force(spark):
 
 def test_mined_rules_block_what_labels_say(spark):
     rows = [(i, f"http://{'free-bets' if i % 5 == 0 else 'news'}.site{i % 3}.org/p/{i}") for i in range(400)]
-    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), 0) for i in range(300)], "page_id long, bad int, n int")
     got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
     assert all((got[i].verdict == "block") == (i % 5 == 0) for i in range(400)) and got[395].mined_rule and got[395].confidence >= 0.6
 
@@ -263,32 +263,49 @@ def test_tokens_that_are_bad_only_together(spark):
     kinds = [("x", "news", 0), ("x", "offers", 1), ("y", "offers", 0), ("y", "news", 1), ("z", "news", 0), ("z", "offers", 0), ("z", "other", 1)]
     rows = [(i, f"http://{h}.org/{d}/{i}", 1 - bad) for i, (h, d, bad) in enumerate(kinds * 40) if not (h, d) == ("z", "other") or i % 2]
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"), url_rules.UrlConfig(lift=1.5)).collect()}
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame([(r[0], 1 - r[2]) for r in rows], "page_id long, bad int"), url_rules.UrlConfig(lift=1.5)).collect()}
     assert all((got[i] == "block") == (not good) for i, _, good in rows)
 
 
-@pytest.mark.parametrize("bad_of_ten", [6, 9, 10])
+def test_random_labels_yield_no_rule(spark):
+    from tidespan.llm.scratch import Scratch
+
+    rng = random.Random(2)
+    for share in (0.1, 0.5, 0.9):
+        rows = [(rng.sample("abcdefghijkl", 5), int(rng.random() < share)) for _ in range(2000)]
+        assert url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad int"), url_rules.UrlConfig(), Scratch(spark, "t")).isEmpty()
+
+
+def test_fixed_rules_teach_what_they_do_not_reach(spark):
+    rows = [(i, f"http://s{i}.net/{d}/x") for i, d in enumerate(["es", "fr", "de"] * 40)] + [(500 + i, f"http://t{i}.org/blog/{d}/x") for i, d in enumerate(["es", "de"] * 5)] + [(600 + i, f"http://u{i}.com/news") for i in range(200)] + [(900, "http://z.net/blog/es/" + "long" * 50_000)]
+    got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[i].verdict == ("allow" if i % 3 == 2 else "block") for i in range(120)) and got[900].verdict == "block" and got[900].rule is None and got[900].mined_rule
+
+
+@pytest.mark.parametrize("bad_of_ten", [6, 9])
 def test_rules_at_high_base_rates(spark, bad_of_ten):
     rows = [(i, f"http://{'bets' if i % 10 < bad_of_ten else 'news'}.org/p/{i}", int(i % 10 >= bad_of_ten)) for i in range(200)]
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")).collect()}
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame([(r[0], 1 - r[2]) for r in rows], "page_id long, bad int")).collect()}
     assert all((got[i] == "block") == (not good) for i, _, good in rows)
 
 
 def test_rules_match_brute_force(spark):
     from itertools import combinations
+    from math import exp, log
 
     from tidespan.llm.scratch import Scratch
 
     rng = random.Random(3)
     rows = [(tokens := sorted(rng.sample("abcdefg", rng.randint(1, 6))), int(rng.random() < (0.9 if {"a", "b"} <= set(tokens) else 0.2))) for _ in range(300)]
     rows = [([*t, *(x.upper() for x in t if x == "a")], b) for t, b in rows]
-    cfg, base, share = url_rules.UrlConfig(support=0.02, confidence=0.5, lift=1.2), sum(b for _, b in rows) / 300, {}
-    for k in range(1, 8):
-        for c in combinations("abcdefg", k):
-            met = [b for t, b in rows if set(c) <= set(t)]
-            if sum(met) >= 6 and sum(met) / len(met) >= url_rules.least_confidence(base, cfg):
-                share[c] = sum(met) / len(met)
+    cfg, base, share = url_rules.UrlConfig(support=0.02, least_pages=2, alpha=0.05, confidence=0.5, lift=1.2), sum(b for _, b in rows) / 300, {}
+    sets = {c: met for k in range(1, 8) for c in combinations("abcdefg", k) if sum(met := [b for t, b in rows if set(c) <= set(t)]) >= 6}
+    for c, met in sets.items():
+        s = sum(met) / len(met)
+        nats = s * log(s / base) + ((1 - s) * log((1 - s) / (1 - base)) if s < 1 else 0)
+        if s >= url_rules.least_confidence(base, cfg) and s > base and exp(-len(met) * nats) * len(sets) <= cfg.alpha:
+            share[c] = s
     want = {c for c, x in share.items() if not any(share.get(c[:i] + c[i + 1 :], 0) >= x for i in range(len(c)))}
     got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad int"), cfg, Scratch(spark, "t")).collect()
     assert {tuple(sorted(i[-1].lower() for i in r["items"])) for r in got} == want and any(len(c) > 1 for c in want)

@@ -11,7 +11,7 @@ from tidespan.llm.scratch import table
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,27 @@
 """URL filters: fixed host and path rules, then association rules mined from labels, in DataFrame functions only.
 
+The labels are those of URLs: a page is bad if a fixed rule blocks it, any other counts as good, and a caller may pass labels of pages by
+their ids. (Labels of documents say nothing of pages, whose ids are numbers of another kind.) Rules carry the outcome over to pages
+that no fixed rule reaches.
+
 A URL becomes a set of tokens (scheme, host parts, parts of host names, path, query and fragment). The tokens of labelled pages with
 the outcome as one more token are the transactions; Spark's FP-growth mines the token combinations that are frequent together with the
 bad outcome, from the bad pages (no token is left out but for its own support there, which bounds that of all its combinations), and they
-are counted among all labelled pages. Rules whose consequent is the bad outcome are kept if their support, confidence and lift suffice
-and no shorter rule inside them is as confident (pruning). Tokens of the same labelled pages are one item, which a URL has if it has any
+are counted among all labelled pages. Rules whose consequent is the bad outcome are kept if their support, confidence and lift suffice,
+if chance does not explain them, and if no shorter rule inside them is as confident (pruning). For the last but one, the Chernoff bound
+of the binomial tail, which never understates the p-value (n pages, a share s of them bad, base share b: exp(-n KL(s, b))), times the number of token sets
+mined (Bonferroni) must not exceed alpha. Where all labelled pages are bad nothing differs from chance and no rule is kept. Tokens of the same labelled pages are one item, which a URL has if it has any
 of them: a rule with two of them would be pruned. Rules are matched by an inverted index: each rule is entered under its rarest item, a
 URL looks its tokens up and the rest of a rule's items is checked on the URL's own set. A page takes the verdict of its longest fixed
 rule, else ``block`` if a mined rule matches, else ``allow``.
 
 URLs are judged once each, however often they occur. Null URLs and URLs without ``://`` have an empty host and path, fit no fixed rule
-and are judged by what tokens they have. Without labels nothing is mined and all such pages are allowed. Repeated rows stay.
+and are judged by what tokens they have. Where no page is bad nothing is mined and all such pages are allowed. Repeated rows stay.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -32,7 +39,9 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 class UrlConfig:
     rules: tuple[tuple[str, str, str], ...] = RULES
     support: float = 0.002
-    confidence: float = 0.6
+    least_pages: int = 20  # bad pages that a rule needs, whatever the support
+    alpha: float = 0.01
+    confidence: float = 0.75
     lift: float = 2.0
     longest: int | None = None  # items in a rule; no bound if None
 
@@ -81,12 +90,12 @@ def mine(labelled: DataFrame, cfg: UrlConfig, scratch: Scratch) -> DataFrame:
     rows = scratch.keep(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled")
     total = rows.count()
     base = rows.agg(F.avg("bad")).first()[0] or 0.0
-    least = max(2, int(cfg.support * total))
+    least = max(cfg.least_pages, math.ceil(cfg.support * total))
     each = rows.select("row", F.explode("tokens").alias("t"), "bad").groupBy("t").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), *[F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (1, 2)])
     # what all labelled pages have lifts nothing, and a rule is as confident without it
-    useful = each.filter((F.col("bad") >= least) & ((F.col("n") < total) | F.lit(base == 1.0)))
+    useful = each.filter((F.col("bad") >= least) & (F.col("n") < total))
     items = scratch.keep(useful.groupBy("n", "bad", "x1", "x2").agg(F.array_sort(F.collect_list("t")).alias("any")).select(F.col("any")[0].alias("item"), "any", "n"), "items")
-    if items.isEmpty():
+    if base >= 1.0 or items.isEmpty():
         return scratch.keep(labelled.select(F.array("tokens").alias("items"), F.lit("").alias("anchor"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0), "rules")
     have = rows.select("row", "bad", F.explode("tokens").alias("item")).join(items.select("item"), "item").groupBy("row", "bad").agg(F.array_sort(F.collect_set("item")).alias("have"))
     have = scratch.keep(have.groupBy("have", "bad").agg(F.count("*").alias("n")), "transactions")
@@ -98,7 +107,10 @@ def mine(labelled: DataFrame, cfg: UrlConfig, scratch: Scratch) -> DataFrame:
     met = have.select("have", "n", F.explode("have").alias("anchor")).join(frequent.select("tokens", "anchor"), "anchor").filter(F.forall("tokens", lambda t: F.array_contains(F.col("have"), t)))
     counts = met.groupBy("tokens").agg(F.sum("n").alias("n"))
     rules = frequent.join(counts, "tokens").select("tokens", "anchor", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / total).alias("support"))
-    rules = scratch.keep(rules.filter(F.col("confidence") >= least_confidence(base, cfg)), "mined")
+    good, s = 1 - base, F.col("confidence")
+    nats = s * F.log(s / base) + F.when(s < 1, (1 - s) * F.log((1 - s) / good)).otherwise(0.0)
+    beyond_chance = F.round(F.col("support") * total) / s * nats >= math.log(max(1, frequent.count()) / cfg.alpha)
+    rules = scratch.keep(rules.filter((s >= least_confidence(base, cfg)) & (s > base) & beyond_chance), "mined")
     # a rule is pruned if one of its one-token-shorter rules is as confident
     shorter = rules.filter("size(tokens) > 1").select("tokens", F.explode("tokens").alias("t")).select("tokens", F.array_remove("tokens", F.col("t")).alias("inner"))
     beaten = shorter.join(rules.select(F.col("tokens").alias("inner"), F.col("confidence").alias("c")), "inner").groupBy("tokens").agg(F.max("c").alias("c"))
@@ -108,15 +120,22 @@ def mine(labelled: DataFrame, cfg: UrlConfig, scratch: Scratch) -> DataFrame:
     return scratch.keep(out.select("items", F.explode("any").alias("anchor"), "confidence", "support"), "rules")
 
 
-def judge(pages: DataFrame, labels: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, then the best mined rule's confidence and tokens (null if none matches)."""
+def judge(pages: DataFrame, labels: DataFrame | None = None, cfg: UrlConfig = UrlConfig()) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, then the best mined rule's confidence and tokens (null if none matches).
+
+    labels: page_id, bad (0 or 1), pages' own labels; where given, rules are mined from these pages alone.
+    """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(1 - F.col("quality")).alias("bad"))
-    rules = mine(rows.join(known, "page_id").select(url_tokens().alias("tokens"), F.col("bad").cast("int").alias("bad")), cfg, scratch)
     rule, verdict = fixed_rule(cfg)
     open_ = rows.withColumn("rule", rule).withColumn("fixed", verdict)
+    told = open_.withColumn("own", F.lit(None).cast("int"))
+    if labels is not None:
+        own = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("int").alias("own"))
+        told = open_.join(own, "page_id")
+    bad = F.coalesce("own", F.coalesce(F.col("fixed") == "block", F.lit(False)).cast("int"))
+    rules = mine(told.withColumn("bad", bad).filter("url is not null").select(url_tokens().alias("tokens"), "bad"), cfg, scratch)
     # inverted index: the URLs that no fixed rule decides look up the rules entered under their tokens
     urls = open_.filter("fixed is null and url is not null").select("url", "host", "path").distinct().select("url", url_tokens().alias("have"))
     met = urls.select("url", "have", F.explode("have").alias("anchor")).join(rules, "anchor").filter(F.forall("items", lambda i: F.arrays_overlap(F.col("have"), i)))
