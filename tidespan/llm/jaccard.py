@@ -189,13 +189,13 @@ class _Join:
         self.links: DataFrame | None = None
 
     def regions(self) -> DataFrame:
-        """(region, node, size, t, n) of the regions of n nodes, two or more. Of copies one row enters; lists of rows and regions are broadcast up to a counted bound, so that the keys cross the network once, as bare counts."""
+        """(region, node, size, t, n) of the regions of n nodes, two or more. Of copies one row enters. The keys cross the network twice, first as bare counts, then as (region, row) for the regions that are shared."""
         copies = self.scratch.keep(self.signed.select("node", "row").join(self.nodes.filter("n > 1").select("node", F.col("row").alias("first")), "node").filter("row <> first").select("row"), "copies")
         once = self.signed.filter("node is not null").join(_listed(copies), "row", "left_anti")
         keyed = once.select(F.explode("keys").alias("region"), "row")
         shared = self.scratch.keep(keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
         self.scratch.drop()
-        held = self.scratch.keep(keyed.join(_listed(shared), "region"), "held")
+        held = self.scratch.keep(keyed.join(shared.hint("merge"), "region"), "held")  # the same way at every size
         self.scratch.drop(self.signed, copies, shared)  # the keys, the largest table, are not needed again
         regions = self.scratch.keep(held.join(self.nodes.select("row", "node", "size", "t"), "row").drop("row"), "regions")
         self.scratch.drop(held)
