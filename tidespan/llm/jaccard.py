@@ -11,7 +11,7 @@ more differ in at most (1 - s) / (1 + s) * (|a| + |b|) elements. The join narrow
    whose contents agree in a cell share a region. How many cells must agree follows from the sizes of a pair, and rules most pairs
    out. Pairs that meet in a small region are tested there; a document enters large regions only if it has as many of them as a
    pair needs that meets in no small one.
-3. Voronoi regions. Large regions with the same first document form a group. Groups over a bound get documents as pivots; every
+3. Voronoi regions. Large regions led by the same document form a group. Groups over a bound get documents as pivots; every
    document belongs to its nearest pivot, and enters the region of another as a boundary copy where the triangle inequality lets a
    partner lie there: it is at most twice the link distance farther from that pivot than from its own, and no farther than the
    region's radius and the link distance. Documents linked to one pivot are connected by it and need not meet again, so regions
@@ -238,12 +238,13 @@ class _Join:
     def solve(self) -> DataFrame:
         """node, label: the least node of the component, for every node with links. ``links`` then holds links that span all components."""
         regions = self.regions()
-        large = regions.filter(f"n > {SMALL_GROUP}").select("region", "node")
-        many = self.scratch.keep(large.groupBy("node").agg(F.count("*").alias("large")).join(self.nodes.select("node", "need"), "node"), "many")
+        large = regions.filter(f"n > {SMALL_GROUP}").select("region", "node", "n")
+        many = self.scratch.keep(large.groupBy("node").agg(F.count("*").alias("large"), F.sum("n").alias("met")).join(self.nodes.select("node", "need"), "node"), "many")
         pairs = self.scratch.keep(self.small_pairs(regions.filter(f"n <= {SMALL_GROUP}"), many), "pairs")
         # pairs that meet in no small region are left: all the cells in which such a pair agrees are large regions of both
-        large = large.join(_listed(many.filter("large >= need").select("node")), "node", "left_semi")
-        least = large.groupBy("region").agg(F.min("node").alias("g"), F.count("*").alias("n")).filter("n > 1").select("region", "g")
+        large = large.select("region", "node").join(_listed(many.filter("large >= need").select("node", "met")), "node")
+        # the document that meets most others leads a region, so regions of near copies have few leaders and copies are in few groups
+        least = large.groupBy("region").agg(F.max(F.struct("met", "node"))["node"].alias("g"), F.count("*").alias("n")).filter("n > 1").select("region", "g")
         rows = self.scratch.keep(large.join(_listed(least), "region").select("g", "node", F.lit(None).cast("long").alias("known")).distinct(), "groups")
         self.scratch.drop(regions, many)
         self.hashes = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")))
@@ -337,12 +338,13 @@ class _Join:
         seen = self.scratch.keep(seen, "seen")
         links = seen.filter("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         each = seen.select("g", "node", "known", "linked", "size", "r", "t", F.explode("res").alias("e"))
-        other = self.scratch.keep(each.filter("not linked").groupBy("g", "e").agg(F.count("*").alias("k")), "other")
-        tied = each.filter("linked").join(other.select("g", "e"), ["g", "e"], "left_semi").groupBy("g", "e").agg(F.count("*").alias("k"))
-        rare = self.scratch.keep(other.union(tied).groupBy("g", "e").agg(F.sum("k").alias("k")), "counts")
-        placed = each.join(rare.filter("k > 1"), ["g", "e"]).select("g", "node", "known", "linked", "size", "r", "t", "e", "k")
-        alone = each.filter("not linked").join(rare.filter("k = 1").select("g", "e"), ["g", "e"], "left_semi").groupBy("g", "node").agg(F.count("*").alias("alone"))
-        placed = placed.join(alone, ["g", "node"], "left").withColumn("rank", F.coalesce("alone", F.lit(0)) + F.row_number().over(Window.partitionBy("g", "node").orderBy("k", "e")))
+        counts = each.groupBy("g", "e").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("others"), F.min("node").alias("node"))
+        counts = self.scratch.keep(counts.filter("others > 0"), "counts")
+        alone = counts.filter("k = 1").groupBy("g", "node").agg(F.count("*").alias("alone"))
+        # who has more elements of its own than a partner may lack has no partner
+        open_ = seen.join(alone, ["g", "node"], "left").filter("coalesce(alone, 0) <= t").select("g", "node", "known", "linked", "size", "r", "t", "alone", F.explode("res").alias("e"))
+        placed = open_.join(counts.filter("k > 1").select("g", "e", "k"), ["g", "e"])
+        placed = placed.withColumn("rank", F.coalesce("alone", F.lit(0)) + F.row_number().over(Window.partitionBy("g", "node").orderBy("k", "e")))
         probe = self.scratch.keep(placed.filter("rank <= t + 1").select("g", F.xxhash64("g", "e").alias("h"), "node", "known", "linked", "size", "r", (F.col("rank") <= F.floor(F.col("t") / 2) + 1).alias("index")), "probe")
         sizes = self.scratch.keep(probe.groupBy("h").agg(F.count("*").alias("n"), F.max("index").alias("index"), F.min("linked").alias("linked")).filter("n > 1 and index and not linked").select("h", "n"), "sizes")
         small = probe.join(sizes.filter(f"n <= {SMALL_GROUP}").select("h"), "h")
@@ -354,7 +356,7 @@ class _Join:
         tested = pairs.join(ends[0], ["g", "a"]).join(ends[1], ["g", "b"]).filter((den + num) * apart <= (den - num) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
         found = self.scratch.keep(tested.union(links), "found")
         deeper = self.scratch.keep(probe.join(sizes.filter(f"n > {SMALL_GROUP}").select("h"), "h").select(F.col("h").alias("g"), "node", "known"), "groups")
-        self.scratch.drop(pivot, res, seen, other, rare, probe, sizes)
+        self.scratch.drop(pivot, res, seen, counts, probe, sizes)
         return deeper, found
 
 
