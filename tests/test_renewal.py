@@ -62,7 +62,7 @@ def test_min_p_lies_between_bounds(spark):
     g = renewal.usable(gaps(spark, [([1, 3, 2, 5, 4, 9, 8], 40.0)]))
     stats = renewal.battery(g, 19, 3)
     each = {r.check: r.p for r in renewal.battery_p_values(stats).collect()}
-    group = renewal.min_p(stats["trend"], renewal.TREND, "trend").first()
+    group = renewal.min_p(stats, {"trend": renewal.TREND}).first()
     least = min(each[k] for k in renewal.TREND)
     assert least - 1e-9 <= group.p <= min(1, 3 * least) + 1e-9
 

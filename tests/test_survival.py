@@ -80,7 +80,7 @@ def test_event_tables_are_checked(spark):
 
 
 def test_turnbull_without_overlap_is_the_empirical_law():
-    a, b, mass = iterative.npmle(np.array([0.0, 2.0, 4.0]), np.array([1.0, 3.0, 5.0]))
+    a, b, mass, _, settled = iterative.npmle(np.array([0.0, 2.0, 4.0]), np.array([1.0, 3.0, 5.0]))
     assert list(zip(a, b)) == [(0.0, 1.0), (2.0, 3.0), (4.0, 5.0)] and np.allclose(mass, 1 / 3)
 
 
@@ -88,7 +88,7 @@ def test_turnbull_with_right_censoring_is_product_limit(spark):
     rows = [(1, True), (2, False), (3, True), (4, False)]
     lo = np.array([float(a) for a, _ in rows])
     hi = np.array([float(a) if e else np.inf for a, e in rows])
-    a, b, mass = iterative.npmle(lo, hi)
+    a, b, mass, _, settled = iterative.npmle(lo, hi)
     kept = {r.age: r.survival for r in curve(spark, rows).collect()}
     assert math.isclose(1 - sum(m for m, y in zip(mass, b) if y <= 1), kept[1.0], abs_tol=1e-6)
     assert math.isclose(1 - sum(m for m, y in zip(mass, b) if y <= 3), kept[3.0], abs_tol=1e-6)

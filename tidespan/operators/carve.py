@@ -205,10 +205,11 @@ def run_length(rows: DataFrame, wins: DataFrame) -> DataFrame:
 
 
 def in_spec_autocorrelation(rows: DataFrame, lags: int = 10) -> DataFrame:
-    """Autocorrelation of the in-spec indicator at lags 1..lags inside segments, centred on the record's share of reads."""
-    w = in_time("label", "segment")
-    x = rows.withColumn("x", F.col("in_spec").cast("double")).withColumn("a", F.avg("x").over(Window.partitionBy("record", "label")))
-    cols = x.select("record", "label", "x", "a", *[F.lead("x", h).over(w).alias(f"y{h}") for h in range(1, lags + 1)])
+    """Autocorrelation of the in-spec indicator at lags 1..lags inside segments, centred on the record's share of reads. Pairs are counted, so one division is the only rounding."""
+    w, whole = in_time("label", "segment"), Window.partitionBy("record", "label")
+    x = rows.withColumn("x", F.col("in_spec").cast("long")).withColumn("a", F.sum("x").over(whole)).withColumn("n", F.count("*").over(whole))
+    cols = x.select("record", "label", "x", "a", "n", *[F.lead("x", h).over(w).alias(f"y{h}") for h in range(1, lags + 1)])
     stack = ", ".join(f"{h}L, y{h}" for h in range(1, lags + 1))
-    ahead = cols.selectExpr("record", "label", "x", "a", f"stack({lags}, {stack}) as (lag, y)").filter("y is not null and a > 0 and a < 1")
-    return ahead.groupBy("record", "label", "lag").agg(F.avg((F.col("x") - F.col("a")) * (F.col("y") - F.col("a")) / (F.col("a") * (1 - F.col("a")))).alias("rho"))
+    ahead = cols.selectExpr("record", "label", "x", "a", "n - a as b", f"stack({lags}, {stack}) as (lag, y)").filter("y is not null and a > 0 and b > 0")
+    pairs = ahead.groupBy("record", "label", "lag", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("both"), F.count_if(F.col("x") != F.col("y")).alias("one"), F.count("*").alias("k"))
+    return pairs.select("record", "label", "lag", F.expr("cast(both * b * b - one * a * b + (k - both - one) * a * a as double) / cast(k * a * b as double)").alias("rho"))

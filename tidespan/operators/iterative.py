@@ -16,12 +16,11 @@ from tidespan.functions.special import bisect, chi2_quantile, t_quantile
 
 
 def innermost(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Innermost intervals of half-open observations (lo, hi]: a left end directly followed by a right end. A right end at some value comes before a left end there; an exact observation (lo = hi) is its own interval."""
-    exact = lo == hi
-    points = sorted([(h, 1 if not e else 3, h) for h, e in zip(hi, exact)] + [(x, 2, x) for x in lo])
+    """Innermost intervals of half-open observations (lo, hi]: a left end directly followed by a right end. A right end at some value comes before an open left end there, and after the closed left end of an exact observation (lo = hi)."""
+    points = sorted([(h, 1) for h in hi] + [(x, 0 if e else 2) for x, e in zip(lo, lo == hi)])
     left, out = None, []
-    for value, kind, _ in points:
-        if kind == 2:
+    for value, kind in points:
+        if kind != 1:
             left = value
         elif left is not None:
             out.append((left, value))
@@ -29,8 +28,8 @@ def innermost(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([a for a, _ in out]), np.array([b for _, b in out])
 
 
-def npmle(lo: np.ndarray, hi: np.ndarray, tol: float = 1e-10, most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Self-consistent masses on the innermost intervals."""
+def npmle(lo: np.ndarray, hi: np.ndarray, tol: float = 1e-10, most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, bool]:
+    """Self-consistent masses on the innermost intervals, their log-likelihood, and whether it has settled within ``most`` rounds."""
     order = np.unique(np.column_stack([lo, hi]), axis=0, return_counts=True)
     pairs, weight = order[0], order[1].astype(float)
     a, b = innermost(lo, hi)
@@ -40,24 +39,24 @@ def npmle(lo: np.ndarray, hi: np.ndarray, tol: float = 1e-10, most: int = 100_00
         each = inside @ mass
         value = float(weight @ np.log(each))
         if value - last < tol:
-            break
+            return a, b, mass, value, True
         last = value
         mass = mass * ((weight / each) @ inside) / n
-    return a, b, mass
+    return a, b, mass, last, False
 
 
 def turnbull(events: DataFrame, key: Sequence[str] = ("record", "label", "side")) -> DataFrame:
-    """The nonparametric maximum likelihood estimate on interval-censored ages: key, lo, hi, mass."""
+    """The nonparametric maximum likelihood estimate on interval-censored ages: key, lo, hi, mass, the survival after the interval, and the fit's log-likelihood and whether it converged."""
     key = list(key)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, mass = npmle(pdf["age_lo"].to_numpy(), pdf["age_hi"].to_numpy())
-        out = pd.DataFrame({"lo": a, "hi": b, "mass": mass})
+        a, b, mass, value, settled = npmle(pdf["age_lo"].to_numpy(), pdf["age_hi"].to_numpy())
+        out = pd.DataFrame({"lo": a, "hi": b, "mass": mass, "survival_after": np.clip(1 - np.cumsum(mass), 0, 1), "log_likelihood": value, "converged": settled})
         for k in reversed(key):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key) + ", lo double, hi double, mass double"
+    schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key) + ", lo double, hi double, mass double, survival_after double, log_likelihood double, converged boolean"
     return events.select(*key, "age_lo", "age_hi").groupBy(*key).applyInPandas(fit, schema)
 
 

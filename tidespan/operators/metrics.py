@@ -51,6 +51,15 @@ def detuning(reads: DataFrame, drive: Column) -> DataFrame:
     return reads.withColumn("x", (F.col("value") - F.first("value").over(w)) / drive).withColumn("sigma_x", F.col("sigma") / F.abs(drive))
 
 
+#: 2000-01-01 and 2100-01-01 in Unix seconds.
+UNIX_S = (946_684_800, 4_102_444_800)
+
+
+def plausible_unix_s(x: Column) -> Column:
+    """Whether a number can be a time in Unix seconds of this century; false for nulls, and for milliseconds or finer."""
+    return F.coalesce(x.cast("double").between(*UNIX_S), F.lit(False))
+
+
 def declared_lookup(rows: DataFrame, declared: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Joins one declared number by an exact key. Keys that are absent or repeated have a reason instead of a number. Only the keys asked for are joined, so a large dimension shuffles once."""
     found = declared.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(column).alias(column))

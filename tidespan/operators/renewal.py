@@ -1,11 +1,15 @@
 """Renewal segments and the checks on them: trend (C1, C2, CvM), dependence (C5, C6), permutations, min-P, verdicts.
 
 Everything works on one long table of gaps: a cell (record, label, side), a draw ``b`` (0 is the order as observed), a segment, a
-position and a gap. A statistic is a grouped sum over running sums, so observed and permuted orders take the same path.
+position and a gap. A statistic is a grouped sum over running sums. Batteries of permutations take a cell's arrays at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,25 +129,102 @@ def p_values(long: DataFrame) -> DataFrame:
     return got.select(*CELL, "check", "statistic", (F.col("k") / F.col("n")).alias("p"))
 
 
-def battery(gaps: DataFrame, n_draws: int, seed: int) -> dict[str, DataFrame]:
-    """Statistics of every draw, off one set of orders: {"trend": ..., "dependence": ...}."""
-    ranked = draws(mid_ranks(gaps), n_draws, seed)
-    return {"trend": trend_statistics(ranked, gamma(gaps)), "dependence": dependence_statistics(rank_autocorrelation(ranked))}
-
+def _log_part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """ln(x / y), not a number where it has no value."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = x / np.where(y == 0, np.nan, y)
+        return np.log(np.where(q > 0, q, np.nan))
 
-def battery_p_values(stats: dict[str, DataFrame]) -> DataFrame:
-    return p_values(long_statistics(stats["trend"], TREND).union(long_statistics(stats["dependence"], DEPENDENCE)))
 
-
-def min_p(statistics: DataFrame, members: tuple[str, ...], group: str) -> DataFrame:
-    """Single-step min-P of a group: every draw's least p over its members, and the share of draws at or below the observed one."""
+def _trend_of(x: np.ndarray, tau: float) -> tuple[np.ndarray, ...]:
+    """x: draws by gaps of one segment -> its parts of C1 (numerator, square of the denominator), C2 and CvM, and the events read, of each draw."""
+    n = x.shape[1]
+    gamma = x[0].std(ddof=1) / x[0].mean()
+    t = np.cumsum(x, axis=1)
+    p = np.concatenate([np.zeros((len(x), 1)), t[:, :-1]], axis=1)
+    events = np.where(tau <= t[:, -1] * AT_EVENT, n - 1, n)[:, None]
+    i, read = np.arange(n)[None, :], np.arange(n)[None, :] < events
+    head = np.where(i >= 1, (events - i) ** 2 * _log_part(tau - p, tau - t) + i * i * _log_part(t, np.where(i >= 1, p, 1.0)), 0.0)
+    u, v = t / tau, p / tau
+    walk = i * i * (u - v) - i * events * (u * u - v * v)
+    add = lambda a: np.nansum(np.where(read, a, 0.0), axis=1)
+    events, last = events[:, 0], np.take_along_axis(t, events - 1, axis=1)[:, 0]
+    tail = events**2 * (_log_part(np.full(len(x), tau), tau - t[:, 0]) + _log_part(np.full(len(x), tau), last) - 1)
+    c, end, g2n = 1 / (tau * gamma * gamma), last / tau, gamma * gamma * events
+    return c * (add(t) - events * tau / 2), c * c * gamma * gamma * tau * tau * events, (add(head) + tail) / g2n, (add(walk) + events**2 * (end * end - end + 1.0 / 3)) / g2n, events
+
+
+def _cell_statistics(n_draws: int, seed: int, max_lag: int, most: int = 4_000_000):
+    """One cell's gaps -> all statistics of all draws. Draws go in blocks, so that a block holds ``most`` numbers at most (or one draw)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        data = group.select(["segment", "i", "x", "tau"]).sort_by([("segment", "ascending"), ("i", "ascending")])
+        segment, at, x, tau = (data.column(k).to_numpy() for k in ("segment", "i", "x", "tau"))
+        _, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
+        rank = (np.cumsum(times) - (times - 1) / 2)[inverse]
+        rank = rank - rank.mean()
+        runs = np.split(np.arange(len(x)), np.flatnonzero(np.diff(segment)) + 1)
+        name = "|".join(str(group.column(k)[0].as_py()) for k in CELL)
+        step, parts, lags = max(1, most // len(x)), [], []
+        for low in range(0, n_draws + 1, step):
+            numbers = range(low, min(low + step, n_draws + 1))
+            trend, moved = 0, np.zeros((len(numbers), max_lag))
+            for rows in runs:
+                order = np.tile(np.arange(len(rows)), (len(numbers), 1))
+                for k, b in enumerate(numbers):
+                    if b:
+                        keys = [hashlib.md5(f"{seed}|{name}|{b}|{segment[r]}|{at[r]}".encode()).digest() for r in rows]
+                        order[k] = sorted(range(len(rows)), key=keys.__getitem__)
+                trend = trend + np.stack(_trend_of(x[rows][order], tau[rows[0]]))
+                c = rank[rows][order]
+                for h in range(1, min(max_lag, len(rows) - 1) + 1):
+                    moved[:, h - 1] += (c[:, :-h] * c[:, h:]).sum(axis=1)
+            parts.append(trend)
+            lags.append(moved)
+        above, below, c2, cvm, events = np.concatenate(parts, axis=1)
+        pairs = np.array([sum(max(0, len(r) - h) for r in runs) for h in range(1, max_lag + 1)])
+        acf = np.concatenate(lags)[:, pairs >= 2] / (rank @ rank)
+        spread, sd = np.ptp(acf, axis=0), acf.std(axis=0)
+        c5 = c6 = np.full(n_draws + 1, np.nan)
+        if acf.shape[1] and (spread > 1e-12).all():
+            z = (acf - acf.mean(axis=0)) / sd
+            c5, c6 = np.abs(z).max(axis=1), (z * z).sum(axis=1)
+        value = lambda v: pa.array(v, pa.float64(), mask=~np.isfinite(v))
+        n = n_draws + 1
+        return pa.table({
+            **{k: pa.array([group.column(k)[0].as_py()] * n, group.schema.field(k).type) for k in CELL}, "b": pa.array(range(n), pa.int64()), "n_segments": pa.array([len(runs)] * n, pa.int64()),
+            "n_events": pa.array(events.astype(np.int64)), "c1": value(np.sqrt(12.0) * above / np.sqrt(below)), "c2": value(c2), "cvm": value(cvm), "c5": value(c5), "c6": value(c6),
+        })
+
+    return run
+
+
+def battery(gaps: DataFrame, n_draws: int, seed: int, max_lag: int = 5) -> DataFrame:
+    """All statistics of every draw (b = 0 is the order as observed), a cell's arrays at a time: one exchange by cell, B + 1 rows out.
+
+    The orders are those of ``draws``, and the statistics those of ``trend_statistics`` and ``dependence_statistics``.
+    """
+    cell = ", ".join(f"{k} {gaps.schema[k].dataType.simpleString()}" for k in CELL)
+    schema = f"{cell}, b long, n_segments long, n_events long, c1 double, c2 double, cvm double, c5 double, c6 double"
+    rows = gaps.select(*CELL, F.col("segment").cast("long").alias("segment"), F.col("i").cast("long").alias("i"), "x", "tau")
+    return rows.groupBy(*CELL).applyInArrow(_cell_statistics(n_draws, seed, max_lag), schema)
+
+
+def battery_p_values(stats: DataFrame) -> DataFrame:
+    return p_values(long_statistics(stats, TREND + DEPENDENCE))
+
+
+def min_p(statistics: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Single-step min-P of groups of checks: every draw's least p over a group's members, and the share of draws at or below the observed one."""
     w = Window.partitionBy(*CELL, "check")
-    rows = long_statistics(statistics, members).withColumn("defined", F.count("s").over(w) == F.count("*").over(w)).filter("defined")
+    of = F.create_map(*[F.lit(x) for name, members in groups.items() for m in members for x in (m, name)])
+    rows = long_statistics(statistics, tuple(m for members in groups.values() for m in members)).withColumn("grp", of[F.col("check")])
+    rows = rows.withColumn("defined", F.count("s").over(w) == F.count("*").over(w)).filter("defined")
     # draws at or above s: those whose rank in descending order, ties at the end of their run, is that many
     p = F.count("*").over(w.orderBy(F.col("s").desc()).rangeBetween(Window.unboundedPreceding, 0)) / F.count("*").over(w)
-    least = rows.withColumn("p", p).groupBy(*CELL, "b").agg(F.min("p").alias("least"), F.count("*").alias("n_members"))
-    seen = least.withColumn("seen", F.max(F.when(F.col("b") == 0, F.col("least"))).over(Window.partitionBy(*CELL)))
-    return seen.groupBy(*CELL).agg(F.lit(group).alias("grp"), F.first("n_members").alias("n_members"), (F.count_if(F.col("least") <= F.col("seen") + 1e-12) / F.count("*")).alias("p"))
+    least = rows.withColumn("p", p).groupBy(*CELL, "grp", "b").agg(F.min("p").alias("least"), F.count("*").alias("n_members"))
+    seen = least.withColumn("seen", F.max(F.when(F.col("b") == 0, F.col("least"))).over(Window.partitionBy(*CELL, "grp")))
+    return seen.groupBy(*CELL, "grp").agg(F.first("n_members").alias("n_members"), (F.count_if(F.col("least") <= F.col("seen") + 1e-12) / F.count("*")).alias("p"))
 
 
 def tie_statistics(gaps: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,20 +31,57 @@ def spearman(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & (vx > 0) & (vy > 0), cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0))).alias("rho"))
 
 
-def distance_correlation(pairs: DataFrame, key: Sequence[str], most: int = 400) -> DataFrame:
-    """V-statistic distance correlation. The pairs of a group meet each other, so groups above ``most`` have a reason instead of a number."""
-    n = pairs.groupBy(*key).agg(F.count("*").alias("n"))
-    use = pairs.join(n.filter((F.col("n") >= 2) & (F.col("n") <= most)), list(key))
-    a, b = use.select(*key, "n", F.col("seq").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")), use.select(*key, F.col("seq").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-    d = a.join(b, list(key)).withColumn("dx", F.abs(F.col("xi") - F.col("xj"))).withColumn("dy", F.abs(F.col("yi") - F.col("yj")))
-    row = d.groupBy(*key, "i").agg(F.avg("dx").alias("mx"), F.avg("dy").alias("my"))
-    tot = d.groupBy(*key).agg(F.avg("dx").alias("gx"), F.avg("dy").alias("gy"))
-    row_i, row_j = row, row.select(*key, F.col("i").alias("j"), F.col("mx").alias("nx"), F.col("my").alias("ny"))
-    c = d.join(row_i, [*key, "i"]).join(row_j, [*key, "j"]).join(tot, list(key))
-    ca, cb = F.col("dx") - F.col("mx") - F.col("nx") + F.col("gx"), F.col("dy") - F.col("my") - F.col("ny") + F.col("gy")
-    got = c.groupBy(*key).agg(F.avg(ca * cb).alias("v"), F.avg(ca * ca).alias("va"), F.avg(cb * cb).alias("vb"))
-    got = got.withColumn("dcor", F.when((F.col("va") > 1e-18) & (F.col("vb") > 1e-18), F.sqrt(F.greatest(F.col("v"), F.lit(0.0)) / F.sqrt(F.nullif(F.col("va") * F.col("vb"), F.lit(0.0))))))
-    return n.join(got.select(*key, "dcor"), list(key), "left").withColumn("reason", F.when(F.col("n") > most, f"more than {most} pairs").when(F.col("n") < 2, "fewer than 2 pairs").when(F.col("dcor").isNull(), "constant").otherwise(""))
+def product_of_distances(x: np.ndarray, y: np.ndarray) -> float:
+    """The sum of |x_i - x_j| |y_i - y_j| over all ordered pairs in n log^2 n: in the order of x, blocks of doubling width meet their neighbours, sorted by y."""
+    n, order = len(x), np.argsort(x, kind="stable")
+    x, y, place, total, width = x[order], y[order], np.arange(len(x)), 0.0, 1
+    while width < n:
+        pair = place // (2 * width)
+        by = np.lexsort((y, pair))
+        left = (by // width) % 2 == 0
+        parts = np.stack([np.ones(n), x[by], y[by], x[by] * y[by]]) * left
+        run = np.concatenate([np.zeros((4, 1)), np.cumsum(parts, axis=1)], axis=1)
+        starts = np.searchsorted(pair, np.arange(pair[-1] + 2))  # by keeps the pairs in their places
+        below = run[:, 1:] - run[:, starts[pair]]
+        whole = run[:, starts[pair + 1]] - run[:, starts[pair]]
+        gain = lambda s: s[0] * x[by] * y[by] - x[by] * s[2] - y[by] * s[1] + s[3]
+        total += float(((gain(below) - gain(whole - below)) * ~left).sum())
+        width *= 2
+    return 2 * total
+
+
+def sums_of_distances(x: np.ndarray) -> np.ndarray:
+    """For each value the sum of its distances to all others."""
+    n, order = len(x), np.argsort(x, kind="stable")
+    s, out = x[order], np.empty(len(x))
+    run = np.cumsum(s)
+    k = np.arange(1, n + 1)
+    out[order] = s * (2 * k - n) - 2 * run + run[-1]
+    return out
+
+
+def distance_correlation_of(x: np.ndarray, y: np.ndarray) -> float | None:
+    """V-statistic distance correlation of two series; None where one is constant."""
+    n, x, y = len(x), x - x.mean(), y - y.mean()
+    a, b = sums_of_distances(x), sums_of_distances(y)
+    part = lambda u, v, both: both / n**2 - 2 * float(u @ v) / n**3 + float(u.sum()) * float(v.sum()) / n**4
+    va, vb = part(a, a, 2 * n * float(x @ x) - 2 * float(x.sum()) ** 2), part(b, b, 2 * n * float(y @ y) - 2 * float(y.sum()) ** 2)
+    if not (va > 1e-18 and vb > 1e-18):
+        return None
+    return math.sqrt(max(part(a, b, product_of_distances(x, y)), 0.0) / math.sqrt(va * vb))
+
+
+def distance_correlation(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Distance correlation of each group's pairs (x, y), a group's arrays at a time; a reason where there is none."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n = group.num_rows
+        d = distance_correlation_of(group.column("x").to_numpy(), group.column("y").to_numpy()) if n >= 2 else None
+        reason = "fewer than 2 pairs" if n < 2 else "constant" if d is None else ""
+        return pa.table({**{k: group.column(k).slice(0, 1) for k in key}, "n": [n], "dcor": pa.array([d], pa.float64()), "reason": [reason]})
+
+    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key) + ", n long, dcor double, reason string"
+    return pairs.select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(*key).applyInArrow(run, schema)
 
 
 def tie_fraction(pairs: DataFrame, key: Sequence[str], column: str) -> DataFrame:
@@ -60,6 +100,20 @@ def window_shape(reads: DataFrame, least: int = 5) -> DataFrame:
     return out.select(*key, "n", F.col("p.margin").alias("peak_margin"), "mean_margin", F.try_divide(age, F.col("length_s")).alias("peak_fraction"), "rho", (F.col("rho") * F.col("rho")).alias("rho2"))
 
 
+def pooled_shape(reads: DataFrame) -> DataFrame:
+    """xi and rho of the margin with the time left, over the reads of all complete windows of a record and rung."""
+    key = ["record", "label"]
+    rows = reads.filter("age_s is not null").select(*key, "seq", F.col("margin").alias("x"), F.col("left_s").alias("y"))
+    return chatterjee(rows, key).join(spearman(rows, key).select(*key, "rho"), key)
+
+
+def shape_medians(shapes: DataFrame) -> DataFrame:
+    """Medians over the windows of a record and rung."""
+    return shapes.groupBy("record", "label").agg(
+        F.count("*").alias("n_windows"), F.median("n").alias("median_reads"), F.median("peak_margin").alias("median_peak"), F.median("mean_margin").alias("median_mean"), F.median("peak_fraction").alias("median_peak_fraction"), F.median("rho").alias("median_rho")
+    )
+
+
 def shape_curve(reads: DataFrame, points: int = 25, least: int = 5) -> DataFrame:
     """Mean and standard error of margins at equal steps of window age, each window scaled to unit age and its own peak, interpolated between the reads around each point."""
     key = ["record", "label", "island"]

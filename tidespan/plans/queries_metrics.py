@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import carve, iterative, metrics, resolve, shape, simulate
+from tidespan.operators import carve, iterative, metrics, permutation, resolve, shape, simulate
 from tidespan.plans.context import Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
@@ -33,7 +33,7 @@ def spearman(c: Context) -> DataFrame:
     return shape.spearman(pairs(c), ["record"]).select("record", "n", r("rho", 8))
 
 
-@query(sql("""SELECT record, n, round(CASE WHEN n <= 400 AND va > 1e-18 AND vb > 1e-18 THEN sqrt(greatest(v, 0) / sqrt(va * vb)) END, 6) AS dcor FROM (SELECT d.record, any_value(n) AS n, avg((dx - r1.mx - r2.mx + gx) * (dy - r1.my - r2.my + gy)) AS v, avg((dx - r1.mx - r2.mx + gx) * (dx - r1.mx - r2.mx + gx)) AS va, avg((dy - r1.my - r2.my + gy) * (dy - r1.my - r2.my + gy)) AS vb
+@query(sql("""SELECT record, n, round(CASE WHEN va > 1e-18 AND vb > 1e-18 THEN sqrt(greatest(v, 0) / sqrt(va * vb)) END, 6) AS dcor FROM (SELECT d.record, any_value(n) AS n, avg((dx - r1.mx - r2.mx + gx) * (dy - r1.my - r2.my + gy)) AS v, avg((dx - r1.mx - r2.mx + gx) * (dx - r1.mx - r2.mx + gx)) AS va, avg((dy - r1.my - r2.my + gy) * (dy - r1.my - r2.my + gy)) AS vb
   FROM dist d JOIN rowm r1 ON r1.record = d.record AND r1.i = d.i JOIN rowm r2 ON r2.record = d.record AND r2.i = d.j JOIN totm t ON t.record = d.record GROUP BY d.record)""",
   _PAIRS, """dist AS (SELECT a.record, a.seq AS i, b.seq AS j, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, count(*) OVER (PARTITION BY a.record, a.seq) AS n FROM pairs a JOIN pairs b USING (record)),
 rowm AS (SELECT record, i, avg(dx) AS mx, avg(dy) AS my FROM dist GROUP BY ALL), totm AS (SELECT record, avg(dx) AS gx, avg(dy) AS gy FROM dist GROUP BY ALL)"""))
@@ -41,6 +41,28 @@ def dcor(c: Context) -> DataFrame:
     return shape.distance_correlation(pairs(c), ["record"]).select("record", "n", r("dcor", 6))
 
 
+@query()
+def xi_p(c: Context) -> DataFrame:
+    return permutation.xi_p_value(pairs(c), ["record"]).select("record", "n", r("xi", 8), r("p", 9), "method")
+
+
+@query()
+def dependence_p(c: Context) -> DataFrame:
+    """The dependence panel: xi, rho and distance correlation with their permutation p-values."""
+    return permutation.paired_permutation(pairs(c), ["record"], ("xi", "rho", "dcor"), draws=99).select("record", "n", "statistic", r("value", 8), r("p", 9), "method")
+
+
+_POOLED = """pooled AS (SELECT rr.record, rr.label, rr.seq, margin AS x, (death_us - t_us) / 1e6 AS y, count(*) OVER (PARTITION BY rr.record, rr.label) AS n FROM rows_ rr JOIN wins w ON w.record = rr.record AND w.label = rr.label AND w.island = rr.island WHERE in_spec AND birth_seen AND NOT censored),
+prank AS (SELECT *, count(*) OVER (PARTITION BY record, label ORDER BY y RANGE UNBOUNDED PRECEDING) AS rk, count(*) OVER (PARTITION BY record, label ORDER BY y DESC RANGE UNBOUNDED PRECEDING) AS l, rank() OVER (PARTITION BY record, label ORDER BY x) + (count(*) OVER (PARTITION BY record, label, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY record, label ORDER BY y) + (count(*) OVER (PARTITION BY record, label, y) - 1) / 2 AS ry FROM pooled),
+pstep AS (SELECT *, abs(lead(rk) OVER (PARTITION BY record, label ORDER BY x, seq) - rk) AS step FROM prank)"""
+
+
+@query(sql("""SELECT record, label, any_value(n) AS n, round(CASE WHEN any_value(n) >= 3 AND sum(l * (n - l)) > 0 THEN 1 - any_value(n) * sum(step)::DOUBLE / (2 * sum(l * (n - l))) END, 8) AS xi,
+  round(CASE WHEN any_value(n) >= 3 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) END, 8) AS rho FROM pstep GROUP BY record, label""", _POOLED))
+def pooled_shape(c: Context) -> DataFrame:
+    return shape.pooled_shape(carve.read_table(c.rows, c.wins.filter("birth_seen and not censored"))).select("record", "label", "n", r("xi", 8), r("rho", 8))
+
+
 @query(sql("SELECT record, round(avg((k > 1)::INT), 9) AS tied FROM (SELECT *, count(*) OVER (PARTITION BY record, value) AS k FROM reads) GROUP BY record"))
 def tie_fraction(c: Context) -> DataFrame:
     return shape.tie_fraction(c.reads, ["record"], "value").select("record", r("tied", 9))
@@ -52,6 +74,19 @@ def window_shape(c: Context) -> DataFrame:
     return shape.window_shape(carve.read_table(c.rows, c.wins)).select("record", "label", "island", "n", r("peak_margin"), r("mean_margin"), r("peak_fraction"))
 
 
+@query(sql("""SELECT record, label, count(*) AS n_windows, round(median(n), 6) AS median_reads, round(median(peak), 6) AS median_peak, round(median(mean), 6) AS median_mean FROM (
+  SELECT rr.record, rr.label, rr.island, count(*) AS n, max(margin) AS peak, avg(margin) AS mean FROM rows_ rr JOIN wins w ON w.record = rr.record AND w.label = rr.label AND w.island = rr.island WHERE in_spec GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL"""))
+def shape_medians(c: Context) -> DataFrame:
+    return shape.shape_medians(shape.window_shape(carve.read_table(c.rows, c.wins))).select("record", "label", "n_windows", r("median_reads"), r("median_peak"), r("median_mean"))
+
+
+@query(sql("""SELECT record, count(*) AS n, sum((t_us / 1e6 BETWEEN 946684800 AND 4102444800)::INT)::BIGINT AS n_plausible, sum((t_us BETWEEN 946684800 AND 4102444800)::INT)::BIGINT AS n_plausible_as_given FROM reads GROUP BY record"""))
+def unix_seconds(c: Context) -> DataFrame:
+    """Times in seconds are plausible; microseconds passed as seconds are not."""
+    ok, raw = metrics.plausible_unix_s(F.col("t_us") / 1e6), metrics.plausible_unix_s(F.col("t_us"))
+    return c.reads.groupBy("record").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_plausible"), F.count_if(raw).alias("n_plausible_as_given"))
+
+
 @query()
 def shape_curve(c: Context) -> DataFrame:
     return shape.shape_curve(carve.read_table(c.rows, c.wins)).select("label", "k", "n_windows", r("mean"), r("se"))

@@ -97,7 +97,7 @@ def battery_perm_p(c: Context) -> DataFrame:
   count(*) OVER (PARTITION BY {_CELL}, check_name ORDER BY s DESC RANGE UNBOUNDED PRECEDING)::DOUBLE / count(*) OVER (PARTITION BY {_CELL}, check_name) AS p FROM lg)"""))
 def min_p_groups(c: Context) -> DataFrame:
     stats = renewal.battery(gaps(c), DRAWS, SEED)
-    both = renewal.min_p(stats["trend"], renewal.TREND, "trend").unionByName(renewal.min_p(stats["dependence"], renewal.DEPENDENCE, "dependence"))
+    both = renewal.min_p(stats, {"trend": renewal.TREND, "dependence": renewal.DEPENDENCE})
     return both.select(*renewal.CELL, "grp", "n_members", r("p", 9))
 
 

@@ -150,7 +150,7 @@ def q_profile(c: Context) -> DataFrame:
 
 @query()
 def turnbull(c: Context) -> DataFrame:
-    return iterative.turnbull(c.events).select("record", "label", "side", r("lo"), r("hi"), r("mass", 8))
+    return iterative.turnbull(c.events).select("record", "label", "side", r("lo"), r("hi"), r("mass", 8), r("survival_after", 8), r("log_likelihood"), "converged")
 
 
 # intervals between events

@@ -118,8 +118,8 @@ def run_length(c: Context) -> DataFrame:
     return carve.run_length(c.rows, c.wins).select("record", "label", r("share", 9), r("mean_run", 9), r("ratio", 9))
 
 
-@query(sql("""SELECT x.record, x.label, lag, round(avg((x.v - x.a) * (y.v - x.a) / (x.a * (1 - x.a))), 5) AS rho FROM acf x JOIN acf y ON x.record = y.record AND x.label = y.label AND x.segment = y.segment AND y.k - x.k BETWEEN 1 AND 10, LATERAL (SELECT y.k - x.k AS lag) WHERE x.a > 0 AND x.a < 1 GROUP BY ALL""",
-  "acf AS (SELECT record, label, segment, in_spec::INT AS v, avg(in_spec::INT) OVER (PARTITION BY record, label) AS a, row_number() OVER (PARTITION BY record, label, segment ORDER BY t_us, seq) AS k FROM rows_)"))
+@query(sql("""SELECT x.record, x.label, lag, round((sum(x.v * y.v) * (any_value(x.n) - any_value(x.a)) ** 2 - sum((x.v <> y.v)::INT) * any_value(x.a) * (any_value(x.n) - any_value(x.a)) + sum(((x.v + y.v) = 0)::INT) * any_value(x.a) ** 2)::DOUBLE / (count(*) * any_value(x.a) * (any_value(x.n) - any_value(x.a)))::DOUBLE, 5) AS rho FROM acf x JOIN acf y ON x.record = y.record AND x.label = y.label AND x.segment = y.segment AND y.k - x.k BETWEEN 1 AND 10, LATERAL (SELECT y.k - x.k AS lag) WHERE x.a > 0 AND x.a < x.n GROUP BY x.record, x.label, lag""",
+  "acf AS (SELECT record, label, segment, in_spec::INT AS v, sum(in_spec::INT) OVER (PARTITION BY record, label) AS a, count(*) OVER (PARTITION BY record, label) AS n, row_number() OVER (PARTITION BY record, label, segment ORDER BY t_us, seq) AS k FROM rows_)"))
 def in_spec_acf(c: Context) -> DataFrame:
     return carve.in_spec_autocorrelation(c.rows).select("record", "label", "lag", r("rho", 5))
 

@@ -182,7 +182,7 @@ def save_artifact(df: DataFrame, root: str, name: str, spec: dict) -> str:
     """Writes a result under its identity with a provenance record beside it; returns the path."""
     spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}-{identity(spec)[:12]}"
     df.write.mode("overwrite").parquet(f"{path}/data")
-    record = {"name": name, "identity": identity(spec), "spec": spec, "schema": json.loads(df.schema.json()), "plan": df._jdf.queryExecution().optimizedPlan().toString()[:20_000]}
+    record = {"name": name, "identity": identity(spec), "spec": spec, "schema": json.loads(df.schema.json()), "plan": df._jdf.queryExecution().optimizedPlan().toString()}
     spark.createDataFrame([(json.dumps(record, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/provenance")
     return path
 
