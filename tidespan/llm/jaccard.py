@@ -189,7 +189,7 @@ class _Join:
         self.links: DataFrame | None = None
 
     def regions(self) -> DataFrame:
-        """(region, node, size, t, n) of the regions of n nodes, two or more. Of copies one row enters. The keys cross the network twice, first as bare counts, then as (region, row) for the regions that are shared."""
+        """(region, node, size, t, need, n) of the regions of n nodes, two or more. Of copies one row enters. The keys cross the network twice, first as bare counts, then as (region, row) for the regions that are shared."""
         copies = self.scratch.keep(self.signed.select("node", "row").join(self.nodes.filter("n > 1").select("node", F.col("row").alias("first")), "node").filter("row <> first").select("row"), "copies")
         once = self.signed.filter("node is not null").join(_listed(copies), "row", "left_anti")
         keyed = once.select(F.explode("keys").alias("region"), "row")
@@ -197,7 +197,7 @@ class _Join:
         self.scratch.drop()
         held = self.scratch.keep(keyed.join(shared.hint("merge"), "region"), "held")  # the same way at every size
         self.scratch.drop(self.signed, copies, shared)  # the keys, the largest table, are not needed again
-        regions = self.scratch.keep(held.join(self.nodes.select("row", "node", "size", "t"), "row").drop("row"), "regions")
+        regions = self.scratch.keep(held.join(self.nodes.select("row", "node", "size", "t", "need"), "row").drop("row"), "regions")
         self.scratch.drop(held)
         return regions
 
@@ -238,15 +238,16 @@ class _Join:
     def solve(self) -> DataFrame:
         """node, label: the least node of the component, for every node with links. ``links`` then holds links that span all components."""
         regions = self.regions()
-        large = regions.filter(f"n > {SMALL_GROUP}").select("region", "node", "n")
-        many = self.scratch.keep(large.groupBy("node").agg(F.count("*").alias("large"), F.sum("n").alias("met")).join(self.nodes.select("node", "need"), "node"), "many")
+        own = Window.partitionBy("node")  # no more rows than a document has keys
+        large = regions.filter(f"n > {SMALL_GROUP}").select("region", "node", "need", F.count("*").over(own).alias("large"), F.sum("n").over(own).alias("met"))
+        many = self.scratch.keep(regions.filter(f"n > {SMALL_GROUP}").groupBy("node").agg(F.count("*").alias("large")), "many")
         pairs = self.scratch.keep(self.small_pairs(regions.filter(f"n <= {SMALL_GROUP}"), many), "pairs")
         # pairs that meet in no small region are left: all the cells in which such a pair agrees are large regions of both
-        large = large.select("region", "node").join(_listed(many.filter("large >= need").select("node", "met")), "node")
+        large = self.scratch.keep(large.filter("large >= need").select("region", "node", "met"), "large")
         # the document that meets most others leads a region, so regions of near copies have few leaders and copies are in few groups
         least = large.groupBy("region").agg(F.max(F.struct("met", "node"))["node"].alias("g"), F.count("*").alias("n")).filter("n > 1").select("region", "g")
         rows = self.scratch.keep(large.join(_listed(least), "region").select("g", "node", F.lit(None).cast("long").alias("known")).distinct(), "groups")
-        self.scratch.drop(regions, many)
+        self.scratch.drop(regions, many, large)
         self.hashes = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")))
         links = self.scratch.keep(self.verify_groups(pairs), "links")
         self.scratch.drop(pairs)
