@@ -33,7 +33,7 @@ class ChatConfig:
     begin: str = "<|im_start|>"
     end: str = "<|im_end|>\n"
     trained: str = "assistant"
-    block: int = 1000  # conversations of one opening in a task
+    block: int = 200  # conversations of one opening in a task
 
 
 def _quoted(x: str) -> str:
