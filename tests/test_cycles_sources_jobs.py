@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidespan.operators import cycles
 from tidespan.operators.carve import Rung
-from tidespan.plans.jobs import Job, survival_job
+from tidespan.plans.jobs import Job, code_identity, survival_job
 from tidespan.sources import readers
 from tidespan.streaming import windows
 
@@ -88,6 +88,52 @@ def test_job_reuses_by_identity(spark, tmp_path):
     assert other.spec("curve") != job.spec("curve")
 
 
+CALLS = []
+
+
+def test_job_computes_anew_when_files_or_code_change(spark, tmp_path):
+    src, out = str(tmp_path / "in.parquet"), str(tmp_path / "out")
+
+    def build(d):
+        CALLS.append(1)
+        return d.select("id")
+
+    def job(f):
+        j = Job("j")
+        j.materialise(j.step("kept", f, j.source("raw", readers.Source("r", src))))
+        return j
+
+    spark.range(3).write.parquet(src)
+    assert [job(build).run(spark, out)["kept"].count() for _ in range(2)] == [3, 3] and len(CALLS) == 1
+    spark.range(5).write.mode("append").parquet(src)
+    assert job(build).run(spark, out)["kept"].count() == 8 and len(CALLS) == 2
+    ids = {code_identity(f) for f in ((lambda n: lambda d: d.limit(n))(n) for n in (1, 2))}
+    assert len(ids) == 2 and code_identity(build) == code_identity(build)
+
+
+def test_code_identity_follows_called_modules(monkeypatch):
+    import inspect
+
+    from tidespan.operators import carve, survival
+
+    def calls(d):
+        return survival.event_table(d)
+
+    step, source = (lambda s: lambda d: s.event_table(d))(survival), inspect.getsource
+    before = code_identity(step), code_identity(calls)
+    monkeypatch.setattr(inspect, "getsource", lambda x: source(x) + ("# changed" if x is carve or x is survival else ""))
+    assert code_identity(step) != before[0] and code_identity(calls) != before[1]
+
+
+def test_ties_do_not_depend_on_row_order(spark):
+    codes = {"idle": 1, "busy": 2}
+    rows = [("2024-01-01 00:00:00+00:00", "q", 1, "idle"), ("2024-01-01 00:00:00+00:00", "q", 2, "busy")]
+    both = [spark.createDataFrame(r, "time string, name string, value int, status string") for r in (rows, rows[::-1])]
+    assert len({tuple(sorted(readers.status_log(d, codes)[0].collect())) for d in both}) == 1
+    reads = [d.select(F.lit(1).alias("record"), F.lit("5").alias("t"), F.col("value").cast("string").alias("v")) for d in both]
+    assert len({tuple(sorted((r.seq, r.value) for r in readers.clean_reads(d, "t", "v")[0].collect())) for d in reads}) == 1
+
+
 def test_jobs_refuse_cycles_and_unknown_references():
     a, b = Job("a"), Job("b")
     a.include(b)
@@ -116,3 +162,17 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     wins = carve.windows(carve.threshold_reads(carve.observed_reads(reads), carve.ladder_frame(spark, [Rung("r", 5.0)])))
     want = {(r.side, r.birth_us, r.death_us, r.birth_kind, r.death_kind, r.n_reads) for r in wins.filter("death_kind <> 'scan_end'").collect()}
     assert got == want
+
+
+def test_a_silent_record_ends_with_the_watermark(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    schema = "record long, ts timestamp, value double"
+    spark.createDataFrame([(2, at(0), 6.0), (2, at(1), 7.0), (1, at(0), 1.0), (1, at(500), 1.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = windows.carve_stream(stream, [Rung("r", 5.0)], gap_us=10 * 60 * 10**6).writeStream.format("memory").queryName("silent").outputMode("append").start()
+    q.processAllAvailable()
+    spark.createDataFrame([(2, at(600), 8.0), (2, at(601), 1.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.birth_kind, r.death_kind, r.n_reads) for r in spark.sql("select * from silent where record = 2 order by birth_us").collect()]
+    assert got == [("scan_start", "gap_start", 2), ("gap_resume", "crossing", 1)]

@@ -1,24 +1,72 @@
 """Declarative jobs: steps over references, sub-jobs, reuse by identity, and a command line.
 
 A step is a function from DataFrames to a DataFrame. Nothing runs until a sink is asked for, so steps no sink needs cost nothing; a
-materialised step is written under its identity (the job, the step, its parameters and those of everything before it) and read again
-instead of being computed twice.
+materialised step is written under its identity (the job, the step, its parameters, the code it can reach, those of everything before it
+and the files of its sources) and read again instead of being computed twice.
 """
 
 from __future__ import annotations
 
 import argparse
 import inspect
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
+from types import CodeType, ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidespan.sources.readers import Source, identity, load_artifact, load_record, save_artifact
+from tidespan.sources.readers import Source, files_of, identity, load_artifact, load_record, save_artifact
 
 RESERVED = {"meta", "record"}
 
 
+def _named(code: CodeType) -> Iterator[str]:
+    """Names that a function's code and the functions within it use, modules it imports among them."""
+    yield from code.co_names
+    for name in code.co_names:
+        yield from (f"{name}.{n}" for n in code.co_names)
+    for inner in code.co_consts:
+        if isinstance(inner, CodeType):
+            yield from _named(inner)
+
+
+def code_identity(f: Callable) -> str:
+    """A digest of a function's module, of all modules of this package (and of the function's own) that it reaches, and of the values it is bound to."""
+    bound, seen, todo = [], {}, []
+    while isinstance(f, partial):
+        bound.append([repr(f.args), repr(sorted(f.keywords.items()))])
+        f = f.func
+    roots = {__name__.partition(".")[0], (getattr(f, "__module__", None) or "").partition(".")[0]}
+    own = lambda name: name.partition(".")[0] in roots
+    if inspect.isfunction(f):
+        bound.append([repr(f.__defaults__), repr(f.__kwdefaults__)])
+        for name, cell in zip(f.__code__.co_freevars, f.__closure__ or (), strict=True):
+            value = cell.cell_contents
+            if isinstance(value, ModuleType) or callable(value):
+                todo.append(value)
+            else:
+                bound.append([name, repr(value)])
+    todo.append(f)
+    while todo:
+        at = todo.pop()
+        name = at.__name__ if isinstance(at, ModuleType) else getattr(at, "__module__", None) or ""
+        if name in seen or not own(name) or name not in sys.modules:
+            continue
+        module = sys.modules[name]
+        try:
+            seen[name] = inspect.getsource(module)
+        except (OSError, TypeError):
+            seen[name] = inspect.getsource(at) if inspect.isfunction(at) else name
+        for value in vars(module).values():
+            if isinstance(value, ModuleType) or inspect.isfunction(value) or inspect.isclass(value):
+                todo.append(value)
+            if inspect.isfunction(value) and value.__module__ == name:
+                todo += [sys.modules[n] for n in _named(value.__code__) if own(n) and n in sys.modules]
+    return identity({"bound": bound, "modules": seen})
+
+
 @dataclass(frozen=True)
 class Ref:
     """A reference to a step of a job."""
@@ -76,14 +124,14 @@ class Job:
             raise ValueError("a job materialises its own steps")
         self.kept.append(ref.name)
 
-    def spec(self, name: str) -> dict:
-        """What determines a step's result."""
+    def spec(self, name: str, spark: SparkSession | None = None) -> dict:
+        """What determines a step's result; with a session, the names, lengths and times of its sources' files too."""
         if name in self.sources:
             s = self.sources[name]
-            return {"source": s.path, "record": s.record, "options": s.options, "extra": s.extra}
+            files = {"files": files_of(spark, s.path)} if spark else {}
+            return {"source": s.path, "record": s.record, "schema": s.schema.json() if s.schema else None, "options": s.options, "extra": s.extra} | files
         step = self.steps[name]
-        code = inspect.getsource(step.build) if inspect.isfunction(step.build) else repr(step.build)
-        return {"job": self.name, "step": name, "code": identity({"code": code}), "params": dict(step.params), "inputs": [self._owner(i).spec(i.name) for i in step.inputs]}
+        return {"job": self.name, "step": name, "code": code_identity(step.build), "params": dict(step.params), "inputs": [self._owner(i).spec(i.name, spark) for i in step.inputs]}
 
     def _owner(self, ref: Ref) -> Job:
         return self if ref.job == self.name else self.included[ref.job]
@@ -96,13 +144,14 @@ class Job:
         if ref.name in self.sources:
             return load_record(spark, self.sources[ref.name])
         saved = root is not None and ref.name in self.kept
-        if saved and (found := load_artifact(spark, root, ref.name, self.spec(ref.name))) is not None:
+        spec = self.spec(ref.name, spark) if saved else {}
+        if saved and (found := load_artifact(spark, root, ref.name, spec)) is not None:
             return found
         step = self.steps[ref.name]
         out = step.build(*[self.resolve(spark, i, root) for i in step.inputs], **dict(step.params))
         if saved:
-            save_artifact(out, root, ref.name, self.spec(ref.name))
-            return load_artifact(spark, root, ref.name, self.spec(ref.name))
+            save_artifact(out, root, ref.name, spec)
+            return load_artifact(spark, root, ref.name, spec)
         return out
 
     def run(self, spark: SparkSession, root: str) -> dict[str, DataFrame]:

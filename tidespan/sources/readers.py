@@ -132,16 +132,25 @@ def load(spark: SparkSession, source: Source) -> DataFrame:
     return READERS[ext](spark, source)
 
 
+def files_of(spark: SparkSession, path: str) -> list:
+    """[files, bytes, digest of their names, lengths and times] under a path: equal as long as no file is added, taken away or replaced. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return list(files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("path", "length", F.unix_micros("modificationTime"))), F.lit(0))).first())
+
+
 def load_record(spark: SparkSession, source: Source) -> DataFrame:
     """A source with its name and declared metadata on every row."""
     pairs = [F.lit(x) for kv in sorted(source.extra.items()) for x in kv]
     return load(spark, source).withColumn("record", F.lit(source.record)).withColumn("meta", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>"))
 
 
-def clean_reads(rows: DataFrame, time: str, value: str, sigma: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reads, failures) of records with textual or numeric columns: what is no finite number is dropped and counted; a record without any read left is a failure, not an absence."""
+def clean_reads(rows: DataFrame, time: str, value: str, sigma: str | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reads, failures) of records with textual or numeric columns: what is no finite number is dropped and counted; a record without any read left is a failure, not an absence.
+
+    Reads of one time stand in the order of the column ``order``, without it in that of a hash of what they say, so file splits do not matter.
+    """
     num = lambda c: F.expr(f"try_cast(`{c}` as double)")
-    typed = rows.select("record", (num(time) * 1e6).cast("long").alias("t_us") if dict(rows.dtypes)[time] != "timestamp" else F.unix_micros(time).alias("t_us"), num(value).alias("value"), (num(sigma) if sigma else F.lit(None).cast("double")).alias("sigma"), F.monotonically_increasing_id().alias("seq"))
+    typed = rows.select("record", (num(time) * 1e6).cast("long").alias("t_us") if dict(rows.dtypes)[time] != "timestamp" else F.unix_micros(time).alias("t_us"), num(value).alias("value"), (num(sigma) if sigma else F.lit(None).cast("double")).alias("sigma"), (F.col(order) if order else F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in (time, value, sigma) if c])).alias("seq"))
     ok = F.col("t_us").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
     good = F.coalesce(ok, F.lit(False))
     counts = typed.groupBy("record").agg(F.count_if(good).alias("n_kept"), F.count_if(~good).alias("n_dropped"))
@@ -149,15 +158,18 @@ def clean_reads(rows: DataFrame, time: str, value: str, sigma: str | None = None
     return typed.filter(good), failures
 
 
-def status_log(rows: DataFrame, codes: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """(samples, violations) of a log with columns time, name, value, status: strict time format, known statuses, codes that match, one device."""
+def status_log(rows: DataFrame, codes: dict[str, int], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, violations) of a log with columns time, name, value, status: strict time format, known statuses, codes that match, one device.
+
+    Samples of one time stand in the order of the column ``order``, without it in that of their codes.
+    """
     t = F.try_to_timestamp(F.when(F.col("time").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\+00:00$"), F.substring("time", 1, 19)))
     code = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("status")]
     typed = rows.withColumn("t", t).withColumn("code", code)
     reason = F.when(F.col("t").isNull(), "time format").when(F.col("code").isNull(), "unknown status").when(F.col("code") != F.col("value"), "code does not match status")
     bad = typed.select("name", "time", reason.alias("reason")).filter("reason is not null")
     devices = typed.agg(F.count_distinct("name").alias("n")).filter("n > 1").select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("time"), F.lit("several devices").alias("reason"))
-    samples = typed.filter(reason.isNull()).select(F.col("name").alias("record"), F.unix_micros("t").alias("t_us"), "status", F.monotonically_increasing_id().alias("seq"))
+    samples = typed.filter(reason.isNull()).select(F.col("name").alias("record"), F.unix_micros("t").alias("t_us"), "status", (F.col(order) if order else F.col("code").cast("long")).alias("seq"))
     return samples, bad.union(devices)
 
 
