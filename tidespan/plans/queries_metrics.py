@@ -246,3 +246,26 @@ def two_lobe_fit(c: Context) -> DataFrame:
 @query()
 def sim_arms(c: Context) -> DataFrame:
     return simulate.rejection_rates(c.spark, simulate.design(sizes=(20, 50), replicates=20), n_draws=39)
+
+
+@query(sql("""SELECT record, count(*) AS n, count(*) FILTER (abs(x) <= 2.27688 AND 1 - fid <= 0.1) AS n_within FROM (SELECT record, x, (1 + 1 / (lam * lam) + x * x / (lam * lam) * pow(cos(lam * pi() / 4), 2) + sin(lam * pi() / 2) / lam) / 3 AS fid FROM fl) GROUP BY record""", _FID))
+def within_infidelity(c: Context) -> DataFrame:
+    """Reads whose detuning is within the threshold of an infidelity of 0.1."""
+    x = F.abs("x")
+    return metrics.detuning(c.reads.filter("value is not null and not isnan(value) and abs(value) < double('inf')"), F.lit(100.0)).groupBy("record").agg(F.count("*").alias("n"), F.count_if(x <= metrics.detuning_threshold(0.1)).alias("n_within"))
+
+
+@query(sql("""SELECT record, seq, CASE WHEN hi <= 2.27688 THEN round(1 - (1 + 1 / (1 + lo * lo) + lo * lo / (1 + lo * lo) * pow(cos(sqrt(1 + lo * lo) * pi() / 4), 2) + sin(sqrt(1 + lo * lo) * pi() / 2) / sqrt(1 + lo * lo)) / 3, 8) END AS least,
+  CASE WHEN hi <= 2.27688 THEN round(1 - (1 + 1 / (1 + hi * hi) + hi * hi / (1 + hi * hi) * pow(cos(sqrt(1 + hi * hi) * pi() / 4), 2) + sin(sqrt(1 + hi * hi) * pi() / 2) / sqrt(1 + hi * hi)) / 3, 8) END AS most
+  FROM (SELECT record, seq, greatest(abs(x) - sigma / 100, 0) AS lo, abs(x) + sigma / 100 AS hi FROM (SELECT *, (value - first_value(value) OVER (PARTITION BY record ORDER BY t_us, seq)) / 100.0 AS x FROM reads) WHERE sigma IS NOT NULL)"""))
+def infidelity_bounds(c: Context) -> DataFrame:
+    rows = metrics.detuning(c.reads.filter("value is not null and not isnan(value) and abs(value) < double('inf')"), F.lit(100.0)).filter("sigma_x is not null")
+    least, most = metrics.infidelity_bounds(F.col("x"), F.col("sigma_x"))
+    return rows.select("record", "seq", r(least, 8, "least"), r(most, 8, "most"))
+
+
+@query("SELECT user_id AS record, count(*) AS n, count(*) FILTER (epoch_us(ts) / 1e6 BETWEEN 946684800 AND 4102444800) AS n_seconds, count(*) FILTER (epoch_us(ts) / 1e3 BETWEEN 946684800 AND 4102444800) AS n_milliseconds, count(*) FILTER (value BETWEEN 946684800 AND 4102444800) AS n_values FROM events GROUP BY user_id")
+def clock_plausibility(c: Context) -> DataFrame:
+    """Which of a record's numbers can be Unix seconds."""
+    ok = metrics.plausible_unix_s
+    return c.events_raw.groupBy("record").agg(F.count("*").alias("n"), F.count_if(ok(F.col("t_us") / 1e6)).alias("n_seconds"), F.count_if(ok(F.col("t_us") / 1e3)).alias("n_milliseconds"), F.count_if(ok(F.col("value"))).alias("n_values"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidespan.operators import carve, panels, renewal, resolve, survey, survival
 from tidespan.plans import queries_renewal, queries_survival
-from tidespan.plans.context import Context
+from tidespan.plans.context import LADDER, Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
 from tidespan.plans.queries_metrics import _GRID
@@ -131,3 +131,25 @@ def unanswered(c: Context) -> DataFrame:
 def hazard_survival(c: Context) -> DataFrame:
     last = c.record_curve.groupBy("record", "label", "side").agg(F.max("hazard").alias("h"))
     return last.select("record", "label", "side", r(F.exp(-F.col("h")), 8, "survival_from_hazard"))
+
+
+@query(sql("SELECT record, label, side FROM (SELECT DISTINCT record FROM reads), ladder, (VALUES ('in_spec'), ('out_of_spec')) s(side) WHERE (record, label, side) NOT IN (SELECT record, label, side FROM wins)"))
+def cells_not_carved(c: Context) -> DataFrame:
+    """Cells of a ledger of every record, rung and side that the carve does not have."""
+    rungs, sides = F.array(*[F.lit(g.label) for g in LADDER]), F.array(F.lit(carve.IN), F.lit(carve.OUT))
+    return survey.cross_check(c.wins, c.obs.select("record").distinct().withColumn("label", F.explode(rungs)).withColumn("side", F.explode(sides)))
+
+
+@query(sql("""SELECT record, label, side, unnest(CASE WHEN count(*) < 3 THEN ['trend', 'dependence', 'shape'] ELSE ['trend'] END) AS check_name, CASE WHEN count(*) < 3 THEN 'not computed' ELSE 'open' END AS verdict FROM wins GROUP BY record, label, side"""))
+def expanded_checks(c: Context) -> DataFrame:
+    """Cells of fewer than three windows stand for all checks, the others for one."""
+    few = F.col("n") < 3
+    rows = c.wins.groupBy("record", "label", "side").agg(F.count("*").alias("n")).select("record", "label", "side", F.when(few, "(all)").otherwise("trend").alias("check"), F.when(few, "not computed").otherwise("open").alias("verdict"))
+    return survey.expand_all(rows, ["trend", "dependence", "shape"]).withColumnRenamed("check", "check_name")
+
+
+@query(sql("SELECT label || '/' || side AS grp, round(min(age), 6) AS age FROM curve WHERE abs(survival - exp(-hazard)) > 0.0005 GROUP BY ALL"))
+def estimators_part(c: Context) -> DataFrame:
+    """The first age at which the product-limit curve and the one of the summed hazard part."""
+    rows = c.curve.select(F.concat_ws("/", "label", "side").alias("grp"), "age", "survival", F.exp(-F.col("hazard")).alias("by_hazard"))
+    return panels.divergence(rows, "survival", "by_hazard", "age", 0.0005).select("grp", r(F.col("level"), 6, "age"))
