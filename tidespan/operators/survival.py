@@ -100,6 +100,23 @@ def placement_bracket(events: DataFrame, tau: float, key: Sequence[str] = CELL)
     return events.groupBy(*key).agg(F.count("*").alias("n"), lower.alias("lower_area"), upper.alias("upper_area"), (upper - lower).alias("width"))
 
 
+def _half(events: DataFrame, value: Column, key: Sequence[str], name: str) -> DataFrame:
+    """Where a curve that falls at each value by 1/n comes to one half: halfway to the next value if it stays there; null where it does not fall below. Null values never make it fall."""
+    w = Window.partitionBy(*key).orderBy(F.col("v").asc_nulls_last())
+    rows = events.groupBy(*key, value.alias("v")).agg(F.count("*").alias("c"))
+    rows = rows.select(*key, "v", F.lead("v").over(w).alias("next"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.sum("c").over(Window.partitionBy(*key)).alias("n"))
+    first = rows.filter("2 * cum >= n").groupBy(*key).agg(F.min_by(F.struct("v", "next", (F.col("cum") * 2 == F.col("n")).alias("flat")), "cum").alias("s"))
+    return first.select(*key, F.when(F.col("s.flat"), (F.col("s.v") + F.col("s.next")) / 2).otherwise(F.col("s.v")).alias(name))
+
+
+def bracket_medians(events: DataFrame, tau: float, key: Sequence[str] = CELL) -> DataFrame:
+    """Medians of the lower and upper curves that the length intervals allow, and the width of the areas that censoring alone leaves."""
+    age = F.least(F.col("age"), F.lit(tau))
+    width = events.groupBy(*key).agg(F.avg(F.when(F.col("event"), age).otherwise(tau)).alias("_up"), F.avg(age).alias("_lo"))
+    out = width.select(*key, (F.col("_up") - F.col("_lo")).alias("width_censoring"))
+    return out.join(_half(events, F.col("age_lo"), key, "median_lower"), list(key)).join(_half(events, F.when(F.col("event"), F.col("age_hi")), key, "median_upper"), list(key))
+
+
 def step_at(curve: DataFrame, at: DataFrame, key: Sequence[str] = CELL) -> DataFrame:
     """Right-continuous value of the curve at given ages (key, at): union and forward fill, no join."""
     both = curve.select(*key, F.col("age").alias("x"), "survival", F.lit(0).alias("asked")).unionByName(at.select(*key, F.col("at").alias("x"), F.lit(None).cast("double").alias("survival"), F.lit(1).alias("asked")))

@@ -87,7 +87,10 @@ def unix_seconds(c: Context) -> DataFrame:
     return c.reads.groupBy("record").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_plausible"), F.count_if(raw).alias("n_plausible_as_given"))
 
 
-@query()
+@query(sql("""SELECT label, k, count(*) AS n_windows, round(avg(y), 6) AS mean, round(stddev_samp(y) / sqrt(count(*)), 6) AS se FROM (SELECT label, k, m + (k / 24.0 - a) / (a1 - a) * (m1 - m) AS y FROM sh2 JOIN range(25) g(k) ON k >= a * 24 AND (k < a1 * 24 OR (a1 >= 1 AND k <= a1 * 24)) WHERE a1 > a) GROUP BY ALL""",
+  "sh0 AS (SELECT w.record, w.label, w.island, t_us, seq, margin, (t_us - birth_us) / 1e6 AS age FROM rows_ JOIN wins w USING (record, label, island) WHERE in_spec)",
+  "sh1 AS (SELECT *, count(*) OVER p AS n_in, max(age) OVER p AS top, max(margin) OVER p AS peak FROM sh0 WINDOW p AS (PARTITION BY record, label, island))",
+  "sh2 AS (SELECT *, age / top AS a, margin / peak AS m, lead(age / top) OVER o AS a1, lead(margin / peak) OVER o AS m1 FROM sh1 WHERE n_in >= 5 AND top > 0 AND peak > 0 WINDOW o AS (PARTITION BY record, label, island ORDER BY t_us, seq))"))
 def shape_curve(c: Context) -> DataFrame:
     return shape.shape_curve(carve.read_table(c.rows, c.wins)).select("label", "k", "n_windows", r("mean"), r("se"))
 

@@ -140,10 +140,10 @@ def cells_not_carved(c: Context) -> DataFrame:
     return survey.cross_check(c.wins, c.obs.select("record").distinct().withColumn("label", F.explode(rungs)).withColumn("side", F.explode(sides)))
 
 
-@query(sql("""SELECT record, label, side, unnest(CASE WHEN count(*) < 3 THEN ['trend', 'dependence', 'shape'] ELSE ['trend'] END) AS check_name, CASE WHEN count(*) < 3 THEN 'not computed' ELSE 'open' END AS verdict FROM wins GROUP BY record, label, side"""))
+@query(sql("""SELECT record, label, side, unnest(CASE WHEN count(*) < 12 THEN ['trend', 'dependence', 'shape'] ELSE ['trend'] END) AS check_name, CASE WHEN count(*) < 12 THEN 'not computed' ELSE 'open' END AS verdict FROM wins GROUP BY record, label, side"""))
 def expanded_checks(c: Context) -> DataFrame:
-    """Cells of fewer than three windows stand for all checks, the others for one."""
-    few = F.col("n") < 3
+    """Cells of fewer than twelve windows stand for all checks, the others for one."""
+    few = F.col("n") < 12
     rows = c.wins.groupBy("record", "label", "side").agg(F.count("*").alias("n")).select("record", "label", "side", F.when(few, "(all)").otherwise("trend").alias("check"), F.when(few, "not computed").otherwise("open").alias("verdict"))
     return survey.expand_all(rows, ["trend", "dependence", "shape"]).withColumnRenamed("check", "check_name")
 

@@ -83,6 +83,12 @@ def placement_bracket(c: Context) -> DataFrame:
     return survival.placement_bracket(c.events, TAU, LS).select("label", "side", "n", r("lower_area", 4), r("upper_area", 4), r("width", 4))
 
 
+@query(sql(f"""SELECT label, side, round(CASE WHEN lo[(n + 1) // 2] < 1e17 THEN (lo[(n + 1) // 2] + lo[n // 2 + 1]) / 2 END, 6) AS median_lower, round(CASE WHEN hi[n // 2 + 1] < 1e17 THEN (hi[(n + 1) // 2] + hi[n // 2 + 1]) / 2 END, 6) AS median_upper, round(width, 4) AS width_censoring
+  FROM (SELECT label, side, count(*) AS n, list_sort(list(age_lo)) AS lo, list_sort(list(CASE WHEN event THEN age_hi ELSE 1e18 END)) AS hi, avg(CASE WHEN event THEN least(age, {TAU}) ELSE {TAU} END) - avg(least(age, {TAU})) AS width FROM ev GROUP BY ALL)"""))
+def placement_medians(c: Context) -> DataFrame:
+    return survival.bracket_medians(c.events, TAU, LS).select("label", "side", r("median_lower"), r("median_upper"), r("width_censoring", 4))
+
+
 @query(sql("SELECT k.label, k.side, k.at_s, round(coalesce((SELECT arg_max(survival, age) FROM curve c WHERE c.label = k.label AND c.side = k.side AND c.age <= k.at_s), 1.0), 9) AS survival FROM (SELECT DISTINCT label, side, at_s FROM ev, (VALUES (3600.0::DOUBLE), (36000.0), (86400.0), (604800.0)) v(at_s)) k"))
 def step_evaluation(c: Context) -> DataFrame:
     at = c.events.select(*LS).distinct().select(*LS, F.explode(F.array(*[F.lit(x) for x in (3600.0, 36000.0, 86400.0, 604800.0)])).alias("at"))
