@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidespan.operators import carve, panels, renewal, resolve, survey, survival
-from tidespan.plans import queries_renewal, queries_survival
+from tidespan.plans import queries_metrics, queries_renewal, queries_survival, queries_windows
 from tidespan.plans.context import LADDER, Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
@@ -56,9 +56,14 @@ def tellability(c: Context) -> DataFrame:
     return panels.tellability(c.obs)
 
 
-@query()
+_PARTS = {q.name: q.oracle for module in (queries_metrics, queries_windows) for q in module.query.all}
+
+
+@query(f"""SELECT record, label, lower, upper, ratio AS run_ratio, exponent, coalesce(clean, 0) AS clean, coalesce(merged, 0) AS merged, coalesce(unbracketed, 0) AS unbracketed
+  FROM ({_PARTS["in_spec_bounds"]}) b LEFT JOIN ({_PARTS["run_length"]}) l USING (record, label) LEFT JOIN ({_PARTS["count_exponent"]}) e USING (record, label) LEFT JOIN ({_PARTS["crossing_placement"]}) p USING (record, label)""")
 def threshold_tellability(c: Context) -> DataFrame:
-    return panels.threshold_tellability(c.rows, c.wins)
+    out = panels.threshold_tellability(c.rows, c.wins)
+    return out.select("record", "label", r("lower", 9), r("upper", 9), r("run_ratio", 9), r("exponent"), "clean", "merged", "unbracketed")
 
 
 @query(sql("""SELECT record, label, quantity, round(value, 6) AS value FROM (SELECT record, label, 'occupancy' AS quantity, sum(CASE WHEN in_spec THEN held_us ELSE 0 END)::DOUBLE / nullif(sum(held_us)::DOUBLE, 0) AS value FROM rows_ GROUP BY ALL UNION ALL SELECT record, label, 'observed_s', sum(held_us) / 1e6 FROM rows_ GROUP BY ALL)"""))
