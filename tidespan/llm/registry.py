@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidespan.llm import decontaminate, extract, jaccard, licences, mixing, oracles, preferences, quality, secret_scan, url_rules, warc
+from tidespan.llm import decontaminate, extract, jaccard, licences, mixing, oracles, pii, preferences, quality, secret_scan, url_rules, warc
 from tidespan.llm.scratch import table
 
 
@@ -50,8 +50,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licence_scan, op2_preferences, op3_mix_sources, op4_url_rules, op5_quality_rules, op6_decontaminate, op7_main_text, op8_warc, op9_secret_scan, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_licence_scan, op2_preferences, op3_mix_sources, op4_url_rules, op5_quality_rules, op6_decontaminate, op7_main_text, op8_warc, op9_secret_scan, op10_jaccard_join, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
