@@ -32,3 +32,16 @@ lk AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM
 reach AS (SELECT doc_id AS a, doc_id AS b FROM dw UNION SELECT r.a, l.b FROM reach r JOIN lk l ON l.a = r.b)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id FROM dw LEFT JOIN sz USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+OP12 = rf"""
+WITH dw AS (SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT row_id, doc_id, len(w)::BIGINT AS n FROM dw WHERE len(w) > 0),
+corpus AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sizes),
+asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+posted AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(w) AS term FROM dw) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS wt FROM posted, corpus GROUP BY term, nn),
+parts AS (SELECT row_id, term, wt * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))) AS part FROM posted JOIN weights USING (term) JOIN sizes USING (row_id), corpus),
+scored AS (SELECT q, item_id, row_id, sum(times * part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY ALL),
+placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored JOIN sizes USING (row_id) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM placed WHERE rank <= 10
+"""
