@@ -45,3 +45,20 @@ scored AS (SELECT q, item_id, row_id, sum(times * part)::BIGINT AS score FROM as
 placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored JOIN sizes USING (row_id) WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM placed WHERE rank <= 10
 """
+
+OP11 = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r0 AS (SELECT c.conv_id, 0 AS part, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d, length(text)::BIGINT AS size, sha256(length(role)::VARCHAR || ':' || role || text) AS g FROM r0),
+p AS (SELECT conv_id, d, size, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+nodes AS (SELECT k, any_value(d)::BIGINT AS depth, any_value(size) AS size, count(*) AS n_convs, min(conv_id) AS conv_id FROM p GROUP BY k),
+l AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+ends AS (SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM p JOIN l USING (conv_id, d) GROUP BY k),
+up AS (SELECT k, CASE WHEN k <> '' THEN left(k, length(k) - 64) END AS pk FROM nodes),
+kids AS (SELECT pk AS k, count(*) AS n FROM up WHERE pk IS NOT NULL GROUP BY pk),
+below AS (SELECT left(n.k, (64 * a.d)::BIGINT) AS k, sum((n.n_convs - 1) * n.size)::BIGINT AS saved, count(*) FILTER (q.n IS NULL) AS leaves FROM nodes n LEFT JOIN kids q ON q.k = n.k, LATERAL (SELECT unnest(range(0, n.depth + 1)) AS d) a GROUP BY 1)
+SELECT m.conv_id, m.depth, pa.conv_id AS parent_conv_id, m.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nodes m JOIN up USING (k) LEFT JOIN nodes pa ON pa.k = up.pk LEFT JOIN kids ON kids.k = m.k LEFT JOIN ends ON ends.k = m.k JOIN below ON below.k = m.k
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidespan.llm import decontaminate, extract, jaccard, lexical, licences, mixing, oracles, pii, preferences, quality, secret_scan, url_rules, warc
+from tidespan.llm import decontaminate, extract, jaccard, lexical, licences, mixing, oracles, pii, preferences, quality, secret_scan, trie, url_rules, warc
 from tidespan.llm.scratch import table
 
 
@@ -50,6 +50,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,8 +63,8 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licence_scan, op2_preferences, op3_mix_sources, op4_url_rules, op5_quality_rules, op6_decontaminate, op7_main_text, op8_warc, op9_secret_scan, op10_jaccard_join, op12_ranked_search, op13_personal_data)}
+    return {f.__name__: f for f in (op1_licence_scan, op2_preferences, op3_mix_sources, op4_url_rules, op5_quality_rules, op6_decontaminate, op7_main_text, op8_warc, op9_secret_scan, op10_jaccard_join, op11_prefix_trie, op12_ranked_search, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": oracles.OP6, "op8_warc": oracles.OP8, "op10_jaccard_join": oracles.OP10, "op12_ranked_search": oracles.OP12}
+    return {"op6_decontaminate": oracles.OP6, "op8_warc": oracles.OP8, "op10_jaccard_join": oracles.OP10, "op11_prefix_trie": oracles.OP11, "op12_ranked_search": oracles.OP12}
