@@ -2,43 +2,30 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.operators import resolve
 
-TWO_PI = 2 * math.pi
-
 
 def status(value: Column, reason: str) -> Column:
     """``ok``, or why there is no number."""
     return F.when(value.isNull(), reason).otherwise("ok")
 
 
-def band_maximum(obs: DataFrame, points: int | None = None) -> DataFrame:
-    """Largest spectral-window power on [fs/2, 3 fs/2], fs the inverse of the median spacing, on an even grid: of steps of 1 / (4 T) at most, T the span, or of a fixed number of points."""
-    span = obs.groupBy("record").agg((1e6 / F.median(F.when(F.col("dt_us") > 0, F.col("dt_us")))).alias("fs"), F.count("*").alias("n"), F.min("t_us").alias("t0"), ((F.max("t_us") - F.min("t_us")) / 1e6).alias("span_s")).filter("fs is not null")
-    steps = 2 * F.ceil(2 * F.col("span_s") * F.col("fs")) if points is None else F.lit(points - 1)
-    spans = span.withColumn("steps", steps.cast("long")).withColumn("low", F.lit(0).cast("long")).withColumn("top", F.col("steps"))
-    met = resolve.by_frequency(obs.select("record", "t_us"), spans)
-    ph = TWO_PI * F.col("fs") * (0.5 + F.col("k") / F.col("steps")) * (F.col("t_us") - F.col("t0")) / 1e6
-    power = met.groupBy("record", "k").agg(((F.pow(F.sum(F.cos(ph)), 2) + F.pow(F.sum(F.sin(ph)), 2)) / F.first(F.col("n") * F.col("n"))).alias("w"))
-    return power.groupBy("record").agg(F.max("w").alias("maximum"))
-
-
-def edge_level(spectrum: DataFrame, share: float = 0.1) -> DataFrame:
-    """Mean density over the top share of the grid."""
-    rows = spectrum.filter("density is not null").withColumn("top", F.max("k").over(Window.partitionBy("record")))
-    return rows.filter(F.col("k") > (1 - share) * F.col("top")).groupBy("record").agg(F.avg("density").alias("edge"))
+def edge_level(obs: DataFrame, spectrum: DataFrame, share: float = 0.1) -> DataFrame:
+    """Mean density over the top share of the band (frequencies, not grid numbers), and the spectrum's peak."""
+    band = obs.groupBy("record").agg((0.5e6 / F.median(F.when(F.col("dt_us") > 0, F.col("dt_us")))).alias("edge_hz"))
+    rows = spectrum.filter("density is not null").join(band, "record")
+    return rows.groupBy("record").agg(F.avg(F.when(F.col("f") >= (1 - share) * F.col("edge_hz"), F.col("density"))).alias("edge"), F.max("density").alias("peak")).filter("edge is not null")
 
 
 def noise_floor(obs: DataFrame, spectrum: DataFrame) -> DataFrame:
-    """What white noise of the stated errors would put into the edge level: 2 x mean squared error x spacing over the level."""
-    step = F.when(~F.col("is_gap"), F.col("dt_us") / 1e6)
-    own = obs.groupBy("record").agg(F.avg(F.col("sigma") * F.col("sigma")).alias("s2"), F.avg(step).alias("dt"))
-    return own.join(edge_level(spectrum), "record").select("record", F.try_divide(2 * F.col("s2") * F.col("dt"), F.col("edge")).alias("ratio"))
+    """What white noise of the stated errors would put into the edge level: 2 x mean squared error x median spacing over the level. An edge below 1e-12
+    of the peak is the residue of a signal with no power there and has no ratio."""
+    step = obs.groupBy("record").agg((F.median(F.when(F.col("dt_us") > 0, F.col("dt_us"))) / 1e6).alias("dt"))
+    own = resolve.collapse_repeated(obs).groupBy("record").agg(F.avg(F.col("sigma") * F.col("sigma")).alias("s2")).join(step, "record")
+    return own.join(edge_level(obs, spectrum), "record").select("record", F.when(F.col("edge") > 1e-12 * F.col("peak"), F.try_divide(2 * F.col("s2") * F.col("dt"), F.col("edge"))).alias("ratio"))
 
 
 def tenth_ratio(variance: DataFrame) -> DataFrame:
@@ -55,7 +42,7 @@ def tellability(obs: DataFrame) -> DataFrame:
     spectrum = resolve.lomb_scargle(obs)
     out = obs.select("record").distinct()
     for part in (
-        resolve.second_difference(obs).withColumnRenamed("ratio", "difference_ratio"), noise_floor(obs, spectrum).withColumnRenamed("ratio", "noise_floor_ratio"), tenth_ratio(resolve.derivative_variance(spectrum)), band_maximum(obs),
+        resolve.second_difference(obs).withColumnRenamed("ratio", "difference_ratio"), noise_floor(obs, spectrum).withColumnRenamed("ratio", "noise_floor_ratio"), tenth_ratio(resolve.derivative_variance(spectrum)), resolve.band_maximum(obs),
         resolve.self_consistency(obs).withColumnRenamed("share", "consistency"), resolve.decile_spread(obs),
     ):
         out = out.join(part, "record", "left")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidespan.functions.fourier import exponential_sums
 from tidespan.operators.carve import in_time
 
 TWO_PI = 2 * math.pi
-#: Frequencies (or Allan factors) of a record in a task.
-BLOCK = 256
+#: Allan factors of a segment in a task.
+BLOCK = 2048
 
 
 def collapse_repeated(reads: DataFrame) -> DataFrame:
@@ -61,41 +65,80 @@ def crossing_placement(rows: DataFrame) -> DataFrame:
     return down.groupBy("record", "label").agg(F.count_if(good & one).alias("clean"), F.count_if(good & ~one).alias("merged"), F.count_if(~good).alias("unbracketed"))
 
 
-def by_frequency(reads: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each read with each k from ``low`` to ``top`` of its record. A record's frequencies are dealt in blocks, so that long records fill many tasks."""
-    blocks = reads.join(spans, "record").withColumn("block", F.expr(f"explode(sequence(low div {BLOCK}, top div {BLOCK}))")).repartition("record", "block")
-    return blocks.withColumn("k", F.expr(f"explode(sequence(greatest(low, block * {BLOCK}), least(top, block * {BLOCK} + {BLOCK - 1})))")).drop("block", "low", "top")
+def _median_step(t: np.ndarray) -> float:
+    """Median positive spacing, nan if there is none."""
+    d = np.diff(t)
+    return float(np.median(d[d > 0])) if (d > 0).any() else math.nan
 
 
-def grid(obs: DataFrame, n_frequencies: int | None = None) -> DataFrame:
-    """Ends of the grid k / T, T the record's span: up to the band edge, half the inverse of the median positive spacing, or to a fixed number."""
-    step = F.median(F.when(F.col("dt_us") > 0, F.col("dt_us")))
-    top = F.floor((F.max("t_us") - F.min("t_us")) / (2 * step)) if n_frequencies is None else F.lit(n_frequencies)
-    span = obs.groupBy("record").agg(((F.max("t_us") - F.min("t_us")) / 1e6).alias("span_s"), F.count("*").alias("n"), F.min("t_us").alias("t0"), top.cast("long").alias("top"))
-    return span.filter("span_s > 0 and n >= 4 and top >= 1").withColumn("low", F.lit(1).cast("long"))
+def _by_record(obs: DataFrame, columns: list[str], work: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """``work`` over the arrays of each record, in the order of time: one exchange by record, n log n in its task."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("t_us", "ascending"), ("seq", "ascending")])
+        out = work(*(rows[c].to_numpy() for c in ["t_us", *columns]))
+        record = pa.array([rows["record"][0].as_py()] * len(out[0]), rows.schema.field("record").type)
+        return pa.Table.from_arrays([record, *(pa.array(x, from_pandas=True) for x in out)], names=["record", *names])
 
-def spectral_window(obs: DataFrame, n_frequencies: int | None = None) -> DataFrame:
-    """|sum exp(-2 pi i f t)|^2 / n^2 on the grid. Reads meet the grid of their own record."""
-    met = by_frequency(obs.select("record", "t_us"), grid(obs, n_frequencies))
-    ph = TWO_PI * (F.col("k") / F.col("span_s")) * (F.col("t_us") - F.col("t0")) / 1e6
-    return met.groupBy("record", "k").agg((F.pow(F.sum(F.cos(ph)), 2) + F.pow(F.sum(F.sin(ph)), 2)).alias("p"), F.first("n").alias("n")).select("record", "k", (F.col("p") / (F.col("n") * F.col("n"))).alias("window"))
+    kind, names = obs.schema["record"].dataType.simpleString(), [x.split()[0] for x in schema.split(", ")]
+    return obs.select("record", "t_us", "seq", *columns).groupBy("record").applyInArrow(run, f"record {kind}, {schema}")
 
 
-def lomb_scargle(obs: DataFrame, n_frequencies: int | None = None) -> DataFrame:
-    """Floating-mean periodogram on the grid (Zechmeister and Kuerster 2009), as a density: 2 x spacing x power."""
-    met = by_frequency(obs.select("record", "t_us", "value"), grid(obs, n_frequencies)).withColumn("f", F.col("k") / F.col("span_s"))
-    ph = TWO_PI * F.col("f") * (F.col("t_us") - F.col("t0")) / 1e6
-    met = met.withColumn("c", F.cos(ph)).withColumn("s", F.sin(ph))
-    m = met.groupBy("record", "k").agg(
-        F.first("n").alias("n"), F.first("span_s").alias("span_s"), F.first("f").alias("f"), F.avg("c").alias("C"), F.avg("s").alias("S"), F.avg("value").alias("Y"), F.avg(F.col("value") * F.col("c")).alias("yc"), F.avg(F.col("value") * F.col("s")).alias("ys"),
-        F.avg(F.col("c") * F.col("c")).alias("cc"), F.avg(F.col("s") * F.col("s")).alias("ss"), F.avg(F.col("c") * F.col("s")).alias("cs"),
-    )
-    yc, ys = F.col("yc") - F.col("Y") * F.col("C"), F.col("ys") - F.col("Y") * F.col("S")
-    cc, ss, cs = F.col("cc") - F.col("C") * F.col("C"), F.col("ss") - F.col("S") * F.col("S"), F.col("cs") - F.col("C") * F.col("S")
+def _window(t: np.ndarray) -> list[np.ndarray]:
+    span, step = float(t[-1] - t[0]), _median_step(t)
+    top = math.floor(span / (2 * step)) if step > 0 else 0
+    if top < 1:
+        return [np.array([], np.int64), np.array([])]
+    sums = exponential_sums((t - t[0]) / span, np.ones(len(t)), top)[1:]
+    return [np.arange(1, top + 1), np.abs(sums) ** 2 / len(t) ** 2]
+
+
+def spectral_window(obs: DataFrame) -> DataFrame:
+    """|sum exp(-2 pi i f t)|^2 / n^2 on the grid k / T, T the record's span, up to the band edge, half the inverse of the median positive spacing.
+    Columns record, k, window; a span below two median spacings has no frequency and no row."""
+    return _by_record(obs, [], _window, "k long, window double")
+
+
+def _density(t: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+    none = [np.array([], np.int64), np.array([]), np.array([])]
+    span, step = float(t[-1] - t[0]), _median_step(t)
+    top = math.floor(span / (2 * step)) if step > 0 else 0
+    at, place = np.unique(t, return_inverse=True)
+    y = np.bincount(place, value) / np.bincount(place)  # reads of one time count as their mean
+    if top < 1 or np.ptp(value) == 0 or np.ptp(y) == 0:
+        return none
+    x, n, y = (at - at[0]) / span, len(at), y - y.mean()
+    ones, sums = exponential_sums(x, np.ones(n), 2 * top) / n, exponential_sums(x, y, top)[1:] / n
+    c, s, c2, s2 = ones[1 : top + 1].real, -ones[1 : top + 1].imag, ones[2::2].real, -ones[2::2].imag
+    yc, ys = sums.real, -sums.imag
+    cc, ss, cs = (1 + c2) / 2 - c * c, (1 - c2) / 2 - s * s, s2 / 2 - c * s
     det = cc * ss - cs * cs
-    power = F.when(det > 1e-12, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / F.nullif(det, F.lit(0.0))) * F.col("n") / 2
-    return m.select("record", "k", "f", (2 * F.col("span_s") / (F.col("n") - 1) * power).alias("density"))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        power = np.where(det > 1e-9, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / det * n / 2, np.nan)
+    k = np.arange(1, top + 1)
+    return [k, k / (span / 1e6), 2 * step / 1e6 * power]
+
+
+def lomb_scargle(obs: DataFrame) -> DataFrame:
+    """Floating-mean periodogram (Zechmeister and Kuerster 2009) on the grid of ``spectral_window``, as a one-sided density: 2 x median spacing x power.
+    Columns record, k, f, density; reads of one time are averaged; values of zero range have no rows. Where sine and cosine at the reads are
+    one function (an even lattice at its band edge) there is no power: null."""
+    return _by_record(obs, ["value"], _density, "k long, f double, density double")
+
+
+def _band_maximum(t: np.ndarray) -> list[np.ndarray]:
+    step = _median_step(t)
+    if not step > 0:
+        return [np.array([])]
+    rel, fs = (t - t[0]) / 1e6, 1e6 / step
+    steps = 2 * math.ceil(2 * rel[-1] * fs)
+    sums = exponential_sums(fs / steps * rel, np.exp(-1j * math.pi * fs * rel), steps)
+    return [np.array([np.max(np.abs(sums)) ** 2 / len(t) ** 2])]
+
+
+def band_maximum(obs: DataFrame) -> DataFrame:
+    """Largest spectral-window power on [fs/2, 3 fs/2], fs the inverse of the median positive spacing, in even steps of 1 / (4 T) at most."""
+    return _by_record(obs, [], _band_maximum, "maximum double")
 
 
 def derivative_variance(spectrum: DataFrame) -> DataFrame:
@@ -109,26 +152,29 @@ def derivative_variance(spectrum: DataFrame) -> DataFrame:
     return rows.withColumn("share", F.try_divide("variance", F.max("variance").over(Window.partitionBy("record"))))
 
 
-def allan_deviation(obs: DataFrame, factors: tuple[int, ...] | None = None, least: int = 8) -> DataFrame:
-    """Overlapping Allan deviation at the given factors, or at all up to half a segment, pooled over segments by term count. Phase is the running sum of values less the segment mean."""
-    whole = Window.partitionBy("record", "segment")
-    w = in_time("segment")
-    y = obs.withColumn("y", F.col("value") - F.avg("value").over(whole)).withColumn("i", F.row_number().over(w)).withColumn("m0", F.count("*").over(whole))
-    phase = y.withColumn("x", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # the phase starts at 0: terms are x[j+2m] - 2 x[j+m] + x[j] for j = 0 .. n - 2m, x[0] = 0
-    if factors is None:
-        path = phase.groupBy("record", "segment").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"), F.count("*").alias("size")).filter("size >= 2")
-        path = path.select("record", "segment", "size", F.expr("concat(array(0D), transform(p, a -> a.x))").alias("p"), F.expr(f"explode(sequence(1 div {BLOCK}, (size div 2) div {BLOCK}))").alias("block")).repartition("record", "segment", "block")
-        each = path.withColumn("m", F.expr(f"explode(sequence(greatest(1, block * {BLOCK}), least(size div 2, block * {BLOCK} + {BLOCK - 1})))"))
-        square = F.expr("aggregate(sequence(2 * m, size), 0D, (a, j) -> a + pow(p[int(j)] - 2 * p[int(j - m)] + p[int(j - 2 * m)], 2))")
-        sums = each.select("record", "m", square.alias("s"), (F.col("size") - 2 * F.col("m") + 1).alias("n_terms"))
-        out = sums.groupBy("record", "m").agg(F.sum("s").alias("s"), F.sum("n_terms").alias("n_terms")).filter(F.col("n_terms") >= least)
-    else:
-        cols = phase.select("record", "segment", "i", "x", *[e for m in factors for e in (F.lag("x", m, 0.0).over(w).alias(f"a{m}"), F.lag("x", 2 * m, 0.0).over(w).alias(f"b{m}"))])
-        stack = ", ".join(f"{m}L, a{m}, b{m}" for m in factors)
-        terms = cols.selectExpr("record", "i", "x", f"stack({len(factors)}, {stack}) as (m, a, b)").filter("i >= 2 * m")
-        d = F.col("x") - 2 * F.col("a") + F.col("b")
-        out = terms.groupBy("record", "m").agg(F.sum(d * d).alias("s"), F.count("*").alias("n_terms")).filter(F.col("n_terms") >= least)
+def allan_deviation(obs: DataFrame, least: int = 8, octaves: bool = False) -> DataFrame:
+    """Overlapping Allan deviation at all factors up to half a segment (or at powers of two), pooled over segments by term count. Phase is the
+    running sum of values less the segment mean, from 0. A segment's factors are dealt to tasks in blocks; columns record, m, n_terms, adev, adev_err."""
+    path = obs.groupBy("record", "segment").agg(F.array_sort(F.collect_list(F.struct("t_us", "seq", "value"))).alias("p"), F.count("*").alias("size")).filter("size >= 2")
+    blocks = path.select("record", F.expr("transform(p, a -> a.value)").alias("y"), F.expr(f"explode(sequence(1L, size div 2, {BLOCK}L))").alias("low"))
+    kind, width = obs.schema["record"].dataType.simpleString(), BLOCK
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            record, m, squares, terms = [], [], [], []
+            for i in range(batch.num_rows):
+                y = batch["y"][i].values.to_numpy()
+                x = np.concatenate([[0.0], np.cumsum(y - y.mean())])
+                low = batch["low"][i].as_py()
+                for k in range(low, min(low + width - 1, len(y) // 2) + 1):
+                    if octaves and k & (k - 1):
+                        continue
+                    d = x[2 * k :] - 2 * x[k:-k] + x[: -2 * k]
+                    record.append(batch["record"][i].as_py()), m.append(k), squares.append(float(d @ d)), terms.append(len(d))
+            yield pa.RecordBatch.from_arrays([pa.array(record, batch.schema.field("record").type), pa.array(m, pa.int64()), pa.array(squares, pa.float64()), pa.array(terms, pa.int64())], names=["record", "m", "s", "n_terms"])
+
+    sums = blocks.repartition("record", "low").mapInArrow(work, f"record {kind}, m long, s double, n_terms long")
+    out = sums.groupBy("record", "m").agg(F.sum("s").alias("s"), F.sum("n_terms").alias("n_terms")).filter(F.col("n_terms") >= least)
     return out.withColumn("adev", F.sqrt(F.col("s") / (2.0 * F.col("m") * F.col("m") * F.col("n_terms")))).withColumn("adev_err", F.col("adev") / F.sqrt(F.col("n_terms").cast("double"))).drop("s")
 
 

@@ -140,55 +140,39 @@ def crossing_placement(c: Context) -> DataFrame:
     return resolve.crossing_placement(c.rows).select("record", "label", "clean", "merged", "unbracketed")
 
 
-_GRID = """spans AS (SELECT record, (max(t_us) - min(t_us)) / 1e6 AS span_s, count(*) AS n, min(t_us) AS t0 FROM obs GROUP BY record HAVING max(t_us) > min(t_us) AND count(*) >= 4),
-trig AS (SELECT o.record, k, spans.n AS n, span_s, k / span_s AS f, value AS y, cos(2 * pi() * k / span_s * (t_us - t0) / 1e6) AS c, sin(2 * pi() * k / span_s * (t_us - t0) / 1e6) AS s FROM obs o JOIN spans USING (record), (SELECT unnest(range(1, 17)) AS k)),
-moments AS (SELECT record, k, any_value(n) AS n, any_value(span_s) AS span_s, any_value(f) AS f, sum(c) AS sc, sum(s) AS ss_, avg(y * c) - avg(y) * avg(c) AS yc, avg(y * s) - avg(y) * avg(s) AS ys, avg(c * c) - avg(c) * avg(c) AS cc, avg(s * s) - avg(s) * avg(s) AS ss, avg(c * s) - avg(c) * avg(s) AS cs FROM trig GROUP BY record, k),
-dens AS (SELECT record, k, f, 2 * span_s / (n - 1) * (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (cc * ss - cs * cs) * n / 2 AS density FROM moments WHERE cc * ss - cs * cs > 1e-12)"""
+_GRID = """spans AS (SELECT record, (max(t_us) - min(t_us)) / 1e6 AS span_s, count(*) AS n, min(t_us) AS t0, median(dt_us) FILTER (dt_us > 0) / 1e6 AS step, floor((max(t_us) - min(t_us)) / (2 * median(dt_us) FILTER (dt_us > 0)))::BIGINT AS top FROM obs GROUP BY record HAVING max(t_us) > min(t_us)),
+ks AS (SELECT *, unnest(range(1, top + 1)) AS k FROM spans WHERE top >= 1),
+wave AS (SELECT o.record, k, 2 * pi() * k / span_s * (t_us - t0) / 1e6 AS ph, ks.n AS n FROM obs o JOIN ks USING (record)),
+means AS (SELECT record, t_us, avg(value) AS y FROM obs GROUP BY record, t_us),
+flat AS (SELECT record FROM means GROUP BY record HAVING max(y) = min(y)),
+trig AS (SELECT o.record, k, span_s, step, k / span_s AS f, y, cos(2 * pi() * k / span_s * (t_us - t0) / 1e6) AS c, sin(2 * pi() * k / span_s * (t_us - t0) / 1e6) AS s FROM means o JOIN ks USING (record) WHERE record NOT IN (SELECT record FROM flat)),
+moments AS (SELECT record, k, count(*) AS n, any_value(step) AS step, any_value(f) AS f, avg(y * c) - avg(y) * avg(c) AS yc, avg(y * s) - avg(y) * avg(s) AS ys, avg(c * c) - avg(c) * avg(c) AS cc, avg(s * s) - avg(s) * avg(s) AS ss, avg(c * s) - avg(c) * avg(s) AS cs FROM trig GROUP BY record, k),
+dens AS (SELECT record, k, f, 2 * step * (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (cc * ss - cs * cs) * n / 2 AS density FROM moments WHERE cc * ss - cs * cs > 1e-9)"""
 
 
-@query(sql("SELECT record, k, round((sc * sc + ss_ * ss_) / (n * n), 8) AS window_power FROM moments", _GRID))
+@query(sql("SELECT record, k, round((pow(sum(cos(ph)), 2) + pow(sum(sin(ph)), 2)) / any_value(n * n), 8) AS window_power FROM wave GROUP BY record, k", _GRID))
 def spectral_window(c: Context) -> DataFrame:
-    return resolve.spectral_window(c.obs, 16).select("record", "k", r("window", 8, "window_power"))
-
-
-@query()
-def spectral_window_all(c: Context) -> DataFrame:
     """On the grid up to the band edge."""
     return resolve.spectral_window(c.obs).select("record", "k", r("window", 8, "window_power"))
 
 
 @query(sql("SELECT record, k, round(density / 1e6, 5) AS density FROM dens", _GRID))
 def lomb_scargle(c: Context) -> DataFrame:
-    return resolve.lomb_scargle(c.obs, 16).filter("density is not null").select("record", "k", r(F.col("density") / 1e6, 5, "density"))
-
-
-@query()
-def lomb_scargle_all(c: Context) -> DataFrame:
     """On the grid up to the band edge."""
     return resolve.lomb_scargle(c.obs).filter("density is not null").select("record", "k", r(F.col("density") / 1e6, 5, "density"))
 
 
 @query(sql("""SELECT record, k, round(v / max(v) OVER (PARTITION BY record), 6) AS share FROM (SELECT *, sum(area) OVER (PARTITION BY record ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT *, coalesce((f - lag(f) OVER w) * (4 * pi() * pi() * f * f * density + 4 * pi() * pi() * pow(lag(f) OVER w, 2) * lag(density) OVER w) / 2, 4 * pi() * pi() * density * f * f * f / 3) AS area FROM dens WINDOW w AS (PARTITION BY record ORDER BY k)))""", _GRID))
 def g10(c: Context) -> DataFrame:
-    return resolve.derivative_variance(resolve.lomb_scargle(c.obs, 16)).select("record", "k", r("share"))
-
-
-@query()
-def g10_all(c: Context) -> DataFrame:
-    """On the grid up to the band edge."""
     return resolve.derivative_variance(resolve.lomb_scargle(c.obs)).select("record", "k", r("share"))
 
 
-@query(sql("""SELECT record, m, count(*) AS n_terms, round(sqrt(sum(pow(x - 2 * a + b, 2)) / (2.0 * m * m * count(*))), 6) AS adev FROM (SELECT p.record, m, p.x, coalesce(q.x, 0) AS a, coalesce(z.x, 0) AS b FROM ph p, (VALUES (1), (2), (4), (8), (16)) f(m) LEFT JOIN ph q ON q.record = p.record AND q.segment = p.segment AND q.i = p.i - m LEFT JOIN ph z ON z.record = p.record AND z.segment = p.segment AND z.i = p.i - 2 * m WHERE p.i >= 2 * m) GROUP BY record, m HAVING count(*) >= 8""",
-  "ph AS (SELECT record, segment, i, sum(y) OVER (PARTITION BY record, segment ORDER BY i ROWS UNBOUNDED PRECEDING) AS x FROM (SELECT record, segment, row_number() OVER w AS i, value - avg(value) OVER (PARTITION BY record, segment) AS y FROM obs WINDOW w AS (PARTITION BY record, segment ORDER BY t_us, seq)))"))
+@query(sql("""SELECT record, m, count(*) AS n_terms, round(sqrt(sum(pow(x - 2 * a + b, 2)) / (2.0 * m * m * count(*))), 6) AS adev FROM (SELECT p.record, m, p.x, coalesce(q.x, 0) AS a, coalesce(z.x, 0) AS b FROM ph p JOIN factors f USING (record, segment) LEFT JOIN ph q ON q.record = p.record AND q.segment = p.segment AND q.i = p.i - m LEFT JOIN ph z ON z.record = p.record AND z.segment = p.segment AND z.i = p.i - 2 * m WHERE p.i >= 2 * m) GROUP BY record, m HAVING count(*) >= 8""",
+  "ph AS (SELECT record, segment, i, sum(y) OVER (PARTITION BY record, segment ORDER BY i ROWS UNBOUNDED PRECEDING) AS x FROM (SELECT record, segment, row_number() OVER w AS i, value - avg(value) OVER (PARTITION BY record, segment) AS y FROM obs WINDOW w AS (PARTITION BY record, segment ORDER BY t_us, seq)))",
+  "factors AS (SELECT record, segment, unnest(range(1, count(*) // 2 + 1)) AS m FROM obs GROUP BY record, segment)"))
 def allan(c: Context) -> DataFrame:
-    return resolve.allan_deviation(c.obs, (1, 2, 4, 8, 16)).select("record", F.col("m").cast("long").alias("m"), "n_terms", r("adev"))
-
-
-@query()
-def allan_all(c: Context) -> DataFrame:
     """At all factors with eight terms or more."""
-    return resolve.allan_deviation(c.obs).select("record", F.col("m").cast("long").alias("m"), "n_terms", r("adev"))
+    return resolve.allan_deviation(c.obs).select("record", "m", "n_terms", r("adev"))
 
 
 @query(sql("SELECT record, label, side, round(sum(duration_s), 5) AS exposure_s, count(*) FILTER (NOT censored) AS exits, count(*) FILTER (birth_seen AND NOT censored) AS n_complete, round(sum(duration_s) / nullif(count(*) FILTER (NOT censored), 0), 5) AS mean_dwell_s FROM wins GROUP BY ALL"))

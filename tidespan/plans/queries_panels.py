@@ -18,36 +18,21 @@ QUERIES = query = Queries()
 _DV = "dv AS (SELECT *, sum(area) OVER (PARTITION BY record ORDER BY k ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT *, coalesce((f - lag(f) OVER w) * (4 * pi() * pi() * f * f * density + 4 * pi() * pi() * pow(lag(f) OVER w, 2) * lag(density) OVER w) / 2, 4 * pi() * pi() * density * f * f * f / 3) AS area FROM dens WINDOW w AS (PARTITION BY record ORDER BY k)))"
 
 
-@query(sql("SELECT record, round(max(w), 7) AS maximum FROM (SELECT o.record, k, (pow(sum(cos(2 * pi() * fs * (0.5 + k / 31.0::DOUBLE) * (t_us - t0) / 1e6)), 2) + pow(sum(sin(2 * pi() * fs * (0.5 + k / 31.0::DOUBLE) * (t_us - t0) / 1e6)), 2)) / any_value(m * m) AS w FROM obs o JOIN (SELECT record, 1e6 / median(dt_us) FILTER (dt_us > 0) AS fs, count(*) AS m, min(t_us) AS t0 FROM obs GROUP BY record) s USING (record), (SELECT unnest(range(0, 32)) AS k) WHERE fs IS NOT NULL GROUP BY o.record, k) GROUP BY record"))
+@query(sql("SELECT record, round(max(w), 7) AS maximum FROM (SELECT o.record, k, (pow(sum(cos(2 * pi() * fs * (0.5 + k / steps) * (t_us - t0) / 1e6)), 2) + pow(sum(sin(2 * pi() * fs * (0.5 + k / steps) * (t_us - t0) / 1e6)), 2)) / any_value(m * m) AS w FROM obs o JOIN fine USING (record) GROUP BY o.record, k) GROUP BY record",
+  "fine AS (SELECT *, unnest(range(0, steps::BIGINT + 1)) AS k FROM (SELECT *, 2 * ceil(2 * span_s * fs) AS steps FROM (SELECT record, 1e6 / median(dt_us) FILTER (dt_us > 0) AS fs, count(*) AS m, min(t_us) AS t0, (max(t_us) - min(t_us)) / 1e6 AS span_s FROM obs GROUP BY record) WHERE fs IS NOT NULL))"))
 def band_maximum(c: Context) -> DataFrame:
-    return panels.band_maximum(c.obs, 32).select("record", r("maximum", 7))
-
-
-@query()
-def band_maximum_all(c: Context) -> DataFrame:
     """In steps of 1 / (4 T) at most."""
-    return panels.band_maximum(c.obs).select("record", r("maximum", 7))
+    return resolve.band_maximum(c.obs).select("record", r("maximum", 7))
 
 
-@query(sql("SELECT record, round(2 * s2 * dt / edge, 6) AS ratio FROM (SELECT record, avg(sigma * sigma) AS s2, avg(dt_us / 1e6) FILTER (NOT is_gap) AS dt FROM obs GROUP BY record) JOIN (SELECT record, avg(density) AS edge FROM (SELECT *, max(k) OVER (PARTITION BY record) AS top FROM dens) WHERE k > 0.9 * top GROUP BY record) USING (record)", _GRID))
+@query(sql("SELECT record, round(CASE WHEN edge > 1e-12 * peak THEN 2 * s2 * step / edge END, 6) AS ratio FROM (SELECT record, avg(sigma * sigma) AS s2 FROM (SELECT record, t_us, CASE WHEN count(sigma) = count(*) THEN sqrt(sum(sigma * sigma)) / count(*) END AS sigma FROM obs GROUP BY record, t_us) GROUP BY record) JOIN (SELECT record, any_value(step) AS step, avg(density) FILTER (f >= 0.9::DOUBLE * 0.5 / step) AS edge, max(density) AS peak FROM dens JOIN spans USING (record) GROUP BY record) USING (record) WHERE edge IS NOT NULL", _GRID))
 def noise_floor(c: Context) -> DataFrame:
-    return panels.noise_floor(c.obs, resolve.lomb_scargle(c.obs, 16)).select("record", r("ratio"))
-
-
-@query()
-def noise_floor_all(c: Context) -> DataFrame:
     """On the grid up to the band edge."""
     return panels.noise_floor(c.obs, resolve.lomb_scargle(c.obs)).select("record", r("ratio"))
 
 
 @query(sql("SELECT record, round(a / nullif(v0 + (top / 10 - f0) / (f - f0) * (v - v0), 0), 4) AS g10 FROM (SELECT *, coalesce(lag(f) OVER w, 0) AS f0, coalesce(lag(v) OVER w, 0) AS v0, max(f) OVER (PARTITION BY record) AS top, max(v) OVER (PARTITION BY record) AS a FROM dv WINDOW w AS (PARTITION BY record ORDER BY k)) WHERE f0 < top / 10 AND f >= top / 10", _GRID, _DV))
 def g10_ratio(c: Context) -> DataFrame:
-    return panels.tenth_ratio(resolve.derivative_variance(resolve.lomb_scargle(c.obs, 16))).select("record", r("g10", 4))
-
-
-@query()
-def g10_ratio_all(c: Context) -> DataFrame:
-    """On the grid up to the band edge."""
     return panels.tenth_ratio(resolve.derivative_variance(resolve.lomb_scargle(c.obs))).select("record", r("g10", 4))
 
 
