@@ -1,7 +1,8 @@
 """Survival estimators on right-censored durations: risk tables, product-limit curves, hazards, restricted means, comparisons, pooling.
 
 An event table has a key (any columns), ``age`` (double), ``event`` (boolean) and, for placement brackets, ``age_lo`` and ``age_hi``.
-Ages are grouped before any window runs, so a window sees distinct ages only.
+Ages are grouped before any window runs. Curves of many keys (records) take a window a key; curves of few and large keys (``pooled``) run in
+pieces, see ``prefix``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.functions.special import normal_quantile
+from tidespan.operators.prefix import running
 
 ROOT_EPS = math.sqrt(2.0**-52)
 CELL = ("record", "label", "side")
@@ -36,19 +38,17 @@ def event_table_errors(events: DataFrame) -> DataFrame:
     return events.filter(F.coalesce(bad, F.lit(False)))
 
 
-def risk_table(events: DataFrame, key: Sequence[str] = CELL) -> DataFrame:
-    """Per distinct age: deaths, censorings and the number at risk (ages of this and above)."""
+def risk_table(events: DataFrame, key: Sequence[str] = CELL, pooled: bool = False) -> DataFrame:
+    """Per distinct age: deaths, censorings and the number at risk (ages of this and above). ``pooled``, here and below: keys are few and large."""
     ages = events.groupBy(*key, "age").agg(F.count_if("event").alias("deaths"), F.count_if(~F.col("event")).alias("censorings"))
-    down = Window.partitionBy(*key).orderBy(F.col("age").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ages.withColumn("at_risk", F.sum(F.col("deaths") + F.col("censorings")).over(down))
+    return running(ages, key, "age", {"at_risk": (F.col("deaths") + F.col("censorings"), "sum")}, down=True, pooled=pooled)
 
 
-def product_limit(risk: DataFrame, key: Sequence[str] = CELL) -> DataFrame:
+def product_limit(risk: DataFrame, key: Sequence[str] = CELL, pooled: bool = False) -> DataFrame:
     """Survival after each age and Greenwood's sum (infinite once the risk set is consumed), with the cumulative hazard and its variance."""
-    up = Window.partitionBy(*key).orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
     d, n = F.col("deaths"), F.col("at_risk")
     term = F.when(d == 0, 0.0).when(d == n, F.lit(float("inf"))).otherwise(d / (n.cast("double") * (n - d)))
-    return risk.withColumn("survival", F.product(1 - d / n).over(up)).withColumn("greenwood", F.sum(term).over(up)).withColumn("hazard", F.sum(d / n).over(up)).withColumn("hazard_var", F.sum(d / (n * n)).over(up))
+    return running(risk, key, "age", {"survival": (1 - d / n, "product"), "greenwood": (term, "sum"), "hazard": (d / n, "sum"), "hazard_var": (d / (n * n), "sum")}, pooled=pooled)
 
 
 def loglog_band(curve: DataFrame, level: float = 0.95) -> DataFrame:
@@ -67,23 +67,22 @@ def hazard_band(curve: DataFrame, level: float = 0.95) -> DataFrame:
     return curve.withColumn("hazard_lower", h * F.exp(-width)).withColumn("hazard_upper", h * F.exp(width))
 
 
-def survival_quantile(curve: DataFrame, p: float, column: str = "survival", key: Sequence[str] = CELL) -> DataFrame:
+def survival_quantile(curve: DataFrame, p: float, column: str = "survival", key: Sequence[str] = CELL, pooled: bool = False) -> DataFrame:
     """First age with survival at or below 1 - p; an exact hit takes the midpoint to the next drop, or to the largest age."""
     s, level = F.col(column), 1 - p
-    w = Window.partitionBy(*key)
-    steps = curve.withColumn("top", F.max("age").over(w)).filter((F.col("deaths") > 0) & s.isNotNull())
-    steps = steps.withColumn("after", F.coalesce(F.lead("age").over(w.orderBy("age")), F.col("top")))
-    hit = steps.filter(s <= level + ROOT_EPS).groupBy(*key).agg(F.min_by(F.struct("age", "after", s.alias("s")), "age").alias("m"))
-    return hit.select(*key, F.when(F.abs(F.col("m.s") - level) <= ROOT_EPS, (F.col("m.age") + F.col("m.after")) / 2).otherwise(F.col("m.age")).alias("quantile"))
+    drop = (F.col("deaths") > 0) & s.isNotNull()
+    steps = running(curve, key, "age", {"after": (F.when(drop, F.col("age")), "nearest")}, down=True, pooled=pooled)
+    hit = steps.groupBy(*key).agg(F.max("age").alias("top"), F.min_by(F.struct("age", "after", s.alias("s")), F.when(drop & (s <= level + ROOT_EPS), F.col("age"))).alias("m")).filter("m is not null")
+    return hit.select(*key, F.when(F.abs(F.col("m.s") - level) <= ROOT_EPS, (F.col("m.age") + F.coalesce(F.col("m.after"), F.col("top"))) / 2).otherwise(F.col("m.age")).alias("quantile"))
 
 
-def restricted_mean(curve: DataFrame, tau: Column | float, key: Sequence[str] = CELL) -> DataFrame:
+def restricted_mean(curve: DataFrame, tau: Column | float, key: Sequence[str] = CELL, pooled: bool = False) -> DataFrame:
     """Area under the curve up to tau and its variance, the sum over deaths before tau of (area beyond)^2 d / (n (n - d))."""
     tau = F.lit(tau) if isinstance(tau, (int, float)) else tau
-    w = Window.partitionBy(*key)
-    rows = curve.withColumn("tau", tau).withColumn("least", F.min("age").over(w)).filter("deaths > 0 or age = least").withColumn("to", F.least(F.coalesce(F.lead("age").over(w.orderBy("age")), F.col("tau")), F.col("tau")))
-    rows = rows.withColumn("area", F.greatest(F.lit(0.0), F.col("to") - F.least("age", "tau")) * F.col("survival"))
-    rows = rows.withColumn("beyond", F.sum("area").over(w.orderBy(F.col("age").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(curve.withColumn("tau", tau), key, "age", {"to": (F.col("age"), "nearest")}, down=True, pooled=pooled)
+    to = F.least(F.coalesce("to", "tau"), F.col("tau"))
+    rows = rows.withColumn("area", F.greatest(F.lit(0.0), to - F.least("age", "tau")) * F.col("survival"))
+    rows = running(rows, key, "age", {"beyond": (F.col("area"), "sum")}, down=True, pooled=pooled)
     d, n, a = F.col("deaths"), F.col("at_risk").cast("double"), F.col("beyond")
     var = F.when((d > 0) & (F.col("age") < F.col("tau")) & (a > 0), a * a * d / (n * F.nullif(n - d, F.lit(0.0)))).otherwise(0.0)
     return rows.groupBy(*key).agg((F.sum("area") + F.least(F.min("age"), F.first("tau"))).alias("rmst"), F.sum(var).alias("rmst_var"), F.first("tau").alias("tau"))
@@ -149,8 +148,7 @@ def log_rank(events: DataFrame, group: str, first: str, second: str, key: Sequen
     ages = events.filter(F.col(group).isin(first, second)).groupBy(*key, "age").agg(
         F.count_if(a).alias("ca"), F.count_if(~a).alias("cb"), F.count_if(a & F.col("event")).alias("da"), F.count_if(~a & F.col("event")).alias("db")
     )
-    down = Window.partitionBy(*key).orderBy(F.col("age").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    r = ages.withColumn("na", F.sum("ca").over(down).cast("double")).withColumn("nb", F.sum("cb").over(down).cast("double")).filter("da + db > 0")
+    r = running(ages, key, "age", {"na": (F.col("ca").cast("double"), "sum"), "nb": (F.col("cb").cast("double"), "sum")}, down=True).filter("da + db > 0")
     d, n = F.col("da") + F.col("db"), F.col("na") + F.col("nb")
     v = F.when(n > 1, F.col("na") * F.col("nb") * d * (n - d) / (n * n * F.nullif(n - 1, F.lit(0.0)))).otherwise(0.0)
     out = r.groupBy(*key).agg(F.sum(F.col("da") - d * F.col("na") / n).alias("o_minus_e"), F.sum(v).alias("variance"))

@@ -58,7 +58,7 @@ class Context:
     @cached_property
     def curve(self) -> DataFrame:
         """Curves of each rung and side over all records."""
-        return survival.product_limit(survival.risk_table(self.events, ("label", "side")), ("label", "side"))
+        return survival.product_limit(survival.risk_table(self.events, ("label", "side"), pooled=True), ("label", "side"), pooled=True)
 
     @cached_property
     def record_curve(self) -> DataFrame:

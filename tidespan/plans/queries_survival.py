@@ -32,7 +32,7 @@ def event_table_errors(c: Context) -> DataFrame:
 
 @query(sql("SELECT label, side, round(age, 6) AS age, deaths::BIGINT AS deaths, censorings::BIGINT AS censorings, at_risk::BIGINT AS at_risk FROM risk"))
 def risk_table(c: Context) -> DataFrame:
-    return survival.risk_table(c.events, LS).select("label", "side", r("age"), "deaths", "censorings", "at_risk")
+    return survival.risk_table(c.events, LS, pooled=True).select("label", "side", r("age"), "deaths", "censorings", "at_risk")
 
 
 @query(sql("SELECT label, side, round(age, 6) AS age, round(survival, 9) AS survival, round(CASE WHEN isfinite(greenwood) THEN greenwood END, 9) AS greenwood FROM curve"))
@@ -56,7 +56,7 @@ _STEPS = "steps_ AS (SELECT label, side, age, survival, coalesce(lead(age) OVER
 @query(sql("""SELECT label, side, p::DOUBLE AS p, round(CASE WHEN abs(s - (1 - p)) <= 1.490116e-08 THEN (age + after) / 2 ELSE age END, 6) AS quantile FROM (
   SELECT label, side, p, min(age) AS age, arg_min(after, age) AS after, arg_min(survival, age) AS s FROM steps_, probs WHERE survival <= 1 - p + 1.490116e-08 GROUP BY ALL)""", _STEPS))
 def km_quantiles(c: Context) -> DataFrame:
-    each = [survival.survival_quantile(c.curve, p, key=LS).withColumn("p", F.lit(p)) for p in (0.25, 0.5, 0.75)]
+    each = [survival.survival_quantile(c.curve, p, key=LS, pooled=True).withColumn("p", F.lit(p)) for p in (0.25, 0.5, 0.75)]
     return each[0].unionByName(each[1]).unionByName(each[2]).select("label", "side", "p", r("quantile"))
 
 
@@ -74,7 +74,7 @@ rm AS (SELECT label, side, sum(area) + least(min(age), {TAU}) AS rmst, sum(CASE
 
 @query(sql("SELECT label, side, round(rmst, 4) AS rmst, round(sqrt(rmst_var), 4) AS rmst_se FROM rm", _RMST))
 def rmst(c: Context) -> DataFrame:
-    return survival.restricted_mean(c.curve, TAU, LS).select("label", "side", r("rmst", 4), r(F.sqrt("rmst_var"), 4, "rmst_se"))
+    return survival.restricted_mean(c.curve, TAU, LS, pooled=True).select("label", "side", r("rmst", 4), r(F.sqrt("rmst_var"), 4, "rmst_se"))
 
 
 @query(sql(f"""SELECT label, side, count(*) AS n, round(avg(least(age_lo, {TAU})), 4) AS lower_area, round(avg(CASE WHEN event THEN least(age_hi, {TAU}) ELSE {TAU} END), 4) AS upper_area,
@@ -130,8 +130,8 @@ gr AS (SELECT label, side, grp, sum(area) + least(min(age), {TAU}) AS mean, sum(
 
 def group_means(c: Context) -> DataFrame:
     key = (*LS, "grp")
-    curve = survival.product_limit(survival.risk_table(c.events.join(c.groups, "record"), key), key)
-    return survival.restricted_mean(curve, TAU, key).select(*key, F.col("rmst").alias("mean"), F.col("rmst_var").alias("var"))
+    curve = survival.product_limit(survival.risk_table(c.events.join(c.groups, "record"), key, pooled=True), key, pooled=True)
+    return survival.restricted_mean(curve, TAU, key, pooled=True).select(*key, F.col("rmst").alias("mean"), F.col("rmst_var").alias("var"))
 
 
 @query(sql("SELECT a.label, a.side, a.grp AS first, b.grp AS second, round(a.mean - b.mean, 4) AS difference, round(sqrt(a.var + b.var), 4) AS se FROM gr a JOIN gr b ON a.label = b.label AND a.side = b.side AND a.grp < b.grp", _GRM))
@@ -243,14 +243,14 @@ _CYC_KM = "ck AS (SELECT length_s AS age, sum(event::INT)::DOUBLE AS d, sum(coun
 @query(sql("SELECT round(age, 6) AS age, round(s, 9) AS survival FROM cs", _CYC_KM))
 def cycle_survival(c: Context) -> DataFrame:
     table = cycles.cycle_events(cycles.cycles(c.live))
-    return survival.product_limit(survival.risk_table(table, ("label",)), ("label",)).select(r("age"), r("survival", 9))
+    return survival.product_limit(survival.risk_table(table, ("label",), pooled=True), ("label",), pooled=True).select(r("age"), r("survival", 9))
 
 
 @query(sql("""SELECT round(rmst, 4) AS mtbc_s, round(sqrt(v), 4) AS se, round(rmst - 1.959963984540054 * sqrt(v), 3) AS lower, round(rmst + 1.959963984540054 * sqrt(v), 3) AS upper FROM (SELECT sum(area) + least(min(age), 86400.0) AS rmst, sum(CASE WHEN d > 0 AND age < 86400.0 AND beyond > 0 THEN beyond * beyond * d / (m * nullif(m - d, 0)) ELSE 0 END) AS v FROM (
   SELECT *, sum(area) OVER (ORDER BY age DESC ROWS UNBOUNDED PRECEDING) AS beyond FROM (SELECT *, greatest(0, least(coalesce(lead(age) OVER (ORDER BY age), 86400.0), 86400.0) - least(age, 86400.0)) * s AS area FROM (SELECT *, min(age) OVER () AS a0 FROM cs) WHERE d > 0 OR age = a0)))""", _CYC_KM))
 def mtbc(c: Context) -> DataFrame:
     table = cycles.cycle_events(cycles.cycles(c.live))
-    mean = survival.restricted_mean(survival.product_limit(survival.risk_table(table, ("label",)), ("label",)), TAU, ("label",))
+    mean = survival.restricted_mean(survival.product_limit(survival.risk_table(table, ("label",), pooled=True), ("label",), pooled=True), TAU, ("label",), pooled=True)
     half = survival.normal_quantile(0.975) * F.sqrt("rmst_var")
     return mean.select(r("rmst", 4, "mtbc_s"), r(F.sqrt("rmst_var"), 4, "se"), r(F.col("rmst") - half, 3, "lower"), r(F.col("rmst") + half, 3, "upper"))
 
