@@ -27,5 +27,5 @@ def test_all_neighbours_are_compared(spark):
     cells = {tuple(r) for r in c.wins.select("record", "label", "side").distinct().collect()}
     checks = {(r.record, r.label, r.side): ",".join(r.verdicts) for r in renewal.attachments(queries_renewal.ledger(c)).collect()}
     want = {(label, side, i, i + 1, checks.get((i, label, side)), checks.get((i + 1, label, side))) for i, label, side in cells if (i + 1, label, side) in cells}
-    got = [(r.label, r.side, r.first, r.second, r.first_verdicts, r.second_verdicts) for r in registry.queries()["pair_checks_all"](spark, DATA).collect()]
+    got = [(r.label, r.side, r.first, r.second, r.first_verdicts, r.second_verdicts) for r in registry.queries()["pair_checks"](spark, DATA).collect()]
     assert len(got) == len(want) and set(got) == want and any(r[2] % 10 for r in got)

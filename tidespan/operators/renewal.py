@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidespan.functions.special import normal_quantile
+
 CELL = ["record", "label", "side"]
 AT_EVENT = 1 + 1e-12
 TREND, DEPENDENCE = ("c1", "c2", "cvm"), ("c5", "c6")
-TIE_SENSITIVE = ("c5", "c6")
+TIE_SENSITIVE = ("c5", "c6", "dependence")
 
 
 def side_gaps(wins: DataFrame) -> DataFrame:
@@ -42,6 +44,13 @@ def usable(gaps: DataFrame, least: int = 3) -> DataFrame:
     return rows.filter((F.col("n") >= max(2, least)) & (F.col("lo") > 0) & (F.col("hi") > F.col("lo"))).drop("lo", "hi")
 
 
+def unusable(gaps: DataFrame, least: int = 3) -> DataFrame:
+    """The segments that ``usable`` leaves out, each with its gaps and the reason: cell, segment, n, reason."""
+    seg = gaps.groupBy(*CELL, "segment").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    reason = F.when(F.col("n") < max(2, least), f"fewer than {max(2, least)} gaps").when(F.col("lo") <= 0, "a gap is not positive").when(F.col("hi") <= F.col("lo"), "all gaps are equal")
+    return seg.withColumn("reason", reason).filter("reason is not null").drop("lo", "hi")
+
+
 def gamma(gaps: DataFrame, estimator: str = "sample") -> DataFrame:
     """Coefficient of variation of each segment's gaps: sample, population, or truncated (the residual folded in)."""
     seg = gaps.groupBy(*CELL, "segment").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.stddev_pop("x").alias("sdp"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("x").alias("t"), F.first("tau").alias("tau"))
@@ -58,14 +67,31 @@ def gamma(gaps: DataFrame, estimator: str = "sample") -> DataFrame:
     return seg.select(*CELL, "segment", g.alias("gamma"))
 
 
+#: A prime: draw keys are squares modulo it, so that their products fit 64 bits in every engine.
+PRIME = 2_147_483_647
+
+
+def gap_hash(seed: int) -> Column:
+    """A number below PRIME from the name of a gap (cell, segment, i), made once per gap."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *CELL, "segment", "i")), 1, 8), 16, 10).cast("long") % PRIME
+
+
+def draw_factors(n_draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each draw: the factor and the shift of its keys."""
+    h = [hashlib.md5(f"{seed}|{b}".encode()).hexdigest() for b in range(n_draws + 1)]
+    return np.array([int(x[:8], 16) % (PRIME - 1) + 1 for x in h]), np.array([int(x[8:16], 16) % PRIME for x in h])
+
+
 def draws(gaps: DataFrame, n_draws: int, seed: int) -> DataFrame:
-    """The gaps in ``n_draws`` shuffled orders beside the observed one (b = 0). Orders come from digests, so any engine can repeat them; a digest breaks no tie since (cell, b, segment, i) is unique."""
+    """The gaps in ``n_draws`` shuffled orders beside the observed one (b = 0). A draw orders a segment by ((hash x factor + shift) mod PRIME)^2 mod PRIME, then by i:
+    one digest a gap and arithmetic a draw, which any engine can repeat."""
     if n_draws == 0:
         return gaps.withColumn("b", F.lit(0).cast("long")).withColumn("pos", F.col("i"))
-    spark = gaps.sparkSession
-    many = gaps.crossJoin(F.broadcast(spark.range(0, n_draws + 1).withColumnRenamed("id", "b")))
-    key = F.when(F.col("b") == 0, F.lpad(F.col("i").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws("|", F.lit(str(seed)), *CELL, "b", "segment", "i")))
-    return many.withColumn("pos", F.row_number().over(Window.partitionBy(*CELL, "b", "segment").orderBy(key)).cast("long"))
+    factors = gaps.sparkSession.createDataFrame([(b, int(k), int(c)) for b, (k, c) in enumerate(zip(*draw_factors(n_draws, seed)))], "b long, _factor long, _shift long")
+    many = gaps.withColumn("_hash", gap_hash(seed)).crossJoin(F.broadcast(factors))
+    z = (F.col("_hash") * F.col("_factor") + F.col("_shift")) % PRIME
+    order = Window.partitionBy(*CELL, "b", "segment").orderBy(F.when(F.col("b") > 0, z * z % PRIME), "i")
+    return many.withColumn("pos", F.row_number().over(order).cast("long")).drop("_hash", "_factor", "_shift")
 
 
 def trend_statistics(orders: DataFrame, gammas: DataFrame) -> DataFrame:
@@ -154,49 +180,53 @@ def _trend_of(x: np.ndarray, tau: float) -> tuple[np.ndarray, ...]:
     return c * (add(t) - events * tau / 2), c * c * gamma * gamma * tau * tau * events, (add(head) + tail) / g2n, (add(walk) + events**2 * (end * end - end + 1.0 / 3)) / g2n, events
 
 
-def _cell_statistics(n_draws: int, seed: int, max_lag: int, most: int = 4_000_000):
-    """One cell's gaps -> all statistics of all draws. Draws go in blocks, so that a block holds ``most`` numbers at most (or one draw)."""
+def _cell_arrays(group: pa.Table, factors: tuple[np.ndarray, np.ndarray], max_lag: int, most: int = 4_000_000) -> tuple[int, np.ndarray, dict[str, np.ndarray]]:
+    """One cell's gaps -> its segments, the events read and all statistics of all draws. Draws go in blocks, so that a block holds ``most`` numbers at most (or one draw)."""
+    data = group.select(["segment", "i", "x", "tau", "_hash"]).sort_by([("segment", "ascending"), ("i", "ascending")])
+    segment, x, tau, h = (data.column(k).to_numpy() for k in ("segment", "x", "tau", "_hash"))
+    _, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(times) - (times - 1) / 2)[inverse]
+    rank = rank - rank.mean()
+    runs = np.split(np.arange(len(x)), np.flatnonzero(np.diff(segment)) + 1)
+    n, step, parts, lags = len(factors[0]), max(1, most // len(x)), [], []
+    for low in range(0, n, step):
+        k, c = (f[low : low + step, None] for f in factors)
+        trend, moved = 0, np.zeros((len(k), max_lag))
+        for rows in runs:
+            key = (h[rows] * k + c) % PRIME
+            order = np.argsort(key * key % PRIME, axis=1, kind="stable")
+            if low == 0:
+                order[0] = np.arange(len(rows))
+            trend = trend + np.stack(_trend_of(x[rows][order], tau[rows[0]]))
+            c_ = rank[rows][order]
+            for lag in range(1, min(max_lag, len(rows) - 1) + 1):
+                moved[:, lag - 1] += (c_[:, :-lag] * c_[:, lag:]).sum(axis=1)
+        parts.append(trend)
+        lags.append(moved)
+    above, below, c2, cvm, events = np.concatenate(parts, axis=1)
+    pairs = np.array([sum(max(0, len(r) - lag) for r in runs) for lag in range(1, max_lag + 1)])
+    acf = np.concatenate(lags)[:, pairs >= 2] / (rank @ rank)
+    spread, sd = np.ptp(acf, axis=0), acf.std(axis=0)
+    c5 = c6 = np.full(n, np.nan)
+    if acf.shape[1] and (spread > 1e-12).all():
+        z = (acf - acf.mean(axis=0)) / sd
+        c5, c6 = np.abs(z).max(axis=1), (z * z).sum(axis=1)
+    return len(runs), events.astype(np.int64), {"c1": np.sqrt(12.0) * above / np.sqrt(below), "c2": c2, "cvm": cvm, "c5": c5, "c6": c6}
+
+
+def _by_cell(gaps: DataFrame, seed: int, work, columns: str) -> DataFrame:
+    cell = ", ".join(f"{k} {gaps.schema[k].dataType.simpleString()}" for k in CELL)
+    rows = gaps.select(*CELL, F.col("segment").cast("long").alias("segment"), F.col("i").cast("long").alias("i"), "x", "tau", gap_hash(seed).alias("_hash"))
+    return rows.groupBy(*CELL).applyInArrow(work, f"{cell}, {columns}")
+
 
-    def run(group: pa.Table) -> pa.Table:
-        data = group.select(["segment", "i", "x", "tau"]).sort_by([("segment", "ascending"), ("i", "ascending")])
-        segment, at, x, tau = (data.column(k).to_numpy() for k in ("segment", "i", "x", "tau"))
-        _, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
-        rank = (np.cumsum(times) - (times - 1) / 2)[inverse]
-        rank = rank - rank.mean()
-        runs = np.split(np.arange(len(x)), np.flatnonzero(np.diff(segment)) + 1)
-        name = "|".join(str(group.column(k)[0].as_py()) for k in CELL)
-        step, parts, lags = max(1, most // len(x)), [], []
-        for low in range(0, n_draws + 1, step):
-            numbers = range(low, min(low + step, n_draws + 1))
-            trend, moved = 0, np.zeros((len(numbers), max_lag))
-            for rows in runs:
-                order = np.tile(np.arange(len(rows)), (len(numbers), 1))
-                for k, b in enumerate(numbers):
-                    if b:
-                        keys = [hashlib.md5(f"{seed}|{name}|{b}|{segment[r]}|{at[r]}".encode()).digest() for r in rows]
-                        order[k] = sorted(range(len(rows)), key=keys.__getitem__)
-                trend = trend + np.stack(_trend_of(x[rows][order], tau[rows[0]]))
-                c = rank[rows][order]
-                for h in range(1, min(max_lag, len(rows) - 1) + 1):
-                    moved[:, h - 1] += (c[:, :-h] * c[:, h:]).sum(axis=1)
-            parts.append(trend)
-            lags.append(moved)
-        above, below, c2, cvm, events = np.concatenate(parts, axis=1)
-        pairs = np.array([sum(max(0, len(r) - h) for r in runs) for h in range(1, max_lag + 1)])
-        acf = np.concatenate(lags)[:, pairs >= 2] / (rank @ rank)
-        spread, sd = np.ptp(acf, axis=0), acf.std(axis=0)
-        c5 = c6 = np.full(n_draws + 1, np.nan)
-        if acf.shape[1] and (spread > 1e-12).all():
-            z = (acf - acf.mean(axis=0)) / sd
-            c5, c6 = np.abs(z).max(axis=1), (z * z).sum(axis=1)
-        value = lambda v: pa.array(v, pa.float64(), mask=~np.isfinite(v))
-        n = n_draws + 1
-        return pa.table({
-            **{k: pa.array([group.column(k)[0].as_py()] * n, group.schema.field(k).type) for k in CELL}, "b": pa.array(range(n), pa.int64()), "n_segments": pa.array([len(runs)] * n, pa.int64()),
-            "n_events": pa.array(events.astype(np.int64)), "c1": value(np.sqrt(12.0) * above / np.sqrt(below)), "c2": value(c2), "cvm": value(cvm), "c5": value(c5), "c6": value(c6),
-        })
-
-    return run
+def _named(group: pa.Table, columns: dict[str, pa.Array]) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table({**{k: pa.array([group.column(k)[0].as_py()] * n, group.schema.field(k).type) for k in CELL}, **columns})
+
+
+def _number(v: np.ndarray) -> pa.Array:
+    return pa.array(v, pa.float64(), mask=~np.isfinite(v))
 
 
 def battery(gaps: DataFrame, n_draws: int, seed: int, max_lag: int = 5) -> DataFrame:
@@ -204,10 +234,57 @@ def battery(gaps: DataFrame, n_draws: int, seed: int, max_lag: int = 5) -> DataF
 
     The orders are those of ``draws``, and the statistics those of ``trend_statistics`` and ``dependence_statistics``.
     """
-    cell = ", ".join(f"{k} {gaps.schema[k].dataType.simpleString()}" for k in CELL)
-    schema = f"{cell}, b long, n_segments long, n_events long, c1 double, c2 double, cvm double, c5 double, c6 double"
-    rows = gaps.select(*CELL, F.col("segment").cast("long").alias("segment"), F.col("i").cast("long").alias("i"), "x", "tau")
-    return rows.groupBy(*CELL).applyInArrow(_cell_statistics(n_draws, seed, max_lag), schema)
+    factors = draw_factors(n_draws, seed)
+
+    def run(group: pa.Table) -> pa.Table:
+        runs, events, of = _cell_arrays(group, factors, max_lag)
+        return _named(group, {"b": pa.array(range(len(events)), pa.int64()), "n_segments": pa.array([runs] * len(events), pa.int64()), "n_events": pa.array(events), **{k: _number(v) for k, v in of.items()}})
+
+    return _by_cell(gaps, seed, run, "b long, n_segments long, n_events long, c1 double, c2 double, cvm double, c5 double, c6 double")
+
+
+def at_or_above(s: np.ndarray) -> np.ndarray:
+    """Of each value of a series, how many are as large or larger."""
+    return len(s) - np.searchsorted(np.sort(s), s, "left")
+
+
+def least_p(members: list[np.ndarray]) -> np.ndarray:
+    """The least p over members of each draw, a member's p the share of draws as large or larger."""
+    return np.min([at_or_above(s) / len(s) for s in members], axis=0)
+
+
+def cell_tests(gaps: DataFrame, n_draws: int, seed: int, groups: dict[str, tuple[str, ...]], max_lag: int = 5) -> DataFrame:
+    """The battery, judged where the draws are: cell, check, grp, statistic, p, n_members, null_p; one row a check that has a value, one a group (``check`` its name).
+
+    A check's p is (1 + draws as large) / (1 + draws). A group's p is single-step min-P over its members defined in all draws: the share of draws whose least
+    member p is as small as the observed one, from the same draws. ``null_p`` is the same question asked of draw 1 in place of the observed order:
+    uniform if the check holds its size. Statistics are rounded to nine digits, so equal ones tie in every engine.
+    """
+    factors = draw_factors(n_draws, seed)
+
+    def run(group: pa.Table) -> pa.Table:
+        of = {k: np.round(np.abs(v) if k == "c1" else v, 9) for k, v in _cell_arrays(group, factors, max_lag)[2].items()}
+        out: list[tuple] = []
+        for name, members in groups.items():
+            for m in members:
+                s = of[m]
+                if np.isfinite(s[0]):
+                    with np.errstate(invalid="ignore"):
+                        out.append((m, name, s[0], (1 + int((s[1:] >= s[0]).sum())) / len(s), 1, (s >= s[1]).sum() / len(s) if np.isfinite(s[1]) else np.nan))
+            if some := [of[m] for m in members if np.isfinite(of[m]).all()]:
+                least = least_p(some)
+                out.append((name, name, least[0], (least <= least[0] + 1e-12).mean(), len(some), (least <= least[1] + 1e-12).mean()))
+        col = lambda i: np.array([r[i] for r in out], float)
+        return _named(group, {"check": pa.array([r[0] for r in out], pa.string()), "grp": pa.array([r[1] for r in out], pa.string()), "statistic": _number(col(2)), "p": _number(col(3)), "n_members": pa.array([r[4] for r in out], pa.int64()), "null_p": _number(col(5))})
+
+    return _by_cell(gaps, seed, run, "check string, grp string, statistic double, p double, n_members long, null_p double")
+
+
+def bench_sizes(tests: DataFrame, ties: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """How often each check rejects shuffled gaps, by the number of gaps: check, n_bench, rate, replicates. This is the bench of the ledger: cells of the tables themselves,
+    their order shuffled once."""
+    rows = tests.filter("null_p is not null").join(ties.select(*CELL, "n"), list(CELL))
+    return rows.groupBy("check", F.col("n").alias("n_bench")).agg(F.avg((F.col("null_p") <= alpha).cast("double")).alias("rate"), F.count("*").alias("replicates"))
 
 
 def battery_p_values(stats: DataFrame) -> DataFrame:
@@ -240,33 +317,38 @@ def verdict(p: Column, check: Column, n_events: Column, n_distinct: Column, benc
     )
 
 
-def ledger(cells: DataFrame, scored: DataFrame, ties: DataFrame, checks: tuple[str, ...], bench: DataFrame | None = None, **rule) -> DataFrame:
-    """A row for every cell and check asked, answered or not. bench: check, n_bench, accepted; a cell reads the nearest n, the smaller on a tie."""
+def ledger(cells: DataFrame, scored: DataFrame, ties: DataFrame, checks: tuple[str, ...], bench: DataFrame | None = None, groups: tuple[str, ...] = (), **rule) -> DataFrame:
+    """A row for every cell and check asked, answered or not, and one for every group of checks. bench: check, n_bench, accepted; a cell reads the nearest n, the smaller on a
+    tie. A group's size comes from the permutation argument and asks no bench. Rows without a p have a reason."""
     spark = cells.sparkSession
-    names = spark.createDataFrame([(c,) for c in checks], "check string")
-    rows = cells.select(*CELL).distinct().crossJoin(F.broadcast(names)).join(scored, [*CELL, "check"], "left").join(ties, CELL, "left")
+    names = spark.createDataFrame([(c,) for c in checks + groups], "check string")
+    rows = cells.select(*CELL).distinct().crossJoin(F.broadcast(names)).join(scored.select(*CELL, "check", "statistic", "p"), [*CELL, "check"], "left").join(ties, CELL, "left")
     if bench is None:
         rows = rows.withColumn("accepted", F.lit(None).cast("boolean"))
     else:
         rows = nearest_bench(rows, bench)
-    return rows.withColumn("verdict", verdict(F.col("p"), F.col("check"), F.coalesce("n", F.lit(0)), F.coalesce("n_distinct", F.lit(0)), F.col("accepted"), **rule))
+    rows = rows.withColumn("accepted", F.col("accepted") | F.col("check").isin(*groups) if groups else F.col("accepted"))
+    why = F.when(F.col("p").isNotNull(), "").when(F.col("n").isNull(), "no usable segment").when(F.col("check").isin(*TIE_SENSITIVE), "a lag has no spread or too few pairs").otherwise("no event is read")
+    return rows.withColumn("verdict", verdict(F.col("p"), F.col("check"), F.coalesce("n", F.lit(0)), F.coalesce("n_distinct", F.lit(0)), F.col("accepted"), **rule)).withColumn("reason", why)
 
 
 def nearest_bench(rows: DataFrame, bench: DataFrame) -> DataFrame:
-    """Adds ``accepted`` from the bench row of the nearest event count, the smaller on a tie. The bench is a small table of literals; its grid per check is gathered into one array."""
+    """Adds ``accepted`` from the bench row of the nearest event count, the smaller on a tie. A bench has a row for each check and event count; its grid per check is gathered into one array."""
     grid = bench.groupBy("check").agg(F.collect_list(F.struct("n_bench", "accepted")).alias("grid"))
     met = rows.join(F.broadcast(grid), "check", "left")
     near = F.array_min(F.transform("grid", lambda g: F.struct(F.abs(g["n_bench"] - F.coalesce("n", F.lit(0))).alias("gap"), g["n_bench"].alias("n_bench"), g["accepted"].alias("accepted"))))
     return met.withColumn("accepted", near["accepted"]).drop("grid")
 
 
+def bench_bound(null_cells: int) -> float:
+    """The largest |z| that a check of nominal size shows over all null cells, with 95 % confidence (Bonferroni)."""
+    return normal_quantile(1 - 0.05 / (2 * max(1, null_cells)))
+
+
 def bench_acceptance(size: DataFrame, alpha: float, null_cells: int) -> DataFrame:
     """size: check, n_bench, rate, replicates per null cell -> the worst |z| per check and n against a Bonferroni bound over the null cells."""
-    from tidespan.functions.special import normal_quantile
-
-    bound = normal_quantile(1 - 0.05 / (2 * max(1, null_cells)))
     z = (F.col("rate") - alpha) / F.sqrt(alpha * (1 - alpha) / F.col("replicates"))
-    return size.withColumn("z", z).groupBy("check", "n_bench").agg(F.max_by("z", F.abs("z")).alias("worst_z"), F.count("*").alias("n_cells")).withColumn("accepted", F.abs("worst_z") <= bound)
+    return size.withColumn("z", z).groupBy("check", "n_bench").agg(F.max_by("z", F.abs("z")).alias("worst_z"), F.count("*").alias("n_cells")).withColumn("accepted", F.abs("worst_z") <= bench_bound(null_cells))
 
 
 def outcome_grid(rows: DataFrame, checks: list[str]) -> DataFrame:

@@ -90,31 +90,20 @@ def comparison_long(c: Context) -> DataFrame:
     return panels.long_table(rows, ["label", "side", "grp"], ["mean", "se"]).select("label", "side", "grp", "quantity", r("value", 4))
 
 
-@query(sql("""SELECT a.label, a.side, a.record AS first, b.record AS second, va.v AS first_verdicts, vb.v AS second_verdicts FROM (SELECT DISTINCT record, label, side FROM wins WHERE record % 10 = 0) a JOIN (SELECT DISTINCT record, label, side FROM wins) b ON b.record = a.record + 1 AND a.label = b.label AND a.side = b.side
+@query(sql("""SELECT a.label, a.side, a.record AS first, b.record AS second, va.v AS first_verdicts, vb.v AS second_verdicts FROM (SELECT DISTINCT record, label, side FROM wins) a JOIN (SELECT DISTINCT record, label, side FROM wins) b ON b.record = a.record + 1 AND a.label = b.label AND a.side = b.side
   LEFT JOIN att va ON va.record = a.record AND va.label = a.label AND va.side = a.side LEFT JOIN att vb ON vb.record = b.record AND vb.label = b.label AND vb.side = b.side""",
   _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER, "att AS (SELECT record, label, side, array_to_string(list_sort(list(check_name || '=' || verdict)), ',') AS v FROM led GROUP BY ALL)"))
 def pair_checks(c: Context) -> DataFrame:
-    """Every tenth record and its neighbour compared, each with the verdicts of its own checks; ``pair_checks_all`` has all neighbours."""
-    return _neighbours(c, "record % 10 = 0")
-
-
-@query()
-def pair_checks_all(c: Context) -> DataFrame:
     """All neighbouring records compared, each with the verdicts of its own checks."""
-    return _neighbours(c, "true")
-
-
-def _neighbours(c: Context, first: str) -> DataFrame:
     cells = c.wins.select("record", "label", "side").distinct()
-    pairs = cells.filter(first).withColumn("second", F.col("record") + 1).join(cells.withColumnRenamed("record", "second"), ["label", "side", "second"], "left_semi").withColumnRenamed("record", "first")
+    pairs = cells.withColumn("second", F.col("record") + 1).join(cells.withColumnRenamed("record", "second"), ["label", "side", "second"], "left_semi").withColumnRenamed("record", "first")
     att = renewal.attachments(queries_renewal.ledger(c)).select(*renewal.CELL, F.array_join("verdicts", ",").alias("verdicts"))
     return panels.with_checks(pairs.select("label", "side", "first", "second"), att)
 
 
-@query(sql("SELECT check_name, count(*) AS n FROM led WHERE verdict = 'not computed' GROUP BY check_name", _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER))
+@query(sql("SELECT check_name, regexp_replace(reason, '[0-9]+', '#', 'g') AS reason, count(*) AS n FROM led WHERE verdict = 'not computed' GROUP BY ALL", _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER))
 def unanswered(c: Context) -> DataFrame:
-    rows = queries_renewal.ledger(c).withColumn("reason", F.lit("no usable segment"))
-    return survey.unanswered_reasons(rows).select(F.col("check").alias("check_name"), F.col("count").alias("n"))
+    return survey.unanswered_reasons(queries_renewal.ledger(c)).select(F.col("check").alias("check_name"), "reason", F.col("count").alias("n"))
 
 
 @query(sql("SELECT record, label, side, round(exp(-h), 8) AS survival_from_hazard FROM (SELECT record, label, side, sum(d / m) AS h FROM rrisk GROUP BY ALL)"))

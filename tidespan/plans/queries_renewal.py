@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import carve, renewal, survey
+from tidespan.operators import assumptions, carve, renewal, survey
 from tidespan.plans.context import Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
 
 QUERIES = query = Queries()
-DRAWS, SEED = 99, 7
+DRAWS, SEED = 999, 7
+#: Null cells over which the bench is judged at once.
+BENCH_CELLS = 100
+GROUPS = {"trend": renewal.TREND, "dependence": renewal.DEPENDENCE}
 
 _SIDE = """sg0 AS (SELECT record, label, side, segment, duration_s AS x, sum(duration_s) OVER (PARTITION BY record, label, side, segment) AS tau, censored, birth_us, island FROM wins WHERE birth_seen),
 sg AS (SELECT record, label, side, segment, row_number() OVER (PARTITION BY record, label, side, segment ORDER BY birth_us, island) AS i, x, tau FROM sg0 WHERE NOT censored)"""
@@ -26,20 +29,29 @@ rk1 AS (SELECT *, rnk - avg(rnk) OVER (PARTITION BY {_CELL}) AS c FROM rk0), rk
 
 
 def _orders(b: int) -> str:
-    return f"""ord AS (SELECT *, row_number() OVER (PARTITION BY {_CELL}, b, segment ORDER BY CASE WHEN b = 0 THEN lpad(i::VARCHAR, 12, '0') ELSE md5(concat_ws('|', '{SEED}', record, label, side, b, segment, i)) END) AS pos FROM rk, (SELECT unnest(range(0, {b + 1})) AS b)),
+    """The gaps in b shuffled orders beside the observed one, and the statistics of each."""
+    p = renewal.PRIME
+    number = lambda what, at: f"('0x' || substr(md5(concat_ws('|', '{SEED}', {what})), {at}, 8))::BIGINT"
+    return f"""hashed AS (SELECT *, {number("record, label, side, segment, i", 1)} % {p} AS h FROM rk), factors AS (SELECT b, {number("b", 1)} % {p - 1} + 1 AS bk, {number("b", 9)} % {p} AS bc FROM (SELECT unnest(range(0, {b + 1})) AS b)),
+ord AS (SELECT *, row_number() OVER (PARTITION BY {_CELL}, b, segment ORDER BY CASE WHEN b > 0 THEN (((h * bk + bc) % {p}) * ((h * bk + bc) % {p})) % {p} END, i) AS pos FROM hashed, factors),
 t0 AS (SELECT *, sum(x) OVER (PARTITION BY {_CELL}, b, segment ORDER BY pos ROWS UNBOUNDED PRECEDING) AS t, sum(x) OVER (PARTITION BY {_CELL}, b, segment) AS total FROM ord),
 t1 AS (SELECT *, CASE WHEN tau <= total * (1 + 1e-12) THEN n - 1 ELSE n END AS m FROM t0), t2 AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY {_CELL}, b, segment ORDER BY pos), 0) AS p, pos - 1 AS j FROM t1 WHERE pos <= m),
 t3 AS (SELECT {_CELL}, b, segment, any_value(m)::DOUBLE AS m, any_value(tau) AS tau, sum(t) AS st, sum(CASE WHEN j >= 1 THEN (m - j) * (m - j) * ln((tau - p) / nullif(tau - t, 0)) + j * j * ln(t / nullif(p, 0)) ELSE 0 END) AS head,
   sum(j * j * (t - p) / tau - j * m * (t * t - p * p) / (tau * tau)) AS walk, min(t) AS ta, max(t) AS tz FROM t2 GROUP BY ALL),
 tr AS (SELECT {_CELL}, b, count(*) AS n_segments, sum(m)::BIGINT AS n_events, sqrt(12) * sum((st - m * tau / 2) / (tau * gamma * gamma)) / sqrt(sum(m / (gamma * gamma))) AS c1,
   sum((head + m * m * (ln(tau / nullif(tau - ta, 0)) + ln(tau / tz) - 1)) / (gamma * gamma * m)) AS c2, sum((walk + m * m * (tz * tz / (tau * tau) - tz / tau + 1.0::DOUBLE / 3)) / (gamma * gamma * m)) AS cvm FROM t3 JOIN gam USING (record, label, side, segment) GROUP BY ALL),
-a0 AS (SELECT x.record, x.label, x.side, x.b, y.pos - x.pos AS lag, count(*) AS n_pairs, sum(x.c * y.c) / any_value(x.cc) AS r FROM ord x JOIN ord y ON x.record = y.record AND x.label = y.label AND x.side = y.side AND x.b = y.b AND x.segment = y.segment AND y.pos - x.pos BETWEEN 1 AND 5 GROUP BY ALL HAVING count(*) >= 2),
+ahead AS (SELECT {_CELL}, b, c, cc, lead(c, 1) OVER w AS y1, lead(c, 2) OVER w AS y2, lead(c, 3) OVER w AS y3, lead(c, 4) OVER w AS y4, lead(c, 5) OVER w AS y5 FROM ord WINDOW w AS (PARTITION BY {_CELL}, b, segment ORDER BY pos)),
+wide AS (SELECT {_CELL}, b, any_value(cc) AS cc, [count(y1), count(y2), count(y3), count(y4), count(y5)] AS np, [sum(c * y1), sum(c * y2), sum(c * y3), sum(c * y4), sum(c * y5)] AS sy FROM ahead GROUP BY ALL),
+a0 AS (SELECT {_CELL}, b, lag, np[lag] AS n_pairs, sy[lag] / cc AS r FROM wide, (SELECT unnest(range(1, 6)) AS lag) WHERE np[lag] >= 2),
 a1 AS (SELECT *, CASE WHEN max(r) OVER w - min(r) OVER w > 1e-12 THEN (r - avg(r) OVER w) / nullif(stddev_pop(r) OVER w, 0) END AS z FROM a0 WINDOW w AS (PARTITION BY {_CELL}, lag)),
 dp AS (SELECT {_CELL}, b, CASE WHEN count(z) = count(*) THEN max(abs(z)) END AS c5, CASE WHEN count(z) = count(*) THEN sum(z * z) END AS c6 FROM a1 GROUP BY ALL)"""
 
 
 _LONG = f"""lg AS (SELECT {_CELL}, b, 'c1' AS check_name, round(abs(c1), 9) AS s FROM tr UNION ALL SELECT {_CELL}, b, 'c2', round(c2, 9) FROM tr UNION ALL SELECT {_CELL}, b, 'cvm', round(cvm, 9) FROM tr UNION ALL SELECT {_CELL}, b, 'c5', round(c5, 9) FROM dp UNION ALL SELECT {_CELL}, b, 'c6', round(c6, 9) FROM dp),
-pv AS (SELECT {_CELL}, check_name, any_value(seen) AS statistic, (1 + sum((b > 0 AND s >= seen)::INT))::DOUBLE / count(*) AS p FROM (SELECT *, max(s) FILTER (b = 0) OVER (PARTITION BY {_CELL}, check_name) AS seen FROM lg) WHERE seen IS NOT NULL GROUP BY ALL)"""
+pv AS (SELECT {_CELL}, check_name, any_value(seen) AS statistic, (1 + sum((b > 0 AND s >= seen)::INT))::DOUBLE / count(*) AS p, CASE WHEN any_value(first) IS NOT NULL THEN sum((s >= first)::INT)::DOUBLE / count(*) END AS null_p
+  FROM (SELECT *, max(s) FILTER (b = 0) OVER w AS seen, max(s) FILTER (b = 1) OVER w AS first FROM lg WINDOW w AS (PARTITION BY {_CELL}, check_name)) WHERE seen IS NOT NULL GROUP BY ALL),
+mp AS (SELECT *, CASE WHEN check_name IN ('c1', 'c2', 'cvm') THEN 'trend' ELSE 'dependence' END AS grp, count(s) OVER (PARTITION BY {_CELL}, check_name) = count(*) OVER (PARTITION BY {_CELL}, check_name) AS ok, count(*) OVER (PARTITION BY {_CELL}, check_name ORDER BY s DESC RANGE UNBOUNDED PRECEDING)::DOUBLE / count(*) OVER (PARTITION BY {_CELL}, check_name) AS p FROM lg),
+gp AS (SELECT {_CELL}, grp, any_value(k) AS n_members, avg((least <= seen + 1e-12)::INT) AS p FROM (SELECT *, max(least) FILTER (b = 0) OVER (PARTITION BY {_CELL}, grp) AS seen FROM (SELECT {_CELL}, grp, b, min(p) AS least, count(*) AS k FROM mp WHERE ok GROUP BY ALL)) GROUP BY ALL)"""
 
 
 def gaps(c: Context) -> DataFrame:
@@ -86,19 +98,24 @@ def rank_acf(c: Context) -> DataFrame:
     return renewal.rank_autocorrelation(renewal.draws(renewal.mid_ranks(gaps(c)), 0, SEED)).select(*renewal.CELL, "lag", "n_pairs", r("r", 8, "rho"))
 
 
+def tests(c: Context) -> DataFrame:
+    return renewal.cell_tests(gaps(c), DRAWS, SEED, GROUPS)
+
+
 @query(sql("SELECT record, label, side, check_name, round(statistic, 5) AS statistic, round(p, 9) AS p FROM pv", _USE, _RANK, _orders(DRAWS), _LONG))
 def battery_perm_p(c: Context) -> DataFrame:
-    scored = renewal.battery_p_values(renewal.battery(gaps(c), DRAWS, SEED))
-    return scored.select(*renewal.CELL, F.col("check").alias("check_name"), r("statistic", 5), r("p", 9))
+    return tests(c).filter("check <> grp").select(*renewal.CELL, F.col("check").alias("check_name"), r("statistic", 5), r("p", 9))
 
 
-@query(sql(f"""SELECT {_CELL}, grp, any_value(k) AS n_members, round(avg((least <= seen + 1e-12)::INT), 9) AS p FROM (SELECT *, max(least) FILTER (b = 0) OVER (PARTITION BY {_CELL}, grp) AS seen FROM (SELECT {_CELL}, grp, b, min(p) AS least, count(*) AS k FROM mp WHERE ok GROUP BY ALL)) GROUP BY ALL""",
-  _USE, _RANK, _orders(DRAWS), _LONG, f"""mp AS (SELECT *, CASE WHEN check_name IN ('c1', 'c2', 'cvm') THEN 'trend' ELSE 'dependence' END AS grp, count(s) OVER (PARTITION BY {_CELL}, check_name) = count(*) OVER (PARTITION BY {_CELL}, check_name) AS ok,
-  count(*) OVER (PARTITION BY {_CELL}, check_name ORDER BY s DESC RANGE UNBOUNDED PRECEDING)::DOUBLE / count(*) OVER (PARTITION BY {_CELL}, check_name) AS p FROM lg)"""))
+@query(sql("SELECT record, label, side, grp, n_members, round(p, 9) AS p FROM gp", _USE, _RANK, _orders(DRAWS), _LONG))
 def min_p_groups(c: Context) -> DataFrame:
-    stats = renewal.battery(gaps(c), DRAWS, SEED)
-    both = renewal.min_p(stats, {"trend": renewal.TREND, "dependence": renewal.DEPENDENCE})
-    return both.select(*renewal.CELL, "grp", "n_members", r("p", 9))
+    return tests(c).filter("check = grp").select(*renewal.CELL, "grp", "n_members", r("p", 9))
+
+
+@query(sql("SELECT record, label, side, segment, any_value(n) AS n, CASE WHEN any_value(n) < 3 THEN 'fewer than 3 gaps' WHEN min(x) <= 0 THEN 'a gap is not positive' ELSE 'all gaps are equal' END AS reason FROM us0 WHERE NOT (n >= 3 AND lo > 0 AND hi > lo) GROUP BY record, label, side, segment", _USE))
+def segment_reasons(c: Context) -> DataFrame:
+    """Why a segment is left out of the checks."""
+    return renewal.unusable(renewal.side_gaps(c.wins))
 
 
 @query(sql("SELECT record, label, side, count(*) AS n, count(DISTINCT x) AS n_distinct, round(avg((k > 1)::INT), 9) AS tied FROM (SELECT *, count(*) OVER (PARTITION BY record, label, side, x) AS k FROM us) GROUP BY ALL", _USE))
@@ -106,18 +123,38 @@ def tie_stats(c: Context) -> DataFrame:
     return renewal.tie_statistics(gaps(c)).select(*renewal.CELL, "n", "n_distinct", r("tied", 9))
 
 
-_LEDGER = """ties AS (SELECT record, label, side, count(*) AS n, count(DISTINCT x) AS n_distinct FROM us GROUP BY ALL), cells AS (SELECT DISTINCT record, label, side FROM wins),
-led AS (SELECT record, label, side, check_name, p, CASE WHEN p IS NULL THEN 'not computed' WHEN check_name IN ('c5', 'c6') AND coalesce(n_distinct, 0) < 5 THEN 'ties' WHEN p <= 0.05 THEN 'fail' WHEN coalesce(n, 0) < 8 OR NOT coalesce(n, 0) >= 10 THEN 'inconclusive' ELSE 'pass' END AS verdict
-  FROM cells CROSS JOIN (VALUES ('c1'), ('c2'), ('cvm'), ('c5'), ('c6')) k(check_name) LEFT JOIN pv USING (record, label, side, check_name) LEFT JOIN ties USING (record, label, side))"""
+_LEDGER = f"""ties AS (SELECT record, label, side, count(*) AS n, count(DISTINCT x) AS n_distinct FROM us GROUP BY ALL), cells AS (SELECT DISTINCT record, label, side FROM wins),
+sizes AS (SELECT check_name, n AS n_bench, avg((null_p <= 0.05)::INT) AS rate, count(*) AS replicates FROM pv JOIN ties USING (record, label, side) WHERE null_p IS NOT NULL GROUP BY ALL),
+acc AS (SELECT check_name, n_bench, rate, replicates, abs((rate - 0.05) / sqrt(0.05 * 0.95 / replicates)) <= {renewal.bench_bound(BENCH_CELLS)!r} AS accepted FROM sizes),
+near AS (SELECT check_name, n, arg_min(accepted, (abs(n_bench - n), n_bench)) AS accepted FROM acc, (SELECT DISTINCT n FROM ties) GROUP BY ALL),
+scored AS (SELECT record, label, side, check_name, p FROM pv UNION ALL SELECT record, label, side, grp, p FROM gp),
+led AS (SELECT record, label, side, check_name, p, CASE WHEN p IS NULL THEN 'not computed' WHEN check_name IN ('c5', 'c6', 'dependence') AND coalesce(n_distinct, 0) < 5 THEN 'ties' WHEN p <= 0.05 THEN 'fail' WHEN coalesce(n, 0) < 8 OR NOT (check_name IN ('trend', 'dependence') OR coalesce(accepted, false)) THEN 'inconclusive' ELSE 'pass' END AS verdict,
+  CASE WHEN p IS NOT NULL THEN '' WHEN n IS NULL THEN 'no usable segment' WHEN check_name IN ('c5', 'c6', 'dependence') THEN 'a lag has no spread or too few pairs' ELSE 'no event is read' END AS reason
+  FROM cells CROSS JOIN (VALUES ('c1'), ('c2'), ('cvm'), ('c5'), ('c6'), ('trend'), ('dependence')) k(check_name) LEFT JOIN scored USING (record, label, side, check_name) LEFT JOIN ties USING (record, label, side) LEFT JOIN near USING (check_name, n))"""
 
 
 def ledger(c: Context) -> DataFrame:
-    """Verdicts of all cells; the bench accepts counts nearer to 12 than to 7."""
-    g = gaps(c)
-    scored = renewal.battery_p_values(renewal.battery(g, DRAWS, SEED))
-    checks = renewal.TREND + renewal.DEPENDENCE
-    bench = c.spark.createDataFrame([(k, n, n > 7) for k in checks for n in (7, 12)], "check string, n_bench long, accepted boolean")
-    return renewal.ledger(c.wins, scored, renewal.tie_statistics(g), checks, bench, least=8)
+    """Verdicts of all cells, checks and groups. The bench is measured on the cells themselves, their order shuffled once."""
+    scored, ties = tests(c), renewal.tie_statistics(gaps(c))
+    bench = renewal.bench_acceptance(renewal.bench_sizes(scored.filter("check <> grp"), ties), 0.05, BENCH_CELLS)
+    return renewal.ledger(c.wins, scored, ties, renewal.TREND + renewal.DEPENDENCE, bench, tuple(GROUPS), least=8)
+
+
+@query(sql("SELECT check_name, n_bench, replicates, round(rate, 9) AS rate, accepted FROM acc", _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER))
+def bench_acceptance(c: Context) -> DataFrame:
+    """How often each check rejects shuffled gaps, by their number, and whether that is near its nominal size."""
+    sizes = renewal.bench_sizes(tests(c).filter("check <> grp"), renewal.tie_statistics(gaps(c)))
+    return sizes.join(renewal.bench_acceptance(sizes, 0.05, BENCH_CELLS), ["check", "n_bench"]).select(F.col("check").alias("check_name"), "n_bench", "replicates", r("rate", 9), "accepted")
+
+
+_ASSUMED = "known AS (SELECT * FROM (VALUES " + ", ".join(f"('{a.name}', '{k}')" for a in assumptions.REGISTRY for k in a.checks) + ") v(assumption, check_name))"
+
+
+@query(sql("""SELECT record, label, side, assumption, count(*) AS n_asked, count(*) FILTER (verdict = 'fail') AS n_failed, count(*) FILTER (verdict = 'not computed') AS n_unanswered,
+  CASE WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'contradicted' WHEN count(*) FILTER (verdict <> 'pass') > 0 THEN 'open' ELSE 'not contradicted' END AS standing FROM led JOIN known USING (check_name) GROUP BY ALL""", _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER, _ASSUMED))
+def assumption_standing(c: Context) -> DataFrame:
+    """What the ledger says of each assumption that a check of the cell diagnoses."""
+    return assumptions.standing(ledger(c))
 
 
 @query(sql("SELECT record, label, side, check_name, round(p, 9) AS p, verdict FROM led", _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER))
