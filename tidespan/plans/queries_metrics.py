@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import carve, iterative, metrics, permutation, resolve, shape, simulate
+from tidespan.operators import carve, dependence, iterative, metrics, permutation, resolve, shape, simulate
+from tidespan.operators.renewal import PRIME
 from tidespan.plans.context import Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
+from tidespan.plans.queries_renewal import DRAWS, SEED
 
 QUERIES = query = Queries()
 
@@ -46,10 +48,44 @@ def xi_p(c: Context) -> DataFrame:
     return permutation.xi_p_value(pairs(c), ["record"]).select("record", "n", r("xi", 8), r("p", 9), "method")
 
 
+def _number(what: str, at: int) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{SEED}', {what})), {at}, 8))::BIGINT"
+
+
+_KEY = f"((h * bk + bc) % {PRIME})"
+_DEPEND = f"""dp0 AS (SELECT record, seq, t_us, value AS q, sigma AS s FROM reads WHERE sigma IS NOT NULL AND isfinite(sigma)),
+dpn AS (SELECT r.record, count(d.seq) AS n, CASE WHEN count(d.seq) = 0 THEN 'no read with a known sigma' WHEN min(s) < 0 THEN 'a sigma is negative' WHEN count(d.seq) < 10 THEN 'fewer than 10 reads' WHEN max(q) = min(q) OR max(s) = min(s) THEN 'zero variance' ELSE '' END AS reason FROM reads r LEFT JOIN dp0 d ON d.record = r.record AND d.seq = r.seq GROUP BY r.record),
+dp1 AS (SELECT record, seq, q, s, row_number() OVER (PARTITION BY record ORDER BY t_us, seq) AS j, n, {_number("record, seq", 1)} % {PRIME} AS h, rank() OVER (PARTITION BY record ORDER BY q) + (count(*) OVER (PARTITION BY record, q) - 1) / 2 AS rq, rank() OVER (PARTITION BY record ORDER BY s) + (count(*) OVER (PARTITION BY record, s) - 1) / 2 AS rs,
+  count(*) OVER (PARTITION BY record ORDER BY s RANGE UNBOUNDED PRECEDING) AS at_most, count(*) OVER (PARTITION BY record ORDER BY s DESC RANGE UNBOUNDED PRECEDING) AS at_least, avg(s) OVER (PARTITION BY record) AS mean_s FROM dp0 JOIN (SELECT record, n FROM dpn WHERE reason = '') USING (record)),
+dp2 AS (SELECT *, 10 * (row_number() OVER (PARTITION BY record ORDER BY q, j) - 1) // n AS tenth FROM dp1),
+fac AS (SELECT b, {_number("b", 1)} % {PRIME - 1} + 1 AS bk, {_number("b", 9)} % {PRIME} AS bc FROM (SELECT unnest(range(0, {DRAWS + 1})) AS b)),
+shuf AS (SELECT record, b, s, rs, at_most, at_least, row_number() OVER (PARTITION BY record, b ORDER BY CASE WHEN b > 0 THEN {_KEY} * {_KEY} % {PRIME} END, j) AS j FROM dp2, fac),
+met AS (SELECT x.record, b, x.j, n, q, rq, tenth, mean_s, y.s, y.rs, y.at_most, y.at_least FROM dp2 x JOIN shuf y ON y.record = x.record AND y.j = x.j),
+met2 AS (SELECT *, abs(lead(at_most) OVER (PARTITION BY record, b ORDER BY q, j) - at_most) AS step FROM met),
+plain AS (SELECT record, b, abs(corr(q, s)) AS pearson_abs, abs(corr(rq, rs)) AS spearman_abs, 1 - any_value(n) * sum(step)::DOUBLE / (2 * sum(at_least * (n - at_least))) AS chatterjee_xi FROM met2 GROUP BY record, b),
+tens AS (SELECT record, b, (max(m) - min(m)) / any_value(mean_s) AS decile_spread FROM (SELECT record, b, tenth, avg(s) AS m, any_value(mean_s) AS mean_s FROM met GROUP BY ALL) GROUP BY record, b),
+aq AS (SELECT x.record, x.j, list(abs(x.q - y.q) ORDER BY y.j) AS row, avg(abs(x.q - y.q)) AS mean FROM dp2 x JOIN dp2 y USING (record) GROUP BY x.record, x.j),
+cq AS (SELECT a.record, a.j, list_transform(list_zip(a.row, m.means), lambda z: z[1] - z[2] - a.mean + m.whole) AS row FROM aq a JOIN (SELECT record, list(mean ORDER BY j) AS means, avg(mean) AS whole FROM aq GROUP BY record) m USING (record)),
+bs0 AS (SELECT x.record, avg(abs(x.s - y.s)) AS mean, x.j, list(abs(x.s - y.s) ORDER BY y.j) AS row FROM dp2 x JOIN dp2 y USING (record) GROUP BY x.record, x.j),
+scales AS (SELECT a.record, sqrt(a.v * b.v) AS scale FROM (SELECT record, avg(list_inner_product(row, row) / len(row)) AS v FROM cq GROUP BY record) a JOIN (SELECT record, avg(list_inner_product(row, row) / len(row)) AS v FROM (SELECT a.record, list_transform(list_zip(a.row, m.means), lambda z: z[1] - z[2] - a.mean + m.whole) AS row FROM bs0 a JOIN (SELECT record, list(mean ORDER BY j) AS means, avg(mean) AS whole FROM bs0 GROUP BY record) m USING (record)) GROUP BY record) b USING (record)),
+ss AS (SELECT record, b, list(s ORDER BY j) AS s FROM shuf GROUP BY record, b),
+dc AS (SELECT y.record, y.b, sqrt(greatest(0, avg(list_inner_product(c.row, list_transform(z.s, lambda v: abs(v - y.s))) / len(c.row))) / any_value(scale)) AS distance_correlation FROM shuf y JOIN cq c ON c.record = y.record AND c.j = y.j JOIN ss z ON z.record = y.record AND z.b = y.b JOIN scales k ON k.record = y.record GROUP BY y.record, y.b),
+lm AS (SELECT record, b, member, round(v, 9) AS v FROM (UNPIVOT (SELECT record, b, pearson_abs, spearman_abs, chatterjee_xi, distance_correlation, decile_spread FROM plain JOIN tens USING (record, b) JOIN dc USING (record, b)) ON pearson_abs, spearman_abs, chatterjee_xi, distance_correlation, decile_spread INTO NAME member VALUE v)),
+lp AS (SELECT *, count(*) OVER (PARTITION BY record, member ORDER BY v DESC RANGE UNBOUNDED PRECEDING)::DOUBLE / {DRAWS + 1} AS p FROM lm),
+ll AS (SELECT record, b, min(p) AS least FROM lp GROUP BY record, b),
+pp AS (SELECT record, any_value(seen) AS seen, avg((least <= seen + 1e-12)::INT) AS panel_p FROM (SELECT *, max(least) FILTER (b = 0) OVER (PARTITION BY record) AS seen FROM ll) GROUP BY record)"""
+
+
+@query(sql("SELECT record, n, member, v AS value, round(p, 9) AS p, p <= seen + 1e-12 AS attains, round(panel_p, 9) AS panel_p, reason FROM dpn LEFT JOIN (SELECT * FROM lp WHERE b = 0) USING (record) LEFT JOIN pp USING (record)", _DEPEND))
+def dependence_panel(c: Context) -> DataFrame:
+    """Does sigma depend on the value: five members on the same 999 shuffles, and the panel's min-P."""
+    return dependence.panel(c.obs, DRAWS, SEED).select("record", "n", "member", r("value", 9), r("p", 9), "attains", r("panel_p", 9), "reason")
+
+
 @query()
 def dependence_p(c: Context) -> DataFrame:
-    """The dependence panel: xi, rho and distance correlation with their permutation p-values."""
-    return permutation.paired_permutation(pairs(c), ["record"], ("xi", "rho", "dcor"), draws=99).select("record", "n", "statistic", r("value", 8), r("p", 9), "method")
+    """Does the value depend on time: xi, rho and distance correlation with their permutation p-values."""
+    return permutation.paired_permutation(pairs(c), ["record"], ("xi", "rho", "dcor"), draws=DRAWS).select("record", "n", "statistic", r("value", 8), r("p", 9), "method")
 
 
 _POOLED = """pooled AS (SELECT rr.record, rr.label, rr.seq, margin AS x, (death_us - t_us) / 1e6 AS y, count(*) OVER (PARTITION BY rr.record, rr.label) AS n FROM rows_ rr JOIN wins w ON w.record = rr.record AND w.label = rr.label AND w.island = rr.island WHERE in_spec AND birth_seen AND NOT censored),
