@@ -1,40 +1,78 @@
-"""Serial independence by the empirical copula: a Cramer-von Mises distance between the copula of (x_t, ..., x_{t+lag}) and the independence copula, its null law simulated by shuffles of ranks."""
+"""Serial independence at all lags at once: the distance of the empirical copula of (x_t, ..., x_{t+lag}) from the product of its margins
+(Genest and Remillard 2004), its null law from shuffles of the ranks.
+
+Vectors lie inside segments, so no pair of gaps straddles a break in reading; a cell of one segment has the statistic of the published test. A cell is one task.
+Draws, and for long cells rows of the pair table too, go in blocks of bounded size; a draw costs the square of the number of vectors.
+"""
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidespan.operators.permutation import _mid_ranks
+from tidespan.operators.renewal import PRIME, _by_cell, _named, draw_factors
+
+#: Numbers in a block of pairs.
+BLOCK = 2_000_000
+#: Distances this near count as equal: those of few vectors are fractions that tie often, and rounding would cut between them.
+TIED = 3.7e-11
+
 
-def cvm_distance(u: np.ndarray) -> float:
-    """n times the integral of (C_n - product)^2 for pseudo-observations u (n by d), in closed form."""
-    n = len(u)
-    one = np.prod(1 - np.maximum(u[:, None, :], u[None, :, :]), axis=2).sum() / n
-    two = np.prod((1 - u**2) / 2, axis=1).sum()
-    return float(one - 2 * two + n * (1 / 3) ** u.shape[1])
+def distances(u: np.ndarray) -> np.ndarray:
+    """u: draws by vectors by coordinates, ranks over their number -> n times the integral of (C_n - product of margins)^2 of each draw, in closed form."""
+    d, n, p = u.shape
+    rows = max(1, min(n, BLOCK // (d * n)))
+    whole, margins, one = np.zeros(d), np.zeros((d, p)), np.zeros(d)
+    for low in range(0, n, rows):
+        both, own = None, np.ones((d, len(range(low, min(low + rows, n)))))
+        for k in range(p):
+            j = 1 - np.maximum(u[:, low : low + rows, None, k], u[:, None, :, k])
+            mean = j.mean(axis=2)
+            margins[:, k] += mean.sum(axis=1)
+            own *= mean
+            both = j if both is None else both * j
+        whole += both.sum(axis=(1, 2))
+        one += own.sum(axis=1)
+    return whole / n - 2 * one + n * np.prod(margins / n, axis=1)
 
 
-def _windows(x: np.ndarray, lag: int) -> np.ndarray:
-    return np.column_stack([x[h : len(x) - lag + h] for h in range(lag + 1)])
+def _blocks(x: np.ndarray, segment: np.ndarray, h: np.ndarray, factors: tuple[np.ndarray, np.ndarray], lag: int) -> Iterator[np.ndarray]:
+    """Vectors of ranks, draws in blocks; draw 0 is the order as observed."""
+    runs = [r for r in np.split(np.arange(len(x)), np.flatnonzero(np.diff(segment)) + 1) if len(r) > lag]
+    rank = _mid_ranks(x) / len(x)
+    n = sum(len(r) - lag for r in runs)
+    step = max(1, BLOCK // (n * n))
+    for low in range(0, len(factors[0]), step):
+        k, c = (f[low : low + step, None] for f in factors)
+        parts = []
+        for r in runs:
+            key = (h[r] * k + c) % PRIME
+            order = np.argsort(key * key % PRIME, axis=1, kind="stable")
+            if low == 0:
+                order[0] = np.arange(len(r))
+            parts.append(np.lib.stride_tricks.sliding_window_view(rank[r][order], lag + 1, axis=1))
+        yield np.concatenate(parts, axis=1)
 
 
-def serial_independence(gaps: DataFrame, lag: int = 1, n_null: int = 199, most: int = 400) -> DataFrame:
-    """Per cell with one segment: statistic and p. Cells with several segments, too few gaps or more than ``most`` have a reason instead."""
+def serial_independence(gaps: DataFrame, lag: int = 5, n_null: int = 1000, seed: int = 7) -> DataFrame:
+    """gaps: cell, segment, i, x, tau -> cell, n, n_vectors, n_segments, lag, statistic, p, reason. p = (shuffles as far + 1/2) / (shuffles + 1), as published; a cell with
+    fewer than two vectors, or whose gaps are all equal, has a reason. Shuffles stay inside segments and are those of ``renewal.draws``."""
+    factors = draw_factors(n_null, seed)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in ("record", "label", "side")} | {"n": len(pdf), "lag": lag}
-        if pdf["segment"].nunique() > 1:
-            return pd.DataFrame([head | {"statistic": None, "p": None, "reason": "several segments"}])
-        if not lag + 4 <= len(pdf) <= most:
-            return pd.DataFrame([head | {"statistic": None, "p": None, "reason": "too few or too many gaps"}])
-        x = pdf.sort_values("i")["x"].rank(method="average").to_numpy() / (len(pdf) + 1)
-        rng = np.random.default_rng(zlib.crc32("|".join(str(head[k]) for k in ("record", "label", "side")).encode()))
-        seen = cvm_distance(_windows(x, lag))
-        null = [cvm_distance(_windows(rng.permutation(x), lag)) for _ in range(n_null)]
-        return pd.DataFrame([head | {"statistic": seen, "p": (1 + sum(v >= seen for v in null)) / (1 + n_null), "reason": ""}])
+    def run(group: pa.Table) -> pa.Table:
+        data = group.select(["segment", "i", "x", "_hash"]).sort_by([("segment", "ascending"), ("i", "ascending")])
+        segment, x, h = (data.column(k).to_numpy() for k in ("segment", "x", "_hash"))
+        _, lengths = np.unique(segment, return_counts=True)
+        vectors = int(np.maximum(lengths - lag, 0).sum())
+        why = "fewer than two vectors" if vectors < 2 else "all gaps are equal" if np.ptp(x) == 0 else ""
+        value, p = None, None
+        if not why:
+            s = np.concatenate([distances(u) for u in _blocks(x, segment, h, factors, lag)])
+            value, p = float(s[0]), (int((s[1:] > s[0] - TIED).sum()) + 0.5) / (n_null + 1)
+        return _named(group, {"n": pa.array([len(x)], pa.int64()), "n_vectors": pa.array([vectors], pa.int64()), "n_segments": pa.array([len(lengths)], pa.int64()), "lag": pa.array([lag], pa.int64()), "statistic": pa.array([value], pa.float64()), "p": pa.array([p], pa.float64()), "reason": [why]})
 
-    cols = ["record", "label", "side", "n", "lag", "statistic", "p", "reason"]
-    return gaps.select("record", "label", "side", "segment", "i", "x").groupBy("record", "label", "side").applyInPandas(lambda p: fit(p)[cols], "record long, label string, side string, n long, lag long, statistic double, p double, reason string")
+    return _by_cell(gaps, seed, run, "n long, n_vectors long, n_segments long, lag long, statistic double, p double, reason string")
