@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import carve
-from tidespan.plans.context import Context
+from tidespan.operators import carve, long_records
+from tidespan.plans.context import GAP_MULT, Context
 from tidespan.plans.define import Queries, r, whole
 from tidespan.plans.oracle import sql
 
@@ -43,6 +43,13 @@ def windows_out_of_spec(c: Context) -> DataFrame:
     return c.wins.filter(F.col("side") == carve.OUT).select(*_WINDOW, r("duration_s"), r("min_margin"))
 
 
+@query(sql(f"SELECT {', '.join(_WINDOW)}, side, round(duration_s, 6) AS duration_s, round(min_margin, 6) AS min_margin FROM wins"))
+def windows_in_pieces(c: Context) -> DataFrame:
+    """All windows, carved the way of records too long for one task: every record of more than 20 reads goes in pieces."""
+    obs = long_records.observed_reads(c.reads, GAP_MULT, 20)
+    return carve.windows(long_records.threshold_reads(obs, c.ladder)).select(*_WINDOW, "side", r("duration_s"), r("min_margin"))
+
+
 @query(sql("""SELECT w.record, w.label, rows_.seq, round(margin, 6) AS margin, round(CASE WHEN in_spec THEN (t_us - birth_us) / 1e6 END, 6) AS age_s, round(CASE WHEN in_spec THEN (death_us - t_us) / 1e6 END, 6) AS left_s, in_spec,
   CASE WHEN in_spec THEN 'in_spec' ELSE 'out_of_spec' END || CASE WHEN confident THEN '' ELSE '_uncertain' END AS state FROM rows_ JOIN wins w USING (record, label, island)"""))
 def window_read_table(c: Context) -> DataFrame:
