@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import assumptions, carve, renewal, survey
+from tidespan.operators import assumptions, carve, cycle_panels, cycles, renewal, survey
 from tidespan.plans.context import Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
@@ -20,9 +20,10 @@ _SIDE = """sg0 AS (SELECT record, label, side, segment, duration_s AS x, sum(dur
 sg AS (SELECT record, label, side, segment, row_number() OVER (PARTITION BY record, label, side, segment ORDER BY birth_us, island) AS i, x, tau FROM sg0 WHERE NOT censored)"""
 _CAL = """cg0 AS (SELECT record, label, side, segment, birth_us, island, min(birth_us) OVER (PARTITION BY record, label, side, segment) AS first_us, (birth_us - lag(birth_us) OVER (PARTITION BY record, label, side, segment ORDER BY birth_us, island)) / 1e6 AS x FROM wins WHERE birth_seen),
 cg AS (SELECT g.record, label, side, g.segment, row_number() OVER (PARTITION BY g.record, label, side, g.segment ORDER BY birth_us, island) AS i, x, (end_us - first_us) / 1e6 AS tau FROM cg0 g JOIN (SELECT record, segment, max(t_us) AS end_us FROM obs GROUP BY ALL) s USING (record, segment) WHERE x IS NOT NULL)"""
-_USE = _SIDE + """, us0 AS (SELECT *, count(*) OVER w AS n, min(x) OVER w AS lo, max(x) OVER w AS hi FROM sg WINDOW w AS (PARTITION BY record, label, side, segment)),
+_USABLE = """us0 AS (SELECT *, count(*) OVER w AS n, min(x) OVER w AS lo, max(x) OVER w AS hi FROM sg WINDOW w AS (PARTITION BY record, label, side, segment)),
 us AS (SELECT record, label, side, segment, i, x, tau, n FROM us0 WHERE n >= 3 AND lo > 0 AND hi > lo),
 gam AS (SELECT record, label, side, segment, stddev_samp(x) / avg(x) AS gamma FROM us GROUP BY ALL)"""
+_USE = _SIDE + ", " + _USABLE
 _CELL = "record, label, side"
 _RANK = f"""rk0 AS (SELECT *, rank() OVER (PARTITION BY {_CELL} ORDER BY x) + (count(*) OVER (PARTITION BY {_CELL}, x) - 1) / 2 AS rnk FROM us),
 rk1 AS (SELECT *, rnk - avg(rnk) OVER (PARTITION BY {_CELL}) AS c FROM rk0), rk AS (SELECT * FROM (SELECT *, sum(c * c) OVER (PARTITION BY {_CELL}) AS cc FROM rk1) WHERE cc > 0)"""
@@ -205,3 +206,46 @@ def c3(c: Context) -> DataFrame:
     from tidespan.operators import copula
 
     return copula.serial_independence(gaps(c)).select(*renewal.CELL, "n", "n_vectors", "n_segments", "lag", r("statistic", 7), r("p", 9), "reason")
+
+
+_CYC_USE = """ncyc AS (SELECT *, sum(length_s) OVER (PARTITION BY record, stretch) AS tau_w, sum(CASE WHEN event THEN length_s ELSE 0 END) OVER (PARTITION BY record) + last_value(CASE WHEN event THEN 0 ELSE length_s END) OVER (PARTITION BY record ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tau_e FROM cyc),
+sg AS (SELECT record, 'cycles' AS label, 'within_stretch' AS side, stretch AS segment, row_number() OVER (PARTITION BY record, stretch ORDER BY start_us, end_us) AS i, length_s AS x, tau_w AS tau FROM ncyc WHERE event
+  UNION ALL SELECT record, 'cycles', 'end_to_end', 0, row_number() OVER (PARTITION BY record ORDER BY start_us, end_us), length_s, tau_e FROM ncyc WHERE event), """ + _USABLE
+_CYC_LEDGER = _LEDGER.replace("FROM wins)", "FROM (SELECT DISTINCT record, 'cycles' AS label FROM cyc), (VALUES ('within_stretch'), ('end_to_end')) v(side))")
+_CYC_MEANS = """ck AS (SELECT record, length_s AS age, sum(event::INT)::DOUBLE AS d, sum(count(*)) OVER (PARTITION BY record ORDER BY length_s DESC)::DOUBLE AS m FROM cyc GROUP BY record, length_s),
+cks AS (SELECT *, product(1 - d / m) OVER (PARTITION BY record ORDER BY age ROWS UNBOUNDED PRECEDING) AS s, lead(age) OVER (PARTITION BY record ORDER BY age) AS nxt FROM ck), ctop AS (SELECT record, max(age) AS top FROM ck GROUP BY record),
+cpair AS (SELECT a.record AS first, b.record AS second, least(a.top, b.top) AS tau FROM ctop a JOIN ctop b ON b.record = a.record + 1),
+casked AS (SELECT record, record AS first, NULL::BIGINT AS second, top AS tau FROM ctop UNION ALL SELECT first, first, second, tau FROM cpair UNION ALL SELECT second, first, second, tau FROM cpair),
+crm AS (SELECT record, first, second, tau, sum(area) + least(min(age), tau) AS mean, sqrt(sum(CASE WHEN d > 0 AND age < tau AND beyond > 0 THEN beyond * beyond * d / (m * nullif(m - d, 0)) ELSE 0 END)) AS se FROM (SELECT *, sum(area) OVER (PARTITION BY record, first, second ORDER BY age DESC ROWS UNBOUNDED PRECEDING) AS beyond
+  FROM (SELECT record, first, second, tau, age, d, m, greatest(0, least(coalesce(nxt, tau), tau) - least(age, tau)) * s AS area FROM cks JOIN casked USING (record))) GROUP BY record, first, second, tau),
+catt AS (SELECT record, side, array_to_string(list_sort(list(check_name || '=' || verdict)), ',') AS verdicts FROM led GROUP BY record, side)"""
+
+
+def cycle_ledger(c: Context) -> DataFrame:
+    return cycle_panels.checks(cycles.cycles(c.live), DRAWS, SEED, GROUPS, BENCH_CELLS, least=8)
+
+
+@query(sql("SELECT record, side AS clock, check_name, round(p, 9) AS p, verdict, reason FROM led", _CYC_USE, _RANK, _orders(DRAWS), _LONG, _CYC_LEDGER))
+def cycle_checks(c: Context) -> DataFrame:
+    """The battery and its groups on each device's cycles, within stretches and end to end."""
+    return cycle_ledger(c).select("record", F.col("side").alias("clock"), F.col("check").alias("check_name"), r("p", 9), "verdict", "reason")
+
+
+@query(sql("""SELECT live_.record, n_stretches, n_dropped, coalesce(n_merged0, 0) AS n_merged, coalesce(n_complete, 0) AS n_complete, coalesce(n_censored, 0) AS n_censored, round(mean, 4) AS mtbc_s, round(se, 4) AS mtbc_se, w.verdicts AS within_stretch, e.verdicts AS end_to_end
+  FROM (SELECT record, count(*) AS n_stretches, count(*) FILTER (first_us IS NULL OR first_us > lo_us) AS n_dropped FROM (SELECT record, stretch, lo_us, min(start_us) FILTER (status = 'calibrating') AS first_us FROM live GROUP BY ALL) GROUP BY record) live_
+  LEFT JOIN (SELECT record, count(*) FILTER (event) AS n_complete, count(*) FILTER (NOT event) AS n_censored FROM cyc GROUP BY record) USING (record) LEFT JOIN (SELECT record, coalesce(sum(merged), 0)::BIGINT AS n_merged0 FROM cals GROUP BY record) USING (record)
+  LEFT JOIN (SELECT * FROM crm WHERE second IS NULL) USING (record) LEFT JOIN catt w ON w.record = live_.record AND w.side = 'within_stretch' LEFT JOIN catt e ON e.record = live_.record AND e.side = 'end_to_end'""", _CYC_USE, _RANK, _orders(DRAWS), _LONG, _CYC_LEDGER, _CYC_MEANS))
+def cycle_panel(c: Context) -> DataFrame:
+    """A row a device of what its cycles say, with the verdicts of its own checks."""
+    out = cycle_panels.panel(cycles.cycles(c.live), c.live, cycles.dropped_births(c.live), cycle_ledger(c))
+    return out.select("record", "n_stretches", "n_dropped", "n_merged", "n_complete", "n_censored", r("mtbc_s", 4), r("mtbc_se", 4), "within_stretch", "end_to_end")
+
+
+@query(sql("""SELECT p.first, p.second, round(p.tau, 6) AS tau, round(a.mean, 4) AS mean_a, round(a.se, 4) AS se_a, x.verdicts AS verdicts_a, round(b.mean, 4) AS mean_b, round(b.se, 4) AS se_b, y.verdicts AS verdicts_b, round(a.mean - b.mean, 4) + 0.0::DOUBLE AS difference FROM cpair p
+  JOIN crm a ON a.first = p.first AND a.second = p.second AND a.record = p.first JOIN crm b ON b.first = p.first AND b.second = p.second AND b.record = p.second LEFT JOIN catt x ON x.record = p.first AND x.side = 'within_stretch' LEFT JOIN catt y ON y.record = p.second AND y.side = 'within_stretch'""", _CYC_USE, _RANK, _orders(DRAWS), _LONG, _CYC_LEDGER, _CYC_MEANS))
+def cycle_comparison(c: Context) -> DataFrame:
+    """Neighbouring devices compared by their cycles, descriptively."""
+    table = cycles.cycles(c.live)
+    pairs = table.select(F.col("record").alias("first"), (F.col("record") + 1).alias("second")).distinct()
+    out = cycle_panels.compare(table, pairs, cycle_ledger(c))
+    return out.select("first", "second", r("tau"), r("mean_a", 4), r("se_a", 4), "verdicts_a", r("mean_b", 4), r("se_b", 4), "verdicts_b", (r("difference", 4) + F.lit(0.0)).alias("difference"))
