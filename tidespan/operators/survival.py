@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.functions.special import normal_quantile
-from tidespan.operators.prefix import running
+from tidespan.operators.prefix import piece, running
 
 ROOT_EPS = math.sqrt(2.0**-52)
 CELL = ("record", "label", "side")
@@ -39,9 +39,9 @@ def event_table_errors(events: DataFrame) -> DataFrame:
 
 
 def risk_table(events: DataFrame, key: Sequence[str] = CELL, pooled: bool = False) -> DataFrame:
-    """Per distinct age: deaths, censorings and the number at risk (ages of this and above). ``pooled``, here and below: keys are few and large."""
+    """Per distinct age: deaths, censorings, the number at risk (ages of this and above) and the next age. ``pooled``, here and below: keys are few and large."""
     ages = events.groupBy(*key, "age").agg(F.count_if("event").alias("deaths"), F.count_if(~F.col("event")).alias("censorings"))
-    return running(ages, key, "age", {"at_risk": (F.col("deaths") + F.col("censorings"), "sum")}, down=True, pooled=pooled)
+    return running(ages, key, "age", {"at_risk": (F.col("deaths") + F.col("censorings"), "sum"), "next_age": (F.col("age"), "nearest")}, down=True, pooled=pooled)
 
 
 def product_limit(risk: DataFrame, key: Sequence[str] = CELL, pooled: bool = False) -> DataFrame:
@@ -77,15 +77,20 @@ def survival_quantile(curve: DataFrame, p: float, column: str = "survival", key:
 
 
 def restricted_mean(curve: DataFrame, tau: Column | float, key: Sequence[str] = CELL, pooled: bool = False) -> DataFrame:
-    """Area under the curve up to tau and its variance, the sum over deaths before tau of (area beyond)^2 d / (n (n - d))."""
+    """curve: of ``product_limit``. Area under it up to tau and its variance, the sum over deaths before tau of (area beyond)^2 d / (n (n - d))."""
     tau = F.lit(tau) if isinstance(tau, (int, float)) else tau
-    rows = running(curve.withColumn("tau", tau), key, "age", {"to": (F.col("age"), "nearest")}, down=True, pooled=pooled)
-    to = F.least(F.coalesce("to", "tau"), F.col("tau"))
-    rows = rows.withColumn("area", F.greatest(F.lit(0.0), to - F.least("age", "tau")) * F.col("survival"))
-    rows = running(rows, key, "age", {"beyond": (F.col("area"), "sum")}, down=True, pooled=pooled)
-    d, n, a = F.col("deaths"), F.col("at_risk").cast("double"), F.col("beyond")
-    var = F.when((d > 0) & (F.col("age") < F.col("tau")) & (a > 0), a * a * d / (n * F.nullif(n - d, F.lit(0.0)))).otherwise(0.0)
-    return rows.groupBy(*key).agg((F.sum("area") + F.least(F.min("age"), F.first("tau"))).alias("rmst"), F.sum(var).alias("rmst_var"), F.first("tau").alias("tau"))
+    to = F.least(F.coalesce("next_age", "tau"), F.col("tau"))
+    rows = curve.withColumn("tau", tau).withColumn("area", F.greatest(F.lit(0.0), to - F.least("age", "tau")) * F.col("survival")).withColumn("_piece", piece("age") if pooled else F.lit(0))
+    d, n = F.col("deaths"), F.col("at_risk").cast("double")
+    part = F.when((d > 0) & (n > d) & (F.col("age") < F.col("tau")), d / (n * F.nullif(n - d, F.lit(0.0)))).otherwise(0.0)  # once all have died nothing lies beyond
+    here = Window.partitionBy(*key, "_piece").orderBy(F.col("age").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_l", F.sum("area").over(here)).withColumn("_g", part)
+    # (later pieces + this one's rest)^2 opened up, so that a piece's sums are all that is needed of it
+    sums = rows.groupBy(*key, "_piece").agg(F.sum("area").alias("_a"), F.min("age").alias("_least"), F.first("tau").alias("tau"), F.sum("_g").alias("_g0"), F.sum(F.col("_g") * F.col("_l")).alias("_g1"), F.sum(F.col("_g") * F.col("_l") * F.col("_l")).alias("_g2"))
+    later = F.coalesce(F.sum("_a").over(Window.partitionBy(*key).orderBy(F.col("_piece").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumn("_b", later)
+    var = F.col("_b") * F.col("_b") * F.col("_g0") + 2 * F.col("_b") * F.col("_g1") + F.col("_g2")
+    return sums.groupBy(*key).agg((F.sum("_a") + F.least(F.min("_least"), F.first("tau"))).alias("rmst"), F.sum(var).alias("rmst_var"), F.first("tau").alias("tau"))
 
 
 def with_largest_age(curve: DataFrame, key: Sequence[str] = CELL) -> DataFrame:
