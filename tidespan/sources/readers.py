@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,11 +190,30 @@ def identity(spec: dict) -> str:
     return hashlib.sha256(json.dumps(spec, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def save_artifact(df: DataFrame, root: str, name: str, spec: dict) -> str:
-    """Writes a result under its identity with a provenance record beside it; returns the path."""
+def environment() -> dict[str, str]:
+    """What a result was made with."""
+    import platform
+
+    import numpy
+    import pyspark
+
+    return {"python": platform.python_version(), "pyspark": pyspark.__version__, "pyarrow": pa.__version__, "numpy": numpy.__version__, "platform": platform.platform()}
+
+
+def save_artifact(df: DataFrame, root: str, name: str, spec: dict, inputs: dict[str, str] | None = None) -> str:
+    """Writes a result under its identity with a provenance record beside it; returns the path.
+
+    Rows and the nulls of each column are counted by the write itself. ``inputs``: name -> path of what the result was made from; their fingerprints (see ``files_of``) are recorded.
+    """
     spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}-{identity(spec)[:12]}"
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    record = {"name": name, "identity": identity(spec), "spec": spec, "schema": json.loads(df.schema.json()), "plan": df._jdf.queryExecution().optimizedPlan().toString()}
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{i}") for i, c in enumerate(df.columns)])
+    counted.write.mode("overwrite").parquet(f"{path}/data")
+    counts = seen.get
+    record = {
+        "name": name, "identity": identity(spec), "spec": spec, "schema": json.loads(df.schema.json()), "plan": df._jdf.queryExecution().optimizedPlan().toString(), "rows": counts["rows"],
+        "nulls": {c: counts[f"null_{i}"] for i, c in enumerate(df.columns)}, "environment": environment(), "inputs": {k: {"path": p, "fingerprint": files_of(spark, p)} for k, p in (inputs or {}).items()},
+    }
     spark.createDataFrame([(json.dumps(record, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/provenance")
     return path
 
