@@ -229,9 +229,9 @@ def fidelity(c: Context) -> DataFrame:
     return metrics.detuning(c.reads, F.lit(100.0)).select("record", "seq", r("x", 8), r(metrics.fidelity(F.col("x")), 8, "fidelity"))
 
 
-@query(sql("SELECT p_partkey, p_brand, l_suppkey, round(price, 2) AS price, CASE WHEN n IS NULL THEN 'not declared' WHEN n > 1 THEN 'declared more than once' ELSE '' END AS reason FROM (SELECT DISTINCT l_suppkey, p_partkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45) LEFT JOIN (SELECT p_brand, p_partkey, count(*) AS n, CASE WHEN count(*) = 1 THEN min(p_retailprice) END AS price FROM part GROUP BY ALL) USING (p_brand, p_partkey)"))
+@query(sql("SELECT p_partkey, p_brand, l_suppkey, round(price, 2) AS price, CASE WHEN n IS NULL THEN 'not declared' WHEN n > 1 THEN 'declared more than once' ELSE '' END AS reason FROM (SELECT DISTINCT l_suppkey, p_partkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) LEFT JOIN (SELECT p_brand, p_partkey, count(*) AS n, CASE WHEN count(*) = 1 THEN min(p_retailprice) END AS price FROM part GROUP BY ALL) USING (p_brand, p_partkey)"))
 def declared_lookup(c: Context) -> DataFrame:
-    rows = c.table("lineitem").filter("l_quantity > 45").join(c.table("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_partkey", "p_brand").distinct()
+    rows = c.table("lineitem").join(c.table("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_partkey", "p_brand").distinct()
     out = metrics.declared_lookup(rows, c.table("part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("price")), ["p_brand", "p_partkey"], "price")
     return out.select("p_partkey", "p_brand", "l_suppkey", r("price", 2), "reason")
 
