@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.llm.scratch import Scratch
+from tidespan.llm.scratch import Scratch, aside
 
 #: Words before lower-casing: what becomes a word once A-Z are lower-cased.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -160,8 +160,9 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = 5) -> DataFr
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with. Rows are told apart by id and text."""
+    docs, back = aside(docs)
     keyed = docs.withColumn("_text_key", F.xxhash64("text")).withColumn("_id_key", F.xxhash64("doc_id"))
     found = contamination(docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc_id"), "text"), items)
     scratch = Scratch(docs.sparkSession, "contaminated")
     bad = scratch.keep(found.filter("contaminated").select(F.xxhash64("doc_id.doc_id").alias("_id_key"), F.col("doc_id.t").alias("_text_key")).distinct(), "bad")
-    return keyed.join(_sized(bad, bad.count()), ["_id_key", "_text_key"], "left_anti").select(*docs.columns)
+    return keyed.join(_sized(bad, bad.count()), ["_id_key", "_text_key"], "left_anti").select(*docs.columns).withColumnsRenamed(back)

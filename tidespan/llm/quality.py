@@ -4,19 +4,21 @@ Every document gets exact counts over its whole text and a risk score from 0 to
 within a stratum (``lang`` by default) cutoffs are tested from the most lenient downwards, and a cutoff is accepted as long as
 the exact (Clopper-Pearson) upper bound on the share of good documents it rejects stays at or below ``alpha``. Testing stops at
 the first cutoff that fails, so one level serves the whole sequence (fixed-sequence testing); the level is ``delta`` divided by
-the number of strata (Bonferroni). With probability 1 - delta no stratum loses more than ``alpha`` of its good documents. Among
+the number of strata (Bonferroni). With probability 1 - delta no stratum loses more than ``alpha`` of the good documents that pass its base rules;
+good documents that the base rules reject are lost beside that. Among
 the accepted cutoffs the one that rejects most labelled bad documents is used, the most lenient on ties. A stratum with too
 few labels to prove anything keeps everything.
 
 Nulls: a null text has no words, a null stratum is a stratum of its own, labels without doc_id or quality are left out,
-several labels of one document count as its lowest. Repeated documents are judged row by row. Empty tables give empty results.
+several labels of one document count as its lowest. Repeated documents are judged row by row, but a labelled id is one trial however often it
+stands, its riskiest row. Columns of the input keep their names and values, whatever they are called. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidespan.llm.scratch import Scratch, slices
+from tidespan.llm.scratch import Scratch, aside, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -153,7 +155,9 @@ def _stratum(df: DataFrame, cfg: QualityConfig) -> F.Column:
 def _fit(counted: DataFrame, labels: DataFrame, cfg: QualityConfig, scratch: Scratch) -> tuple[DataFrame, int]:
     """counted: doc_id, stratum and the counts."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = counted.filter(~base_failed(cfg)).select("doc_id", "_stratum", risk_score().alias("score")).join(known, "doc_id").select(F.col("_stratum").alias("stratum"), "score", "quality")
+    held = counted.filter(~base_failed(cfg)).select("doc_id", "_stratum", risk_score().alias("score")).join(known, "doc_id")
+    once = held.groupBy("doc_id").agg(F.max(F.struct("score", "_stratum")).alias("worst"), F.first("quality").alias("quality"))  # a repeated id is one trial, its riskiest row
+    held = once.select(F.col("worst._stratum").alias("stratum"), F.col("worst.score").alias("score"), "quality")
     cut = scratch.keep(cutoffs(held, cfg), "cutoffs")
     return cut, cut.count()
 
@@ -179,8 +183,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Qu
 def quality_filter(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """The documents that are kept, with the columns they came with. Cutoffs are fitted on the labelled documents alone, so texts pass once."""
     scratch = Scratch(docs.sparkSession, "quality")
+    docs, back = aside(docs)
+    cfg = replace(cfg, stratum={v: k for k, v in back.items()}.get(cfg.stratum, cfg.stratum))
     known = scratch.keep(labels.select("doc_id").filter("doc_id is not null").distinct(), "labelled")
     held = docs.select("doc_id", "text", _stratum(docs, cfg).alias("_stratum")).join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, "doc_id", "left_semi")
     cut, n = _fit(scratch.keep(with_counts(held).drop("text"), "counts"), labels, cfg, scratch)
     judged = _judge(with_counts(docs).withColumn("_stratum", _stratum(docs, cfg)), cut, n)
-    return judged.filter(~base_failed(cfg) & ~F.coalesce(risk_score() >= F.col("_cutoff"), F.lit(False))).select(*docs.columns)
+    return judged.filter(~base_failed(cfg) & ~F.coalesce(risk_score() >= F.col("_cutoff"), F.lit(False))).select(*docs.columns).withColumnsRenamed(back)

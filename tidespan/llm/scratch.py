@@ -67,6 +67,17 @@ class Scratch:
         self._delete(self.root)
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that begin with an underscore renamed, so that none meets a helper column of an operator; and how to name them back."""
+    taken, back = set(docs.columns), {}
+    for c in docs.columns:
+        if c.startswith("_"):
+            free = next(n for i in range(len(taken) + 1) if (n := f"aside_{len(back)}_{i}") not in taken)
+            taken.add(free)
+            back[free] = c
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches cut into short ones, so that what Python makes of a batch stays small."""
     for batch in batches:

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidespan.llm.scratch import aside
+
 #: The rules.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -109,10 +111,11 @@ def secret_report(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFr
 
 def redacted(docs: DataFrame, mark: str = "[secret]", cfg: SecretConfig = SecretConfig()) -> DataFrame:
     """All documents, each secret replaced by a mark; ``n_chars``, where there is one, follows the text."""
+    docs, back = aside(docs)
     found = scan(docs, train(samples(docs, cfg), cfg), cfg)
     step = f"(a, x) -> if(x.end <= a.pos, a, named_struct('pos', x.end, 'out', concat(a.out, if(x.start > a.pos, concat(substring(text, a.pos + 1, x.start - a.pos), '{mark}'), if(x.start = a.pos, '{mark}', '')))))"
     clean = F.expr(f"if(size(_found) = 0, text, aggregate(_found, named_struct('pos', 0, 'out', ''), {step}, a -> concat(a.out, substring(text, a.pos + 1))))")
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).withColumnsRenamed(back)
