@@ -37,8 +37,9 @@ def tenth_ratio(variance: DataFrame) -> DataFrame:
     return at.select("record", F.try_divide(F.col("all"), v).alias("g10"))
 
 
-def tellability(obs: DataFrame) -> DataFrame:
-    """One row per record of everything that says whether it can resolve its own changes."""
+def tellability(obs: DataFrame, dependence: DataFrame | None = None) -> DataFrame:
+    """One row per record of everything that says whether it can resolve its own changes; with the panel of ``dependence.panel``, also whether its errors depend on its values: the panel's p,
+    the members that attain it, and a status."""
     spectrum = resolve.lomb_scargle(obs)
     out = obs.select("record").distinct()
     for part in (
@@ -48,7 +49,10 @@ def tellability(obs: DataFrame) -> DataFrame:
         out = out.join(part, "record", "left")
     for name, why in (("difference_ratio", "fewer than three reads in a segment"), ("noise_floor_ratio", "no spectrum or no known error"), ("g10", "no frequency around a tenth"), ("maximum", "no spacing"), ("consistency", "no known error"), ("spread", "fewer than ten reads")):
         out = out.withColumn(name + "_status", status(F.col(name), why))
-    return out
+    if dependence is None:
+        return out
+    own = dependence.groupBy("record").agg(F.first("panel_p").alias("dependence_p"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("attains"), F.col("member")))), ",").alias("dependence_members"), F.first("reason").alias("_why"))
+    return out.join(own, "record", "left").withColumn("dependence_p_status", F.when(F.col("dependence_p").isNull(), F.coalesce("_why", F.lit("no read"))).otherwise("ok")).drop("_why")
 
 
 def threshold_tellability(rows: DataFrame, wins: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import carve, panels, renewal, resolve, survey, survival
+from tidespan.operators import carve, dependence, panels, renewal, resolve, survey, survival
 from tidespan.plans import queries_metrics, queries_renewal, queries_survival, queries_windows
 from tidespan.plans.context import LADDER, Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
 from tidespan.plans.queries_metrics import _GRID
-from tidespan.plans.queries_renewal import _LEDGER, _LONG, _RANK, _USE, DRAWS, _orders
+from tidespan.plans.queries_renewal import _LEDGER, _LONG, _RANK, _USE, DRAWS, SEED, _orders
 from tidespan.plans.queries_survival import _GRM, _STEPS
 
 QUERIES = query = Queries()
@@ -36,12 +36,19 @@ def g10_ratio(c: Context) -> DataFrame:
     return panels.tenth_ratio(resolve.derivative_variance(resolve.lomb_scargle(c.obs))).select("record", r("g10", 4))
 
 
-@query()
-def tellability(c: Context) -> DataFrame:
-    return panels.tellability(c.obs)
+_PARTS = {q.name: q.oracle for module in (queries_metrics, queries_windows) for q in module.query.all} | {q.name: q.oracle for q in query.all}
+_TOLD = (("difference_ratio", "fewer than three reads in a segment"), ("noise_floor_ratio", "no spectrum or no known error"), ("g10", "no frequency around a tenth"), ("maximum", "no spacing"), ("consistency", "no known error"), ("spread", "fewer than ten reads"))
 
 
-_PARTS = {q.name: q.oracle for module in (queries_metrics, queries_windows) for q in module.query.all}
+@query(f"""SELECT record, d.scale AS scale, d.difference_ratio, d.sigma_ratio, n.ratio AS noise_floor_ratio, g.g10 AS g10, b.maximum AS maximum, s.share AS consistency, t.spread AS spread, {", ".join(f"CASE WHEN {x} IS NULL THEN '{why}' ELSE 'ok' END AS {name}_status" for x, (name, why) in zip(("d.difference_ratio", "n.ratio", "g.g10", "b.maximum", "s.share", "t.spread"), _TOLD, strict=True))},
+  p.panel_p AS dependence_p, p.members AS dependence_members, CASE WHEN p.panel_p IS NULL THEN p.reason ELSE 'ok' END AS dependence_p_status FROM (SELECT DISTINCT record FROM ({_PARTS["gap_stats"]})) LEFT JOIN (SELECT record, scale, ratio AS difference_ratio, sigma_ratio FROM ({_PARTS["gsjs"]})) d USING (record)
+  LEFT JOIN ({_PARTS["noise_floor"]}) n USING (record) LEFT JOIN ({_PARTS["g10_ratio"]}) g USING (record) LEFT JOIN ({_PARTS["band_maximum"]}) b USING (record) LEFT JOIN ({_PARTS["self_consistency"]}) s USING (record) LEFT JOIN ({_PARTS["decile_spread"]}) t USING (record)
+  LEFT JOIN (SELECT record, any_value(panel_p) AS panel_p, coalesce(string_agg(member, ',' ORDER BY member) FILTER (attains), '') AS members, any_value(reason) AS reason FROM ({_PARTS["dependence_panel"]}) GROUP BY record) p USING (record)""")
+def tellability(c: Context) -> DataFrame:
+    """Whether each record can tell its own changes, in one row: noise, spectra, schedule, consistency, and whether errors depend on values."""
+    out = panels.tellability(c.obs, dependence.panel(c.obs, DRAWS, SEED))
+    told = {"scale": 6, "difference_ratio": 6, "sigma_ratio": 6, "noise_floor_ratio": 6, "g10": 4, "maximum": 7, "consistency": 8, "spread": 8, "dependence_p": 9}
+    return out.select("record", *[r(n, d) for n, d in told.items()], "dependence_members", *[f"{n}_status" for n, _ in _TOLD], "dependence_p_status")
 
 
 @query(f"""SELECT record, label, lower, upper, ratio AS run_ratio, exponent, coalesce(clean, 0) AS clean, coalesce(merged, 0) AS merged, coalesce(unbracketed, 0) AS unbracketed
