@@ -1,6 +1,6 @@
 """Intermediate tables in the folder that every executor shares.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a temporary folder made.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the master is local (tests, a laptop) is a temporary folder made.
 Tables are ordinary Parquet, so a lost executor costs a re-read and no recomputation of what is above the table.
 """
 
@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir: the executors of a cluster share no temporary folder")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidespan-")
