@@ -176,3 +176,19 @@ def test_a_silent_record_ends_with_the_watermark(spark, tmp_path):
     q.stop()
     got = [(r.birth_kind, r.death_kind, r.n_reads) for r in spark.sql("select * from silent where record = 2 order by birth_us").collect()]
     assert got == [("scan_start", "gap_start", 2), ("gap_resume", "crossing", 1)]
+
+
+def test_reads_out_of_order_are_counted(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    schema, into = "record long, ts timestamp, value double", str(tmp_path / "in")
+    put = lambda rows, mode: spark.createDataFrame([(1, at(m), v) for m, v in rows], schema).coalesce(1).write.mode(mode).parquet(into)
+    put([(0, 6.0), (5, 7.0)], "error")
+    stream = spark.readStream.schema(schema).parquet(into)
+    q = windows.carve_stream(stream, [Rung("r", 5.0)], gap_us=10 * 60 * 10**6).writeStream.format("memory").queryName("late").outputMode("append").start()
+    q.processAllAvailable()
+    for rows in ([(2, 1.0), (3, 1.0), (6, 8.0)], [(7, 1.0)], [(8, 9.0)]):
+        put(rows, "append")
+        q.processAllAvailable()
+    q.stop()
+    got = [(r.side, r.n_reads, r.n_late) for r in spark.sql("select * from late order by birth_us").collect()]
+    assert got == [("in_spec", 3, 2), ("out_of_spec", 1, 0)]
