@@ -40,6 +40,11 @@ def distances(u: np.ndarray) -> np.ndarray:
     return whole / n - 2 * one + n * np.prod(margins / n, axis=1)
 
 
+def cvm_distance(u: np.ndarray) -> float:
+    """The distance of one set of vectors (n by coordinates)."""
+    return float(distances(np.asarray(u, float)[None])[0])
+
+
 def _blocks(x: np.ndarray, segment: np.ndarray, h: np.ndarray, factors: tuple[np.ndarray, np.ndarray], lag: int) -> Iterator[np.ndarray]:
     """Vectors of ranks, draws in blocks; draw 0 is the order as observed."""
     runs = [r for r in np.split(np.arange(len(x)), np.flatnonzero(np.diff(segment)) + 1) if len(r) > lag]
