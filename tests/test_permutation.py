@@ -86,3 +86,23 @@ def test_exact_observations_close_intervals():
 def test_unix_seconds(spark):
     df = spark.createDataFrame([(1.7e9,), (1.7e12,), (None,), (-1.0,), (946684800.0,)], "x double")
     assert [r[0] for r in df.select(metrics.plausible_unix_s(df.x)).collect()] == [True, False, False, False, True]
+
+
+def test_draws_of_distance_correlation_share_one_matrix(monkeypatch):
+    """Short series take no n log^2 n pass a draw, and give the numbers of the plain definition."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=40), np.round(rng.exponential(size=40), 1)
+    orders = np.stack([np.arange(40), *(rng.permutation(40) for _ in range(30))])
+    assert np.allclose(shape.distance_correlations(x, y, orders, 0), [dcor(x, y[o]) for o in orders])
+    monkeypatch.setattr(shape, "product_of_distances", lambda *_: pytest.fail("a pass for one draw"))
+    assert np.allclose(shape.distance_correlations(x, y, orders), [dcor(x, y[o]) for o in orders])
+    assert permutation.upper_p(x, np.ones(40), "dcor", 99, rng)[2] == "constant"
+    seen, p, method = permutation.upper_p(x, y, "dcor", 99, np.random.default_rng(8))
+    again = np.concatenate([[dcor(x, y[o]) for o in block] for block in permutation.orders(40, 99, np.random.default_rng(8))])
+    assert method == "permutation" and math.isclose(seen, dcor(x, y)) and p == (1 + (again >= seen - 1e-12).sum()) / 100
+
+
+def test_draws_are_dealt_over_all_cores(spark):
+    df = spark.range(40).selectExpr("id % 8 as record", "id as seq", "cast(id as double) as x", "cast(id * id % 7 as double) as y")
+    out = permutation.paired_permutation(df, ["record"], ("xi",), draws=9)
+    assert out.count() == 8 and out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

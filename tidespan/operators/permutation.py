@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators.shape import distance_correlation_of
+from tidespan.operators import deal
+from tidespan.operators.shape import distance_correlations
 
 #: Numbers that a block of permuted series holds at most.
 BLOCK = 2_000_000
@@ -28,29 +29,24 @@ def _mid_ranks(x: np.ndarray) -> np.ndarray:
     return (np.cumsum(times) - (times - 1) / 2)[inverse]
 
 
-def xi_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x: a series; y: rows of orders of one series -> xi with the tie correction for each row. Not a number where y is constant."""
-    n, s = y.shape[1], np.sort(y[0])
-    r, at_least = np.searchsorted(s, y, "right"), n - np.searchsorted(s, y[0], "left")
+def xi_of(x: np.ndarray, y: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """xi of x with y in each order, with the tie correction; y is ranked once. Not a number where y is constant."""
+    n, s = len(y), np.sort(y)
+    r, at_least = np.searchsorted(s, y, "right"), n - np.searchsorted(s, y, "left")
     d = float((at_least * (n - at_least)).sum())
-    step = np.abs(np.diff(r[:, np.argsort(x, kind="stable")], axis=1)).sum(axis=1)
-    return 1 - n * step / (2 * d) if d > 0 else np.full(len(y), np.nan)
+    step = np.abs(np.diff(r[orders[:, np.argsort(x, kind="stable")]], axis=1)).sum(axis=1)
+    return 1 - n * step / (2 * d) if d > 0 else np.full(len(orders), np.nan)
 
 
-def rho_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Spearman's rho of x with each row of y."""
-    a, b = _mid_ranks(x), _mid_ranks(y[0])
-    a, place = a - a.mean(), np.searchsorted(np.sort(y[0]), y, "left")
-    b = np.sort(b - b.mean())[place]  # equal values have equal ranks, so any of their places will do
-    size = math.sqrt(float(a @ a) * float(b[0] @ b[0]))
-    return b @ a / size if size > 0 else np.full(len(y), np.nan)
+def rho_of(x: np.ndarray, y: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Spearman's rho of x with y in each order."""
+    a, b = _mid_ranks(x), _mid_ranks(y)
+    a, b = a - a.mean(), b - b.mean()
+    size = math.sqrt(float(a @ a) * float(b @ b))
+    return b[orders] @ a / size if size > 0 else np.full(len(orders), np.nan)
 
 
-def dcor_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.array([math.nan if (d := distance_correlation_of(x, row)) is None else d for row in y])
-
-
-STATISTICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"xi": xi_of, "rho": rho_of, "dcor": dcor_of}
+STATISTICS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {"xi": xi_of, "rho": rho_of, "dcor": distance_correlations}
 
 
 def orders(n: int, draws: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
@@ -66,11 +62,11 @@ def orders(n: int, draws: int, rng: np.random.Generator) -> Iterator[np.ndarray]
 def upper_p(x: np.ndarray, y: np.ndarray, statistic: str, draws: int, rng: np.random.Generator) -> tuple[float, float, str]:
     """(statistic, p, method) of one group."""
     of = STATISTICS[statistic]
-    seen = float(of(x, y[None, :])[0])
+    seen = float(of(x, y, np.arange(len(x))[None, :])[0])
     if not math.isfinite(seen):
         return math.nan, math.nan, "constant"
     exact = len(x) <= 12 and math.factorial(len(x)) <= draws
-    hits = sum(int((of(x, y[block]) >= seen - 1e-12).sum()) for block in orders(len(x), draws, rng))
+    hits = sum(int((of(x, y, block) >= seen - 1e-12).sum()) for block in orders(len(x), draws, rng))
     return (seen, hits / math.factorial(len(x)), "exact") if exact else (seen, (1 + hits) / (1 + draws), "permutation")
 
 
@@ -91,7 +87,7 @@ def paired_permutation(pairs: DataFrame, key: Sequence[str], statistics: Sequenc
         return pa.table({**same, "n": pa.array([n] * len(out), pa.int64()), "statistic": list(statistics), "value": number(0), "p": number(1), "method": [o[2] for o in out]})
 
     schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key) + ", n long, statistic string, value double, p double, method string"
-    return pairs.select(*key, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(*key).applyInArrow(run, schema)
+    return deal.by_key(pairs.select(*key, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), *key).groupBy(*key).applyInArrow(run, schema)
 
 
 def xi_p_value(pairs: DataFrame, key: Sequence[str], draws: int = 999, seed: int = 7, tied: float = 0.0) -> DataFrame:
@@ -104,7 +100,7 @@ def xi_p_value(pairs: DataFrame, key: Sequence[str], draws: int = 999, seed: int
         _, inverse, times = np.unique(y, return_inverse=True, return_counts=True)
         value, p, method = math.nan, math.nan, "fewer than 3 pairs"
         if n >= 3 and (times[inverse] > 1).mean() <= tied:
-            value, method = float(xi_of(x, y[None, :])[0]), "normal"
+            value, method = float(xi_of(x, y, np.arange(n)[None, :])[0]), "normal"
             p = 0.5 * math.erfc(value * math.sqrt(n) / math.sqrt(0.8))
         elif n >= 3:
             value, p, method = upper_p(x, y, "xi", draws, np.random.default_rng([seed, zlib.crc32("|".join(str(group.column(k)[0].as_py()) for k in key).encode())]))
@@ -112,4 +108,4 @@ def xi_p_value(pairs: DataFrame, key: Sequence[str], draws: int = 999, seed: int
         return pa.table({**{k: group.column(k).slice(0, 1) for k in key}, "n": pa.array([n], pa.int64()), "xi": number(value), "p": number(p), "method": [method]})
 
     schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key) + ", n long, xi double, p double, method string"
-    return pairs.select(*key, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(*key).applyInArrow(run, schema)
+    return deal.by_key(pairs.select(*key, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), *key).groupBy(*key).applyInArrow(run, schema)

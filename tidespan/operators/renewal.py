@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.functions.special import normal_quantile
+from tidespan.operators import deal
 
 CELL = ["record", "label", "side"]
 AT_EVENT = 1 + 1e-12
@@ -82,6 +83,14 @@ def draw_factors(n_draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(x[:8], 16) % (PRIME - 1) + 1 for x in h]), np.array([int(x[8:16], 16) % PRIME for x in h])
 
 
+def shuffled(h: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The order of the hashed places h in each draw, ties by place: keys and places are packed into one number, so a plain sort orders both."""
+    key = (h * factor[:, None] + shift[:, None]) % PRIME
+    key = key * key % PRIME << 32 | np.arange(len(h))
+    key.sort(axis=1)
+    return key & 0xFFFFFFFF
+
+
 def draws(gaps: DataFrame, n_draws: int, seed: int) -> DataFrame:
     """The gaps in ``n_draws`` shuffled orders beside the observed one (b = 0). A draw orders a segment by ((hash x factor + shift) mod PRIME)^2 mod PRIME, then by i:
     one digest a gap and arithmetic a draw, which any engine can repeat."""
@@ -217,7 +226,7 @@ def _cell_arrays(group: pa.Table, factors: tuple[np.ndarray, np.ndarray], max_la
 def _by_cell(gaps: DataFrame, seed: int, work, columns: str) -> DataFrame:
     cell = ", ".join(f"{k} {gaps.schema[k].dataType.simpleString()}" for k in CELL)
     rows = gaps.select(*CELL, F.col("segment").cast("long").alias("segment"), F.col("i").cast("long").alias("i"), "x", "tau", gap_hash(seed).alias("_hash"))
-    return rows.groupBy(*CELL).applyInArrow(work, f"{cell}, {columns}")
+    return deal.by_key(rows, *CELL).groupBy(*CELL).applyInArrow(work, f"{cell}, {columns}")
 
 
 def _named(group: pa.Table, columns: dict[str, pa.Array]) -> pa.Table:

@@ -60,15 +60,42 @@ def sums_of_distances(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def distance_correlation_of(x: np.ndarray, y: np.ndarray) -> float | None:
-    """V-statistic distance correlation of two series; None where one is constant."""
+#: Pairs up to which the distances of a series are held as a matrix, and the numbers in a slice of shuffled series beside it.
+MATRIX, SLICE = 512, 65_536
+
+
+def _products_of_distances(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each row of ``rows`` the mean product of the centred distances of x with the row's distances: one centred matrix of x, one pass over i < j for a slice of rows."""
+    n, out = len(x), np.zeros(len(rows))
+    d = np.abs(x[:, None] - x)
+    d = d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
+    step = max(1, SLICE // n)
+    for low in range(0, len(rows), step):
+        y = np.ascontiguousarray(rows[low : low + step].T)
+        room = np.empty_like(y)
+        for i in range(n - 1):
+            far = np.subtract(y[i + 1 :], y[i], out=room[i + 1 :])
+            out[low : low + step] += d[i, i + 1 :] @ np.abs(far, out=far)
+    return 2 * out / n**2
+
+
+def distance_correlations(x: np.ndarray, y: np.ndarray, orders: np.ndarray, matrix: int | None = None) -> np.ndarray:
+    """V-statistic distance correlation of x with y in each order (a row of places); not a number where one of them is constant. The sums of distances and both
+    scales do not depend on the order, so they are found once. Series beyond ``matrix`` take n log^2 n an order."""
     n, x, y = len(x), x - x.mean(), y - y.mean()
     a, b = sums_of_distances(x), sums_of_distances(y)
     part = lambda u, v, both: both / n**2 - 2 * float(u @ v) / n**3 + float(u.sum()) * float(v.sum()) / n**4
     va, vb = part(a, a, 2 * n * float(x @ x) - 2 * float(x.sum()) ** 2), part(b, b, 2 * n * float(y @ y) - 2 * float(y.sum()) ** 2)
     if not (va > 1e-18 and vb > 1e-18):
-        return None
-    return math.sqrt(max(part(a, b, product_of_distances(x, y)), 0.0) / math.sqrt(va * vb))
+        return np.full(len(orders), np.nan)
+    both = _products_of_distances(x, y[orders]) if n <= (MATRIX if matrix is None else matrix) else np.array([part(a, b[o], product_of_distances(x, y[o])) for o in orders])
+    return np.sqrt(np.maximum(both, 0.0) / math.sqrt(va * vb))
+
+
+def distance_correlation_of(x: np.ndarray, y: np.ndarray) -> float | None:
+    """V-statistic distance correlation of two series; None where one is constant."""
+    d = float(distance_correlations(x, y, np.arange(len(x))[None, :], 0)[0])
+    return None if math.isnan(d) else d
 
 
 def distance_correlation(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
