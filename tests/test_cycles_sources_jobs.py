@@ -192,3 +192,14 @@ def test_reads_out_of_order_are_counted(spark, tmp_path):
     q.stop()
     got = [(r.side, r.n_reads, r.n_late) for r in spark.sql("select * from late order by birth_us").collect()]
     assert got == [("in_spec", 3, 2), ("out_of_spec", 1, 0)]
+
+
+def test_infidelity_is_refused_right_past_the_first_peak(spark):
+    """The cut is the peak, 2.27688, which the SQL names: reads a step of a search grid beyond it have no bounds."""
+    from tidespan.operators import metrics
+
+    grid = [2.2765 + 1e-6 * k for k in range(800)]
+    assert abs(max(grid, key=lambda x: 1 - metrics.fidelity_value(x)) - metrics.first_peak()) < 6e-6 and metrics.first_peak() == 2.27688
+    df = spark.createDataFrame([(2.17, 0.1), (2.2768, 0.00007), (2.2768, 0.0001), (2.27695, 0.0), (-2.2769, 0.0)], "x double, s double")
+    got = df.select(*metrics.infidelity_bounds(df.x, df.s)).collect()
+    assert [r[0] is None for r in got] == [False, False, True, True, True]

@@ -23,11 +23,12 @@ def fidelity_value(x: float) -> float:
 
 
 def first_peak() -> float:
-    """Where the infidelity first stops growing."""
-    x, best = 0.0, 0.0
-    while 1 - fidelity_value(x) >= best:
-        best, x = 1 - fidelity_value(x), x + 1e-4
-    return x
+    """Where the infidelity first stops growing, to five digits: the zero of its slope, inside the step in which it first falls."""
+    step, x = 1e-2, 1e-2
+    fall = lambda x: fidelity_value(x + 1e-4) - fidelity_value(x - 1e-4)
+    while fall(x) <= 0:
+        x += step
+    return round(bisect(fall, x - step, x), 5)
 
 
 def detuning_threshold(infidelity: float) -> float:
