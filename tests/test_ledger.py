@@ -74,3 +74,34 @@ def test_reasons_of_segments(spark):
     gaps = spark.createDataFrame(rows, "record long, label string, side string, segment long, i long, x double, tau double")
     assert {r.segment: r.reason for r in renewal.unusable(gaps).collect()} == {0: "fewer than 3 gaps", 1: "a gap is not positive", 2: "all gaps are equal"}
     assert {r.segment for r in renewal.usable(gaps).collect()} == {3}
+
+
+def test_the_ledger_runs_its_battery_once(spark, tmp_path):
+    """A verdict and the bench behind it come from one pass over the draws, not from a pass each."""
+    from pyspark.sql import functions as F
+
+    from tidespan.operators import deal
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for b in batches:
+            passes.add(b.num_rows)
+            yield b
+
+    rows = deal.once(spark.range(10).repartition(2).mapInArrow(work, "id long"))
+    assert rows.join(rows.groupBy((F.col("id") % 2).alias("id")).count(), "id", "left").count() == 10 and passes.value == 10
+
+
+def test_draws_with_different_events_fall_back_to_terms():
+    import numpy as np
+
+    from tidespan.operators import renewal
+
+    x = np.array([[1.0, 2, 4, 3], [4.0, 3, 2, 1], [2.0, 1, 3, 4]])
+    for tau in (12.0, 10.0):
+        t = np.cumsum(x, axis=1)
+        events = np.where(tau <= t[:, -1] * renewal.AT_EVENT, 3, 4)
+        assert np.allclose(np.stack(renewal._trend_of(x, tau, 0.7)), np.stack(renewal._trend_with_gaps(t, tau, 0.7, events)), rtol=1e-12, atol=1e-13)
+    mixed = np.stack(renewal._trend_of(np.array([[1.0, 2, 4, 3], [1.0, 2, 4, 2]]), 10.0, 0.7))
+    assert list(mixed[4]) == [3, 4] and np.isfinite(mixed).all()

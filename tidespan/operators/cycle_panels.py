@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidespan.operators import renewal, survival
+from tidespan.operators import deal, renewal, survival
 
 LABEL, WITHIN, END_TO_END = "cycles", "within_stretch", "end_to_end"
 
@@ -29,7 +29,7 @@ def clock_gaps(table: DataFrame) -> DataFrame:
 def checks(table: DataFrame, n_draws: int, seed: int, groups: dict[str, tuple[str, ...]], bench_cells: int, **rule) -> DataFrame:
     """The ledger of every device and clock, the bench measured on the same cells."""
     gaps = renewal.usable(clock_gaps(table))
-    scored, ties = renewal.cell_tests(gaps, n_draws, seed, groups), renewal.tie_statistics(gaps)
+    scored, ties = deal.once(renewal.cell_tests(gaps, n_draws, seed, groups)), renewal.tie_statistics(gaps)
     bench = renewal.bench_acceptance(renewal.bench_sizes(scored.filter("check <> grp"), ties), 0.05, bench_cells)
     cells = table.select("record", F.lit(LABEL).alias("label"), F.explode(F.array(F.lit(WITHIN), F.lit(END_TO_END))).alias("side"))
     return renewal.ledger(cells, scored, ties, tuple(m for ms in groups.values() for m in ms), bench, tuple(groups), **rule)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidespan.functions.special import bisect, chi2_quantile, t_quantile
+from tidespan.operators import deal
 
 
 def innermost(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +103,7 @@ def turnbull(events: DataFrame, key: Sequence[str] = ("record", "label", "side")
         return out
 
     schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key) + ", lo double, hi double, mass double, survival_after double, log_likelihood double, converged boolean"
-    return events.select(*key, "age_lo", "age_hi").groupBy(*key).applyInPandas(fit, schema)
+    return deal.by_key(events.select(*key, "age_lo", "age_hi"), *key).groupBy(*key).applyInPandas(fit, schema)
 
 
 def q_interval(y: np.ndarray, v: np.ndarray, level: float) -> tuple[float, float]:
@@ -185,4 +186,4 @@ def two_lobe_fit(reads: DataFrame, least: int = 10) -> DataFrame:
         return pd.DataFrame([{"record": pdf["record"].iloc[0], "n": len(pdf), "reason": ""} | two_lobes(pdf["value"].to_numpy())])
 
     cols = ["record", "n", "reason", "bic_delta", "bimodal", "separation", "spread", "snr", "low_mean", "high_mean", "cut"]
-    return reads.select("record", "value").groupBy("record").applyInPandas(lambda p: fit(p).reindex(columns=cols), "record long, n long, reason string, bic_delta double, bimodal boolean, separation double, spread double, snr double, low_mean double, high_mean double, cut double")
+    return deal.by_key(reads.select("record", "value"), "record").groupBy("record").applyInPandas(lambda p: fit(p).reindex(columns=cols), "record long, n long, reason string, bic_delta double, bimodal boolean, separation double, spread double, snr double, low_mean double, high_mean double, cut double")

@@ -171,45 +171,59 @@ def _log_part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.log(np.where(q > 0, q, np.nan))
 
 
-def _trend_of(x: np.ndarray, tau: float) -> tuple[np.ndarray, ...]:
-    """x: draws by gaps of one segment -> its parts of C1 (numerator, square of the denominator), C2 and CvM, and the events read, of each draw."""
-    n = x.shape[1]
-    gamma = x[0].std(ddof=1) / x[0].mean()
-    t = np.cumsum(x, axis=1)
-    p = np.concatenate([np.zeros((len(x), 1)), t[:, :-1]], axis=1)
-    events = np.where(tau <= t[:, -1] * AT_EVENT, n - 1, n)[:, None]
+def _trend_with_gaps(t: np.ndarray, tau: float, gamma: float, events: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The parts of ``_trend_of`` term by term, where draws read different numbers of events or a logarithm has no value."""
+    n, p = t.shape[1], np.concatenate([np.zeros((len(t), 1)), t[:, :-1]], axis=1)
+    events = events[:, None]
     i, read = np.arange(n)[None, :], np.arange(n)[None, :] < events
     head = np.where(i >= 1, (events - i) ** 2 * _log_part(tau - p, tau - t) + i * i * _log_part(t, np.where(i >= 1, p, 1.0)), 0.0)
     u, v = t / tau, p / tau
     walk = i * i * (u - v) - i * events * (u * u - v * v)
     add = lambda a: np.nansum(np.where(read, a, 0.0), axis=1)
     events, last = events[:, 0], np.take_along_axis(t, events - 1, axis=1)[:, 0]
-    tail = events**2 * (_log_part(np.full(len(x), tau), tau - t[:, 0]) + _log_part(np.full(len(x), tau), last) - 1)
+    tail = events**2 * (_log_part(np.full(len(t), tau), tau - t[:, 0]) + _log_part(np.full(len(t), tau), last) - 1)
     c, end, g2n = 1 / (tau * gamma * gamma), last / tau, gamma * gamma * events
     return c * (add(t) - events * tau / 2), c * c * gamma * gamma * tau * tau * events, (add(head) + tail) / g2n, (add(walk) + events**2 * (end * end - end + 1.0 / 3)) / g2n, events
 
 
-def _cell_arrays(group: pa.Table, factors: tuple[np.ndarray, np.ndarray], max_lag: int, most: int = 4_000_000) -> tuple[int, np.ndarray, dict[str, np.ndarray]]:
-    """One cell's gaps -> its segments, the events read and all statistics of all draws. Draws go in blocks, so that a block holds ``most`` numbers at most (or one draw)."""
-    data = group.select(["segment", "i", "x", "tau", "_hash"]).sort_by([("segment", "ascending"), ("i", "ascending")])
-    segment, x, tau, h = (data.column(k).to_numpy() for k in ("segment", "x", "tau", "_hash"))
+def _trend_of(x: np.ndarray, tau: float, gamma: float) -> tuple[np.ndarray, ...]:
+    """x: draws by gaps of one segment -> its parts of C1 (numerator, square of the denominator), C2 and CvM, and the events read, of each draw.
+    Sums of differences of neighbours are sums of the terms themselves by other weights, so a draw takes two logarithms a gap and products with fixed vectors."""
+    t = np.cumsum(x, axis=1)
+    events = np.where(tau <= t[:, -1] * AT_EVENT, x.shape[1] - 1, x.shape[1])
+    n = int(events[0])
+    if (events != n).any() or not (t[:, 0].min() > 0 and tau > t[:, n - 1].max()):
+        return _trend_with_gaps(t, tau, gamma, events)
+    t, i, more = t[:, :n], np.arange(n), np.arange(n) < n - 1
+    on, off = np.where(i >= 1, i, 0), np.where(more, i + 1, 0)  # a term's place as the end and as the start of a step
+    u = t / tau
+    far, near = np.log((tau - t) / tau), np.log(u)
+    head = far @ (np.where(more, (n - off) ** 2, 0) - np.where(i >= 1, (n - on) ** 2, 0)).astype(float) + near @ (on**2 - off**2).astype(float)
+    walk = u @ (on**2 - off**2).astype(float) + (u * u) @ (n * (off - on)).astype(float)
+    tail = -n * n * (far[:, 0] + near[:, -1] + 1)
+    c, end, g2n = 1 / (tau * gamma * gamma), u[:, -1], gamma * gamma * n
+    return c * (t.sum(axis=1) - n * tau / 2), np.full(len(t), c * c * gamma * gamma * tau * tau * n), (head + tail) / g2n, (walk + n * n * (end * end - end + 1.0 / 3)) / g2n, events
+
+
+def _cell_arrays(segment: np.ndarray, x: np.ndarray, tau: np.ndarray, h: np.ndarray, factors: tuple[np.ndarray, np.ndarray], max_lag: int, most: int = 4_000_000) -> tuple[int, np.ndarray, dict[str, np.ndarray]]:
+    """One cell's gaps, by segment and place -> its segments, the events read and all statistics of all draws. Draws go in blocks, so that a block holds ``most`` numbers at most (or one draw)."""
     _, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
     rank = (np.cumsum(times) - (times - 1) / 2)[inverse]
     rank = rank - rank.mean()
     runs = np.split(np.arange(len(x)), np.flatnonzero(np.diff(segment)) + 1)
+    gammas = [x[rows].std(ddof=1) / x[rows].mean() for rows in runs]
     n, step, parts, lags = len(factors[0]), max(1, most // len(x)), [], []
     for low in range(0, n, step):
-        k, c = (f[low : low + step, None] for f in factors)
+        k, c = (f[low : low + step] for f in factors)
         trend, moved = 0, np.zeros((len(k), max_lag))
-        for rows in runs:
-            key = (h[rows] * k + c) % PRIME
-            order = np.argsort(key * key % PRIME, axis=1, kind="stable")
+        for rows, gamma in zip(runs, gammas, strict=True):
+            order = shuffled(h[rows], k, c)
             if low == 0:
                 order[0] = np.arange(len(rows))
-            trend = trend + np.stack(_trend_of(x[rows][order], tau[rows[0]]))
+            trend = trend + np.stack(_trend_of(x[rows][order], tau[rows[0]], gamma))
             c_ = rank[rows][order]
             for lag in range(1, min(max_lag, len(rows) - 1) + 1):
-                moved[:, lag - 1] += (c_[:, :-lag] * c_[:, lag:]).sum(axis=1)
+                moved[:, lag - 1] += np.einsum("ij,ij->i", c_[:, :-lag], c_[:, lag:])
         parts.append(trend)
         lags.append(moved)
     above, below, c2, cvm, events = np.concatenate(parts, axis=1)
@@ -224,30 +238,45 @@ def _cell_arrays(group: pa.Table, factors: tuple[np.ndarray, np.ndarray], max_la
 
 
 def _by_cell(gaps: DataFrame, seed: int, work, columns: str) -> DataFrame:
-    cell = ", ".join(f"{k} {gaps.schema[k].dataType.simpleString()}" for k in CELL)
-    rows = gaps.select(*CELL, F.col("segment").cast("long").alias("segment"), F.col("i").cast("long").alias("i"), "x", "tau", gap_hash(seed).alias("_hash"))
-    return deal.by_key(rows, *CELL).groupBy(*CELL).applyInArrow(work, f"{cell}, {columns}")
-
-
-def _named(group: pa.Table, columns: dict[str, pa.Array]) -> pa.Table:
-    n = len(next(iter(columns.values())))
-    return pa.table({**{k: pa.array([group.column(k)[0].as_py()] * n, group.schema.field(k).type) for k in CELL}, **columns})
+    """``work`` over the arrays (segment, x, tau, hash) of each cell, in order; it returns a list for each of ``columns``. A record's cells come to Python together."""
+    kinds = {c.split()[0]: {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")}
 
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("label", "side", "segment", "i")])
+        names = [group.column(k).to_numpy(zero_copy_only=False) for k in ("label", "side")]
+        arrays = [group.column(k).to_numpy() for k in ("segment", "x", "tau", "_hash")]
+        starts = np.flatnonzero(np.r_[True, (names[0][1:] != names[0][:-1]) | (names[1][1:] != names[1][:-1])])
+        at, out = [], {k: [] for k in kinds}
+        for low, high in zip(starts, [*starts[1:], group.num_rows], strict=True):
+            got = work(*(v[low:high] for v in arrays))
+            at += [low] * len(got[0])
+            for k, v in zip(kinds, got, strict=True):
+                out[k].extend(v)
+        same = group.select(CELL).take(pa.array(at, pa.int64())) if at else group.select(CELL).slice(0, 0)
+        for k, v in out.items():
+            if kinds[k] == pa.float64():
+                v = np.array(v, float)
+                column = pa.array(v, pa.float64(), mask=~np.isfinite(v))
+            else:
+                column = pa.array(v, kinds[k])
+            same = same.append_column(k, column)
+        return same
 
-def _number(v: np.ndarray) -> pa.Array:
-    return pa.array(v, pa.float64(), mask=~np.isfinite(v))
+    cell = ", ".join(f"{k} {gaps.schema[k].dataType.simpleString()}" for k in CELL)
+    rows = gaps.select(*CELL, F.col("segment").cast("long").alias("segment"), F.col("i").cast("long").alias("i"), "x", "tau", gap_hash(seed).alias("_hash"))
+    return deal.by_key(rows, "record").groupBy("record").applyInArrow(run, f"{cell}, {columns}")
 
 
 def battery(gaps: DataFrame, n_draws: int, seed: int, max_lag: int = 5) -> DataFrame:
-    """All statistics of every draw (b = 0 is the order as observed), a cell's arrays at a time: one exchange by cell, B + 1 rows out.
+    """All statistics of every draw (b = 0 is the order as observed), a cell's arrays at a time: one exchange by record, B + 1 rows a cell out.
 
     The orders are those of ``draws``, and the statistics those of ``trend_statistics`` and ``dependence_statistics``.
     """
     factors = draw_factors(n_draws, seed)
 
-    def run(group: pa.Table) -> pa.Table:
-        runs, events, of = _cell_arrays(group, factors, max_lag)
-        return _named(group, {"b": pa.array(range(len(events)), pa.int64()), "n_segments": pa.array([runs] * len(events), pa.int64()), "n_events": pa.array(events), **{k: _number(v) for k, v in of.items()}})
+    def run(*arrays: np.ndarray) -> list:
+        runs, events, of = _cell_arrays(*arrays, factors, max_lag)
+        return [range(len(events)), [runs] * len(events), events, *of.values()]
 
     return _by_cell(gaps, seed, run, "b long, n_segments long, n_events long, c1 double, c2 double, cvm double, c5 double, c6 double")
 
@@ -271,8 +300,8 @@ def cell_tests(gaps: DataFrame, n_draws: int, seed: int, groups: dict[str, tuple
     """
     factors = draw_factors(n_draws, seed)
 
-    def run(group: pa.Table) -> pa.Table:
-        of = {k: np.round(np.abs(v) if k == "c1" else v, 9) for k, v in _cell_arrays(group, factors, max_lag)[2].items()}
+    def run(*arrays: np.ndarray) -> list:
+        of = {k: np.round(np.abs(v) if k == "c1" else v, 9) for k, v in _cell_arrays(*arrays, factors, max_lag)[2].items()}
         out: list[tuple] = []
         for name, members in groups.items():
             for m in members:
@@ -283,8 +312,7 @@ def cell_tests(gaps: DataFrame, n_draws: int, seed: int, groups: dict[str, tuple
             if some := [of[m] for m in members if np.isfinite(of[m]).all()]:
                 least = least_p(some)
                 out.append((name, name, least[0], (least <= least[0] + 1e-12).mean(), len(some), (least <= least[1] + 1e-12).mean()))
-        col = lambda i: np.array([r[i] for r in out], float)
-        return _named(group, {"check": pa.array([r[0] for r in out], pa.string()), "grp": pa.array([r[1] for r in out], pa.string()), "statistic": _number(col(2)), "p": _number(col(3)), "n_members": pa.array([r[4] for r in out], pa.int64()), "null_p": _number(col(5))})
+        return [[r[i] for r in out] for i in range(6)]
 
     return _by_cell(gaps, seed, run, "check string, grp string, statistic double, p double, n_members long, null_p double")
 

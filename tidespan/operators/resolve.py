@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidespan.functions.fourier import exponential_sums
+from tidespan.operators import deal
 from tidespan.operators.carve import in_time
 
 TWO_PI = 2 * math.pi
@@ -81,7 +82,7 @@ def _by_record(obs: DataFrame, columns: list[str], work: Callable[..., list[np.n
         return pa.Table.from_arrays([record, *(pa.array(x, from_pandas=True) for x in out)], names=["record", *names])
 
     kind, names = obs.schema["record"].dataType.simpleString(), [x.split()[0] for x in schema.split(", ")]
-    return obs.select("record", "t_us", "seq", *columns).groupBy("record").applyInArrow(run, f"record {kind}, {schema}")
+    return deal.by_key(obs.select("record", "t_us", "seq", *columns), "record").groupBy("record").applyInArrow(run, f"record {kind}, {schema}")
 
 
 def _window(t: np.ndarray) -> list[np.ndarray]:

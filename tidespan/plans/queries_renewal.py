@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidespan.operators import assumptions, carve, cycle_panels, cycles, renewal, survey
+from tidespan.operators import assumptions, carve, cycle_panels, cycles, deal, renewal, survey
 from tidespan.plans.context import Context
 from tidespan.plans.define import Queries, r
 from tidespan.plans.oracle import sql
@@ -136,7 +136,7 @@ led AS (SELECT record, label, side, check_name, p, CASE WHEN p IS NULL THEN 'not
 
 def ledger(c: Context) -> DataFrame:
     """Verdicts of all cells, checks and groups. The bench is measured on the cells themselves, their order shuffled once."""
-    scored, ties = tests(c), renewal.tie_statistics(gaps(c))
+    scored, ties = deal.once(tests(c)), renewal.tie_statistics(gaps(c))
     bench = renewal.bench_acceptance(renewal.bench_sizes(scored.filter("check <> grp"), ties), 0.05, BENCH_CELLS)
     return renewal.ledger(c.wins, scored, ties, renewal.TREND + renewal.DEPENDENCE, bench, tuple(GROUPS), least=8)
 
@@ -144,7 +144,7 @@ def ledger(c: Context) -> DataFrame:
 @query(sql("SELECT check_name, n_bench, replicates, round(rate, 9) AS rate, accepted FROM acc", _USE, _RANK, _orders(DRAWS), _LONG, _LEDGER))
 def bench_acceptance(c: Context) -> DataFrame:
     """How often each check rejects shuffled gaps, by their number, and whether that is near its nominal size."""
-    sizes = renewal.bench_sizes(tests(c).filter("check <> grp"), renewal.tie_statistics(gaps(c)))
+    sizes = renewal.bench_sizes(deal.once(tests(c)).filter("check <> grp"), renewal.tie_statistics(gaps(c)))
     return sizes.join(renewal.bench_acceptance(sizes, 0.05, BENCH_CELLS), ["check", "n_bench"]).select(F.col("check").alias("check_name"), "n_bench", "replicates", r("rate", 9), "accepted")
 
 
