@@ -61,3 +61,11 @@ def test_a_million_windows_in_one_cell():
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     a, _, mass, _, _ = iterative.npmle(lo, np.where(rng.random(len(lo)) < 0.2, np.inf, lo + rng.random(len(lo))), most=6)
     assert len(a) > 100_000 and np.isclose(mass.sum(), 1) and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 3_000_000
+
+
+def test_fits_are_dealt_over_all_cores(spark):
+    from tidespan.operators import iterative
+
+    df = spark.range(60).selectExpr("id % 6 as record", "'r' as label", "'s' as side", "cast(id as double) as age_lo", "cast(id + 1 as double) as age_hi", "cast(id * id % 17 as double) as value")
+    for out in (iterative.turnbull(df), iterative.two_lobe_fit(df)):
+        assert out.select("record").distinct().count() == 6 and out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
