@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidespan.operators.permutation import _mid_ranks
-from tidespan.operators.renewal import PRIME, _by_cell, _named, draw_factors
+from tidespan.operators.renewal import PRIME, _by_cell, draw_factors
 
 #: Numbers in a block of pairs.
 BLOCK = 2_000_000
@@ -68,9 +67,7 @@ def serial_independence(gaps: DataFrame, lag: int = 5, n_null: int = 1000, seed:
     fewer than two vectors, or whose gaps are all equal, has a reason. Shuffles stay inside segments and are those of ``renewal.draws``."""
     factors = draw_factors(n_null, seed)
 
-    def run(group: pa.Table) -> pa.Table:
-        data = group.select(["segment", "i", "x", "_hash"]).sort_by([("segment", "ascending"), ("i", "ascending")])
-        segment, x, h = (data.column(k).to_numpy() for k in ("segment", "x", "_hash"))
+    def run(segment: np.ndarray, x: np.ndarray, _: np.ndarray, h: np.ndarray) -> list:
         _, lengths = np.unique(segment, return_counts=True)
         vectors = int(np.maximum(lengths - lag, 0).sum())
         why = "fewer than two vectors" if vectors < 2 else "all gaps are equal" if np.ptp(x) == 0 else ""
@@ -78,6 +75,6 @@ def serial_independence(gaps: DataFrame, lag: int = 5, n_null: int = 1000, seed:
         if not why:
             s = np.concatenate([distances(u) for u in _blocks(x, segment, h, factors, lag)])
             value, p = float(s[0]), (int((s[1:] > s[0] - TIED).sum()) + 0.5) / (n_null + 1)
-        return _named(group, {"n": pa.array([len(x)], pa.int64()), "n_vectors": pa.array([vectors], pa.int64()), "n_segments": pa.array([len(lengths)], pa.int64()), "lag": pa.array([lag], pa.int64()), "statistic": pa.array([value], pa.float64()), "p": pa.array([p], pa.float64()), "reason": [why]})
+        return [[len(x)], [vectors], [len(lengths)], [lag], [value], [p], [why]]
 
     return _by_cell(gaps, seed, run, "n long, n_vectors long, n_segments long, lag long, statistic double, p double, reason string")
