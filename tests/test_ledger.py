@@ -105,3 +105,36 @@ def test_draws_with_different_events_fall_back_to_terms():
         assert np.allclose(np.stack(renewal._trend_of(x, tau, 0.7)), np.stack(renewal._trend_with_gaps(t, tau, 0.7, events)), rtol=1e-12, atol=1e-13)
     mixed = np.stack(renewal._trend_of(np.array([[1.0, 2, 4, 3], [1.0, 2, 4, 2]]), 10.0, 0.7))
     assert list(mixed[4]) == [3, 4] and np.isfinite(mixed).all()
+
+
+def test_a_records_cells_are_shuffled_together(monkeypatch):
+    """Cells of one record share a sort and tables of partial sums, and give what each gives alone; only a cell whose draws may read different events goes alone."""
+    rng, factors, parts = np.random.default_rng(5), renewal.draw_factors(60, 4), []
+    for segments in ((3, 4, 5), (14,), (6,), (3, 12, 2), (30,)):
+        for segment, n in enumerate(segments):
+            x = np.round(rng.exponential(size=n), 1) + 0.1
+            parts.append((np.full(n, segment), x, np.full(n, x.sum() + (segment + len(segments)) % 2), rng.integers(0, renewal.PRIME, n), np.full(n, len(parts))))
+    segment, x, tau, h, _ = (np.concatenate(v) for v in zip(*parts))
+    starts = np.cumsum([0, 12, 14, 6, 17])
+    want = [renewal._cell_arrays(*(v[a:b] for v in (segment, x, tau, h)), factors, 5) for a, b in zip(starts, [*starts[1:], len(x)])]
+    plain, alone = renewal._cell_arrays, []
+    monkeypatch.setattr(renewal, "_cell_arrays", lambda *a: alone.append(len(a[1])) or plain(*a))
+    for cached in (renewal.CACHED, 700):
+        monkeypatch.setattr(renewal, "CACHED", cached)
+        for (runs, events, of), (runs_, events_, of_) in zip(renewal._several_cells(starts, segment, x, tau, h, factors, 5), want, strict=True):
+            assert runs == runs_ and (events == events_).all() and all(np.allclose(of[k], of_[k], rtol=1e-10, atol=1e-11) for k in of_)
+    few = renewal._several_cells(np.array([0]), segment[:3], x[:3], tau[:3], h[:3], factors, 5)[0][2]  # fewer gaps than lags
+    assert all(np.allclose(few[k], v, equal_nan=True) for k, v in plain(segment[:3], x[:3], tau[:3], h[:3], factors, 5)[2].items())
+    assert not alone
+    tau = np.where(np.arange(len(x)) < 12, tau, tau * (1 + 1e-12))  # the second and the last cell end within rounding of their last event
+    renewal._several_cells(starts, segment, x, np.where(np.arange(len(x)) >= 49, x[49:].sum() * renewal.AT_EVENT, tau), h, factors, 5)
+    assert 30 in alone
+
+
+def test_the_least_p_of_draws_needs_no_ranks():
+    rng = np.random.default_rng(3)
+    members = [rng.integers(0, 9, 40).astype(float), rng.normal(size=40), np.ones(40)]
+    least = np.min([renewal.at_or_above(s) / 40 for s in members], axis=0)
+    for b in range(40):
+        assert renewal.as_low(members, round(40 * least[b])) == (least <= least[b] + 1e-12).mean()
+    assert renewal.as_low(members[2:], 40) == 1.0

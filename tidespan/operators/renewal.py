@@ -83,12 +83,31 @@ def draw_factors(n_draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(x[:8], 16) % (PRIME - 1) + 1 for x in h]), np.array([int(x[8:16], 16) % PRIME for x in h])
 
 
+def _draw_keys(h: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """((h x factor + shift) mod PRIME)^2 mod PRIME of each draw and hashed place. PRIME is 2^31 - 1, so 2^31 counts as 1 and high bits are added to the low ones; the square of
+    what one such step leaves (below 2^32) still fits 64 bits."""
+    prime = np.uint64(PRIME)
+    z = np.multiply(h.astype(np.uint64), factor.astype(np.uint64)[:, None])
+    z += shift.astype(np.uint64)[:, None]
+    room = np.empty_like(z)
+    for square in (True, False, False):
+        np.right_shift(z, np.uint64(31), out=room)
+        z &= prime
+        z += room
+        if square:
+            np.multiply(z, z, out=z)
+    np.subtract(z, prime, out=room)  # wraps to a large number where z is below PRIME
+    return np.minimum(z, room, out=z).view(np.int64)
+
+
 def shuffled(h: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """The order of the hashed places h in each draw, ties by place: keys and places are packed into one number, so a plain sort orders both."""
-    key = (h * factor[:, None] + shift[:, None]) % PRIME
-    key = key * key % PRIME << 32 | np.arange(len(h))
+    key = _draw_keys(h, factor, shift)
+    key <<= 32
+    key |= np.arange(len(h))
     key.sort(axis=1)
-    return key & 0xFFFFFFFF
+    key &= 0xFFFFFFFF
+    return key
 
 
 def draws(gaps: DataFrame, n_draws: int, seed: int) -> DataFrame:
@@ -237,21 +256,158 @@ def _cell_arrays(segment: np.ndarray, x: np.ndarray, tau: np.ndarray, h: np.ndar
     return len(runs), events.astype(np.int64), {"c1": np.sqrt(12.0) * above / np.sqrt(below), "c2": c2, "cvm": cvm, "c5": c5, "c6": c6}
 
 
-def _by_cell(gaps: DataFrame, seed: int, work, columns: str) -> DataFrame:
-    """``work`` over the arrays (segment, x, tau, hash) of each cell, in order; it returns a list for each of ``columns``. A record's cells come to Python together."""
+#: Gaps of cells that are shuffled together, the numbers in a block of their draws, and the gaps up to which a segment has a table of all its partial sums.
+TOGETHER, CACHED, TABLED = 2_048, 65_536, 10
+#: The number of members of each subset of ``TABLED`` things.
+SUBSETS = np.array([bin(k).count("1") for k in range(1 << TABLED)])
+
+
+def _trend_terms(t: np.ndarray, i: np.ndarray, tau: np.ndarray, gamma: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """What the end of gap i (from 0, of m read) at t adds to C1's numerator, C2 and CvM, as in ``_trend_of``; 0 where the gap is not read. Constants of the segment are left out."""
+    more, read = i < m - 1, (i >= 0) & (i < m)
+    on, off = np.where(i >= 1, i, 0), np.where(more, i + 1, 0)
+    last, g2n = np.where(more, 0, m * m), np.where(read, 1 / (gamma * gamma * m), 0.0)
+    by_far = (np.where(more, (m - off) ** 2, 0) - np.where(i >= 1, (m - on) ** 2, m * m)) * g2n
+    by_near, by_uu = (on**2 - off**2 - last) * g2n, (m * (off - on) + last) * g2n
+    t = np.where(read, t, tau / 2) if not read.all() else t
+    u = t / tau
+    return [np.where(read, 1 / (gamma * gamma), 0.0) * u, by_near * np.log(u) + by_far * np.log((tau - t) / tau), (by_near + by_uu * u) * u]
+
+
+def _partial_sums(x: np.ndarray) -> np.ndarray:
+    """The sum of each subset of x, its bits the members."""
+    t = np.zeros(1)
+    for v in x:
+        t = np.concatenate([t, t + v])
+    return t
+
+
+def _several_cells(starts: np.ndarray, segment: np.ndarray, x: np.ndarray, tau: np.ndarray, h: np.ndarray, factors: tuple[np.ndarray, np.ndarray], max_lag: int) -> list[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
+    """What ``_cell_arrays`` gives of each cell (``starts``: its first gap), from arrays that hold the gaps of all of them: one sort and a few array operations
+    serve a block of draws. A cell whose draws may read different numbers of events, or whose logarithms may have no value, goes alone."""
+    size, n = len(x), len(factors[0])
+    ends = np.r_[starts[1:], size]
+    cell = np.repeat(np.arange(len(starts)), ends - starts)
+    first = np.flatnonzero(np.r_[True, (np.diff(segment) != 0) | (np.diff(cell) != 0)])
+    count = np.diff(np.r_[first, size])
+    run = np.repeat(np.arange(len(first)), count)
+    total, least, end = np.add.reduceat(x, first), np.minimum.reduceat(x, first), tau[first]
+    slack = total * (4e-16 * count + 1e-15)  # what sums in other orders differ by
+    at_end = end <= total * AT_EVENT
+    regular = (least > 0) & (np.abs(end - total * AT_EVENT) > slack) & np.where(at_end, end > total - least + slack, end > total + slack)
+    alone = np.logical_or.reduceat(~regular, np.searchsorted(first, starts))
+    if len(first).bit_length() + size.bit_length() > 32 or alone.all():
+        return [_cell_arrays(*(v[a:b] for v in (segment, x, tau, h)), factors, max_lag) for a, b in zip(starts, ends, strict=True)]
+    if alone.any():
+        kept = np.flatnonzero(~alone[cell])
+        sizes = (ends - starts)[~alone]
+        rest = iter(_several_cells(np.cumsum(sizes) - sizes, segment[kept], x[kept], tau[kept], h[kept], factors, max_lag))
+        return [_cell_arrays(*(v[a:b] for v in (segment, x, tau, h)), factors, max_lag) if one else next(rest) for a, b, one in zip(starts, ends, alone, strict=True)]
+
+    # mid-ranks in the cell, centred
+    by = np.lexsort((x, cell))
+    tied = np.flatnonzero(np.r_[True, (np.diff(x[by]) != 0) | (np.diff(cell[by]) != 0)])
+    times = np.diff(np.r_[tied, size])
+    rank = np.empty(size)
+    rank[by] = np.repeat(tied + (times - 1) / 2, times)
+    rank -= (np.add.reduceat(rank, starts) / (ends - starts))[cell]
+
+    # a partial sum is one of the 2^n subsets of a short segment's gaps, so what each adds stands in a table and draws only look it up
+    mean = total / count
+    gamma = np.sqrt(np.add.reduceat((x - mean[run]) ** 2, first) / (count - 1)) / mean
+    events = count - at_end
+    place, n_cells, short = np.arange(size) - first[run], len(starts), np.flatnonzero(count <= TABLED)
+    if len(short):
+        sums = [_partial_sums(x[first[k] : first[k] + count[k]]) for k in short]
+        k = np.repeat(short, 1 << count[short])
+        members = np.concatenate([SUBSETS[: len(v)] for v in sums])
+        tables = _trend_terms(np.concatenate(sums), members - 1, end[k], gamma[k], events[k])
+    offset = np.zeros(len(first), np.int64)
+    offset[short] = np.cumsum(1 << count[short]) - (1 << count[short])
+    tabled, rest = np.flatnonzero((count <= TABLED)[run]), np.flatnonzero((count > TABLED)[run])
+    k = run[rest][:, None]
+    of_rest = (place[rest][:, None], end[k], gamma[k], events[k])
+    slices = [[(j, slice(*np.searchsorted(cell[rows], [j, j + 1]))) for j in np.unique(cell[rows])] for rows in (tabled, rest)]
+    at = np.searchsorted(first, starts)
+    pairs = np.add.reduceat(np.maximum(0, count[:, None] - np.arange(1, max_lag + 1)), at)
+
+    trend, moved = np.zeros((3, n_cells, n)), np.zeros((n_cells, max_lag, n))
+    bits, step = size.bit_length(), max(1, CACHED // size)
+    label = run << 31 + bits | np.arange(size)
+    for low in range(0, n, step):
+        block = slice(low, min(low + step, n))
+        key = _draw_keys(h, factors[0][block], factors[1][block])
+        key <<= bits
+        key |= label
+        key.sort(axis=1)
+        key &= (1 << bits) - 1
+        if low == 0:
+            key[0] = np.arange(size)
+        order = np.ascontiguousarray(key.T)  # gaps by draws from here on
+        if len(tabled):
+            seen = np.take(1 << place, order if len(tabled) == size else order[tabled], mode="clip")
+            for row in np.flatnonzero(place[tabled] > 0):
+                seen[row] |= seen[row - 1]
+            seen += offset[run[tabled]][:, None]
+            room = np.empty(seen.shape)
+            for table, out in zip(tables, trend, strict=True):
+                np.take(table, seen, out=room, mode="clip")
+                for j, rows in slices[0]:
+                    out[j, block] += room[rows].sum(axis=0)
+        if len(rest):
+            t = x[order[rest]]
+            for row in np.flatnonzero(place[rest] > 0):
+                t[row] += t[row - 1]
+            for terms, out in zip(_trend_terms(t, *of_rest), trend, strict=True):
+                for j, rows in slices[1]:
+                    out[j, block] += terms[rows].sum(axis=0)
+        r = np.take(rank, order, mode="clip")
+        for a, b, j in zip(first, first + count, cell[first], strict=True):
+            for lag in range(1, min(max_lag, b - a - 1) + 1):
+                moved[j, lag - 1, block] += np.einsum("ij,ij->j", r[a : b - lag], r[a + lag : b])
+    c1, c2, cvm = trend
+    some = np.add.reduceat(events / (gamma * gamma), at)[:, None]
+    c1 -= np.add.reduceat(events / (2 * gamma * gamma), at)[:, None]
+    c1 *= np.sqrt(12.0 / some)
+    c2 -= np.add.reduceat(events / (gamma * gamma), at)[:, None]
+    cvm += some / 3
+
+    asked = pairs >= 2
+    acf = moved[asked] / (np.add.reduceat(rank * rank, starts)[np.nonzero(asked)[0], None])
+    spread = np.ptp(acf, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        acf -= acf.mean(axis=1, keepdims=True)
+        acf /= np.sqrt(np.einsum("ij,ij->i", acf, acf) / n)[:, None]
+    out, row = [], 0
+    for j in range(len(starts)):
+        z, clear = acf[row : row + asked[j].sum()], spread[row : row + asked[j].sum()] > 1e-12
+        row += len(z)
+        c5, c6 = (np.abs(z).max(axis=0), np.einsum("ij,ij->j", z, z)) if len(z) and clear.all() else (np.full(n, np.nan), np.full(n, np.nan))
+        runs = slice(at[j], at[j + 1] if j + 1 < len(at) else len(first))
+        out.append((len(count[runs]), np.full(n, events[runs].sum(), np.int64), {"c1": c1[j], "c2": c2[j], "cvm": cvm[j], "c5": c5, "c6": c6}))
+    return out
+
+
+def _by_cell(gaps: DataFrame, n_draws: int, seed: int, max_lag: int, work, columns: str) -> DataFrame:
+    """``work`` over what ``_cell_arrays`` gives of each cell; it returns a list for each of ``columns``. A record's cells come to Python together, and are shuffled together, ``TOGETHER`` gaps at a time."""
     kinds = {c.split()[0]: {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")}
+    factors = draw_factors(n_draws, seed)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in ("label", "side", "segment", "i")])
         names = [group.column(k).to_numpy(zero_copy_only=False) for k in ("label", "side")]
         arrays = [group.column(k).to_numpy() for k in ("segment", "x", "tau", "_hash")]
         starts = np.flatnonzero(np.r_[True, (names[0][1:] != names[0][:-1]) | (names[1][1:] != names[1][:-1])])
-        at, out = [], {k: [] for k in kinds}
-        for low, high in zip(starts, [*starts[1:], group.num_rows], strict=True):
-            got = work(*(v[low:high] for v in arrays))
-            at += [low] * len(got[0])
-            for k, v in zip(kinds, got, strict=True):
-                out[k].extend(v)
+        ends, at, out, low = np.r_[starts[1:], group.num_rows], [], {k: [] for k in kinds}, 0
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + TOGETHER, "right")))
+            some = slice(starts[low], ends[high - 1])
+            for start, cell in zip(starts[low:high], _several_cells(starts[low:high] - starts[low], *(v[some] for v in arrays), factors, max_lag), strict=True):
+                got = work(*cell)
+                at += [start] * len(got[0])
+                for k, v in zip(kinds, got, strict=True):
+                    out[k].extend(v)
+            low = high
         same = group.select(CELL).take(pa.array(at, pa.int64())) if at else group.select(CELL).slice(0, 0)
         for k, v in out.items():
             if kinds[k] == pa.float64():
@@ -272,13 +428,11 @@ def battery(gaps: DataFrame, n_draws: int, seed: int, max_lag: int = 5) -> DataF
 
     The orders are those of ``draws``, and the statistics those of ``trend_statistics`` and ``dependence_statistics``.
     """
-    factors = draw_factors(n_draws, seed)
 
-    def run(*arrays: np.ndarray) -> list:
-        runs, events, of = _cell_arrays(*arrays, factors, max_lag)
+    def run(runs: int, events: np.ndarray, of: dict[str, np.ndarray]) -> list:
         return [range(len(events)), [runs] * len(events), events, *of.values()]
 
-    return _by_cell(gaps, seed, run, "b long, n_segments long, n_events long, c1 double, c2 double, cvm double, c5 double, c6 double")
+    return _by_cell(gaps, n_draws, seed, max_lag, run, "b long, n_segments long, n_events long, c1 double, c2 double, cvm double, c5 double, c6 double")
 
 
 def at_or_above(s: np.ndarray) -> np.ndarray:
@@ -286,9 +440,16 @@ def at_or_above(s: np.ndarray) -> np.ndarray:
     return len(s) - np.searchsorted(np.sort(s), s, "left")
 
 
-def least_p(members: list[np.ndarray]) -> np.ndarray:
-    """The least p over members of each draw, a member's p the share of draws as large or larger."""
-    return np.min([at_or_above(s) / len(s) for s in members], axis=0)
+def as_low(members: list[np.ndarray], k: int) -> float:
+    """The share of draws whose least p over the members is k / n or lower, a member's p the share of its n draws as large or larger: those in which a member exceeds
+    its (k + 1)-th largest value, so one partition a member tells."""
+    n = len(members[0])
+    if k == n:
+        return 1.0
+    low = np.zeros(n, bool)
+    for s in members:
+        low |= s > np.partition(s, n - 1 - k)[n - 1 - k]
+    return np.count_nonzero(low) / n
 
 
 def cell_tests(gaps: DataFrame, n_draws: int, seed: int, groups: dict[str, tuple[str, ...]], max_lag: int = 5) -> DataFrame:
@@ -298,23 +459,23 @@ def cell_tests(gaps: DataFrame, n_draws: int, seed: int, groups: dict[str, tuple
     member p is as small as the observed one, from the same draws. ``null_p`` is the same question asked of draw 1 in place of the observed order:
     uniform if the check holds its size. Statistics are rounded to nine digits, so equal ones tie in every engine.
     """
-    factors = draw_factors(n_draws, seed)
 
-    def run(*arrays: np.ndarray) -> list:
-        of = {k: np.round(np.abs(v) if k == "c1" else v, 9) for k, v in _cell_arrays(*arrays, factors, max_lag)[2].items()}
+    def run(_: int, __: np.ndarray, of: dict[str, np.ndarray]) -> list:
+        of = {k: np.round(np.abs(v) if k == "c1" else v, 9) for k, v in of.items()}
         out: list[tuple] = []
+        with np.errstate(invalid="ignore"):
+            above = {k: [np.count_nonzero(s >= s[b]) for b in (0, 1)] for k, s in of.items()}
         for name, members in groups.items():
             for m in members:
                 s = of[m]
                 if np.isfinite(s[0]):
-                    with np.errstate(invalid="ignore"):
-                        out.append((m, name, s[0], (1 + int((s[1:] >= s[0]).sum())) / len(s), 1, (s >= s[1]).sum() / len(s) if np.isfinite(s[1]) else np.nan))
-            if some := [of[m] for m in members if np.isfinite(of[m]).all()]:
-                least = least_p(some)
-                out.append((name, name, least[0], (least <= least[0] + 1e-12).mean(), len(some), (least <= least[1] + 1e-12).mean()))
+                    out.append((m, name, s[0], above[m][0] / len(s), 1, above[m][1] / len(s) if np.isfinite(s[1]) else np.nan))
+            if some := [m for m in members if np.isfinite(of[m]).all()]:
+                n, (seen, null) = len(of[some[0]]), (min(above[m][b] for m in some) for b in (0, 1))
+                out.append((name, name, seen / n, as_low([of[m] for m in some], seen), len(some), as_low([of[m] for m in some], null)))
         return [[r[i] for r in out] for i in range(6)]
 
-    return _by_cell(gaps, seed, run, "check string, grp string, statistic double, p double, n_members long, null_p double")
+    return _by_cell(gaps, n_draws, seed, max_lag, run, "check string, grp string, statistic double, p double, n_members long, null_p double")
 
 
 def bench_sizes(tests: DataFrame, ties: DataFrame, alpha: float = 0.05) -> DataFrame:
