@@ -106,3 +106,33 @@ def test_draws_are_dealt_over_all_cores(spark):
     df = spark.range(40).selectExpr("id % 8 as record", "id as seq", "cast(id as double) as x", "cast(id * id % 7 as double) as y")
     out = permutation.paired_permutation(df, ["record"], ("xi",), draws=9)
     assert out.count() == 8 and out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_starts_of_a_mixture_go_together_and_settle_alone(monkeypatch):
+    """One round serves all starts, so a fit takes no more rounds than its slowest start; each start ends where it would by itself."""
+    def plain(x, q, rounds=500):
+        var, last, counted = np.var(x), -np.inf, 0
+        m, s, w = np.quantile(x, [q, 1 - q]), np.array([var, var]), np.array([0.5, 0.5])
+        for _ in range(rounds):
+            counted += 1
+            logs = np.log(w) - 0.5 * (np.log(2 * np.pi * s) + (x[:, None] - m) ** 2 / s)
+            norm = np.logaddexp(logs[:, 0], logs[:, 1])
+            r, value = np.exp(logs - norm[:, None]), norm.sum()
+            total = r.sum(axis=0) + 1e-12
+            w, m = total / total.sum(), (r * x[:, None]).sum(axis=0) / total
+            s = np.maximum((r * (x[:, None] - m) ** 2).sum(axis=0) / total, 1e-6 * var)
+            if value - last < 1e-9 * len(x):
+                break
+            last = value
+        return value, m, counted
+
+    rng, rounds = np.random.default_rng(12), []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a: rounds.append(1) or einsum(*a))
+    for x in (rng.exponential(40, 70), np.r_[rng.normal(0, 1, 30), rng.normal(9, 2, 20)], rng.normal(size=12), np.r_[np.zeros(11), 1.0]):
+        rounds.clear()
+        got, want = iterative.two_lobes(x), [plain(x, q) for q in (0.25, 0.1, 0.4)]
+        value, m, _ = max(want, key=lambda v: v[0])
+        one = -0.5 * len(x) * (np.log(2 * np.pi * np.var(x)) + 1)
+        assert np.isclose(got["bic_delta"], 2 * value - 2 * one - 3 * np.log(len(x)), rtol=1e-9, atol=1e-8) and np.isclose(got["separation"], abs(m[1] - m[0]))
+        assert len(rounds) == max(v[2] for v in want)

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,25 +153,33 @@ def two_lobes(values: np.ndarray, seed: int = 0, rounds: int = 500) -> dict[str,
     x = np.asarray(values, float)
     n, var = len(x), max(float(np.var(x)), 1e-12)
     one = -0.5 * n * (np.log(2 * np.pi * var) + 1)
-    best: tuple[float, np.ndarray, np.ndarray, np.ndarray] | None = None
-    for q in (0.25, 0.1, 0.4):
-        m, s, w = np.quantile(x, [q, 1 - q]), np.array([var, var]), np.array([0.5, 0.5])
-        last = -np.inf
-        for _ in range(rounds):
-            logs = np.log(w) - 0.5 * (np.log(2 * np.pi * s) + (x[:, None] - m) ** 2 / s)
-            top = logs.max(axis=1, keepdims=True)
-            norm = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-            value = float(norm.sum())
-            r = np.exp(logs - norm[:, None])
-            total = r.sum(axis=0) + 1e-12
-            w, m = total / total.sum(), (r * x[:, None]).sum(axis=0) / total
-            s = np.maximum((r * (x[:, None] - m) ** 2).sum(axis=0) / total, 1e-6 * var)
-            if value - last < 1e-9 * n:
+    # all starts at once (start, component, read); one whose likelihood has settled keeps what it has and leaves
+    m, s, w = np.quantile(x, [[q, 1 - q] for q in (0.25, 0.1, 0.4)]), np.full((3, 2), var), np.full((3, 2), 0.5)
+    going, last, ends = np.arange(3), np.full(3, -np.inf), np.full(3, -np.inf)
+    final = [m.copy(), s.copy(), w.copy()]
+    for _ in range(rounds):
+        off = x - m[..., None]
+        off *= off
+        logs = off * (-0.5 / s)[..., None] + (np.log(w) - 0.5 * np.log(2 * np.pi * s))[..., None]
+        low, high = np.minimum(logs[:, 0], logs[:, 1]), np.maximum(logs[:, 0], logs[:, 1])
+        norm = high + np.log1p(np.exp(low - high))
+        value = norm.sum(axis=1)
+        r = np.exp(logs - norm[:, None])
+        total = r.sum(axis=2) + 1e-12
+        w, m = total / total.sum(axis=1, keepdims=True), r @ x / total
+        off = x - m[..., None]
+        s = np.maximum(np.einsum("scn,scn,scn->sc", r, off, off) / total, 1e-6 * var)
+        ends[going] = value
+        for whole, now in zip(final, (m, s, w), strict=True):
+            whole[going] = now
+        more = value - last >= 1e-9 * n
+        if not more.all():
+            going, m, s, w, value = going[more], m[more], s[more], w[more], value[more]
+            if not len(going):
                 break
-            last = value
-        if best is None or value > best[0]:
-            best = (value, m, s, w)
-    value, m, s, w = best
+        last = value
+    best = int(np.argmax(ends))
+    value, (m, s, w) = float(ends[best]), (v[best] for v in final)
     delta = (2 * np.log(n) - 2 * one) - (5 * np.log(n) - 2 * value)
     spread = float(np.sqrt((w * s).sum()))
     cut = float(m.mean())
@@ -180,10 +189,14 @@ def two_lobes(values: np.ndarray, seed: int = 0, rounds: int = 500) -> dict[str,
 def two_lobe_fit(reads: DataFrame, least: int = 10) -> DataFrame:
     """Per record: is the value bimodal, and how far apart are the lobes."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least or pdf["value"].nunique() < 2:
-            return pd.DataFrame([{"record": pdf["record"].iloc[0], "n": len(pdf), "reason": "too few distinct reads"}])
-        return pd.DataFrame([{"record": pdf["record"].iloc[0], "n": len(pdf), "reason": ""} | two_lobes(pdf["value"].to_numpy())])
+    names = ("bic_delta", "bimodal", "separation", "spread", "snr", "low_mean", "high_mean", "cut")
+    kind = {c: pa.bool_() if c == "bimodal" else pa.float64() for c in names}
+
+    def fit(rows: pa.Table) -> pa.Table:
+        x = rows["value"].to_numpy()
+        few = len(x) < least or len(np.unique(x[~np.isnan(x)])) < 2
+        of = {} if few else two_lobes(x)
+        return pa.table({"record": rows["record"].slice(0, 1), "n": [len(x)], "reason": ["too few distinct reads" if few else ""]} | {c: pa.array([of.get(c)], kind[c], from_pandas=True) for c in names})
 
-    cols = ["record", "n", "reason", "bic_delta", "bimodal", "separation", "spread", "snr", "low_mean", "high_mean", "cut"]
-    return deal.by_key(reads.select("record", "value"), "record").groupBy("record").applyInPandas(lambda p: fit(p).reindex(columns=cols), "record long, n long, reason string, bic_delta double, bimodal boolean, separation double, spread double, snr double, low_mean double, high_mean double, cut double")
+    schema = "record long, n long, reason string, " + ", ".join(f"{c} {'boolean' if c == 'bimodal' else 'double'}" for c in names)
+    return deal.by_key(reads.select("record", "value"), "record").groupBy("record").applyInArrow(fit, schema)
