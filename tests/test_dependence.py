@@ -60,3 +60,37 @@ def test_panel_holds_its_size(spark):
     df = reads(spark, {k: (rng.normal(size=30), rng.exponential(size=30)) for k in range(200)})
     p = [r.panel_p for r in dependence.panel(df, 99).filter("member = 'pearson_abs'").collect()]
     assert len(p) == 200 and abs(np.mean(np.array(p) <= 0.1) - 0.1) < 0.07
+
+
+def test_tellability_reads_one_spectrum(spark):
+    """The noise floor and the tenth's ratio come from one spectrum a record, as each does alone."""
+    import math
+
+    from tidespan.operators import carve, panels, resolve
+
+    rng = np.random.default_rng(9)
+    rows = [(k, int(t), i, float(v), None if k == 2 else 0.1 * float(v)) for k, n in enumerate((40, 2, 30, 12)) for i, (t, v) in enumerate(zip(np.cumsum(rng.integers(1, 9, n)) * 1_000_000, rng.exponential(size=n)))]
+    rows += [(7, i * 1_000_000, i, 3.0, 0.1) for i in range(12)]
+    obs = carve.observed_reads(spark.createDataFrame(rows, "record long, t_us long, seq long, value double, sigma double"))
+    whole = panels.tellability(obs)
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 2  # the spectrum and the band's maximum
+    spectrum = resolve.lomb_scargle(obs)
+    floor = {r.record: r.ratio for r in panels.noise_floor(obs, spectrum).collect()}
+    tenth = {r.record: r.g10 for r in panels.tenth_ratio(resolve.derivative_variance(spectrum)).collect()}
+    same = lambda a, b: a is None and b is None or math.isclose(a, b, rel_tol=1e-12)
+    got = whole.collect()
+    assert len(got) == 5 and all(same(r.noise_floor_ratio, floor.get(r.record)) and same(r.g10, tenth.get(r.record)) for r in got)
+    assert sum(r.g10 is not None for r in got) >= 3 and sum(r.noise_floor_ratio is not None for r in got) >= 2
+
+
+def test_the_bump_is_transformed_once_a_grid():
+    from tidespan.functions import fourier
+
+    rng = np.random.default_rng(2)
+    for n, top in ((9, 40), (30, 41), (30, 57), (5, 5000)):
+        x, c = rng.random(n), rng.normal(size=n)
+        assert np.allclose(fourier.exponential_sums(x, c, top), [(c * np.exp(-2j * np.pi * k * x)).sum() for k in range(top + 1)], atol=1e-11)
+    made = fourier._kept_transform.cache_info().misses
+    for top in range(40, 58):
+        fourier.exponential_sums(x, c, top)
+    assert fourier._kept_transform.cache_info().misses <= made + 1

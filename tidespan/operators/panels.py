@@ -37,13 +37,28 @@ def tenth_ratio(variance: DataFrame) -> DataFrame:
     return at.select("record", F.try_divide(F.col("all"), v).alias("g10"))
 
 
+def spectral_levels(obs: DataFrame, spectrum: DataFrame, share: float = 0.1) -> DataFrame:
+    """``noise_floor`` and ``tenth_ratio`` from one reading of the spectrum: record, noise_floor_ratio, g10; a row for each record with a density."""
+    w = Window.partitionBy("record").orderBy("k")
+    own = obs.groupBy("record").agg(F.median(F.when(F.col("dt_us") > 0, F.col("dt_us"))).alias("_step"))
+    errors = resolve.collapse_repeated(obs).groupBy("record").agg(F.avg(F.col("sigma") * F.col("sigma")).alias("_s2"))
+    rows = resolve.derivative_variance(spectrum).join(own.join(errors, "record"), "record")
+    rows = rows.withColumn("_f0", F.coalesce(F.lag("f").over(w), F.lit(0.0))).withColumn("_v0", F.coalesce(F.lag("variance").over(w), F.lit(0.0))).withColumn("_tenth", F.max("f").over(Window.partitionBy("record")) / 10)
+    v = F.col("_v0") + (F.col("_tenth") - F.col("_f0")) / (F.col("f") - F.col("_f0")) * (F.col("variance") - F.col("_v0"))
+    at = rows.groupBy("record").agg(
+        F.avg(F.when(F.col("f") >= (1 - share) * (0.5e6 / F.col("_step")), F.col("density"))).alias("_edge"), F.max("density").alias("_peak"), F.first("_step").alias("_step"), F.first("_s2").alias("_s2"),
+        F.max("variance").alias("_all"), F.max(F.when((F.col("_f0") < F.col("_tenth")) & (F.col("f") >= F.col("_tenth")), v)).alias("_v"),
+    )
+    ratio = F.when(F.col("_edge") > 1e-12 * F.col("_peak"), F.try_divide(2 * F.col("_s2") * (F.col("_step") / 1e6), F.col("_edge")))
+    return at.select("record", ratio.alias("noise_floor_ratio"), F.try_divide(F.col("_all"), F.col("_v")).alias("g10"))
+
+
 def tellability(obs: DataFrame, dependence: DataFrame | None = None) -> DataFrame:
     """One row per record of everything that says whether it can resolve its own changes; with the panel of ``dependence.panel``, also whether its errors depend on its values: the panel's p,
     the members that attain it, and a status."""
-    spectrum = resolve.lomb_scargle(obs)
     out = obs.select("record").distinct()
     for part in (
-        resolve.second_difference(obs).withColumnRenamed("ratio", "difference_ratio"), noise_floor(obs, spectrum).withColumnRenamed("ratio", "noise_floor_ratio"), tenth_ratio(resolve.derivative_variance(spectrum)), resolve.band_maximum(obs),
+        resolve.second_difference(obs).withColumnRenamed("ratio", "difference_ratio"), spectral_levels(obs, resolve.lomb_scargle(obs)), resolve.band_maximum(obs),
         resolve.self_consistency(obs).withColumnRenamed("share", "consistency"), resolve.decile_spread(obs),
     ):
         out = out.join(part, "record", "left")
