@@ -43,7 +43,9 @@ class Ranges:
         out = np.zeros(self.n)
         for k, (some, at) in enumerate(self.levels):
             out[some] += x[at]
-            x = x + np.concatenate([x[1 << k :], np.zeros(min(1 << k, self.size))])[: self.size]
+            if k + 1 < len(self.levels):
+                x, half = x.copy(), x[1 << k :]
+                x[: len(half)] += half
         return out
 
     def spread(self, c: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ class Ranges:
             out += np.bincount(at, c[some], self.size)
             if k:
                 half = 1 << k - 1
-                out = out + np.concatenate([np.zeros(half), out[:-half]]) if half < self.size else out
+                out[half:] += out[:-half].copy()
         return out
 
 
@@ -96,15 +98,15 @@ def turnbull(events: DataFrame, key: Sequence[str] = ("record", "label", "side")
     """The nonparametric maximum likelihood estimate on interval-censored ages: key, lo, hi, mass, the survival after the interval, and the fit's log-likelihood and whether it converged."""
     key = list(key)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, mass, value, settled = npmle(pdf["age_lo"].to_numpy(), pdf["age_hi"].to_numpy())
-        out = pd.DataFrame({"lo": a, "hi": b, "mass": mass, "survival_after": np.clip(1 - np.cumsum(mass), 0, 1), "log_likelihood": value, "converged": settled})
-        for k in reversed(key):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def fit(rows: pa.Table) -> pa.Table:
+        a, b, mass, value, settled = npmle(*(rows[c].to_numpy() for c in ("age_lo", "age_hi")))
+        same = rows.select(key).take(pa.array(np.zeros(len(a), np.int64)))
+        for name, v in (("lo", a), ("hi", b), ("mass", mass), ("survival_after", np.clip(1 - np.cumsum(mass), 0, 1)), ("log_likelihood", np.full(len(a), value)), ("converged", np.full(len(a), settled))):
+            same = same.append_column(name, pa.array(v))
+        return same
 
     schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key) + ", lo double, hi double, mass double, survival_after double, log_likelihood double, converged boolean"
-    return deal.by_key(events.select(*key, "age_lo", "age_hi"), *key).groupBy(*key).applyInPandas(fit, schema)
+    return deal.by_key(events.select(*key, "age_lo", "age_hi"), *key).groupBy(*key).applyInArrow(fit, schema)
 
 
 def q_interval(y: np.ndarray, v: np.ndarray, level: float) -> tuple[float, float]:
