@@ -48,6 +48,31 @@ def test_periods_cover_the_exposure(spark):
     assert abs(sum(r.exposure_h for r in rows) - 900 / 3600) < 1e-12 and sum(r.n_calibrations for r in rows) == 3
 
 
+def test_periods_read_their_spells_once(spark):
+    """One pass over spells that stand computed: no join, and neither spells nor calibrations are worked out anew."""
+    live = cycles.stretches(spell_rows(spark, HAND))
+    plan = cycles.cycle_periods(live, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 2 and plan.count("Window [") <= 6, plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_periods_against_a_loop(spark, n):
+    live = cycles.stretches(spell_rows(spark, HAND))
+    # observed: 0 to 500, then 600 to 1000 laid after it; calibrations start at 0, 300 and 600, cycles at 50 (complete), 340 and 620 (censored)
+    total, starts, began = 900, [0, 300, 600], [(50, "n_complete"), (340, "n_censored"), (620, "n_censored")]
+    cuts = [min({0, 300, 600, 500, 900}, key=lambda x: (abs(x * n - total * k), x)) for k in range(1, n)]
+    want = {k: {"hours": b - a, "n_calibrations": 0, "n_complete": 0, "n_censored": 0} for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, total], strict=True))}
+    for x, name in [*((x, "n_calibrations") for x in starts), *began]:
+        want[sum(c <= x for c in cuts)][name] += 1
+    rows = cycles.cycle_periods(live, n).collect()
+    assert {r.period: {"hours": round(r.exposure_h * 3600), "n_calibrations": r.n_calibrations, "n_complete": r.n_complete, "n_censored": r.n_censored} for r in rows} == want
+    assert len(rows) == n
+
+
+def test_reads_of_no_record_are_one_period(spark):
+    live = cycles.stretches(spell_rows(spark, HAND).withColumn("record", F.lit(None).cast("long")))
+    assert [(r.period, round(r.exposure_h * 3600), r.n_calibrations, r.n_censored) for r in cycles.cycle_periods(live, 3).collect()] == [(0, 900, 0, 0)]
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("time,value\n1,2.5\n2,x\n3,nan\n")
     rows = readers.load_record(spark, readers.Source("r1", str(tmp_path / "a.csv"), extra={"device": "d"}))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidespan.operators import deal
+
 GAP_FACTOR = 2
 CALIBRATING, OFFLINE, NOT_LISTED = "calibrating", "offline", "not listed"
 US = 1_000_000.0
@@ -120,25 +122,29 @@ def cycle_periods(live: DataFrame, n_periods: int = 4) -> DataFrame:
     """Periods of near-equal exposure, cut at the candidate (a calibration's start or a stretch's end) nearest each target, the earlier on a tie; exposure, calibrations, cycles and rates of each."""
     if n_periods < 1:
         raise ValueError("n_periods must be at least 1")
-    st = live.select("record", "stretch", "lo_us", "hi_us").distinct()
-    w = Window.partitionBy("record").orderBy("stretch")
-    st = st.withColumn("off", F.coalesce(F.sum(F.col("hi_us") - F.col("lo_us")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = st.groupBy("record").agg(F.sum(F.col("hi_us") - F.col("lo_us")).alias("total"))
-    cal = calibrations(live).join(st.select("record", "stretch", "off"), ["record", "stretch"]).select("record", (F.col("off") + F.col("start_us") - F.col("lo_us")).alias("x"))
-    candidates = cal.union(st.select("record", "off")).union(total).distinct()
-    targets = total.select("record", "total", F.explode(F.sequence(F.lit(1), F.lit(n_periods - 1))).alias("k")) if n_periods > 1 else total.select("record", "total", F.lit(1).alias("k")).limit(0)
-    near = targets.join(candidates, "record").withColumn("gap", F.abs(F.col("x") * n_periods - F.col("total") * F.col("k")))
-    cuts = near.groupBy("record", "k").agg(F.min_by("x", F.struct("gap", "x")).alias("x"))
-    bounds = cuts.select("record", F.col("k").cast("long").alias("k"), "x").union(total.select("record", F.lit(0).cast("long"), F.lit(0).cast("long"))).union(total.select("record", F.lit(n_periods).cast("long"), "total"))
-    edges = bounds.withColumn("to", F.lead("x").over(Window.partitionBy("record").orderBy("k"))).filter("to is not null").select("record", F.col("k").alias("period"), F.col("x").alias("from"), "to")
-    inner = bounds.filter(f"k > 0 and k < {n_periods}").groupBy("record").agg(F.array_sort(F.collect_list("x")).alias("cuts"))  # n_periods - 1 numbers a record
-
-    def period(points: DataFrame) -> DataFrame:
-        return points.join(inner, "record", "left").withColumn("period", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("x"))), F.lit(0)).cast("long"))
-
-    starts = cycles(live).join(st.select("record", "stretch", "off"), ["record", "stretch"]).select("record", (F.col("off") + F.col("start_us") - F.col("lo_us")).alias("x"), "event")
-    n_cal = period(cal).groupBy("record", "period").agg(F.count("*").alias("n_calibrations"))
-    n_cyc = period(starts).groupBy("record", "period").agg(F.count_if("event").alias("n_complete"), F.count_if(~F.col("event")).alias("n_censored"))
-    out = edges.join(n_cal, ["record", "period"], "left").join(n_cyc, ["record", "period"], "left").fillna(0, ["n_calibrations", "n_complete", "n_censored"])
+    live = deal.once(live.select("record", "run", "status", "start_us", "end_us", "stretch", "lo_us", "hi_us"))
+    ahead = F.lead("start_us").over(Window.partitionBy("record", "stretch").orderBy("start_us"))
+    cal = calibrations(live).select("record", "stretch", "lo_us", "hi_us", "start_us", "end_us", ahead.alias("next_us"))
+    rows = live.select("record", "stretch", "lo_us", "hi_us").distinct().unionByName(cal, allowMissingColumns=True)
+    # a row a stretch and one a calibration; time runs on through the stretches of a record
+    own, calibrated, named = Window.partitionBy("record").orderBy("stretch"), F.col("start_us").isNotNull(), F.col("record").isNotNull()
+    length, total = F.when(~calibrated, F.col("hi_us") - F.col("lo_us")).otherwise(0), F.col("total")
+    rows = rows.withColumn("off", F.coalesce(F.sum(length).over(own.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(length).over(own.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("x", F.col("off") + F.coalesce(F.col("start_us") - F.col("lo_us"), F.lit(0))).withColumn("y", F.col("off") + F.col("end_us") - F.col("lo_us"))
+    near = lambda x, k: F.struct(F.abs(x * n_periods - total * k).alias("gap"), x.alias("x"))
+    cuts = [F.least(F.min(near(F.col("x"), k)).over(Window.partitionBy("record")), near(total, k))["x"] for k in range(1, n_periods)]
+    ends = F.lit(0).cast("long"), total
+    rows = rows.withColumn("bounds", F.when(named, F.array(ends[0], *cuts, ends[1])).otherwise(F.array(*ends)))  # reads of no record are one period
+
+    def period(x: str) -> Column:
+        return F.size(F.filter(F.slice("bounds", 2, n_periods - 1), lambda c: c <= F.col(x)))
+
+    # a record's first stretch stands for all of its periods, a calibration for the period it starts in and for that in which its cycle does
+    mark = lambda p, what: F.struct(p.alias("period"), F.lit(what).alias("what"))
+    cycle = F.when(F.col("next_us").isNotNull(), F.array(mark(period("y"), "complete"))).when(F.col("hi_us") > F.col("end_us"), F.array(mark(period("y"), "censored"))).otherwise(F.array().cast("array<struct<period:int,what:string>>"))
+    marks = F.when(calibrated & named, F.concat(F.array(mark(period("x"), "calibration")), cycle)).when(~calibrated & (F.col("off") == 0), F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), lambda k: mark(k, "period")))
+    each = rows.select("record", "bounds", F.inline(marks)).groupBy("record", F.col("period").cast("long").alias("period"), "bounds")
+    out = each.agg(*[F.count_if(F.col("what") == w).alias(n) for w, n in (("calibration", "n_calibrations"), ("complete", "n_complete"), ("censored", "n_censored"))])
+    out = out.withColumn("from", F.get("bounds", F.col("period").cast("int"))).withColumn("to", F.get("bounds", F.col("period").cast("int") + 1))
     hours = (F.col("to") - F.col("from")) / (3600 * US)
     return out.select("record", "period", hours.alias("exposure_h"), "n_calibrations", "n_complete", "n_censored", F.try_divide(F.col("n_calibrations").cast("double"), hours).alias("calibrations_per_h"))
