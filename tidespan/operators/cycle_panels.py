@@ -28,8 +28,8 @@ def clock_gaps(table: DataFrame) -> DataFrame:
 
 def checks(table: DataFrame, n_draws: int, seed: int, groups: dict[str, tuple[str, ...]], bench_cells: int, **rule) -> DataFrame:
     """The ledger of every device and clock, the bench measured on the same cells."""
-    gaps = renewal.usable(clock_gaps(table))
-    scored, ties = deal.once(renewal.cell_tests(gaps, n_draws, seed, groups)), renewal.tie_statistics(gaps)
+    gaps = deal.once(renewal.usable(clock_gaps(table)))
+    scored, ties = deal.once(renewal.cell_tests(gaps, n_draws, seed, groups)), deal.once(renewal.tie_statistics(gaps))
     bench = renewal.bench_acceptance(renewal.bench_sizes(scored.filter("check <> grp"), ties), 0.05, bench_cells)
     cells = table.select("record", F.lit(LABEL).alias("label"), F.explode(F.array(F.lit(WITHIN), F.lit(END_TO_END))).alias("side"))
     return renewal.ledger(cells, scored, ties, tuple(m for ms in groups.values() for m in ms), bench, tuple(groups), **rule)
@@ -53,9 +53,8 @@ def panel(table: DataFrame, live: DataFrame, dropped: DataFrame, ledger: DataFra
     own = table.groupBy("record").agg(F.count_if("event").alias("n_complete"), F.count_if(~F.col("event")).alias("n_censored"), F.max("length_s").alias("top"))
     mean = means(table, own.select(F.col("record").alias("pair"), "record", F.col("top").alias("tau"))).select("record", F.col("mean").alias("mtbc_s"), F.col("se").alias("mtbc_se"))
     out = live.select("record").distinct().join(dropped, "record", "left").join(own.drop("top"), "record", "left").join(mean, "record", "left").fillna(0, ["n_complete", "n_censored"])
-    for clock in (WITHIN, END_TO_END):
-        out = out.join(attached(ledger).filter(F.col("clock") == clock).select("record", F.col("verdicts").alias(clock)), "record", "left")
-    return out
+    verdicts = attached(ledger).groupBy("record").agg(*[F.max(F.when(F.col("clock") == clock, F.col("verdicts"))).alias(clock) for clock in (WITHIN, END_TO_END)])
+    return out.join(verdicts, "record", "left")
 
 
 def compare(table: DataFrame, pairs: DataFrame, ledger: DataFrame) -> DataFrame:

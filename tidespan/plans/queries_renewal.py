@@ -221,14 +221,20 @@ crm AS (SELECT record, first, second, tau, sum(area) + least(min(age), tau) AS m
 catt AS (SELECT record, side, array_to_string(list_sort(list(check_name || '=' || verdict)), ',') AS verdicts FROM led GROUP BY record, side)"""
 
 
-def cycle_ledger(c: Context) -> DataFrame:
-    return cycle_panels.checks(cycles.cycles(c.live), DRAWS, SEED, GROUPS, BENCH_CELLS, least=8)
+def cycle_tables(c: Context) -> tuple[DataFrame, DataFrame]:
+    """Spells in stretches and the cycles between them, each computed once: what follows reads them many times over."""
+    live = deal.once(c.live)
+    return live, deal.once(cycles.cycles(live))
+
+
+def cycle_ledger(table: DataFrame) -> DataFrame:
+    return cycle_panels.checks(table, DRAWS, SEED, GROUPS, BENCH_CELLS, least=8)
 
 
 @query(sql("SELECT record, side AS clock, check_name, round(p, 9) AS p, verdict, reason FROM led", _CYC_USE, _RANK, _orders(DRAWS), _LONG, _CYC_LEDGER))
 def cycle_checks(c: Context) -> DataFrame:
     """The battery and its groups on each device's cycles, within stretches and end to end."""
-    return cycle_ledger(c).select("record", F.col("side").alias("clock"), F.col("check").alias("check_name"), r("p", 9), "verdict", "reason")
+    return cycle_ledger(deal.once(cycles.cycles(c.live))).select("record", F.col("side").alias("clock"), F.col("check").alias("check_name"), r("p", 9), "verdict", "reason")
 
 
 @query(sql("""SELECT live_.record, n_stretches, n_dropped, coalesce(n_merged0, 0) AS n_merged, coalesce(n_complete, 0) AS n_complete, coalesce(n_censored, 0) AS n_censored, round(mean, 4) AS mtbc_s, round(se, 4) AS mtbc_se, w.verdicts AS within_stretch, e.verdicts AS end_to_end
@@ -237,7 +243,8 @@ def cycle_checks(c: Context) -> DataFrame:
   LEFT JOIN (SELECT * FROM crm WHERE second IS NULL) USING (record) LEFT JOIN catt w ON w.record = live_.record AND w.side = 'within_stretch' LEFT JOIN catt e ON e.record = live_.record AND e.side = 'end_to_end'""", _CYC_USE, _RANK, _orders(DRAWS), _LONG, _CYC_LEDGER, _CYC_MEANS))
 def cycle_panel(c: Context) -> DataFrame:
     """A row a device of what its cycles say, with the verdicts of its own checks."""
-    out = cycle_panels.panel(cycles.cycles(c.live), c.live, cycles.dropped_births(c.live), cycle_ledger(c))
+    live, table = cycle_tables(c)
+    out = cycle_panels.panel(table, live, cycles.dropped_births(live), cycle_ledger(table))
     return out.select("record", "n_stretches", "n_dropped", "n_merged", "n_complete", "n_censored", r("mtbc_s", 4), r("mtbc_se", 4), "within_stretch", "end_to_end")
 
 
@@ -245,7 +252,7 @@ def cycle_panel(c: Context) -> DataFrame:
   JOIN crm a ON a.first = p.first AND a.second = p.second AND a.record = p.first JOIN crm b ON b.first = p.first AND b.second = p.second AND b.record = p.second LEFT JOIN catt x ON x.record = p.first AND x.side = 'within_stretch' LEFT JOIN catt y ON y.record = p.second AND y.side = 'within_stretch'""", _CYC_USE, _RANK, _orders(DRAWS), _LONG, _CYC_LEDGER, _CYC_MEANS))
 def cycle_comparison(c: Context) -> DataFrame:
     """Neighbouring devices compared by their cycles, descriptively."""
-    table = cycles.cycles(c.live)
+    table = deal.once(cycles.cycles(c.live))
     pairs = table.select(F.col("record").alias("first"), (F.col("record") + 1).alias("second")).distinct()
-    out = cycle_panels.compare(table, pairs, cycle_ledger(c))
+    out = cycle_panels.compare(table, pairs, cycle_ledger(table))
     return out.select("first", "second", r("tau"), r("mean_a", 4), r("se_a", 4), "verdicts_a", r("mean_b", 4), r("se_b", 4), "verdicts_b", (r("difference", 4) + F.lit(0.0)).alias("difference"))
