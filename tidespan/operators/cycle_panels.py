@@ -64,10 +64,8 @@ def compare(table: DataFrame, pairs: DataFrame, ledger: DataFrame) -> DataFrame:
     met = pairs.join(top.select(F.col("record").alias("first"), F.col("top").alias("a")), "first").join(top.select(F.col("record").alias("second"), F.col("top").alias("b")), "second")
     pair, tau = F.concat_ws("|", "first", "second").alias("pair"), F.least("a", "b").alias("tau")
     asked = met.select(pair, F.col("first").alias("record"), tau).union(met.select(pair, F.col("second").alias("record"), tau))
-    own = means(table, asked)
-    verdicts = attached(ledger).filter(F.col("clock") == WITHIN)
-    out = met.select("first", "second", pair, tau)
-    for who, name in (("first", "a"), ("second", "b")):
-        out = out.join(own.select("pair", F.col("record").alias(who), F.col("mean").alias(f"mean_{name}"), F.col("se").alias(f"se_{name}")), ["pair", who])
-        out = out.join(verdicts.select(F.col("record").alias(who), F.col("verdicts").alias(f"verdicts_{name}")), who, "left")
-    return out.withColumn("difference", F.col("mean_a") - F.col("mean_b")).drop("pair")
+    own = means(table, asked).join(attached(ledger).filter(F.col("clock") == WITHIN), "record", "left").select("pair", "record", "mean", "se", "verdicts")
+    sides = met.select("first", "second", pair, tau).join(own, "pair")
+    of = lambda who, c: F.max(F.when(F.col("record") == F.col(who), F.col(c)))
+    out = sides.groupBy("first", "second", "tau").agg(*[of(who, c).alias(f"{c}_{name}") for who, name in (("first", "a"), ("second", "b")) for c in ("mean", "se", "verdicts")])
+    return out.withColumn("difference", F.col("mean_a") - F.col("mean_b"))
