@@ -53,3 +53,17 @@ def test_no_window_holds_a_record(spark):
     windows = re.findall(r"Window \[(.*)\], \[(.*?)\], \[(.*?)\]", plan)
     assert len(windows) > 5
     assert all("piece" in keys + order for _, keys, order in windows), windows
+
+
+def test_reads_are_windowed_once_for_all_rungs(spark):
+    """The windows of all rungs are counted in a read's one row, and a piece's summary comes to its reads by the sort they have anyway: no join, no window by rung."""
+    plain = lambda df: df
+    obs = carve.observed_reads(reads(spark, 7), 4.0).withColumn("piece", F.floor(F.col("t_us") / 100_000))
+    rungs = [Rung("a", 20.0), Rung("b", 50.0, False), Rung("c", 0.0)]
+    df = long_records.threshold_reads(obs, carve.ladder_frame(spark, rungs), keep=plain)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "label" not in "".join(keys for _, keys, _ in re.findall(r"Window \[(.*)\], \[(.*?)\], \[(.*?)\]", plan)) and "Join" not in plan, plan
+    columns = ("record", "label", "seq", "island", "rn", "prev_us", "prev_in", "next_us", "next_gap", "starts", "state")
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(df) == rows(carve.threshold_reads(obs, carve.ladder_frame(spark, rungs)))
+    assert long_records.threshold_reads(obs, carve.ladder_frame(spark, rungs).limit(0), keep=plain).isEmpty()

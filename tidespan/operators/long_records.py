@@ -3,7 +3,7 @@
 A record of more than ``piece_reads`` reads is cut into even slices of its span, 64 for every ``piece_reads`` reads, so that bursts spread too; shorter records are one
 piece. What a window over the whole record would look at beyond its piece is little: the last read before it, the first one after it, and how many
 gaps or changes of side came before. Each is an aggregate of a piece, so a window over piece summaries (64 rows for every ``piece_reads`` reads)
-carries it along the record, and a join on (record, piece) brings it to the reads. Values of a whole record, such as the gap threshold, travel the same
+carries it along the record, and a window over each piece, its summary put before its reads, brings it to them. Values of a whole record, such as the gap threshold, travel the same
 way, so nothing is ever joined or windowed on the record alone. The median step comes from counts of equal steps and their running totals.
 
 Each pass reads its input twice, once for the summaries and once for the reads. ``keep`` stores what a pass gives, so that the next one starts from there and the work
@@ -16,6 +16,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidespan.operators.carve import IN, OUT, finite, is_confident, is_in_spec, margin
 from tidespan.operators.prefix import running
@@ -51,16 +52,21 @@ def carried(rows: DataFrame, key: Sequence[str], lag: Mapping[str, Column] = {},
     along = Window.partitionBy(*key).orderBy("piece")
     before = [F.coalesce(F.sum(f"_t_{n}").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_t_{n}") for n in total]
     parts = parts.select(*key, "piece", F.lag("_last").over(along).alias("_last"), F.lead("_first").over(along).alias("_first"), *before)
+    extra = []
     if whole is not None:
-        parts = _joined(parts, whole, key, "left")
-    here = Window.partitionBy(*key, "piece").orderBy("t_us", "seq")
-    local = rows.withColumns({"_at": F.row_number().over(here), "_to": F.lead(F.lit(1)).over(here)} | {f"_l_{n}": F.lag(c).over(here) for n, c in lag.items()} | {f"_r_{n}": F.lead(c).over(here) for n, c in lead.items()})
-    local = local.withColumns({f"_s_{n}": F.sum(c).over(here.rowsBetween(Window.unboundedPreceding, 0)) for n, c in total.items()})
-    met = _joined(local, parts, [*key, "piece"], "inner")
-    out = {n: F.when(F.col("_at") > 1, F.col(f"_l_{n}")).otherwise(F.col("_last")[n]) for n in lag} | {n: F.when(F.col("_to").isNotNull(), F.col(f"_r_{n}")).otherwise(F.col("_first")[n]) for n in lead}
-    out |= {n: F.col(f"_s_{n}") + F.col(f"_t_{n}") for n in total}
-    extra = [c for c in whole.columns if c not in key] if whole is not None else []
-    return met.withColumns(out).select(*rows.columns, *[c for c in out if c not in rows.columns], *extra)
+        parts, extra = _joined(parts, whole, key, "left"), [c for c in whole.columns if c not in key]
+    # a summary stands before its piece's reads, so that one sort carries it to them
+    own = {f"_l_{n}": c for n, c in lag.items()} | {f"_r_{n}": c for n, c in lead.items()} | {f"_s_{n}": c for n, c in total.items()}
+    local = rows.select("*", *[c.alias(n) for n, c in own.items()], F.lit(1).alias("_read"))
+    carry = [F.col("_last")[n].alias(f"_l_{n}") for n in lag] + [F.col(f"_t_{n}").alias(f"_s_{n}") for n in total] + [F.col("_first")[n].alias(f"_f_{n}") for n in lead]
+    both = local.unionByName(parts.select(*key, "piece", *carry, *[F.col(c).alias(f"_w_{c}") for c in extra], F.lit(0).alias("_read")), allowMissingColumns=True)
+    here = Window.partitionBy(*key, "piece").orderBy("_read", "t_us", "seq")
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    out = {n: F.lag(f"_l_{n}").over(here) for n in lag}
+    out |= {n: F.when(F.lead("_read").over(here).isNotNull(), F.lead(f"_r_{n}").over(here)).otherwise(F.first(f"_f_{n}").over(so_far)) for n in lead}
+    out |= {n: F.sum(f"_s_{n}").over(so_far) for n in total} | {c: F.first(f"_w_{c}").over(so_far) for c in extra}
+    given = [c for c in rows.columns if c not in out]
+    return both.select(*given, "_read", *[c.alias(n) for n, c in out.items()]).filter("_read = 1").select(*given, *out)
 
 
 def _joined(a: DataFrame, b: DataFrame, key: Sequence[str], how: str) -> DataFrame:
@@ -99,10 +105,19 @@ def threshold_reads(obs: DataFrame, ladder: DataFrame, k: float = 1.0, keep: Cal
     """As ``carve.threshold_reads``, of reads with ``piece``."""
     if not k > 0:
         raise ValueError("k must be positive")
-    rows = obs.filter("n >= 2").crossJoin(F.broadcast(ladder)).withColumn("margin", margin(F.col("value"), F.col("threshold"), F.col("big_is_good")))
+    lags = {"prev_us": F.col("t_us"), "_value": F.col("value"), "_some": F.lit(True)}
+    rows = keep(carried(obs.filter("n >= 2"), ["record"], lag=lags, lead={"next_us": F.col("t_us"), "next_gap": F.col("is_gap")}, total={"rn": F.lit(1)}))
+    rungs = ladder.collect()  # a literal of the caller; a read's windows on all rungs are counted in its one row
+    of = lambda x, threshold, big_is_good: is_in_spec(margin(F.col(x), threshold, big_is_good))
+    before = lambda *rung: F.when(F.col("_some"), of("_value", *rung))
+    starts = lambda *rung: before(*rung).isNull() | F.col("is_gap") | (of("value", *rung) != before(*rung))
+    rows = carried(rows, ["record"], total={f"_island{i}": starts(F.lit(g["threshold"]), F.lit(g["big_is_good"])).cast("long") for i, g in enumerate(rungs)})
+    at = F.array(*[F.struct(*[F.lit(g[c]).cast(ladder.schema[c].dataType).alias(c) for c in ladder.columns], F.col(f"_island{i}").alias("island")) for i, g in enumerate(rungs)])
+    if not rungs:
+        at = F.array().cast(T.ArrayType(T.StructType([*ladder.schema, T.StructField("island", T.LongType())])))
+    rows = rows.select(*[c for c in rows.columns if not c.startswith("_island")], F.inline(at))
+    rows = rows.withColumn("margin", margin(F.col("value"), F.col("threshold"), F.col("big_is_good")))
     rows = rows.withColumn("in_spec", is_in_spec(F.col("margin"))).withColumn("confident", is_confident(F.col("margin"), F.col("sigma"), k))
     rows = rows.withColumn("state", F.concat(F.when(F.col("in_spec"), IN).otherwise(OUT), F.when(F.col("confident"), "").otherwise("_uncertain")))
-    key = ["record", "label"]
-    rows = carried(rows, key, lag={"prev_us": F.col("t_us"), "prev_in": F.col("in_spec")}, lead={"next_us": F.col("t_us"), "next_gap": F.col("is_gap")}, total={"rn": F.lit(1)})
-    rows = keep(rows).withColumn("starts", F.col("prev_in").isNull() | F.col("is_gap") | (F.col("in_spec") != F.col("prev_in")))
-    return carried(rows, key, total={"island": F.col("starts").cast("long")})
+    rung = F.col("threshold"), F.col("big_is_good")
+    return rows.withColumn("prev_in", before(*rung)).withColumn("starts", starts(*rung)).drop("_value", "_some")
