@@ -124,15 +124,15 @@ def cycle_periods(live: DataFrame, n_periods: int = 4) -> DataFrame:
         raise ValueError("n_periods must be at least 1")
     live = deal.once(live.select("record", "run", "status", "start_us", "end_us", "stretch", "lo_us", "hi_us"))
     ahead = F.lead("start_us").over(Window.partitionBy("record", "stretch").orderBy("start_us"))
-    cal = calibrations(live).select("record", "stretch", "lo_us", "hi_us", "start_us", "end_us", ahead.alias("next_us"))
+    cal = calibrations(live).select("record", "stretch", "lo_us", "hi_us", "start_us", "end_us", ahead.alias("next_us"), F.lit(True).alias("calibrated"))
     rows = live.select("record", "stretch", "lo_us", "hi_us").distinct().unionByName(cal, allowMissingColumns=True)
     # a row a stretch and one a calibration; time runs on through the stretches of a record
-    own, calibrated, named = Window.partitionBy("record").orderBy("stretch"), F.col("start_us").isNotNull(), F.col("record").isNotNull()
+    own, calibrated, named = Window.partitionBy("record").orderBy("stretch"), F.col("calibrated").isNotNull(), F.col("record").isNotNull()
     length, total = F.when(~calibrated, F.col("hi_us") - F.col("lo_us")).otherwise(0), F.col("total")
     rows = rows.withColumn("off", F.coalesce(F.sum(length).over(own.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(length).over(own.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.withColumn("x", F.col("off") + F.coalesce(F.col("start_us") - F.col("lo_us"), F.lit(0))).withColumn("y", F.col("off") + F.col("end_us") - F.col("lo_us"))
+    rows = rows.withColumn("x", F.col("off") + F.when(calibrated, F.col("start_us") - F.col("lo_us")).otherwise(0)).withColumn("y", F.col("off") + F.col("end_us") - F.col("lo_us"))
     near = lambda x, k: F.struct(F.abs(x * n_periods - total * k).alias("gap"), x.alias("x"))
-    cuts = [F.least(F.min(near(F.col("x"), k)).over(Window.partitionBy("record")), near(total, k))["x"] for k in range(1, n_periods)]
+    cuts = [F.least(F.min(F.when(F.col("x").isNotNull(), near(F.col("x"), k))).over(Window.partitionBy("record")), near(total, k))["x"] for k in range(1, n_periods)]
     ends = F.lit(0).cast("long"), total
     rows = rows.withColumn("bounds", F.when(named, F.array(ends[0], *cuts, ends[1])).otherwise(F.array(*ends)))  # reads of no record are one period
 
