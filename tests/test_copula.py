@@ -55,3 +55,13 @@ def test_shuffles_are_those_of_the_battery(spark):
     for b, xs in drawn.items():
         ranks = np.array([(x <= v).sum() for v in xs]) / len(x)
         assert np.allclose(u[b][:, 0], np.r_[ranks[:8], ranks[9:16]])
+
+
+def test_cells_of_a_record_stand_alone(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, label, side, s, i + 1, float(v), 1e9) for label in "ab" for side in ("in", "out") for s in (3, 5) for i, v in enumerate(rng.random(9))]
+    gaps = spark.createDataFrame(rows, "record long, label string, side string, segment long, i long, x double, tau double")
+    got = {(r.label, r.side): r for r in copula.serial_independence(gaps, n_null=50).collect()}
+    assert len(got) == 4 and len({r.statistic for r in got.values()}) == 4
+    for (label, side), r in got.items():
+        assert (r.n, r.n_vectors, r.n_segments, r.reason) == (18, 8, 2, "") and r == copula.serial_independence(gaps.filter(f"label = '{label}' and side = '{side}'"), n_null=50).first()

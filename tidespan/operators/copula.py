@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tidespan.operators.permutation import _mid_ranks
-from tidespan.operators.renewal import PRIME, _by_cell, draw_factors
+from tidespan.operators.renewal import PRIME, cells_at_once, draw_factors
 
 #: Numbers in a block of pairs.
 BLOCK = 2_000_000
@@ -67,7 +67,7 @@ def serial_independence(gaps: DataFrame, lag: int = 5, n_null: int = 1000, seed:
     fewer than two vectors, or whose gaps are all equal, has a reason. Shuffles stay inside segments and are those of ``renewal.draws``."""
     factors = draw_factors(n_null, seed)
 
-    def run(segment: np.ndarray, x: np.ndarray, _: np.ndarray, h: np.ndarray) -> list:
+    def cell(segment: np.ndarray, x: np.ndarray, _: np.ndarray, h: np.ndarray) -> list:
         _, lengths = np.unique(segment, return_counts=True)
         vectors = int(np.maximum(lengths - lag, 0).sum())
         why = "fewer than two vectors" if vectors < 2 else "all gaps are equal" if np.ptp(x) == 0 else ""
@@ -77,4 +77,8 @@ def serial_independence(gaps: DataFrame, lag: int = 5, n_null: int = 1000, seed:
             value, p = float(s[0]), (int((s[1:] > s[0] - TIED).sum()) + 0.5) / (n_null + 1)
         return [[len(x)], [vectors], [len(lengths)], [lag], [value], [p], [why]]
 
-    return _by_cell(gaps, seed, run, "n long, n_vectors long, n_segments long, lag long, statistic double, p double, reason string")
+    def run(starts: np.ndarray, *arrays: np.ndarray) -> Iterator[list]:
+        for a, b in zip(starts, [*starts[1:], len(arrays[0])], strict=True):
+            yield cell(*(v[a:b] for v in arrays))
+
+    return cells_at_once(gaps, seed, run, "n long, n_vectors long, n_segments long, lag long, statistic double, p double, reason string")

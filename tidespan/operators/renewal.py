@@ -7,6 +7,7 @@ position and a gap. A statistic is a grouped sum over running sums. Batteries of
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -388,26 +389,20 @@ def _several_cells(starts: np.ndarray, segment: np.ndarray, x: np.ndarray, tau:
     return out
 
 
-def _by_cell(gaps: DataFrame, n_draws: int, seed: int, max_lag: int, work, columns: str) -> DataFrame:
-    """``work`` over what ``_cell_arrays`` gives of each cell; it returns a list for each of ``columns``. A record's cells come to Python together, and are shuffled together, ``TOGETHER`` gaps at a time."""
+def cells_at_once(gaps: DataFrame, seed: int, work, columns: str) -> DataFrame:
+    """``work`` over the first gap of each cell and the arrays (segment, x, tau, hash) of a record's cells, in order; of each cell it gives a list for each of ``columns``."""
     kinds = {c.split()[0]: {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")}
-    factors = draw_factors(n_draws, seed)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in ("label", "side", "segment", "i")])
         names = [group.column(k).to_numpy(zero_copy_only=False) for k in ("label", "side")]
         arrays = [group.column(k).to_numpy() for k in ("segment", "x", "tau", "_hash")]
         starts = np.flatnonzero(np.r_[True, (names[0][1:] != names[0][:-1]) | (names[1][1:] != names[1][:-1])])
-        ends, at, out, low = np.r_[starts[1:], group.num_rows], [], {k: [] for k in kinds}, 0
-        while low < len(starts):
-            high = max(low + 1, int(np.searchsorted(ends, starts[low] + TOGETHER, "right")))
-            some = slice(starts[low], ends[high - 1])
-            for start, cell in zip(starts[low:high], _several_cells(starts[low:high] - starts[low], *(v[some] for v in arrays), factors, max_lag), strict=True):
-                got = work(*cell)
-                at += [start] * len(got[0])
-                for k, v in zip(kinds, got, strict=True):
-                    out[k].extend(v)
-            low = high
+        at, out = [], {k: [] for k in kinds}
+        for start, got in zip(starts, work(starts, *arrays), strict=True):
+            at += [start] * len(got[0])
+            for k, v in zip(kinds, got, strict=True):
+                out[k].extend(v)
         same = group.select(CELL).take(pa.array(at, pa.int64())) if at else group.select(CELL).slice(0, 0)
         for k, v in out.items():
             if kinds[k] == pa.float64():
@@ -423,6 +418,22 @@ def _by_cell(gaps: DataFrame, n_draws: int, seed: int, max_lag: int, work, colum
     return deal.by_key(rows, "record").groupBy("record").applyInArrow(run, f"{cell}, {columns}")
 
 
+def _by_cell(gaps: DataFrame, n_draws: int, seed: int, max_lag: int, work, columns: str) -> DataFrame:
+    """``work`` over what ``_cell_arrays`` gives of each cell; it returns a list for each of ``columns``. A record's cells come to Python together, and are shuffled together, ``TOGETHER`` gaps at a time."""
+    factors = draw_factors(n_draws, seed)
+
+    def run(starts: np.ndarray, *arrays: np.ndarray) -> Iterator[list]:
+        ends, low = np.r_[starts[1:], len(arrays[0])], 0
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + TOGETHER, "right")))
+            some = slice(starts[low], ends[high - 1])
+            for cell in _several_cells(starts[low:high] - starts[low], *(v[some] for v in arrays), factors, max_lag):
+                yield work(*cell)
+            low = high
+
+    return cells_at_once(gaps, seed, run, columns)
+
+
 def battery(gaps: DataFrame, n_draws: int, seed: int, max_lag: int = 5) -> DataFrame:
     """All statistics of every draw (b = 0 is the order as observed), a cell's arrays at a time: one exchange by record, B + 1 rows a cell out.
 
