@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import pytest
 
+from tidespan import registry
 from tidespan.operators import copula, renewal
 
 #: Statistic and p of three exponential series at lag 5, as the published implementation of the test gives them.
@@ -65,3 +69,15 @@ def test_cells_of_a_record_stand_alone(spark):
     assert len(got) == 4 and len({r.statistic for r in got.values()}) == 4
     for (label, side), r in got.items():
         assert (r.n, r.n_vectors, r.n_segments, r.reason) == (18, 8, 2, "") and r == copula.serial_independence(gaps.filter(f"label = '{label}' and side = '{side}'"), n_null=50).first()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_statistics_that_end_in_a_five_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id IN (117, 537)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    want = {r[:3]: r[7] for r in con.execute(registry.oracle_sql()["c3"]).fetchall()}
+    got = {(r.record, r.label, r.side): r.statistic for r in registry.queries()["c3"](spark, str(tmp_path)).collect()}
+    assert got == want and got[537, "r20", "out_of_spec"] == 0.0037508 and got[117, "r20", "out_of_spec"] == 0.0006562

@@ -2,7 +2,7 @@
 (Genest and Remillard 2004), its null law from shuffles of the ranks.
 
 Vectors lie inside segments, so no pair of gaps straddles a break in reading; a cell of one segment has the statistic of the published test. A cell is one task.
-Draws, and for long cells rows of the pair table too, go in blocks of bounded size; a draw costs the square of the number of vectors.
+Draws go in blocks of bounded size; a draw costs the square of the number of vectors.
 """
 
 from __future__ import annotations
@@ -13,30 +13,29 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tidespan.operators.permutation import _mid_ranks
-from tidespan.operators.renewal import PRIME, cells_at_once, draw_factors
+from tidespan.operators.renewal import cells_at_once, draw_factors, shuffled
 
-#: Numbers in a block of pairs.
-BLOCK = 2_000_000
+#: Numbers in a block of vectors.
+BLOCK = 120_000
 #: Distances this near count as equal: those of few vectors are fractions that tie often, and rounding would cut between them.
 TIED = 3.7e-11
 
 
 def distances(u: np.ndarray) -> np.ndarray:
-    """u: draws by vectors by coordinates, ranks over their number -> n times the integral of (C_n - product of margins)^2 of each draw, in closed form."""
-    d, n, p = u.shape
-    rows = max(1, min(n, BLOCK // (d * n)))
-    whole, margins, one = np.zeros(d), np.zeros((d, p)), np.zeros(d)
-    for low in range(0, n, rows):
-        both, own = None, np.ones((d, len(range(low, min(low + rows, n)))))
-        for k in range(p):
-            j = 1 - np.maximum(u[:, low : low + rows, None, k], u[:, None, :, k])
-            mean = j.mean(axis=2)
-            margins[:, k] += mean.sum(axis=1)
-            own *= mean
-            both = j if both is None else both * j
-        whole += both.sum(axis=(1, 2))
-        one += own.sum(axis=1)
-    return whole / n - 2 * one + n * np.prod(margins / n, axis=1)
+    """u: draws by vectors by coordinates, ranks over their number -> n times the integral of (C_n - product of margins)^2 of each draw, in closed form.
+    Each pair of vectors is met once, all pairs as far apart together; arrays hold no more numbers than u. Sums and products are in the SQL's order where two vectors leave no other."""
+    v = np.ascontiguousarray(1 - u.T)  # coordinates by vectors by draws
+    n = v.shape[1]
+    means, whole = v.copy(), v.prod(axis=0)
+    for far in range(1, n):
+        least = np.minimum(v[:, far:], v[:, :-far])
+        means[:, far:] += least
+        means[:, :-far] += least
+        both = least.prod(axis=0)
+        whole[far:] += both
+        whole[:-far] += both
+    means /= n
+    return whole.sum(axis=0) / n - 2 * means.prod(axis=0).sum(axis=0) + means.mean(axis=1).prod(axis=0, initial=n)
 
 
 def cvm_distance(u: np.ndarray) -> float:
@@ -49,17 +48,19 @@ def _blocks(x: np.ndarray, segment: np.ndarray, h: np.ndarray, factors: tuple[np
     runs = [r for r in np.split(np.arange(len(x)), np.flatnonzero(np.diff(segment)) + 1) if len(r) > lag]
     rank = _mid_ranks(x) / len(x)
     n = sum(len(r) - lag for r in runs)
-    step = max(1, BLOCK // (n * n))
+    step = max(1, BLOCK // (n * (lag + 1)))
     for low in range(0, len(factors[0]), step):
-        k, c = (f[low : low + step, None] for f in factors)
-        parts = []
+        k, c = (f[low : low + step] for f in factors)
+        out, at = np.empty((lag + 1, n, len(k))), 0
         for r in runs:
-            key = (h[r] * k + c) % PRIME
-            order = np.argsort(key * key % PRIME, axis=1, kind="stable")
+            order = shuffled(h[r], k, c)
             if low == 0:
                 order[0] = np.arange(len(r))
-            parts.append(np.lib.stride_tricks.sliding_window_view(rank[r][order], lag + 1, axis=1))
-        yield np.concatenate(parts, axis=1)
+            drawn, here = rank[r][order.T], len(r) - lag
+            for j in range(lag + 1):
+                out[j, at : at + here] = drawn[j : j + here]
+            at += here
+        yield out.T
 
 
 def serial_independence(gaps: DataFrame, lag: int = 5, n_null: int = 1000, seed: int = 7) -> DataFrame:
