@@ -81,3 +81,17 @@ def test_statistics_that_end_in_a_five_are_rounded_as_in_sql(spark, tmp_path):
     want = {r[:3]: r[7] for r in con.execute(registry.oracle_sql()["c3"]).fetchall()}
     got = {(r.record, r.label, r.side): r.statistic for r in registry.queries()["c3"](spark, str(tmp_path)).collect()}
     assert got == want and got[537, "r20", "out_of_spec"] == 0.0037508 and got[117, "r20", "out_of_spec"] == 0.0006562
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_odd_reads_give_the_rows_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT * REPLACE (CASE WHEN event_id % 23 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 31 = 0 THEN date_trunc('day', ts) WHEN event_id % 89 <> 0 THEN ts END AS ts,
+      CASE WHEN event_id % 83 = 0 THEN NULL WHEN event_id % 79 = 0 THEN 'nan'::DOUBLE WHEN event_id % 73 = 0 THEN 'inf'::DOUBLE WHEN event_id % 71 = 0 THEN -value ELSE value END AS value)
+      FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    want = {r[:3]: r for r in con.execute(registry.oracle_sql()["c3"]).fetchall()}
+    got = {tuple(r)[:3]: tuple(r) for r in registry.queries()["c3"](spark, str(tmp_path)).collect()}
+    assert got == want and len({r[-1] for r in want.values()}) == 2

@@ -206,7 +206,7 @@ def c3(c: Context) -> DataFrame:
     from tidespan.operators import copula
 
     # statistics of two vectors often end in a 5 at the eighth digit, so they are rounded as the SQL's engine rounds: a product, then a quotient
-    return copula.serial_independence(gaps(c)).select(*renewal.CELL, "n", "n_vectors", "n_segments", "lag", (F.round(F.col("statistic") * 1e7) / 1e7).alias("statistic"), r("p", 9), "reason")
+    return copula.serial_independence(gaps(c).filter("record is not null")).select(*renewal.CELL, "n", "n_vectors", "n_segments", "lag", (F.round(F.col("statistic") * 1e7) / 1e7).alias("statistic"), r("p", 9), "reason")
 
 
 _CYC_USE = """ncyc AS (SELECT *, sum(length_s) OVER (PARTITION BY record, stretch) AS tau_w, sum(CASE WHEN event THEN length_s ELSE 0 END) OVER (PARTITION BY record) + last_value(CASE WHEN event THEN 0 ELSE length_s END) OVER (PARTITION BY record ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tau_e FROM cyc),
